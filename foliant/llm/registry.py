@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .op1_quality import op1_quality
+from .op3_tokens import op3_tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality}
+    return {f.__name__: f for f in (op1_quality, op3_tokens)}
 
 
 def oracle_sql() -> dict[str, str]:
