@@ -7,14 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .op10_packing import op10_packing
+from . import op8_warc as warc
 from .op1_quality import op1_quality
 from .op6_langid import op6_langid
 from .op3_tokens import op3_tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op3_tokens, op6_langid, op10_packing)}
+    return {f.__name__: f for f in (op1_quality, op3_tokens, op6_langid, warc.op8_warc, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_warc": warc.SQL}
