@@ -53,12 +53,25 @@ def vocabulary(docs: DataFrame, name: str = TOKENIZER) -> DataFrame:
     return times.mapInArrow(cut, "pretoken string, times bigint, pieces int")
 
 
+def frequent(pieces: DataFrame, head: int) -> dict[str, int]:
+    """The pieces of the most frequent pre-tokens, at most head of them; only they and one row per frequency class reach the driver."""
+    short = pieces.where(F.length("pretoken") <= HEAD_CHARS).withColumn("rate", F.floor(8 * F.log2("times")).cast("int"))
+    least, room = None, head
+    for r in sorted(short.groupBy("rate").agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
+        if (room := room - r.n) < 0:
+            break
+        least = r.rate
+    if least is None:
+        return {}
+    found = short.where(F.col("rate") >= least).select("pretoken", "pieces").toArrow()
+    return dict(zip(found["pretoken"].to_pylist(), found["pieces"].to_pylist()))
+
+
 def token_counts(docs: DataFrame, name: str = TOKENIZER, limit: int = LIMIT, head: int = HEAD) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit), one row per row of docs; a null text is empty and has no token."""
     spark = docs.sparkSession
     pieces = materialise(vocabulary(docs, name), "pieces")
-    top = pieces.where(F.length("pretoken") <= HEAD_CHARS).orderBy(F.desc("times"), "pretoken").limit(head)
-    known = spark.sparkContext.broadcast({r.pretoken: r.pieces for r in top.select("pretoken", "pieces").collect()})
+    known = spark.sparkContext.broadcast(frequent(pieces, head))
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = known.value
