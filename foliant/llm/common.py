@@ -19,8 +19,6 @@ WORD = re.compile(WORD_PATTERN)
 _BLANKS = re.compile(r"[\x20\x09-\x0D]+")
 #: What str.split() also takes for a blank.
 _OTHER_BLANKS = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-#: Lower-cases A-Z and leaves every other character alone.
-ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -39,6 +37,11 @@ def words(text: str) -> list[str]:
     return out
 
 
+def ascii_lower(text: str) -> str:
+    """Lower-cases A-Z and leaves every other character alone, as bytes.lower() does."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
     sc = spark.sparkContext
