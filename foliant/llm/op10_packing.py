@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 from zlib import crc32
 
 import numpy as np
@@ -25,8 +26,11 @@ from .pretokens import WORD_END_PATTERN, special_strings, tokenizer, usual
 TOKENIZER = "word_bpe_49k.json"
 WINDOW = 4096
 END = 2
-#: Pre-tokens whose ids a task remembers.
-HELD = 300_000
+#: Fixed value: what the file's last piece of a pre-token ends with.
+WORD_END = "</w>"
+#: Pre-tokens whose ids a Python worker remembers, and texts that it cuts at a time.
+HELD = 400_000
+AT_ONCE = 256
 #: Groups that a length's pieces are ranked in.
 SALTS = 64
 
@@ -35,36 +39,59 @@ PIECES_DDL = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_
 
 
 class Encoder:
-    """Token ids as little-endian unsigned 32-bit bytes; agrees with the library, which settles every unusual text."""
+    """Token ids as little-endian unsigned 32-bit bytes; agrees with the library, which settles every unusual text.
+
+    New pre-tokens go to the library in one text, parted by blanks: an id whose piece carries the word-end mark ends its
+    pre-token, so the ids fall apart again by themselves.
+    """
 
     def __init__(self, name: str) -> None:
         self.name, self.seen = name, {}
-
-    def __call__(self, text: str) -> bytes:
-        library = tokenizer(self.name)
-        if not usual(text) or any(s in text for s in special_strings(self.name)):
-            return np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        found, seen = WORD_END_PATTERN.findall(text.lower()), self.seen
-        if len(seen) > HELD:
-            seen.clear()
-        if new := list(set(found).difference(seen)):
-            for p, e in zip(new, library.encode_batch_fast(new, add_special_tokens=False)):
-                seen[p] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(seen.__getitem__, found))
+        vocabulary = tokenizer(name).get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for piece, k in vocabulary.items() if piece.endswith(WORD_END)]] = True
+
+    def learn(self, new: list[str]) -> None:
+        ids = np.array(tokenizer(self.name).encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+        at = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(at) != len(new):
+            raise ValueError("pre-tokens and word ends differ")
+        raw, start = ids.tobytes(), 0
+        for p, end in zip(new, at):
+            self.seen[p] = raw[start:end]
+            start = end
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        library, special = tokenizer(self.name), special_strings(self.name)
+        found = [WORD_END_PATTERN.findall(t.lower()) if usual(t) and not any(s in t for s in special) else None for t in texts]
+        if len(self.seen) > HELD:
+            self.seen.clear()
+        new = set().union(*(f for f in found if f)).difference(self.seen)
+        if new:
+            self.learn(list(new))
+        get = self.seen.__getitem__
+        return [b"".join(map(get, f)) if f is not None else np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for f, t in zip(found, texts)]
+
+
+@cache
+def encoder(name: str) -> Encoder:
+    """One for each Python worker, which keeps what it has learnt from task to task."""
+    return Encoder(name)
 
 
 def pieces(docs: DataFrame, name: str = TOKENIZER, window: int = WINDOW, end: int = END) -> DataFrame:
     """Cut every document, its end id included, into whole windows and a rest. A null text is empty: the end id alone."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last = Encoder(name), int(end).to_bytes(4, "little")
-        for b in batches:
-            rows: list[tuple] = []
-            for doc_id, t in zip(b.column("doc_id").to_pylist(), b.column("text")):
-                ids = encode(t.as_py() or "") + last
-                n = len(ids) // 4
-                rows += [(doc_id, at, min(window, n - at), crc32(ids[4 * at : 4 * (at + window)]), n) for at in range(0, n, window)]
-            if rows:
+        encode, last = encoder(name), int(end).to_bytes(4, "little")
+        for whole in batches:
+            for lo in range(0, whole.num_rows, AT_ONCE):
+                b = whole.slice(lo, AT_ONCE)
+                rows: list[tuple] = []
+                for doc_id, ids in zip(b.column("doc_id").to_pylist(), encode([t.as_py() or "" for t in b.column("text")])):
+                    ids += last
+                    n = len(ids) // 4
+                    rows += [(doc_id, at, min(window, n - at), crc32(ids[4 * at : 4 * (at + window)]), n) for at in range(0, n, window)]
                 yield batch(PIECES, *zip(*rows))
 
     return text_columns(docs, "doc_id", "text").mapInArrow(cut, PIECES_DDL)
