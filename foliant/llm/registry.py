@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .op10_packing import op10_packing
+from . import op5_paragraphs as paragraphs
 from . import op7_ngram_join as ngram
 from . import op8_warc as warc
 from .op1_quality import op1_quality
@@ -15,8 +16,8 @@ from .op3_tokens import op3_tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op3_tokens, op6_langid, ngram.op7_ngram_join, warc.op8_warc, op10_packing)}
+    return {f.__name__: f for f in (op1_quality, op3_tokens, paragraphs.op5_paragraphs, op6_langid, ngram.op7_ngram_join, warc.op8_warc, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_ngram_join": ngram.SQL, "op8_warc": warc.SQL}
+    return {"op5_paragraphs": paragraphs.SQL, "op7_ngram_join": ngram.SQL, "op8_warc": warc.SQL}
