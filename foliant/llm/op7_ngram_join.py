@@ -2,14 +2,13 @@
 
 1. Every document becomes the set of its hashed 5-word shingles; equal sets are one class.
 2. Two sets within the similarity share one of the first ``n - ceil(0.8 n) + 1`` shingles of any
-   common order. The order puts shingles that a count sketch over all documents shows to be frequent last,
-   so these prefixes meet rarely; documents whose prefixes meet form candidate groups.
+   common order. The order is by document frequency, rare ones first, so prefixes consist of shingles that
+   stand in one document for all but copies; documents whose prefixes meet form candidate groups.
 3. Inside a group, size-banded tiles with hashed bitmaps find every link exactly.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,100 +18,54 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .collisions import edges
-from .common import WordHashes, ascii_lower, batch, materialise, read, shingles, text_columns, words
+from .common import WordHashes, ascii_lower, batch, input_bytes, materialise, mix, read, shingles, text_columns, words
 from .components import components
+from .frequencies import prefixes
 from .tiles import verified
 
 WIDTH = 5
 PERCENT = 80
-#: Counters of the sketch; it orders shingles and decides nothing.
-SKETCH = 1 << 22
-SKETCH_PARTS = 16
 
-_PART = SKETCH // SKETCH_PARTS
-SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
+
+def set_hash(s: np.ndarray) -> tuple[int, int]:
+    d = xxhash.xxh3_128_digest(s.tobytes())
+    return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
 
 
 def shingle_set(text: str | None, hashes: WordHashes, width: int = WIDTH) -> np.ndarray:
     return shingles(hashes(words(ascii_lower(text))), width) if text else np.zeros(0, np.uint64)
 
 
-def document_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """A row per document: its set's size and 128-bit hash; and rows with parts of each task's count sketch."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, sketch = WordHashes(), np.zeros(SKETCH, np.uint32)
-        for b in batches:
-            out = []
-            for doc_id, t in zip(b.column("doc_id").to_pylist(), b.column("text")):
-                s = shingle_set(t.as_py(), hashes, width)
-                np.add.at(sketch, (s & np.uint64(SKETCH - 1)).astype(np.int64), 1)
-                d = xxhash.xxh3_128_digest(s.tobytes())
-                out.append((doc_id, len(s), int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), None, None))
-            if out:
-                yield batch(SETS, *zip(*out))
-        if sketch.any():
-            parts = [zlib.compress(sketch[k * _PART : (k + 1) * _PART].tobytes(), 1) for k in range(SKETCH_PARTS)]
-            none = [None] * SKETCH_PARTS
-            yield batch(SETS, none, none, none, none, range(SKETCH_PARTS), parts)
-
-    return text_columns(docs, "doc_id", "text").mapInArrow(rows, "doc_id bigint, n bigint, h1 bigint, h2 bigint, part int, counts binary")
-
-
-def _order(sets: DataFrame) -> np.ndarray:
-    """For each counter of the sketch, a class of frequency; 4 MB whatever the corpus holds."""
-
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        schema = pa.schema([("part", pa.int32()), ("counts", pa.binary())])
-        for b in batches:
-            for part, raw in zip(b.column("part").to_pylist(), b.column("counts")):
-                counts = np.frombuffer(zlib.decompress(raw.as_py()), np.uint32).astype(np.uint64)
-                total[part] = total[part] + counts if part in total else counts
-        if total:
-            yield batch(schema, list(total), [x.tobytes() for x in total.values()])
-
-    parts = sets.where("part IS NOT NULL").select("part", "counts").repartition(SKETCH_PARTS, "part").mapInArrow(summed, "part int, counts binary").collect()
-    whole = np.zeros(SKETCH, np.uint64)
-    for r in parts:
-        whole[r.part * _PART : (r.part + 1) * _PART] += np.frombuffer(r.counts, np.uint64)
-    mean = max(whole.mean(), 1.0)
-    return np.where(whole > 4 * mean, np.minimum(15, np.log2(np.maximum(whole / mean, 1))), 0).astype(np.uint8)
-
-
-def prefix_keys(s: np.ndarray, order: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The first n - ceil(percent n / 100) + 1 shingles of a set, rare ones first."""
-    take = len(s) - -(-percent * len(s) // 100) + 1
-    keys = (order[(s & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(60)) | (s >> np.uint64(4))
-    return np.partition(keys, take - 1)[:take] if take < len(keys) else keys
-
-
 def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links), one row per row of docs.
 
     A document without words, or with a null text, has an empty set and no link; a row with a null doc_id takes no part in links and
     has a null component. Rows that repeat a doc_id are one document for its component.
     """
-    spark = docs.sparkSession
-    both = materialise(document_sets(docs, width), "sets")
-    sets = both.where("part IS NULL").drop("part", "counts")
-    order = spark.sparkContext.broadcast(_order(both))
-    some = sets.where("n > 0 AND doc_id IS NOT NULL")
-    classes = some.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    classes = materialise(classes, "classes")
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        hashes, table = WordHashes(), order.value
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        hashes = WordHashes()
         for b in batches:
             for doc_id, t in zip(b.column("doc_id").to_pylist(), b.column("text")):
                 s = shingle_set(t.as_py(), hashes, width)
-                if len(s) and doc_id is not None:
-                    k = prefix_keys(s, table, percent)
-                    yield k, np.full(len(k), doc_id, np.int64)
+                yield doc_id, s, *set_hash(s)
 
-    n_keys = int((some.agg(F.sum("n")).first()[0] or 0) * (101 - percent) / 100)
-    groups = components(edges(text_columns(docs, "doc_id", "text"), keys, n_keys))
-    chosen = classes.join(groups, "id").withColumnRenamed("component", "group")
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for b in batches:
+            for doc_id, raw in zip(b.column("doc_id").to_pylist(), b.column("keys")):
+                k = np.frombuffer(raw.as_buffer(), np.uint64)
+                yield mix(k), np.full(len(k), doc_id, np.int64)
+
+    known = text_columns(docs, "doc_id", "text").where("doc_id IS NOT NULL")
+    n_items = input_bytes(docs, "text") // 6
+    sets, met = prefixes(known, hashed, n_items, percent)
+    sets = materialise(sets, "sets")
+    classes = sets.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"))
+    classes = materialise(classes, "classes")
+    groups = components(edges(met, keys, n_items // 20))
+    # a set goes into its group by any of its documents that the prefixes have
+    named = sets.select("doc_id", "n", "h1", "h2").join(groups, F.col("doc_id") == F.col("id")).groupBy("n", "h1", "h2").agg(F.min("component").alias("group"))
+    chosen = classes.join(named, ["n", "h1", "h2"])
     several = chosen.groupBy("group").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("group")
     chosen = materialise(chosen.join(several, "group"), "candidates")
 
@@ -121,20 +74,27 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
         hashes = WordHashes()
         for b in batches:
             found = [shingle_set(t.as_py(), hashes, width) for t in b.column("text")]
-            digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in found]
             # rows may repeat an id with another text; only the row of this class is its member
-            keep = pa.array([d == x.to_bytes(8, "big", signed=True) + y.to_bytes(8, "big", signed=True) for d, x, y in zip(digests, b.column("h1").to_pylist(), b.column("h2").to_pylist())], pa.bool_())
+            keep = pa.array([set_hash(s) == h for s, h in zip(found, zip(b.column("h1").to_pylist(), b.column("h2").to_pylist()))], pa.bool_())
             yield batch(schema, *(b.column(c) for c in ("group", "id", "copies", "n")), [s.tobytes() for s in found]).filter(keep)
 
-    texts = text_columns(docs, "doc_id", "text").withColumnRenamed("doc_id", "id")
+    texts = known.withColumnRenamed("doc_id", "id")
     members = texts.join(chosen, "id").select("group", "id", "copies", "n", "h1", "h2", "text").mapInArrow(with_sets, "group bigint, id bigint, copies bigint, n bigint, shingles binary")
     members = materialise(members, "members")
     found, links = verified(members, percent)
     roots = components(found)
     classes = classes.join(roots, "id", "left").join(links, "id", "left").select("n", "h1", "h2", F.coalesce("component", "id").alias("component_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    own = sets.where("n > 0 AND doc_id IS NOT NULL").join(classes, ["n", "h1", "h2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
-    alone = sets.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("bigint").alias("n_links"))
-    return own.unionByName(alone)
+    own = sets.where("n > 0").join(classes, ["n", "h1", "h2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
+    alone = sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("bigint").alias("n_links"))
+
+    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for b in batches:
+            yield batch(pa.schema([("n", pa.int64())]), [len(shingle_set(t.as_py(), hashes, width)) for t in b.column("text")])
+
+    none = F.lit(None).cast("bigint")
+    nameless = docs.where("doc_id IS NULL").select("text").mapInArrow(sized, "n bigint").select(none.alias("doc_id"), F.col("n").alias("n_shingles"), none.alias("component_id"), F.lit(0).cast("bigint").alias("n_links"))
+    return own.unionByName(alone).unionByName(nameless)
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
