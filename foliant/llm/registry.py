@@ -12,13 +12,14 @@ from . import op7_ngram_join as ngram
 from . import op8_warc as warc
 from . import op9_mixing as mixing
 from .op1_quality import op1_quality
+from .op4_pseudonyms import op4_pseudonyms
 from .op6_langid import op6_langid
 from .op2_fingerprints import op2_fingerprints
 from .op3_tokens import op3_tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_fingerprints, op3_tokens, paragraphs.op5_paragraphs, op6_langid, ngram.op7_ngram_join, warc.op8_warc, mixing.op9_mixing, op10_packing)}
+    return {f.__name__: f for f in (op1_quality, op2_fingerprints, op3_tokens, op4_pseudonyms, paragraphs.op5_paragraphs, op6_langid, ngram.op7_ngram_join, warc.op8_warc, mixing.op9_mixing, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
