@@ -1,4 +1,4 @@
 """All named queries: importing the operator modules registers them."""
 
-from ..operators import terms  # noqa: F401
+from ..operators import linguistics, terms  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
