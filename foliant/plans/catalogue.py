@@ -1,4 +1,4 @@
 """All named queries: importing the operator modules registers them."""
 
-from ..operators import corpus, linguistics, terms  # noqa: F401
+from ..operators import answers, corpus, curiosity, linguistics, terms, vectors  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
