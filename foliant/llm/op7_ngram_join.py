@@ -21,6 +21,7 @@ from .collisions import edges
 from .common import WordHashes, ascii_lower, batch, input_bytes, materialise, mix, read, shingles, text_columns, words
 from .components import components
 from .frequencies import prefixes
+from .idfilter import bitmap, perhaps
 from .tiles import verified
 
 WIDTH = 5
@@ -69,18 +70,22 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     several = chosen.groupBy("group").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("group")
     chosen = materialise(chosen.join(several, "group"), "candidates")
 
+    held = bitmap(chosen.select("id"))
+
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("group", pa.int64()), ("id", pa.int64()), ("copies", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary())])
+        schema = pa.schema([("id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("shingles", pa.binary())])
         hashes = WordHashes()
         for b in batches:
+            if not b.num_rows:
+                continue
+            b = b.filter(pa.array(perhaps(held.value, b.column("doc_id").to_numpy())))
             found = [shingle_set(t.as_py(), hashes, width) for t in b.column("text")]
-            # rows may repeat an id with another text; only the row of this class is its member
-            keep = pa.array([set_hash(s) == h for s, h in zip(found, zip(b.column("h1").to_pylist(), b.column("h2").to_pylist()))], pa.bool_())
-            yield batch(schema, *(b.column(c) for c in ("group", "id", "copies", "n")), [s.tobytes() for s in found]).filter(keep)
+            if found:
+                yield batch(schema, b.column("doc_id"), *zip(*map(set_hash, found)), [s.tobytes() for s in found])
 
-    texts = known.withColumnRenamed("doc_id", "id")
-    members = texts.join(chosen, "id").select("group", "id", "copies", "n", "h1", "h2", "text").mapInArrow(with_sets, "group bigint, id bigint, copies bigint, n bigint, shingles binary")
-    members = materialise(members, "members")
+    # of rows that repeat an id with another text, those of a wanted class alone find their match
+    members = known.mapInArrow(with_sets, "id bigint, h1 bigint, h2 bigint, shingles binary").join(chosen, ["id", "h1", "h2"])
+    members = materialise(members.select("group", "id", "copies", "n", "shingles"), "members")
     found, links = verified(members, percent)
     roots = components(found)
     classes = classes.join(roots, "id", "left").join(links, "id", "left").select("n", "h1", "h2", F.coalesce("component", "id").alias("component_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
