@@ -51,12 +51,12 @@ def code_points(text: str) -> np.ndarray:
     return cp[keep]
 
 
-def buckets(cp: np.ndarray) -> np.ndarray:
-    """Hashed 1- to 3-grams of a row of code points."""
+def buckets(cp: np.ndarray, seen: int = 0) -> np.ndarray:
+    """Hashed 1- to 3-grams of a row of code points, without those that lie in its first seen (0 or 2) points alone."""
     one = cp * _A
     two = (one[:-1] ^ (one[:-1] >> np.uint32(15))) * _B + cp[1:]
     three = (two[:-1] ^ (two[:-1] >> np.uint32(13))) * _A + cp[2:]
-    out = np.concatenate([one + np.uint32(1), two * _A, three * _B])
+    out = np.concatenate([one[seen:] + np.uint32(1), two[seen // 2 :] * _A, three * _B])
     out ^= out >> np.uint32(16)
     out *= np.uint32(0x27D4EB2F)
     return (out >> np.uint32(17)).astype(np.int32)  # 15 bits: below ROWS
@@ -77,7 +77,7 @@ class Model:
         cp, total, n = code_points(text), np.zeros(len(self.langs)), 0
         counts = np.zeros(ROWS)
         for at in range(0, len(cp), BLOCK):
-            b = buckets(cp[max(0, at - 2) : at + BLOCK])
+            b = buckets(cp[max(0, at - 2) : at + BLOCK], 2 if at else 0)
             counts += np.bincount(b, minlength=ROWS) if len(b) > 4096 else 0
             if len(b) <= 4096:
                 total += self.scores[b].sum(0)

@@ -1,0 +1,245 @@
+"""Operators on single documents: quality, fingerprints, token counts, pseudonyms, language, against brute force and on edge cases."""
+
+from __future__ import annotations
+
+import datetime
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from conftest import SF
+
+from foliant.llm import common, op1_quality, op2_fingerprints, op3_tokens, op4_pseudonyms, op6_langid
+from foliant.llm.pretokens import tokenizer
+
+EDGES = [
+    (1, None), (2, ""), (3, "   \n\t "), (4, "one"), (5, "one"), (5, "one"), (6, "a b c a b c a b c"), (None, "no id here"), (None, None),
+    (7, "x" * 50_000), (8, "word " * 20_000), (9, "ı İ 漢字 ſ   \x1c mixed"), (10, "<|endoftext|> <|startoftext|> don't I'LL 12³"), (11, "line\nline\n\nline"),
+]
+
+
+@pytest.fixture(scope="module")
+def edges(spark):
+    """Edge rows with columns whose names clash with those that the operators make."""
+    rows = [(d, t, "en" if t else None, None, len(t) if t else None, "clash", 1) for d, t in EDGES]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score string, n_words int")
+
+
+@pytest.fixture(scope="module")
+def empty(edges):
+    return edges.where("false")
+
+
+def test_words():
+    for text in [t for _, t in EDGES if t] + ["\xa0a\x85b c", " a\x0b\x0cb\r"]:
+        assert common.words(text) == re.findall(r"[^\x20\x09-\x0D]+", text)
+
+
+def brute_base(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    windows = Counter(tuple(words[k : k + 3]) for k in range(len(words) - 2))
+    covered = {k + j for k in range(len(words) - 2) if windows[tuple(words[k : k + 3])] > 1 for j in range(3)}
+    seen, dup = set(), 0
+    for line in (text or "").split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    symbols = sum(c in "#*$%&|<>" for c in text or "")
+    return [len(words), sum(map(len, words)), symbols, dup, len(covered)]
+
+
+def test_base_counts(spark):
+    texts = [t for _, t in EDGES] + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    for t in texts:
+        assert op1_quality.statistics(t)[0] == brute_base(t)
+
+
+def test_trees_are_monotone():
+    rng = np.random.default_rng(3)
+    x = rng.random((2000, 3))
+    y = (x[:, 0] - x[:, 1] + rng.normal(0, 0.3, 2000) > 0).astype(float)
+    model = op1_quality.train(x, y, [1, -1, 0], rounds=20)
+    at = rng.random((300, 3))
+    for f, sign in ((0, 1), (1, -1)):
+        more = at.copy()
+        more[:, f] += 0.3
+        assert (sign * (model.margin(more) - model.margin(at)) >= -1e-12).all()
+    assert ((model.score(x) > 0.5) == (y > 0)).mean() > 0.75
+
+
+def test_quality_edges(spark, edges, empty):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    found = op1_quality.judge(edges, op1_quality.fit(edges, none)).collect()
+    assert len(found) == len(EDGES)
+    assert all(r.kept == (not r.base_failed) for r in found)
+    assert op1_quality.judge(empty, op1_quality.fit(empty, none)).count() == 0
+
+
+def test_quality_learns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    found = op1_quality.op1_quality(spark, SF).join(labels, "doc_id").where("NOT base_failed").toPandas()
+    assert found[found.quality == 1].kept.mean() > 0.99
+    assert found[found.quality == 0].kept.mean() < 0.5
+    assert docs.count() == op1_quality.op1_quality(spark, SF).count()
+
+
+def brute_fingerprint(text):
+    """The walk of one text, a character at a time."""
+    cps = [1 + ((ord(c) * 2654435761 & 0xFFFFFFFF) >> 8) % 255 for c in text]
+    bits, n = op2_fingerprints._bits(), max(2 * len(text), 1)
+    pos, walk = 0, []
+    for step in range(n):
+        c = cps[pos] if pos < len(cps) else 0
+        walk.append(c)
+        pos += int(bits[(step + 37 * (step // op2_fingerprints.PERIOD)) % op2_fingerprints.PERIOD][c])
+    out = []
+    for slot in range(op2_fingerprints.SLOTS):
+        step = min(range(n), key=lambda s: int(op2_fingerprints._priority(np.uint64(slot), np.array([s]))[0]))
+        v = ((walk[step] * 0x9E3779B1 + slot * 0x85EBCA6B) & 0xFFFFFFFF) * 0xC2B2AE35 & 0xFFFFFFFF
+        out.append(f"{((v ^ (v >> 15)) >> 12) & 15:x}")
+    return "".join(out)
+
+
+def test_fingerprints_brute():
+    texts = ["", "a", "ab", "the quick brown fox", "日本語 text", "zz" * 40]
+    assert op2_fingerprints.to_text(op2_fingerprints.fingerprints(texts)) == [brute_fingerprint(t) for t in texts]
+    prints = op2_fingerprints.fingerprints(texts)
+    assert (op2_fingerprints.from_text(op2_fingerprints.to_text(prints)) == prints).all()
+
+
+def test_fingerprint_distance():
+    rng = random.Random(2)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(3000))
+    near = text[:1000] + "X" + text[1001:]
+    far = "".join(rng.choice("abcdefgh ") for _ in range(3000))
+    a, b, c = op2_fingerprints.fingerprints([text, near, far])
+    assert (a == b).mean() > 0.9 > 0.5 > (a == c).mean()
+
+
+def test_edits_follow_ids(spark, edges, empty, monkeypatch):
+    monkeypatch.setattr(op2_fingerprints, "TARGET", 500)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    whole = sorted([(r.doc_id, r.text or "") for r in docs.union(edges.where("doc_id IS NULL OR doc_id < 0").select("doc_id", "text")).collect()], key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    found = op2_fingerprints.with_edits(docs.union(edges.where("doc_id IS NULL").select("doc_id", "text"))).collect()
+    want = Counter()
+    for k, (d, t) in enumerate(whole):
+        e = op2_fingerprints.edited(t, whole[(k + 1) % len(whole)][1])
+        want[d, len(t), hashlib.sha256(e.encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in found) == want
+    assert all(r.near_edited == 1 for r in found if r.n_chars < 4)
+    assert op2_fingerprints.with_edits(edges).count() == len(EDGES)
+    assert op2_fingerprints.with_edits(empty).count() == 0
+
+
+def test_near_classes(spark, edges):
+    rng = random.Random(5)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(2000))
+    rows = [(1, base), (2, base), (3, base[:700] + "?" + base[701:]), (4, base[::-1])]
+    found = {r.doc_id: r.class_id for r in op2_fingerprints.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[1] == found[2] == found[3] == 1 and found[4] == 4
+    assert op2_fingerprints.near_classes(edges).count() == len([d for d, _ in EDGES if d is not None])
+
+
+@pytest.mark.parametrize("head", [0, 50, op3_tokens.HEAD])
+def test_token_counts(spark, edges, head):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(60).union(edges.select("doc_id", "text"))
+    library = tokenizer(op3_tokens.TOKENIZER)
+    want = Counter((r.doc_id, len((r.text or "").encode()), len(library.encode(r.text or "", add_special_tokens=False).ids)) for r in docs.collect())
+    found = op3_tokens.token_counts(docs, head=head).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in found) == want
+    assert all(r.over_limit == (r.n_tokens > 512) for r in found)
+
+
+def test_token_counts_empty(empty):
+    assert op3_tokens.token_counts(empty).count() == 0
+
+
+PII = {
+    "mail bob.smith34@mail7.example.com now": 1, "call +1 (274) 555-9629 or 274-555-9629": 2, "card 4111 1111 1111 1111 and 9807915762804490": 2, "at 192.168.1.10 or 999.1.1.1": 1,
+    "born 1985-02-28 or 28.02.1985 or 2023-02-30": 2, 'token = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b"': 1, "iban DE89370400440532013000": 1, "ssn 078-05-1120": 1, "plain 12 words": 0, "": 0,
+}
+
+
+def test_pseudonyms(spark, edges, empty):
+    df = spark.createDataFrame(list(enumerate(PII)), "doc_id long, text string")
+    found = {t: r for t, r in zip(PII, op4_pseudonyms.pseudonymised(df).orderBy("doc_id").collect())}
+    form = lambda t: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "9", t)))
+    for text, n in PII.items():
+        assert found[text].n_pii == n
+        if not text.startswith("at "):  # an address keeps four numbers below 256, of any length
+            assert form(found[text].text) == form(text)
+    octets = found["at 192.168.1.10 or 999.1.1.1"].text.split()
+    assert all(int(x) < 256 for x in octets[1].split(".")) and octets[3] == "999.1.1.1"
+    phones = re.findall(r"\d{3}\D+\d{3}-\d{4}", found["call +1 (274) 555-9629 or 274-555-9629"].text)
+    assert len({re.sub(r"\D", "", p)[-10:] for p in phones}) == 1
+    luhn = lambda n: sum(sum(divmod(2 * int(c), 10)) if k % 2 else int(c) for k, c in enumerate(n[::-1])) % 10
+    valid, other = re.findall(r"\d[\d ]{14,}\d", found["card 4111 1111 1111 1111 and 9807915762804490"].text)
+    assert luhn(valid.replace(" ", "")) == 0 and luhn(other) == luhn("9807915762804490") != 0
+    iban = found["iban DE89370400440532013000"].text.split()[1]
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    whole = op4_pseudonyms.pseudonymised(edges)
+    assert whole.columns == [*edges.columns, "n_pii"] and whole.count() == len(EDGES)
+    assert whole.where("text IS NULL").count() == 2
+    assert op4_pseudonyms.pseudonymised(empty).count() == 0
+
+
+def test_pseudonyms_are_permutations(spark):
+    days = [datetime.date(1999, 11, 1) + datetime.timedelta(k) for k in range(120)]
+    texts = [f"{d:%Y-%m-%d}" for d in days] + [f"10.0.{k // 256}.{k % 256}" for k in range(300)] + [f"555-01-{k:04}" for k in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = [r.text for r in op4_pseudonyms.pseudonymised(df).orderBy("doc_id").collect()]
+    assert len(set(found)) == len(found)
+    for old, new in zip(days, found):
+        assert datetime.date.fromisoformat(new).year // 100 == old.year // 100
+    again = [r.text for r in op4_pseudonyms.pseudonymised(df, key="other").orderBy("doc_id").collect()]
+    assert sum(a == b for a, b in zip(found, again)) < 10
+
+
+def brute_feistel(digits, key, tag):
+    a, b = digits[: len(digits) // 2], digits[len(digits) // 2 :]
+    for turn in range(1, op4_pseudonyms.ROUNDS + 1):
+        h = int(hashlib.sha256(f"{key}|{tag}|{turn}|{b}".encode()).hexdigest()[:15], 16)
+        a, b = b, str((int(a) + h) % 10 ** len(a)).zfill(len(a))
+    return a + b
+
+
+def test_pseudonyms_brute(spark):
+    numbers = ["078-05-1120", "123-45-6789", "000-00-0000"]
+    df = spark.createDataFrame(list(enumerate(numbers)), "doc_id long, text string")
+    found = [r.text.replace("-", "") for r in op4_pseudonyms.pseudonymised(df).orderBy("doc_id").collect()]
+    assert found == [brute_feistel(n.replace("-", ""), op4_pseudonyms.KEY, "ssn") for n in numbers]
+
+
+def test_language(spark, edges, empty):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = op6_langid.fit(docs)
+    found = op6_langid.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    assert len(found) == docs.count()
+    held = found[found.held_out]
+    assert set(held.doc_id) == {d for d in found.doc_id if zlib.crc32(str(d).encode()) % 5 == 0}
+    assert (held.lang_pred == held.lang).mean() > 0.97
+    assert found.rejected.mean() < 0.02 and found.score.between(0, 1).all()
+    small = op6_langid.identify(edges, model).collect()
+    assert len(small) == len(EDGES)
+    assert all((r.lang_pred == "und") == r.rejected or r.lang_pred in model.langs for r in small)
+    assert {r.lang_pred for r in small if r.doc_id in (1, 2, 3)} == {"und"}
+    assert op6_langid.fit(empty).langs == [] and op6_langid.identify(empty, model).count() == 0
+    kept = op6_langid.kept_documents(edges)
+    assert kept.columns == edges.columns
+
+
+def test_language_gradient_is_whole_text():
+    model = op6_langid.train(["abc abd", "xyz xyw"] * 40, ["a", "x"] * 40, visits=2000)
+    long = "xyz " * 100 + "abc " * 200_000
+    assert model.predict(long)[0] == "a"
+    blocks = op6_langid.BLOCK
+    try:
+        op6_langid.BLOCK = 1000
+        assert np.allclose(model.logits(long), (lambda: (setattr(op6_langid, "BLOCK", blocks), model.logits(long))[1])())
+    finally:
+        op6_langid.BLOCK = blocks
