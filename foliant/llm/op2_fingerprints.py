@@ -20,8 +20,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, input_bytes, materialise, partitions_for, read, text_columns
+from .collisions import edges
+from .common import batch, input_bytes, materialise, mix, partitions_for, read, text_columns
 from .components import components
+from .tiles import verified
 
 SLOTS = 128
 #: Steps of a walk for each character; a bit is one for half of them, so a walk ends near the text's end.
@@ -217,36 +219,39 @@ def with_edits(docs: DataFrame) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, least: float = LIKENESS) -> DataFrame:
-    """(doc_id, class_id): documents whose fingerprints are alike, by sampled bands, a check of all slots, and components.
+    """(doc_id, class_id): the components of documents whose fingerprints share a band and at least that part of their slots.
 
-    A null text is empty; rows with a null doc_id are left out. A link needs a likeness of least to the smallest id that shares a
-    band with the document; documents with equal fingerprints are one from the start.
+    Documents with equal fingerprints are one class from the start. Those that share a band form groups, in which every pair is
+    checked, in tiles. A null text is empty; rows with a null doc_id are left out.
     """
+    schema = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.string())])
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.string())])
         for b in batches:
             if b.num_rows:
                 yield batch(schema, b.column("doc_id"), to_text(fingerprints([t.as_py() or "" for t in b.column("text")])))
 
-    some = text_columns(docs, "doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(prints, "doc_id bigint, fingerprint string")
-    some = materialise(some, "fingerprints")
-    classes = materialise(some.groupBy("fingerprint").agg(F.min("doc_id").alias("id")), "classes")
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for b in batches:
+            if b.num_rows:
+                yield band_keys(from_text(b.column("fingerprint").to_pylist())).ravel(), np.repeat(b.column("id").to_numpy(), BANDS)
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("fingerprint", pa.string())])
+    def with_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a slot and its value are one element of a set, so slots in common are an intersection
+        out = pa.schema([("group", pa.int64()), ("id", pa.int64()), ("copies", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary())])
         for b in batches:
             if b.num_rows:
-                text = b.column("fingerprint").to_pylist()
-                keys = band_keys(from_text(text)).view(np.int64)
-                yield batch(schema, np.repeat(b.column("id").to_numpy(), BANDS), keys.ravel(), [t for t in text for _ in range(BANDS)])
-
-    banded = classes.select("id", "fingerprint").mapInArrow(keyed, "id bigint, key bigint, fingerprint string")
-    star = banded.groupBy("key").agg(F.min(F.struct("id", "fingerprint")).alias("s"))
-    same = F.expr("aggregate(sequence(1, length(fingerprint)), 0, (n, k) -> n + if(substr(fingerprint, k, 1) = substr(s.fingerprint, k, 1), 1, 0)) / length(fingerprint)")
-    pairs = banded.join(star, "key").where("id <> s.id").select("id", "fingerprint", "s").distinct().where(same >= least)
-    roots = components(pairs.select(F.col("id").alias("a"), F.col("s.id").alias("b")))
-    named = classes.join(roots, "id", "left").select("fingerprint", F.coalesce("component", "id").alias("class_id"))
+                tokens = np.sort(mix((np.arange(SLOTS, dtype=np.uint64) << np.uint64(4)) + from_text(b.column("fingerprint").to_pylist())), axis=1)
+                yield batch(out, b.column("group"), b.column("id"), b.column("copies"), [SLOTS] * b.num_rows, [t.tobytes() for t in tokens])
+
+    some = text_columns(docs, "doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(prints, "doc_id bigint, fingerprint string")
+    some = materialise(some, "fingerprints")
+    classes = materialise(some.groupBy("fingerprint").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")), "classes")
+    groups = components(edges(classes.select("id", "fingerprint"), keys, BANDS * classes.count()))
+    members = classes.join(groups, "id").select(F.col("component").alias("group"), "id", "copies", "fingerprint").mapInArrow(with_slots, "group bigint, id bigint, copies bigint, n bigint, shingles binary")
+    shared = int(np.ceil(least * SLOTS))
+    found, _ = verified(materialise(members, "members"), 100 * shared / (2 * SLOTS - shared) - 1e-9)
+    named = classes.join(components(found), "id", "left").select("fingerprint", F.coalesce("component", "id").alias("class_id"))
     return some.join(named, "fingerprint").select("doc_id", "class_id")
 
 

@@ -27,7 +27,7 @@ BUCKET_MEMBERS = 4096
 FOUND = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("links", pa.int64())])
 
 
-def reaches(shared: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+def reaches(shared: np.ndarray, a: np.ndarray, b: np.ndarray, percent: float) -> np.ndarray:
     return 100 * shared >= percent * (a + b - shared)
 
 
@@ -52,7 +52,7 @@ def _shared(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return total[ends] - total[ends - [len(o) for o in others]]
 
 
-def compare(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, same: bool, percent: int) -> np.ndarray:
+def compare(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, same: bool, percent: float) -> np.ndarray:
     """The links between members left and right as a boolean table; of a block with itself (same), the upper half."""
     size = np.array([len(s) for s in sets], np.int64)
     a, b = size[left][:, None], size[right][None, :]
@@ -78,7 +78,7 @@ def compare(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, same: b
     return linked
 
 
-def _tile(table: pa.Table, percent: int) -> pa.Table:
+def _tile(table: pa.Table, percent: float) -> pa.Table:
     """All tiles of one bucket: edges of a spanning forest (other not null) and link counts weighted by copies."""
     order = np.lexsort((table["id"].to_numpy(), table["side"].to_numpy(), table["tile"].to_numpy()))
     tile, side, ids, copies = (table[n].to_numpy()[order] for n in ("tile", "side", "id", "copies"))
@@ -136,7 +136,7 @@ def assign(members: DataFrame) -> DataFrame:
     return each.select(bucket.alias("bucket"), key.alias("tile"), F.col("t.side").cast("int").alias("side"), *[F.col(f"`{c}`") for c in members.columns if c not in ("group", "n")])
 
 
-def verified(members: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+def verified(members: DataFrame, percent: float = 80) -> tuple[DataFrame, DataFrame]:
     """The links of members(group, id, copies, n, shingles): edges (a, b) of a forest with the same components, and (id, links).
 
     links counts the rows, copies included, whose sets lie within the similarity, other than the member's own copies.

@@ -142,6 +142,16 @@ def test_near_classes(spark, edges):
     rows = [(1, base), (2, base), (3, base[:700] + "?" + base[701:]), (4, base[::-1])]
     found = {r.doc_id: r.class_id for r in op2_fingerprints.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found[1] == found[2] == found[3] == 1 and found[4] == 4
+    texts = [base[: 100 * k] + "#" * 60 + base[100 * k + 60 :] for k in range(18)]
+    prints = op2_fingerprints.fingerprints(texts)
+    bands = op2_fingerprints.band_keys(prints)
+    near = [(a, b) for a in range(18) for b in range(a + 1, 18) if (prints[a] == prints[b]).mean() >= 0.8 and (bands[a] == bands[b]).any()]
+    label = list(range(18))
+    for _ in range(18):
+        for a, b in near:
+            label[a] = label[b] = min(label[a], label[b])
+    found = {r.doc_id: r.class_id for r in op2_fingerprints.near_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [found[k] for k in range(18)] == label and len(near) > 3
     assert op2_fingerprints.near_classes(edges).count() == len([d for d, _ in EDGES if d is not None])
 
 
