@@ -49,3 +49,30 @@ def run_available(stream: DataFrame, name: str, mode: str = "append", checkpoint
         writer = writer.option("checkpointLocation", checkpoint)
     writer.start().awaitTermination()
     return stream.sparkSession.table(name)
+
+
+TASK_SCHEMA = "user_id bigint, state string, version bigint, refused bigint"
+
+
+def task_states(events: DataFrame) -> DataFrame:
+    """The state of every user's task after each batch, folded through the allowed transitions; the state kept is three values a user.
+
+    Rows of a user are taken in the order of their time and id within a batch, batches in their order.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    from ..operators.operations import ASKS, TRANSITIONS
+
+    def fold(key, frames, state):
+        now, version, refused = state.get if state.exists else ("open", 0, 0)
+        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        for asked in rows["event_type"].map(ASKS):
+            if asked in TRANSITIONS[now]:
+                now, version = asked, version + 1
+            else:
+                refused += 1
+        state.update((now, version, refused))
+        yield pd.DataFrame([(key[0], now, version, refused)], columns=["user_id", "state", "version", "refused"])
+
+    return events.groupBy("user_id").applyInPandasWithState(fold, TASK_SCHEMA, "state string, version bigint, refused bigint", "update", GroupStateTimeout.NoTimeout)

@@ -107,3 +107,15 @@ def test_streams(spark, tmp_path):
     assert counts.agg(F.sum("n")).first()[0] == 20
     assert streaming.run_available(streaming.alerts(stream, {"view": 17.5}), "alerted", checkpoint=str(tmp_path / "c")).count() == 2
     assert streaming.run_available(streaming.every_nth(stream), "nth", checkpoint=str(tmp_path / "d")).count() == 4
+
+
+def test_streamed_tasks(spark, tmp_path):
+    kinds = ["purchase", "view", "click", "purchase", "view", "signup"]
+    rows = [(k, datetime(2024, 1, 1, k), u, kind, 1.0, None) for u in (1, 2) for k, kind in enumerate(kinds[u - 1 :])]
+    df = spark.createDataFrame(rows, streaming.SCHEMA)
+    for n, part in enumerate((df.where("event_id < 3"), df.where("event_id >= 3"))):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = streaming.task_states(streaming.read_events(spark, str(tmp_path / "in"), 10))
+    found = streaming.run_available(stream, "tasks", "update", str(tmp_path / "c")).collect()
+    want = {r.user_id: (r.state, r.version, r.refused) for r in operations.fold_tasks(df).collect()}
+    assert {r.user_id: (r.state, r.version, r.refused) for r in found} == want
