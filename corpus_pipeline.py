@@ -19,10 +19,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group of linked ones; of rows that repeat an id one; rows without an id all."""
-    linked = op7_ngram_join.linked(docs)
-    first = linked.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id").dropDuplicates(["doc_id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    return op7_ngram_join.first_of_each(docs)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .common import batch, materialise
 
 #: Shingles of a flush, and of a bucket. A flush numbers fewer than 2**16 documents.
-HELD = 1 << 21
-BUCKET = 1 << 21
+HELD = 1 << 20
+BUCKET = 1 << 20
 
 _BINARY = ("docs", "lone", "numbers", "shared", "counts", "holders", "held")
 BLOCKS = pa.schema([("bucket", pa.int32()), ("flush", pa.int64()), *((n, pa.binary()) for n in _BINARY)])

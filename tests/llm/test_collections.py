@@ -96,6 +96,16 @@ def test_join_edges(spark, edges, empty):  # noqa: F811
     assert op7_ngram_join.linked(empty).count() == 0
 
 
+def test_first_of_each(spark, edges, empty):  # noqa: F811
+    found = op7_ngram_join.first_of_each(edges)
+    assert found.columns == edges.columns
+    assert sorted(r.doc_id for r in found.collect() if r.doc_id is not None) == [1, 2, 3, 4, 6, 7, 8, 9, 10, 11]
+    assert found.where("doc_id IS NULL").count() == 2 and op7_ngram_join.first_of_each(empty).count() == 0
+    rows = spark.createDataFrame(near_copies(20), "doc_id long, text string")
+    kept = {r.doc_id for r in op7_ngram_join.first_of_each(rows).collect()}
+    assert kept == {d for d, _, c, _ in brute_join(near_copies(20)) if d == c}
+
+
 def test_prefixes_meet():
     """Sets within the similarity always share a key, whatever the frequencies."""
     rng = np.random.default_rng(6)
