@@ -92,9 +92,10 @@ def _tile(table: pa.Table, percent: float) -> pa.Table:
     for lo, hi in zip(cuts[:-1], cuts[1:]):
         sets = [np.frombuffer(raw[int(k)].as_buffer(), np.uint64) for k in order[lo:hi]]
         at = np.arange(hi - lo)
-        second = side[lo:hi] == 1
-        same = not second.any()
-        left, right = (at, at) if same else (at[~second], at[second])
+        same = side[lo] == 2
+        left, right = (at, at) if same else (at[side[lo:hi] == 0], at[side[lo:hi] == 1])
+        if not len(left) or not len(right):  # a block that no member's hash chose
+            continue
         linked = compare(sets, left, right, same, percent)
         i, j = np.nonzero(linked)
         if not len(i):
@@ -124,11 +125,11 @@ def assign(members: DataFrame) -> DataFrame:
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_small // BUCKET_MEMBERS))
     placed = members.join(whole, "group").withColumn("band", band).withColumn("salt", F.expr("pmod(xxhash64(id), coalesce(salts[band], 1))"))
     placed = placed.withColumn("more", F.expr("coalesce(salts[band + 1], 0)")).withColumn("less", F.expr("coalesce(salts[band - 1], 0)"))
-    # a block meets itself, the later blocks of its band, and all blocks of the band above; the lower one is side 0
-    own = F.expr("transform(sequence(0, salts[band] - 1), s -> struct(band AS b0, least(s, salt) AS s0, band AS b1, greatest(s, salt) AS s1, if(s < salt, 1, 0) AS side))")
+    # a block meets itself (side 2), the other blocks of its band, and all blocks of the bands above and below; of two blocks the lower one is side 0
+    own = F.expr("transform(sequence(0, salts[band] - 1), s -> struct(band AS b0, least(s, salt) AS s0, band AS b1, greatest(s, salt) AS s1, if(s = salt, 2, if(s < salt, 1, 0)) AS side))")
     up = F.expr("transform(slice(sequence(0, more), 1, more), s -> struct(band AS b0, salt AS s0, band + 1 AS b1, cast(s AS bigint) AS s1, 0 AS side))")
     down = F.expr("transform(slice(sequence(0, less), 1, less), s -> struct(band - 1 AS b0, cast(s AS bigint) AS s0, band AS b1, salt AS s1, 1 AS side))")
-    one = F.expr("array(struct(0 AS b0, 0L AS s0, 0 AS b1, 0L AS s1, 0 AS side))")
+    one = F.expr("array(struct(0 AS b0, 0L AS s0, 0 AS b1, 0L AS s1, 2 AS side))")
     tiles = F.when(F.col("salts").isNull(), one).otherwise(F.concat(own, up, down))
     each = placed.withColumn("t", F.explode(tiles))
     key = F.xxhash64("group", "t.b0", "t.s0", "t.b1", "t.s1")

@@ -75,10 +75,10 @@ def brute_join(rows):
     return {(d, len(s), comp[d], degree[d]) for d, s in sets.items()}
 
 
-@pytest.mark.parametrize("small", [False, True])
+@pytest.mark.parametrize("small", [0, 5, 2])
 def test_join_brute(spark, monkeypatch, small):
-    if small:  # many flushes, buckets and tiles
-        for module, name, value in ((tiles, "BLOCK_MEMBERS", 5), (tiles, "BUCKET_MEMBERS", 7), (frequencies, "HELD", 500), (frequencies, "BUCKET", 300), (collisions, "HELD", 100)):
+    if small:  # many flushes, buckets and tiles; blocks of two leave some blocks empty
+        for module, name, value in ((tiles, "BLOCK_MEMBERS", small), (tiles, "BUCKET_MEMBERS", 7), (frequencies, "HELD", 500), (frequencies, "BUCKET", 300), (collisions, "HELD", 100)):
             monkeypatch.setattr(module, name, value)
     rows = near_copies(40) + [(1000 + k, t) for k, (d, t) in enumerate(EDGES) if d is not None]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
