@@ -162,7 +162,8 @@ def prefixes(rows: DataFrame, source: Callable, n_items: int, percent: int) -> t
     """(sets, keys) of the items that source gives as (doc_id, sorted hashes, h1, h2).
 
     sets(doc_id, n, h1, h2) has a row per item; keys(doc_id, keys) the prefix keys, by which any two sets within the
-    similarity meet, of those items that can meet any other. n_items: about how many hashes there are.
+    similarity meet, of those items that can meet any other. n_items: about how many hashes there are. rows should be read from
+    files, not come out of a shuffle: a task that runs again must meet its rows in the same order, as it numbers them.
     """
     n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_items // BUCKET))
     packed = rows.mapInArrow(_pack(source, n), BLOCKS_DDL)
