@@ -51,3 +51,32 @@ def markdown_tables(html: str) -> list[str]:
         line = lambda cells: "| " + " | ".join(c.replace("|", "\\|") for c in (cells + [""] * width)[:width]) + " |"
         out.append("\n".join([line(head), "|" + " --- |" * width, *(line(r) for r in body if any(r))]))
     return out
+
+
+class _Text(HTMLParser):
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.parts: list[str] = []
+        self.hidden = 0
+
+    def handle_starttag(self, tag: str, attrs) -> None:
+        self.hidden += tag in ("script", "style", "template")
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in ("script", "style", "template") and self.hidden:
+            self.hidden -= 1
+
+    def handle_data(self, data: str) -> None:
+        if not self.hidden:
+            self.parts.append(data)
+
+
+def visible_text(html: str) -> str:
+    """The text of a page, without scripts and styles.
+
+    >>> visible_text("<p>a&amp;b</p><script>x()</script> <b>c</b>")
+    'a&b c'
+    """
+    parser = _Text()
+    parser.feed(html)
+    return " ".join(" ".join(parser.parts).split())
