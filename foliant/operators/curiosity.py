@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..plans.registry import query
 from ..sources.tables import documents, table
+from .ranks import numbered
 
 #: The parts of a priority, the share of the old in an average, the discounts of a rollout.
 REWARD, LOSS, UNCERTAINTY, VISITS = 0.4, 0.3, 0.2, 0.1
@@ -150,8 +151,11 @@ def curriculum_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def environment_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the moves to the next and the previous document of a source and language lead; ends stay where they are."""
-    w = Window.partitionBy("source", "lang").orderBy("doc_id")
-    return documents(spark, sf_dir).select("doc_id", F.coalesce(F.lead("doc_id").over(w), "doc_id").alias("next_id"), F.coalesce(F.lag("doc_id").over(w), "doc_id").alias("previous_id"))
+    rows = numbered(documents(spark, sf_dir).select("doc_id", "source", "lang"), ["source", "lang"], "doc_id")
+    keys = ["source", "lang", "rank"]
+    beside = lambda step, name: rows.select("source", "lang", (F.col("rank") + step).alias("rank"), F.col("doc_id").alias(name))
+    both = rows.join(beside(-1, "next_id"), keys, "left").join(beside(1, "previous_id"), keys, "left")
+    return both.select("doc_id", F.coalesce("next_id", "doc_id").alias("next_id"), F.coalesce("previous_id", "doc_id").alias("previous_id"))
 
 
 @query(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import query
 from ..sources.tables import documents, table
+from .ranks import numbered
 
 #: Which state a task may go to from each state, and the state that each event asks for.
 TRANSITIONS = {"open": {"claimed", "cancelled"}, "claimed": {"in_progress", "open", "cancelled"}, "in_progress": {"done", "failed", "cancelled"}, "done": set(), "failed": {"open"}, "cancelled": set()}
@@ -126,8 +127,8 @@ def feedback_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH l AS (SELECT source, doc_id, quality, row_number() OVER (PARTITION BY source, quality ORDER BY doc_id) AS k FROM labels JOIN documents USING (doc_id)) SELECT g.source, g.doc_id AS chosen, b.doc_id AS rejected FROM l g JOIN l b ON g.source = b.source AND g.k = b.k WHERE g.quality = 1 AND b.quality = 0")
 def preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Good and bad documents of a source, the k-th of one with the k-th of the other."""
-    k = F.row_number().over(Window.partitionBy("source", "quality").orderBy("doc_id"))
-    rows = table(spark, sf_dir, "labels").join(documents(spark, sf_dir).select("doc_id", "source"), "doc_id").select("source", "doc_id", "quality", k.alias("k"))
+    rows = table(spark, sf_dir, "labels").join(documents(spark, sf_dir).select("doc_id", "source"), "doc_id").select("source", "doc_id", "quality")
+    rows = numbered(rows, ["source", "quality"], "doc_id", "k")
     good = rows.where("quality = 1").select("source", "k", F.col("doc_id").alias("chosen"))
     return good.join(rows.where("quality = 0").select("source", "k", F.col("doc_id").alias("rejected")), ["source", "k"]).drop("k")
 

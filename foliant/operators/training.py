@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..plans.registry import query
 from ..sources.tables import SPANS_SQL, documents, spans, table
+from .ranks import numbered, running
 from .terms import HASHED_SQL, TOKENS_SQL, hashed_vectors
 
 END = "</w>"
@@ -173,8 +174,8 @@ SELECT id AS doc_id, round(1 - max(CASE WHEN id = other THEN exp(s / 0.07) END)
 def uncertainty_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How unsure a softmax over a batch of 16 documents of one source is of each document."""
     docs = documents(spark, sf_dir)
-    batch = F.floor((F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1) / 16)
-    v = hashed_vectors(docs, "doc_id").join(docs.select("doc_id", "source", batch.alias("batch")), "doc_id")
+    batches = numbered(docs.select("doc_id", "source"), ["source"], "doc_id").select("doc_id", "source", F.floor((F.col("rank") - 1) / 16).alias("batch"))
+    v = hashed_vectors(docs, "doc_id").join(batches, "doc_id")
     other = v.select("source", "batch", "bucket", F.col("doc_id").alias("other"), F.col("weight").alias("w"))
     s = v.join(other, ["source", "batch", "bucket"]).groupBy("doc_id", "other").agg(F.round(F.sum(F.col("weight") * F.col("w")), 6).alias("s"))
     e = F.exp(F.col("s") / 0.07)
@@ -211,7 +212,7 @@ def lr_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The learning rate at which each document of a source is met: a linear warm-up, then a cosine to a tenth."""
     docs = documents(spark, sf_dir).select("doc_id", "source")
     s = docs.groupBy("source").agg(F.count(F.lit(1)).alias("total")).selectExpr("source", "total", "greatest(1, total div 10) AS warm")
-    d = docs.withColumn("step", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).join(s, "source")
+    d = numbered(docs, ["source"], "doc_id", "step").withColumn("step", F.col("step").cast("int")).join(s, "source")
     cosine = 0.1 + 0.9 * 0.5 * (1 + F.cos(F.pi() * (F.col("step") - F.col("warm")) / F.greatest(F.lit(1), F.col("total") - F.col("warm"))))
     return d.select("doc_id", "step", F.round(F.when(F.col("step") <= F.col("warm"), F.col("step") / F.col("warm")).otherwise(cosine), 6).alias("rate"))
 
@@ -224,7 +225,7 @@ SELECT p.source, k::INT AS draw, min(doc_id) AS doc_id FROM p JOIN w ON w.source
 def weighted_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twenty systematic draws with replacement from each source, by size: the inverse of the running sum of weights."""
     docs = documents(spark, sf_dir).select("doc_id", "source", "n_chars")
-    w = docs.withColumn("upto", F.sum("n_chars").over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)))
+    w = running(docs, ["source"], "doc_id", "n_chars")
     total = docs.groupBy("source").agg(F.sum("n_chars").alias("total"))
     step = F.col("total") / 20
     rows = w.join(total, "source").withColumn("lo", F.ceil((F.col("upto") - F.col("n_chars")) / step - 0.5)).withColumn("hi", F.floor(F.col("upto") / step - 0.5))

@@ -119,3 +119,18 @@ def test_streamed_tasks(spark, tmp_path):
     found = streaming.run_available(stream, "tasks", "update", str(tmp_path / "c")).collect()
     want = {r.user_id: (r.state, r.version, r.refused) for r in operations.fold_tasks(df).collect()}
     assert {r.user_id: (r.state, r.version, r.refused) for r in found} == want
+
+
+def test_ranks(spark):
+    from pyspark.sql import Window
+
+    from foliant.operators import ranks
+
+    rows = [("a", k * 7 % 501, k % 5) for k in range(1, 401)] + [("b", k, 1) for k in range(9)] + [(None, k, 2) for k in range(3)]
+    df = spark.createDataFrame(rows, "g string, k long, v long").where("g IS NOT NULL")
+    w = Window.partitionBy("g").orderBy("k")
+    want = {(r.g, r.k): (r.n, r.s) for r in df.select("g", "k", F.row_number().over(w).alias("n"), F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s")).collect()}
+    number = {(r.g, r.k): r["rank"] for r in ranks.numbered(df, ["g"], "k").collect()}
+    upto = {(r.g, r.k): r.upto for r in ranks.running(df, ["g"], "k", "v").collect()}
+    assert {k: (number[k], upto[k]) for k in want} == want
+    assert ranks.numbered(df.where("false"), ["g"], "k").count() == 0
