@@ -142,7 +142,7 @@ def test_paragraphs_brute(spark, edges, empty):  # noqa: F811
     assert {(r.doc_id, r.first_doc_id, r.removed) for r in found if r.doc_id in (1, 12)} == {(1, 1, False), (12, 1, True)}
     cleaned = {r.doc_id: r.text for r in op5_paragraphs.without_repeats(df).collect()}
     assert cleaned[12] == "" and cleaned[0] == rows[0][1] and len(cleaned[9].split("\n")) == 3
-    assert op5_paragraphs.repeated(edges).where("NOT removed").count() == 0 or True
+    assert {r.doc_id for r in op5_paragraphs.repeated(edges).collect()} <= {8}
     assert op5_paragraphs.without_repeats(edges).columns == edges.columns
     assert op5_paragraphs.repeated(empty).count() == 0
 
@@ -294,6 +294,39 @@ def test_pipeline(spark):
     assert p.run(spark, SF).count() == packed.count()
 
 
+def test_pipeline_brute(spark):
+    """Every stage on the rows that the stage before should have kept, each by a plain version of its rule."""
+    import re
+
+    import corpus_pipeline as p
+
+    from foliant.llm import op6_langid
+
+    stages = dict(p.STAGES)
+    rows = [(d, t, "en", f"s{d % 3}", len(t)) for d, t in near_copies(12)] + [(900, None, None, None, None), (901, "call +1 (274) 555-9629 or write a.b@mail.example.com " + "some english words here " * 9, "en", "s1", 262), (902, "123 !!", "en", "s2", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(1)
+    model = op6_langid.fit(docs)
+    kept = [r for r in rows if not model.predict(r[1])[2]]
+    one = common.materialise(stages["language_6"](spark, docs, SF), "one")
+    assert sorted(r.doc_id for r in one.collect()) == sorted(r[0] for r in kept) and not {900, 902} & {r[0] for r in kept}
+    first = {d for d, _, c, _ in brute_join([r[:2] for r in kept]) if d == c}
+    two = common.materialise(stages["ngram_join_7"](spark, one, SF), "two")
+    assert {r.doc_id for r in two.collect()} == first
+    three = common.materialise(stages["pseudonyms_4"](spark, two, SF), "three")
+    texts = {r[0]: r[1] for r in kept}
+    for r in three.collect():
+        private = re.search(r"[0-9]{3}-[0-9]{4}|@", texts[r.doc_id])
+        assert (r.text == texts[r.doc_id]) == (private is None) and r.n_chars == len(r.text)
+    four = stages["mixing_9"](spark, three, SF)
+    con = connect(SF)
+    con.execute("DROP VIEW documents")
+    con.register("documents", three.toArrow())
+    assert {r.doc_id for r in four.collect()} == {r[0] for r in con.execute(f"SELECT doc_id FROM ({op9_mixing.SQL}) WHERE sampled").fetchall()}
+    library = tokenizer(op10_packing.TOKENIZER)
+    packed = stages["packing_10"](spark, common.materialise(four, "four"), SF).collect()
+    assert {(r.doc_id, r.doc_tokens) for r in packed} == {(r.doc_id, len(library.encode(r.text, add_special_tokens=False).ids) + 1) for r in four.collect()}
+
+
 @pytest.mark.parametrize("kind", ["empty", "edges"])
 def test_stages_on_edges(spark, edges, empty, kind):  # noqa: F811
     import corpus_pipeline as p
