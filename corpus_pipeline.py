@@ -24,13 +24,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data in their texts replaced by pseudonyms of the same form."""
-    changed = op4_pseudonyms.pseudonymised(docs)
-    return changed.withColumn("n_chars", F.when(F.col("n_pii") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    count = common.fresh(docs, "n_pii")
+    changed = op4_pseudonyms.pseudonymised(docs, count=count)
+    size = F.when(F.col(count) > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
+    return changed.select(*[size.alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the raked weights sample."""
-    return op9_mixing.mixed(docs).where("sampled").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return op9_mixing.sample(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

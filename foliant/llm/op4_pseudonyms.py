@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import fresh, read
 
 KEY = "foliant"
 ROUNDS = 8
@@ -137,20 +137,21 @@ def _pseudonym(key: str) -> str:
       ELSE {_bound('d', d, _refill('m', card))} END"""
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """docs with text pseudonymised, and n_pii, the number of values replaced. Other columns, rows and their order in files stay.
+def pseudonymised(docs: DataFrame, key: str = KEY, count: str = "n_pii") -> DataFrame:
+    """docs with text pseudonymised, and the number of values replaced in the column count (which takes the place of one of that name).
 
-    A null text stays null with n_pii 0. A text without a digit or an at sign is passed on as it is.
+    Other columns and the rows stay as they are. A null text stays null with a count of 0. A text without a digit or an at sign is
+    passed on as it is.
     """
-    p = _quoted(PATTERN)
-    found = F.expr(f"if(text rlike '[0-9@]', regexp_extract_all(text, {p}, 0), array())")
-    new = F.expr(f"transform(pii_found, m -> {_pseudonym(key)})")
-    filled = F.expr(f"if(size(pii_found) > 0, array_join(zip_with(split(text, {p}, -1), pii_new, (t, v) -> concat(t, coalesce(v, ''))), ''), text)")
-    count = F.expr("coalesce(size(filter(arrays_zip(pii_found, pii_new), x -> x.pii_found <> x.pii_new)), 0)")
-    names = [c for c in docs.columns if c != "n_pii"]
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.coalesce(found, F.expr("cast(array() AS array<string>)")).alias("pii_found"))
-    rows = rows.withColumn("pii_new", F.when(F.size("pii_found") > 0, new).otherwise(F.expr("cast(array() AS array<string>)")))
-    return rows.select(*[filled.alias("text") if c == "text" else F.col(f"`{c}`") for c in names], count.cast("bigint").alias("n_pii"))
+    p, old, new = _quoted(PATTERN), fresh(docs, "pii_found"), fresh(docs, "pii_new")
+    none = F.expr("cast(array() AS array<string>)")
+    found = F.coalesce(F.expr(f"if(text rlike '[0-9@]', regexp_extract_all(text, {p}, 0), array())"), none)
+    put = F.when(F.size(old) > 0, F.expr(f"transform({old}, m -> {_pseudonym(key)})")).otherwise(none)
+    filled = F.expr(f"if(size({old}) > 0, array_join(zip_with(split(text, {p}, -1), {new}, (t, v) -> concat(t, coalesce(v, ''))), ''), text)")
+    changed = F.expr(f"cast(size(filter(zip_with({old}, {new}, (x, y) -> x <> y), z -> z)) AS bigint)")
+    names = [c for c in docs.columns if c.lower() != count.lower()]
+    rows = docs.select(*[F.col(f"`{c}`") for c in names], found.alias(old)).withColumn(new, put)
+    return rows.select(*[filled.alias("text") if c == "text" else F.col(f"`{c}`") for c in names], changed.alias(count))
 
 
 def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .collisions import edges
-from .common import WordHashes, ascii_lower, batch, materialise, mix, read, shingles, text_columns, words
+from .common import WordHashes, ascii_lower, batch, fresh, materialise, mix, read, shingles, text_columns, words
 from .components import components
 from .tiles import verified
 
@@ -135,11 +135,12 @@ def repeated(docs: DataFrame, min_words: int = MIN_WORDS, width: int = WIDTH, pe
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The rows of docs with their removed paragraphs taken out of text; the other columns stay as they are."""
-    marks = repeated(docs, min_words, width, percent).where("removed").groupBy("doc_id").agg(F.collect_set("paragraph").alias("gone"))
-    key = marks.withColumnRenamed("doc_id", "gone_doc_id")
-    kept = F.expr("array_join(filter(split(text, '\\n', -1), (line, k) -> NOT array_contains(gone, k)), '\\n')")
-    joined = docs.join(key, docs["doc_id"].eqNullSafe(key["gone_doc_id"]), "left")
-    return joined.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    key, gone = fresh(docs, "gone_id"), fresh(docs, "gone")
+    marks = repeated(docs, min_words, width, percent).where("removed").groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("paragraph").alias(gone))
+    kept = F.expr(f"array_join(filter(split(text, '\\n', -1), (line, k) -> NOT array_contains({gone}, k)), '\\n')")
+    joined = docs.join(marks, F.col("doc_id").eqNullSafe(F.col(key)), "left")
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept)
+    return joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:

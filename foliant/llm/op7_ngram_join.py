@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .collisions import edges
-from .common import WordHashes, ascii_lower, batch, input_bytes, materialise, mix, read, shingles, text_columns, words
+from .common import WordHashes, ascii_lower, batch, fresh, input_bytes, materialise, mix, read, shingles, text_columns, words
 from .components import components
 from .frequencies import prefixes
 from .idfilter import bitmap, perhaps
@@ -122,7 +122,9 @@ def first_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -
 
         return docs.mapInArrow(rows, docs.schema)
 
-    rest = chosen(True).join(doubtful, "doc_id", "left").where("first_id IS NULL OR first_id = doc_id").dropDuplicates(["doc_id"])
+    key, first = fresh(docs, "doubtful_id"), fresh(docs, "doubtful_first")
+    named = doubtful.select(F.col("doc_id").alias(key), F.col("first_id").alias(first))
+    rest = chosen(True).join(named, F.col("doc_id") == F.col(key), "left").where(F.col(first).isNull() | (F.col(first) == F.col("doc_id"))).dropDuplicates(["doc_id"])
     return chosen(False).unionByName(rest.select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 

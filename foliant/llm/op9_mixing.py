@@ -39,10 +39,10 @@ def topic(text: Column) -> Column:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """docs with mix_source, mix_lang, mix_topic and mix_tokens (words; at least one, so that no document is free)."""
+    """Each row of docs as row, beside mix_source, mix_lang, mix_topic and mix_tokens (words; at least one, so that no document is free)."""
     text = F.col("text")
     return docs.select(
-        "*",
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         F.coalesce("source", F.lit(NONE)).alias("mix_source"),
         F.coalesce("lang", F.lit(NONE)).alias("mix_lang"),
         topic(text).alias("mix_topic"),
@@ -93,17 +93,27 @@ def chance(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("null"))), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def mixed(docs: DataFrame, temperatures: dict[str, float] = TEMPERATURES, budget: float = BUDGET, rounds: int = ROUNDS) -> DataFrame:
-    """docs with mix_topic, mix_tokens, probability and sampled; every row of docs is there, repeated rows with the same fate.
-
-    A null source or language is a value of its own. Columns of docs keep their names and values.
-    """
+def _mixed(docs: DataFrame, temperatures: dict[str, float], budget: float, rounds: int) -> DataFrame:
+    """(row, mix_topic, mix_tokens, probability, sampled), one row per row of docs."""
     rows = described(docs)
     keys = [f"mix_{m}" for m in MARGINS]
     # sums of cells and their raking are small beside the corpus; the join back is left to the optimiser, which splits a hot cell
     cells = materialise(probabilities(raked(materialise(cell_totals(rows), "cells"), temperatures, rounds), budget).select(*keys, "probability"), "cells")
-    joined = rows.join(cells, keys)
-    return joined.withColumn("sampled", chance(F.col("doc_id")) < F.col("probability")).select(*[F.col(f"`{c}`") for c in docs.columns], "mix_topic", "mix_tokens", "probability", "sampled")
+    return rows.join(cells, keys).withColumn("sampled", chance(F.col("row.doc_id")) < F.col("probability"))
+
+
+def mixed(docs: DataFrame, temperatures: dict[str, float] = TEMPERATURES, budget: float = BUDGET, rounds: int = ROUNDS) -> DataFrame:
+    """docs with mix_topic, mix_tokens, probability and sampled; every row of docs is there, repeated rows with the same fate.
+
+    A null source or language is a value of its own. Columns of docs keep their values, but for those with the new names.
+    """
+    own = ["mix_topic", "mix_tokens", "probability", "sampled"]
+    return _mixed(docs, temperatures, budget, rounds).select(*[F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in own], *own)
+
+
+def sample(docs: DataFrame, temperatures: dict[str, float] = TEMPERATURES, budget: float = BUDGET, rounds: int = ROUNDS) -> DataFrame:
+    """The sampled rows of docs, all columns as they were."""
+    return _mixed(docs, temperatures, budget, rounds).where("sampled").select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

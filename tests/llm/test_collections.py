@@ -327,6 +327,24 @@ def test_pipeline_brute(spark):
     assert {(r.doc_id, r.doc_tokens) for r in packed} == {(r.doc_id, len(library.encode(r.text, add_special_tokens=False).ids) + 1) for r in four.collect()}
 
 
+def test_clashing_columns(spark):
+    """Extra columns with the names that the operators use inside keep their values."""
+    import corpus_pipeline as p
+
+    names = ["row", "mix_source", "mix_topic", "probability", "sampled", "first_id", "doubtful_id", "n_pii", "pii_found", "gone", "gone_id", "key", "group", "id", "component", "sequence_id", "rank", "feature", "quality"]
+    rows = [(d, t + " call 555-010-9629", "en", "s", len(t), *range(len(names))) for d, t in near_copies(6) if t]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names)).repartition(1)
+    for _, stage in p.STAGES[:-1]:
+        found = stage(spark, docs, SF)
+        assert found.columns == docs.columns
+        assert all([r[n] for n in names] == list(range(len(names))) for r in found.collect())
+    assert p.STAGES[-1][1](spark, docs, SF).count() == len(rows)
+    assert op5_paragraphs.without_repeats(docs).columns == docs.columns
+    assert "sampled" in op9_mixing.mixed(docs).columns and op9_mixing.mixed(docs).count() == len(rows)
+    for name in ("op1_quality", "op2_fingerprints", "op3_tokens", "op6_langid"):
+        assert name in registry.queries()
+
+
 @pytest.mark.parametrize("kind", ["empty", "edges"])
 def test_stages_on_edges(spark, edges, empty, kind):  # noqa: F811
     import corpus_pipeline as p
