@@ -248,7 +248,7 @@ def training_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""WITH s AS (SELECT doc_id, source, 1 + doc_id % 97 AS page, (doc_id * 37) % 800 + 0.1234 AS y0, (doc_id * 53) % 600 + 0.5678 AS x0, n_chars FROM documents)
+    r"""WITH s AS (SELECT doc_id, source, 1 + doc_id % 97 AS page, (doc_id * 37) % 800 + 0.1234::DOUBLE AS y0, (doc_id * 53) % 600 + 0.5678::DOUBLE AS x0, n_chars FROM documents)
 SELECT source, round(min(x0), 3) AS x0, round(min(y0), 3) AS y0, round(max(x0 + n_chars), 3) AS x1, round(max(y0 + 12), 3) AS y1, count(*) AS n FROM s GROUP BY source"""
 )
 def bbox_union(spark: SparkSession, sf_dir: str) -> DataFrame:
