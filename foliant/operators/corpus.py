@@ -275,6 +275,20 @@ def html_table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_tables(table(spark, sf_dir, "pages"))
 
 
+@query(
+    """WITH l AS (SELECT doc_id, list_transform(list_filter(string_split(text, chr(10)), lambda x: contains(x, ' | ')), lambda x: list_transform(string_split(x, ' | '), lambda c: trim(c))) AS cells FROM documents),
+m AS (SELECT doc_id, list_transform(cells, lambda c: '| ' || array_to_string(list_transform(range(1, len(cells[1]) + 1), lambda i: coalesce(c[i], '')), ' | ') || ' |') AS r, len(cells[1])::INT AS width FROM l WHERE len(cells) > 1)
+SELECT doc_id, width, len(r)::INT AS n_rows, md5(array_to_string(r, chr(10))) AS digest FROM m"""
+)
+def line_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with cells between bars as one markdown table a document, rows padded or cut to the first one's width."""
+    lines = F.filter(F.split("text", "\n"), lambda x: F.contains(x, F.lit(" | ")))
+    cells = F.transform(lines, lambda x: F.transform(F.split(x, r" \| "), lambda c: F.trim(c)))
+    rows = documents(spark, sf_dir).select("doc_id", cells.alias("cells")).where("size(cells) > 1").withColumn("width", F.size(F.get("cells", F.lit(0))))
+    line = F.transform("cells", lambda c: F.concat(F.lit("| "), F.array_join(F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.coalesce(F.get(c, i), F.lit(""))), " | "), F.lit(" |")))
+    return rows.select("doc_id", "width", F.size("cells").alias("n_rows"), F.md5(F.array_join(line, "\n")).alias("digest"))
+
+
 @query(r"SELECT page_id, lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) AS scheme, lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)) AS host, lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)) IN ('localhost', '127.0.0.1') AS allowed FROM pages")
 def url_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a page's address is a web or socket address of this machine."""

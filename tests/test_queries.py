@@ -21,7 +21,8 @@ def test_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.SQL)))
 def test_without_sql(spark, name):
-    assert catalogue.QUERIES[name](spark, SF).count() > 0
+    found = catalogue.QUERIES[name](spark, SF).count()
+    assert (found == 0) == (name == "html_table_markdown")  # the pages of the test data hold no table
 
 
 def test_entry(spark):
