@@ -123,10 +123,10 @@ def grounding_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("answer_id.conv_id", "answer_id.turn", "total_claims", "supported_claims", F.round(share, 6).alias("support_fraction"), (F.col("total_claims") == F.col("supported_claims")).alias("grounded"))
 
 
-@query(f"SELECT doc_id, {_LITERALS_SQL.format(x='text')} AS literals FROM documents WHERE len({_LITERALS_SQL.format(x='text')}) > 0")
+@query(f"SELECT doc_id, array_to_string({_LITERALS_SQL.format(x='text')}, ' ') AS literals FROM documents WHERE len({_LITERALS_SQL.format(x='text')}) > 0")
 def literal_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The literal facts of every document that states any."""
-    return documents(spark, sf_dir).select("doc_id", T.literals(F.col("text")).alias("literals")).where("size(literals) > 0")
+    return documents(spark, sf_dir).select("doc_id", F.array_join(T.literals(F.col("text")), " ").alias("literals")).where("literals <> ''")
 
 
 @query(

@@ -155,14 +155,14 @@ def document_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     r"""SELECT count(*) AS n_documents, sum(strlen(text))::BIGINT AS n_bytes, sum(length(text))::BIGINT AS n_chars, sum(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')))::BIGINT AS n_words,
-  sum(greatest(1, ceil(length(text) / 4)))::BIGINT AS estimated_tokens, list_sort(list(DISTINCT lang)) AS languages FROM documents"""
+  sum(greatest(1, ceil(length(text) / 4)))::BIGINT AS estimated_tokens, array_to_string(list_sort(list(DISTINCT lang)), ',') AS languages FROM documents"""
 )
 def corpus_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row of totals over the corpus."""
     t = F.col("text")
     return documents(spark, sf_dir).agg(
         F.count(F.lit(1)).alias("n_documents"), F.sum(F.octet_length(t)).alias("n_bytes"), F.sum(F.length(t)).alias("n_chars"), F.sum(F.regexp_count(t, F.lit(r"[^\x20\x09-\x0D]+"))).alias("n_words"),
-        F.sum(T.estimated_tokens(t)).alias("estimated_tokens"), F.array_sort(F.collect_set("lang")).alias("languages"),
+        F.sum(T.estimated_tokens(t)).alias("estimated_tokens"), F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("languages"),
     )
 
 

@@ -19,13 +19,13 @@ GAMMA, LAMBDA = 0.99, 0.95
 
 @query(
     f"WITH {INSIGHTS_SQL}, {TAGS_SQL.split('mx AS (SELECT max(idf) AS m FROM ci),')[-1].strip()}, t AS (SELECT doc_id, list(term ORDER BY rank) AS tags FROM tags GROUP BY doc_id)"
-    " SELECT source, doc_id, score, tags, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id)::INT AS rank FROM ins JOIN t USING (doc_id)) WHERE rank <= 10"
+    " SELECT source, doc_id, score, array_to_string(tags, ' ') AS tags, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id)::INT AS rank FROM ins JOIN t USING (doc_id)) WHERE rank <= 10"
 )
 def curiosity_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One cycle: every document scored for entropy and surprise, the ten best insights of each source with their tags."""
     docs = documents(spark, sf_dir)
     best = insights(docs).withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("score"), "doc_id"))).where("rank <= 10")
-    labels = tags(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("t")).select("doc_id", F.col("t.term").alias("tags"))
+    labels = tags(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("t")).select("doc_id", F.array_join(F.col("t.term"), " ").alias("tags"))
     return best.join(labels, "doc_id").select("source", "doc_id", "score", "tags", "rank")
 
 
@@ -58,14 +58,14 @@ def gae(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {PRIORITY_SQL}, n AS (SELECT max(visits) AS v FROM pri) SELECT user_id, [round(ln(1 + visits) / 10, 6), round(priority / (1 + priority), 6), round(visits / greatest(v, 1), 6)] AS features FROM pri, n"
+    f"WITH {PRIORITY_SQL}, n AS (SELECT max(visits) AS v FROM pri) SELECT user_id, round(ln(1 + visits) / 10, 6) AS seen, round(priority / (1 + priority), 6) AS urgency, round(visits / greatest(v, 1), 6) AS share FROM pri, n"
 )
 def observation_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What an agent sees of each unit beside its text: visits, bounded priority and its share of the most visits."""
     rows = priorities(table(spark, sf_dir, "events"))
     most = F.broadcast(rows.agg(F.max("visits").alias("v")))  # one row
-    f = F.array(F.round(F.log1p("visits") / 10, 6), F.round(T.bounded(F.col("priority")), 6), F.round(F.col("visits") / F.greatest("v", F.lit(1)), 6))
-    return rows.crossJoin(most).select("user_id", f.alias("features"))
+    share = F.col("visits") / F.greatest("v", F.lit(1))
+    return rows.crossJoin(most).select("user_id", F.round(F.log1p("visits") / 10, 6).alias("seen"), F.round(T.bounded(F.col("priority")), 6).alias("urgency"), F.round(share, 6).alias("share"))
 
 
 @query(

@@ -215,6 +215,11 @@ STYLE = [
 COMPOSITES = [(0, 8), (17, 4), (11, 18), (20, 13)]
 
 
+def _in_units(vector: str) -> Column:
+    """A vector as text, in units of a hundred-thousandth."""
+    return F.array_join(F.transform(vector, lambda x: F.round(x * 100_000).cast("bigint").cast("string")), " ")
+
+
 def style_vectors(docs: DataFrame) -> DataFrame:
     """(doc_id, style): 32 clamped features, L2-normalised."""
     rows = lexical(docs).join(syntactic(docs), "doc_id").join(discourse(docs), "doc_id")
@@ -228,10 +233,10 @@ def style_vectors(docs: DataFrame) -> DataFrame:
     f"WITH {LEXICAL_SQL}, {SYNTAX_SQL}, {DISCOURSE_SQL}, v0 AS (SELECT doc_id, [" + ", ".join(f"least(1::DOUBLE, ({e})::DOUBLE)" for e in STYLE) + "] AS v FROM lexical JOIN syntax USING (doc_id) JOIN discourse USING (doc_id)),"
     + " v1 AS (SELECT doc_id, v || [" + ", ".join(f"(v[{a + 1}] + v[{b + 1}]) / 2" for a, b in COMPOSITES) + "] AS v FROM v0),"
     + " v2 AS (SELECT doc_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM v1)"
-    + " SELECT doc_id, CASE WHEN norm > 1e-8 THEN list_transform(v, lambda x: round(x / norm, 5)) ELSE v END AS style FROM v2"
+    + " SELECT doc_id, array_to_string(list_transform(CASE WHEN norm > 1e-8 THEN list_transform(v, lambda x: round(x / norm, 5)) ELSE v END, lambda x: round(x * 100000)::BIGINT::VARCHAR), ' ') AS style FROM v2"
 )
 def style_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return style_vectors(documents(spark, sf_dir))
+    return style_vectors(documents(spark, sf_dir)).select("doc_id", _in_units("style").alias("style"))
 
 
 def rhetorical_vectors(docs: DataFrame) -> DataFrame:
@@ -244,10 +249,10 @@ def rhetorical_vectors(docs: DataFrame) -> DataFrame:
 
 @query(
     f"WITH {RHETORIC_SQL}, v AS (SELECT doc_id, [{', '.join(ROLES)}, confidence, " + ", ".join(f"CASE WHEN role = '{r}' THEN 1.0::DOUBLE ELSE 0 END" for r in ("definition", "comparison", "procedure", "mathematical_formulation")) + ", 0, 0, 0] AS v FROM rhetoric)"
-    " SELECT doc_id, list_transform(v, lambda x: round(x / sqrt(list_sum(list_transform(v, lambda y: y * y))), 5)) AS rhetoric FROM v"
+    " SELECT doc_id, array_to_string(list_transform(v, lambda x: round(100000 * round(x / sqrt(list_sum(list_transform(v, lambda y: y * y))), 5))::BIGINT::VARCHAR), ' ') AS rhetoric FROM v"
 )
 def rhetorical_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rhetorical_vectors(documents(spark, sf_dir))
+    return rhetorical_vectors(documents(spark, sf_dir)).select("doc_id", _in_units("rhetoric").alias("rhetoric"))
 
 
 @query(

@@ -49,10 +49,10 @@ def metrics_lookback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.crossJoin(end).where(F.col("ts") > F.col("end") - F.expr("INTERVAL 60 MINUTES")).select("event_id", "event_type", "value")
 
 
-@query("SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n, round(avg(value), 6) AS mean, round(min(value), 6) AS low, round(max(value), 6) AS high FROM events GROUP BY ALL")
+@query("SELECT event_type, strftime(ts, '%Y-%m-%d %H') AS hour, count(*) AS n, round(avg(value), 6) AS mean, round(min(value), 6) AS low, round(max(value), 6) AS high FROM events GROUP BY ALL")
 def hourly_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events")
-    return rows.groupBy("event_type", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.min("value"), 6).alias("low"), F.round(F.max("value"), 6).alias("high"))
+    return rows.groupBy("event_type", F.date_format("ts", "yyyy-MM-dd HH").alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.min("value"), 6).alias("low"), F.round(F.max("value"), 6).alias("high"))
 
 
 @query("WITH q AS (SELECT event_type, quantile_disc(value, 0.9) AS limit_ FROM events WHERE value IS NOT NULL GROUP BY event_type) SELECT event_id, e.event_type, 'high ' || e.event_type AS alert FROM events e JOIN q USING (event_type) WHERE value > limit_")
@@ -133,10 +133,10 @@ def preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.join(rows.where("quality = 0").select("source", "k", F.col("doc_id").alias("rejected")), ["source", "k"]).drop("k")
 
 
-@query("SELECT event_id, coalesce(json_keys(try_cast(props AS JSON)), []) AS keys FROM events")
+@query("SELECT event_id, array_to_string(coalesce(json_keys(try_cast(props AS JSON)), []), ',') AS keys FROM events")
 def json_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The keys of a JSON column; nothing where it is empty or malformed."""
-    return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.json_object_keys("props"), F.expr("cast(array() AS array<string>)")).alias("keys"))
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(F.coalesce(F.json_object_keys("props"), F.expr("cast(array() AS array<string>)")), ",").alias("keys"))
 
 
 @query("SELECT 'documents' AS entity, count(*) AS n FROM documents UNION ALL SELECT 'pages', count(*) FROM pages UNION ALL SELECT 'labels', count(*) FROM labels UNION ALL SELECT 'conversations', count(*) FROM conversations UNION ALL SELECT 'events', count(*) FROM events")
