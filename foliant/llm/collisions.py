@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from .common import batch
 
 #: Keys that a task holds before it passes blocks on.
-HELD = 1 << 21
+HELD = 1 << 20
 #: Keys that a bucket should hold.
-BUCKET_KEYS = 1 << 21
+BUCKET_KEYS = 1 << 20
 
 BLOCKS = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("edges", pa.binary())])
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])

@@ -26,6 +26,8 @@ MIN_WORDS = 30
 WIDTH = 5
 PERCENT = 80
 BANDS, ROWS = 10, 3
+#: Texts whose paragraphs are held as words at a time.
+AT_ONCE = 256
 
 PARAGRAPHS = pa.schema([("doc_id", pa.int64()), ("paragraph", pa.int32()), ("id", pa.int64()), ("n_words", pa.int64()), ("n", pa.int64())])
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -76,13 +78,12 @@ def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, width: int = WIDTH)
 def _collisions(docs: DataFrame, n_keys: int, min_words: int, width: int) -> DataFrame:
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         hashes = WordHashes()
-        for b in batches:
-            found = {content_id(w): w for t in b.column("text") for _, w in lines(t.as_py(), min_words)}
-            items = list(found.items())
-            for at in range(0, len(items), 2000):
-                part = items[at : at + 2000]
-                made = band_keys([shingles(hashes(w), width) for _, w in part])
-                yield made.ravel(), np.repeat(np.array([i for i, _ in part], np.int64), BANDS)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, AT_ONCE):
+                found = {content_id(w): w for t in whole.column("text").slice(lo, AT_ONCE) for _, w in lines(t.as_py(), min_words)}
+                if found:
+                    made = band_keys([shingles(hashes(w), width) for w in found.values()])
+                    yield made.ravel(), np.repeat(np.fromiter(found, np.int64, len(found)), BANDS)
 
     return edges(text_columns(docs, "text"), keys, n_keys)
 
