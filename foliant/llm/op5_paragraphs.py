@@ -5,16 +5,20 @@ paragraphs are one class at once. For the others, 30 permutations in 10 bands of
 paragraphs of Jaccard similarity 0.8 together with probability 0.9992; those that meet form
 groups, in which every link is verified by the exact Jaccard of 5-word shingles. The connected
 components are the final classes, of which the first paragraph (by doc_id, then by place) stays.
+
+``op5_paragraphs`` looks at such lines alone, as its SQL does. ``op5_passages`` covers every word: it finds every run of
+``PASSAGE`` words or more that stands in two documents, whatever its lines, and bands, besides the long
+lines, the runs of shorter lines between them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .collisions import edges
@@ -28,6 +32,8 @@ PERCENT = 80
 BANDS, ROWS = 10, 3
 #: Texts whose paragraphs are held as words at a time.
 AT_ONCE = 256
+#: Words of a passage that is found wherever it stands, and of the anchors that lead to it.
+PASSAGE, ANCHOR = 50, 25
 
 PARAGRAPHS = pa.schema([("doc_id", pa.int64()), ("paragraph", pa.int32()), ("id", pa.int64()), ("n_words", pa.int64()), ("n", pa.int64())])
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -44,6 +50,26 @@ def lines(text: str | None, min_words: int = MIN_WORDS) -> Iterator[tuple[int, l
             yield k, w
 
 
+def blocks(text: str | None, min_words: int = MIN_WORDS) -> Iterator[tuple[int, list[str]]]:
+    """The first word's place and the words of every long line, and of every run of shorter lines that together are long.
+
+    >>> list(blocks("a b\\n\\nC d e\\nf\\ng h", 3))
+    [(2, ['c', 'd', 'e']), (5, ['f', 'g', 'h'])]
+    """
+    at, run = 0, []
+    for line in ascii_lower(text or "").split("\n"):
+        w = words(line)
+        if len(w) < min_words:
+            run += w
+            continue
+        if len(run) >= min_words:
+            yield at, run
+        yield at + len(run), w
+        at, run = at + len(run) + len(w), []
+    if len(run) >= min_words:
+        yield at, run
+
+
 def content_id(w: list[str]) -> int:
     return xxhash.xxh3_64_intdigest(" ".join(w).encode("utf-8", "surrogatepass")) - 2**63
 
@@ -63,24 +89,24 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, width: int = WIDTH) -> DataFrame:
+def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, width: int = WIDTH, cut: Callable = lines) -> DataFrame:
     """(doc_id, paragraph, id, n_words, n): every paragraph of every text; n is the size of its shingle list, repeats included."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [(d, k, content_id(w), len(w), max(1, len(w) - width + 1)) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text")) for k, w in lines(t.as_py(), min_words)]
+            out = [(d, k, content_id(w), len(w), max(1, len(w) - width + 1)) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text")) for k, w in cut(t.as_py(), min_words)]
             if out:
                 yield batch(PARAGRAPHS, *zip(*out))
 
     return text_columns(docs, "doc_id", "text").mapInArrow(rows, "doc_id bigint, paragraph int, id bigint, n_words bigint, n bigint")
 
 
-def _collisions(docs: DataFrame, n_keys: int, min_words: int, width: int) -> DataFrame:
+def _collisions(docs: DataFrame, n_keys: int, min_words: int, width: int, cut: Callable) -> DataFrame:
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         hashes = WordHashes()
         for whole in batches:
             for lo in range(0, whole.num_rows, AT_ONCE):
-                found = {content_id(w): w for t in whole.column("text").slice(lo, AT_ONCE) for _, w in lines(t.as_py(), min_words)}
+                found = {content_id(w): w for t in whole.column("text").slice(lo, AT_ONCE) for _, w in cut(t.as_py(), min_words)}
                 if found:
                     made = band_keys([shingles(hashes(w), width) for w in found.values()])
                     yield made.ravel(), np.repeat(np.fromiter(found, np.int64, len(found)), BANDS)
@@ -88,19 +114,19 @@ def _collisions(docs: DataFrame, n_keys: int, min_words: int, width: int) -> Dat
     return edges(text_columns(docs, "text"), keys, n_keys)
 
 
-def repeated(docs: DataFrame, min_words: int = MIN_WORDS, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def repeated(docs: DataFrame, min_words: int = MIN_WORDS, width: int = WIDTH, percent: int = PERCENT, cut: Callable = lines) -> DataFrame:
     """(doc_id, paragraph, first_doc_id, first_paragraph, n_words, removed): every paragraph whose class holds more than one.
 
-    A class goes by its first paragraph.
+    A class goes by its first paragraph. cut gives the paragraphs of a text and their places.
 
     Documents without a repeated paragraph do not appear. removed is false for the first paragraph of a class alone; a
     null doc_id comes before all others.
     """
-    all_of = materialise(paragraphs(docs, min_words, width), "paragraphs")
+    all_of = materialise(paragraphs(docs, min_words, width, cut), "paragraphs")
     first = F.min(F.struct("doc_id", "paragraph"))
     contents = all_of.groupBy("id").agg(F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), first.alias("first"))
     n_keys = BANDS * contents.count()
-    groups = components(_collisions(docs, n_keys, min_words, width))
+    groups = components(_collisions(docs, n_keys, min_words, width, cut))
     chosen = contents.join(groups, "id").select(F.col("component").alias("group"), "id", "copies", "n", "first.doc_id", "first.paragraph")
     chosen = materialise(chosen, "candidates")
     # one occurrence of each candidate gives its words: gathered by document, so that a text is read once
@@ -112,7 +138,7 @@ def repeated(docs: DataFrame, min_words: int = MIN_WORDS, width: int = WIDTH, pe
         for b in batches:
             out = []
             for t, want in zip(b.column("text"), b.column("wanted").to_pylist()):
-                by_place = dict(lines(t.as_py(), min_words))
+                by_place = dict(cut(t.as_py(), min_words))
                 for x in want:
                     w = by_place.get(x["paragraph"])
                     if w is not None and content_id(w) == x["id"]:
@@ -144,10 +170,112 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, width: int = WI
     return joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
+def grams(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n words from each place on, by doubling."""
+    out, done, power, size = None, 0, hashes, 1
+    join = lambda a, b: mix(a[: len(b)] * np.uint64(0x9E3779B97F4A7C15) + b)
+    while True:
+        if n & size:
+            out = power if out is None else join(out, power[done:])
+            done += size
+        if done == n or len(power) <= size:
+            return out if done == n else hashes[:0]
+        power, size = join(power, power[size:]), 2 * size
+
+
+def windows(texts: list[str], hashes: WordHashes) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, places, windows, anchors): the PASSAGE-word windows of several texts; a window's anchor is its least ANCHOR-word hash.
+
+    Equal windows have equal anchors, and neighbours mostly share one, so anchors are few.
+    """
+    lists = [words(ascii_lower(t)) for t in texts]
+    held = [(k, hashes(w)) for k, w in enumerate(lists) if len(w) >= PASSAGE]
+    if not held:
+        return
+    flat = np.concatenate([h for _, h in held])
+    whole, small = grams(flat, PASSAGE).view(np.int64), grams(flat, ANCHOR)
+    least, size = small, 1
+    while 2 * size <= PASSAGE - ANCHOR + 1:
+        least, size = np.minimum(least[: len(least) - size], least[size:]), 2 * size
+    rest = PASSAGE - ANCHOR + 1 - size
+    least = np.minimum(least[: len(least) - rest], least[rest:]).view(np.int64)
+    at = 0
+    for k, h in held:
+        n = len(h) - PASSAGE + 1
+        yield k, np.arange(n), whole[at : at + n], least[at : at + n]
+        at += len(h)
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray, np.ndarray]]:
+    hashes = WordHashes()
+    for whole in batches:
+        for lo in range(0, whole.num_rows, AT_ONCE):
+            b = whole.slice(lo, AT_ONCE)
+            for found in windows([t.as_py() for t in b.column("text")], hashes):
+                yield b, *found
+
+
+def passages(docs: DataFrame) -> DataFrame:
+    """(doc_id, first_word, n_words, first_doc_id): every run of words whose PASSAGE-word windows all stand in two documents.
+
+    Exact but for 64-bit hashes, with A-Z in lower case and single blanks. first_doc_id is the smallest id that holds a window; runs
+    of one first document that overlap are one row. A document is an id with a text: rows that repeat both count once, and a
+    null doc_id comes before all others. Keys are summed by their smallest and largest document; no pairs are listed.
+    """
+    rows = text_columns(docs, "doc_id", "text").where("text IS NOT NULL").select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
+    anchor_schema = pa.schema([("anchor", pa.int64()), ("row", pa.int64())])
+    window_schema = pa.schema([("window", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32())])
+
+    def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, ids, held = [], [], 0
+        for b, k, _, _, least in _slices(batches):
+            keys.append(np.unique(least))
+            ids.append(np.full(len(keys[-1]), b.column("row")[k].as_py()))
+            held += len(keys[-1])
+            if held > 1 << 16:
+                yield batch(anchor_schema, np.concatenate(keys), np.concatenate(ids))
+                keys, ids, held = [], [], 0
+        if held:
+            yield batch(anchor_schema, np.concatenate(keys), np.concatenate(ids))
+
+    def windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, k, places, whole, least in _slices(batches):
+            keep = np.isin(least, b.column("anchors")[k].values.to_numpy())
+            if n := int(keep.sum()):
+                yield batch(window_schema, whole[keep], np.full(n, b.column("row")[k].as_py()), pa.array([b.column("doc_id")[k].as_py()] * n, pa.int64()), places[keep])
+
+    anchors = materialise(rows.mapInArrow(anchored, "anchor bigint, row bigint"), "anchors")
+    in_two = anchors.groupBy("anchor").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo <> hi").select("anchor")
+    wanted = anchors.join(in_two, "anchor").groupBy("row").agg(F.collect_set("anchor").alias("anchors"))
+    all_of = materialise(rows.join(wanted, "row").select("row", "doc_id", "text", "anchors").mapInArrow(windowed, "window bigint, row bigint, doc_id bigint, at int"), "windows")
+    none = F.lit(-(2**63))
+    in_two = all_of.groupBy("window").agg(F.min("row").alias("lo"), F.max("row").alias("hi"), F.min(F.coalesce("doc_id", none)).alias("first")).where("lo <> hi").select("window", "first")
+    order = Window.partitionBy("row", "first").orderBy("at")
+    begins = F.col("at") > F.coalesce(F.lag("at").over(order), F.lit(-PASSAGE - 1)) + PASSAGE
+    runs = all_of.join(in_two, "window").withColumn("begins", begins.cast("int")).withColumn("run", F.sum("begins").over(order))
+    each = runs.groupBy("row", "first", "run").agg(F.first("doc_id").alias("doc_id"), F.min("at").alias("first_word"), F.max("at").alias("last"))
+    return each.select("doc_id", "first_word", (F.col("last") - F.col("first_word") + PASSAGE).cast("bigint").alias("n_words"), F.nullif("first", none).alias("first_doc_id"))
+
+
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """(doc_id, first_word, n_words, first_doc_id, kind): the runs of equal words (equal), and the blocks that repeat (block).
+
+    first_word counts the words of the whole text from 0. A block is a long line or a run of shorter lines, in a class by its
+    Jaccard; it may overlap a run of equal words. The first of a class is there too.
+    """
+    near = repeated(docs, cut=blocks).select("doc_id", F.col("paragraph").alias("first_word"), "n_words", "first_doc_id", F.lit("block").alias("kind"))
+    return passages(docs).withColumn("kind", F.lit("equal")).unionByName(near)
+
+
 def op5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated lines of MIN_WORDS words or more, and no others, as the SQL has it; op5_passages covers every word."""
     return repeated(read(spark, sf_dir, "documents"))
 
 
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(read(spark, sf_dir, "documents"))
+
+
 #: DuckDB, by the definition: all pairs of paragraphs that share a shingle, not banded.
 SQL = r"""
 WITH RECURSIVE l AS (

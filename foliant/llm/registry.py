@@ -19,7 +19,7 @@ from .op3_tokens import op3_tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_fingerprints, op3_tokens, op4_pseudonyms, paragraphs.op5_paragraphs, op6_langid, ngram.op7_ngram_join, warc.op8_warc, mixing.op9_mixing, op10_packing)}
+    return {f.__name__: f for f in (op1_quality, op2_fingerprints, op3_tokens, op4_pseudonyms, paragraphs.op5_paragraphs, paragraphs.op5_passages, op6_langid, ngram.op7_ngram_join, warc.op8_warc, mixing.op9_mixing, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

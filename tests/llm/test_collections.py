@@ -147,6 +147,32 @@ def test_paragraphs_brute(spark, edges, empty):  # noqa: F811
     assert op5_paragraphs.repeated(empty).count() == 0
 
 
+def test_passages_brute(spark, edges, empty):  # noqa: F811
+    """Every word of a 50-word window that two documents hold is found, in short lines and inside longer ones, and no other."""
+    rng = random.Random(10)
+    fill = lambda n: [f"z{rng.randrange(10**6)}" for _ in range(n)]
+    shared = [f"p{k}" for k in range(60)]
+    wrapped = "\n".join(" ".join(shared[k : k + 7]) for k in range(0, 60, 7))
+    rows = [(1, wrapped), (2, " ".join([*fill(200), *shared, *fill(200)])), (3, " ".join([*fill(40), *shared[:49], *fill(40)])), (4, " ".join(fill(300))), (5, "\n".join([*fill(9), *shared[5:55]]))]
+    some = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    rows += [(100 + r.doc_id, r.text) for r in some]
+    held = {d: common.words(common.ascii_lower(t or "")) for d, t in rows}
+    at = {}
+    for d, w in held.items():
+        for k in range(len(w) - 49):
+            at.setdefault(tuple(w[k : k + 50]), set()).add((d, k))
+    want = {(d, k + j) for places in at.values() if len({d for d, _ in places}) > 1 for d, k in places for j in range(50)}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = op5_paragraphs.passages(df).collect()
+    assert {(r.doc_id, r.first_word + j) for r in found for j in range(r.n_words)} == want
+    assert {(r.doc_id, r.first_word, r.n_words, r.first_doc_id) for r in found if r.doc_id < 100} == {(1, 0, 60, 1), (2, 200, 60, 1), (5, 9, 50, 1)}
+    assert not {1, 2, 5} & {r.doc_id for r in op5_paragraphs.repeated(df).collect()}
+    edit = wrapped.replace("p33", "edit")
+    near = op5_paragraphs.repeated_passages(spark.createDataFrame([(1, wrapped), (2, edit), (3, None)], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.first_word, r.n_words, r.first_doc_id, r.kind) for r in near} == {(1, 0, 60, 1, "block"), (2, 0, 60, 1, "block")}
+    assert op5_paragraphs.repeated_passages(empty).count() == 0 and op5_paragraphs.passages(edges).count() == 0
+
+
 def test_bands_recall():
     """Sets of similarity 0.8 meet in a band nearly always."""
     rng = np.random.default_rng(8)
