@@ -236,10 +236,31 @@ def weighted_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, 'Q: ' || source || ' ' || lang || chr(10) || 'E: ' || substr(text, 1, 120) || chr(10) || 'A: [E1]' AS example FROM documents")
 def control_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An evidence-echo example of every document."""
+    """The head of an evidence example of every document: its first 120 characters, as the SQL has it; control_spans has whole spans."""
     return documents(spark, sf_dir).select("doc_id", F.concat(F.lit("Q: "), "source", F.lit(" "), "lang", F.lit("\nE: "), F.substring("text", 1, 120), F.lit("\nA: [E1]")).alias("example"))
 
 
+#: The words of the examples, as the trainer has them: before the evidence, between it and the answer, after it, and without any.
+ASK, ANSWER, CITE = "Pergunta:\nExtraia somente a passagem apoiada pela evidência.\nEvidências:\n[E1] ", "\nResposta:\n", " [E1]"
+ABSTAIN = "Pergunta:\nResponda somente se houver evidência.\nEvidências:\n\nResposta:\nNÃO ENCONTRADO."
+
+
+def _literal(text: str) -> str:
+    return " || chr(10) || ".join(f"'{part}'" for part in text.split("\n"))
+
+
+@query(
+    f"WITH {SPANS_SQL} SELECT doc_id, span_ord::INT AS span_ord, 'evidence' AS kind, {_literal(ASK)} || text || {_literal(ANSWER)} || text || {_literal(CITE)} AS example FROM spans"
+    f" UNION ALL SELECT NULL, NULL, 'abstention', {_literal(ABSTAIN)}"
+)
+def control_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, span_ord, kind, example): each whole span as evidence and again as the answer, and one abstention for the corpus."""
+    example = F.concat(F.lit(ASK), "text", F.lit(ANSWER), "text", F.lit(CITE))
+    rows = spans(documents(spark, sf_dir)).select("doc_id", "span_ord", F.lit("evidence").alias("kind"), example.alias("example"))
+    without = spark.range(1).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("int").alias("span_ord"), F.lit("abstention").alias("kind"), F.lit(ABSTAIN).alias("example"))
+    return rows.unionByName(without)
+
+
 @query("SELECT doc_id, least(512, greatest(16, pow(2, ceil(log2(greatest(n_chars, 1))))))::INT AS bucket FROM documents")
 def length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The power of two that a document is padded to, between 16 and 512."""

@@ -134,3 +134,14 @@ def test_ranks(spark):
     upto = {(r.g, r.k): r.upto for r in ranks.running(df, ["g"], "k", "v").collect()}
     assert {k: (number[k], upto[k]) for k in want} == want
     assert ranks.numbered(df.where("false"), ["g"], "k").count() == 0
+
+
+def test_control_spans_are_whole(spark, tmp_path):
+    """Evidence and answer hold the whole span, however long; one abstention for the corpus."""
+    long = "word " * 60 + "end."
+    rows = [(1, f"Head\n\n{long}", "en", "web", len(long))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {(r.doc_id, r.span_ord, r.kind): r.example for r in training.control_spans(spark, str(tmp_path)).collect()}
+    assert set(found) == {(1, 0, "evidence"), (1, 2, "evidence"), (None, None, "abstention")}
+    assert found[1, 2, "evidence"] == f"Pergunta:\nExtraia somente a passagem apoiada pela evidência.\nEvidências:\n[E1] {long}\nResposta:\n{long} [E1]"
+    assert found[None, None, "abstention"].endswith("Resposta:\nNÃO ENCONTRADO.")
