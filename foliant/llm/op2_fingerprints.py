@@ -5,7 +5,7 @@ it stands on and moves on if the bit of (i, character) is one. A few edits throw
 a few steps only, so edit distance becomes Hamming distance. A fingerprint keeps the symbols at
 ``SLOTS`` steps; each slot takes the step of smallest priority among the steps of the text, so texts
 of nearly equal length look at the same steps. Near pairs come from bands of sampled slots, checked by
-the slots in common.
+the slots in common: 40 bands of 8 slots bring a pair of likeness 0.8 together with probability 1 - (1 - 0.8^8)^40 = 0.9994.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +36,7 @@ LANES = 6_000_000
 TARGET = 24 << 20
 #: Ranges at most; they are read as streams, so a larger table has longer ranges.
 RANGES = 1024
-BANDS, BAND_SLOTS = 16, 8
+BANDS, BAND_SLOTS = 40, 8
 LIKENESS = 0.8
 
 _HEX = np.array([f"{k:x}" for k in range(16)])
@@ -150,7 +149,10 @@ def edited(text: str, following: str) -> str:
 def band_keys(prints: np.ndarray) -> np.ndarray:
     """BANDS keys of BAND_SLOTS sampled slots each."""
     chosen = np.random.default_rng(SEED + 1).permuted(np.tile(np.arange(SLOTS), (BANDS, 1)), axis=1)[:, :BAND_SLOTS]
-    return np.array([[xxhash.xxh3_64_intdigest(row[c].tobytes(), seed=k + 1) for k, c in enumerate(chosen)] for row in prints], np.uint64).reshape(len(prints), BANDS)
+    key = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(prints), 1))
+    for c in chosen.T:
+        key = (key << np.uint64(4)) | prints[:, c]  # four bits a slot: no two keys are one
+    return mix(key)
 
 
 def followed(docs: DataFrame) -> DataFrame:
@@ -218,18 +220,8 @@ def with_edits(docs: DataFrame) -> DataFrame:
     return followed(docs).mapInArrow(walked, OUT_DDL)
 
 
-def near_classes(docs: DataFrame, least: float = LIKENESS) -> DataFrame:
-    """(doc_id, class_id): the components of documents whose fingerprints share a band and at least that part of their slots.
-
-    Documents with equal fingerprints are one class from the start. Those that share a band form groups, in which every pair is
-    checked, in tiles. A null text is empty; rows with a null doc_id are left out.
-    """
-    schema = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.string())])
-
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                yield batch(schema, b.column("doc_id"), to_text(fingerprints([t.as_py() or "" for t in b.column("text")])))
+def _classed(prints: DataFrame, least: float) -> DataFrame:
+    """(fingerprint, class_id): the class of every fingerprint of prints(doc_id, fingerprint) that a row with an id holds."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for b in batches:
@@ -244,16 +236,34 @@ def near_classes(docs: DataFrame, least: float = LIKENESS) -> DataFrame:
                 tokens = np.sort(mix((np.arange(SLOTS, dtype=np.uint64) << np.uint64(4)) + from_text(b.column("fingerprint").to_pylist())), axis=1)
                 yield batch(out, b.column("group"), b.column("id"), b.column("copies"), [SLOTS] * b.num_rows, [t.tobytes() for t in tokens])
 
-    some = text_columns(docs, "doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(prints, "doc_id bigint, fingerprint string")
-    some = materialise(some, "fingerprints")
+    some = prints.where("doc_id IS NOT NULL")
     classes = materialise(some.groupBy("fingerprint").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")), "classes")
     groups = components(edges(classes.select("id", "fingerprint"), keys, BANDS * classes.count()))
     members = classes.join(groups, "id").select(F.col("component").alias("group"), "id", "copies", "fingerprint").mapInArrow(with_slots, "group bigint, id bigint, copies bigint, n bigint, shingles binary")
     shared = int(np.ceil(least * SLOTS))
     found, _ = verified(materialise(members, "members"), 100 * shared / (2 * SLOTS - shared) - 1e-9)
-    named = classes.join(components(found), "id", "left").select("fingerprint", F.coalesce("component", "id").alias("class_id"))
-    return some.join(named, "fingerprint").select("doc_id", "class_id")
+    return classes.join(components(found), "id", "left").select("fingerprint", F.coalesce("component", "id").alias("class_id"))
+
+
+def near_classes(docs: DataFrame, least: float = LIKENESS) -> DataFrame:
+    """(doc_id, class_id): the components of documents whose fingerprints share a band and at least that part of their slots.
+
+    Documents with equal fingerprints are one class from the start. Those that share a band form groups, in which every pair is
+    checked, in tiles. A null text is empty; rows with a null doc_id are left out.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.string())])
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield batch(schema, b.column("doc_id"), to_text(fingerprints([t.as_py() or "" for t in b.column("text")])))
+
+    some = text_columns(docs, "doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(prints, "doc_id bigint, fingerprint string")
+    some = materialise(some, "fingerprints")
+    return some.join(_classed(some, least), "fingerprint").select("doc_id", "class_id")
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_edits(read(spark, sf_dir, "documents"))
+    """The rows of with_edits with class_id, as near_classes gives it; a row without an id has the class of its fingerprint, or null."""
+    made = materialise(with_edits(read(spark, sf_dir, "documents")), "edits")
+    return made.join(_classed(made.select("doc_id", "fingerprint"), LIKENESS), "fingerprint", "left").select(*made.columns, "class_id")

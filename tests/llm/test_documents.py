@@ -155,6 +155,31 @@ def test_near_classes(spark, edges):
     assert op2_fingerprints.near_classes(edges).count() == len([d for d, _ in EDGES if d is not None])
 
 
+def test_fingerprint_bands_recall():
+    """Fingerprints of likeness 0.8 share a band nearly always, over all pairs."""
+    rng = np.random.default_rng(12)
+    a = rng.integers(0, 16, (4000, op2_fingerprints.SLOTS)).astype(np.uint8)
+    b = a.copy()
+    for row in b:
+        other = rng.permutation(op2_fingerprints.SLOTS)[:25]
+        row[other] = (row[other] + rng.integers(1, 16, 25)) % 16
+    assert (op2_fingerprints.likeness(a, b) >= op2_fingerprints.LIKENESS).all()
+    assert (op2_fingerprints.band_keys(a) == op2_fingerprints.band_keys(b)).any(1).mean() >= 0.998
+
+
+def test_query_gives_classes(spark):
+    """The registered query puts documents whose fingerprints are near, over all pairs, in one class."""
+    found = op2_fingerprints.op2_fingerprints(spark, SF).collect()
+    assert len(found) == spark.read.parquet(f"{SF}/documents.parquet").count()
+    prints = op2_fingerprints.from_text([r.fingerprint for r in found])
+    label = {r.doc_id: r.doc_id for r in found}
+    near = [(r.doc_id, found[k].doc_id) for i, r in enumerate(found) for k in np.flatnonzero((prints[i] == prints).mean(1) >= op2_fingerprints.LIKENESS) if k != i]
+    for _ in found:
+        for a, b in near:
+            label[a] = label[b] = min(label[a], label[b])
+    assert near and {r.doc_id: r.class_id for r in found} == label
+
+
 @pytest.mark.parametrize("head", [0, 50, op3_tokens.HEAD])
 def test_token_counts(spark, edges, head):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(60).union(edges.select("doc_id", "text"))
