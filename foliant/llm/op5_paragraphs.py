@@ -1,19 +1,23 @@
-"""Paragraph deduplication by MinHash banding.
+"""Paragraph deduplication by MinHash banding, whatever the lines of a text.
 
-A paragraph is a line of at least ``MIN_WORDS`` words, compared with A-Z in lower case and single blanks. Equal
-paragraphs are one class at once. For the others, 30 permutations in 10 bands of three rows bring
-paragraphs of Jaccard similarity 0.8 together with probability 0.9992; those that meet form
-groups, in which every link is verified by the exact Jaccard of 5-word shingles. The connected
-components are the final classes, of which the first paragraph (by doc_id, then by place) stays.
+Words are compared with A-Z in lower case and single blanks; every word of every text takes part, in two kinds of paragraph:
 
-``op5_paragraphs`` looks at such lines alone, as its SQL does. ``op5_passages`` covers every word: it finds every run of
-``PASSAGE`` words or more that stands in two documents, whatever its lines, and bands, besides the long
-lines, the runs of shorter lines between them.
+``block``: a line of ``MIN_WORDS`` words or more, or a run of shorter lines that together have as many. 30 permutations in
+10 bands of three rows bring blocks of Jaccard similarity 0.8 together with probability 0.9992; those that meet form groups, in
+which links are verified by the exact Jaccard of 5-word shingles. The connected components are the classes, of which the first
+block (by doc_id, then by place) stays.
+
+``passage``: the ``UNIT`` words that start where a window of ``PASSAGE`` words has its MinHash (the least of one permutation over
+its 5-word shingles; of equal ones the first). Equal windows have equal minima, so one band of one row misses none: all ``PASSAGE``
+words in a row that two documents share are found inside longer lines, over short lines, and at the ends of texts.
+Units that meet are verified by all their words (a 64-bit hash), and neighbouring ones are joined to
+one passage. So what is reported as a passage shares at least ``UNIT`` words in a row with another document.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +26,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .collisions import edges
-from .common import WordHashes, ascii_lower, batch, fresh, materialise, mix, read, shingles, text_columns, words
+from .common import WORD, WordHashes, ascii_lower, batch, fresh, input_bytes, materialise, mix, read, shingles, text_columns, words
 from .components import components
+from .idfilter import bitmap, perhaps
 from .tiles import verified
 
 MIN_WORDS = 30
@@ -32,24 +37,21 @@ PERCENT = 80
 BANDS, ROWS = 10, 3
 #: Texts whose paragraphs are held as words at a time.
 AT_ONCE = 256
-#: Words of a passage that is found wherever it stands, and of the anchors that lead to it.
-PASSAGE, ANCHOR = 50, 25
-
-PARAGRAPHS = pa.schema([("doc_id", pa.int64()), ("paragraph", pa.int32()), ("id", pa.int64()), ("n_words", pa.int64()), ("n", pa.int64())])
+#: Words of a passage that is found wherever it stands, and of the units that are compared.
+PASSAGE, UNIT = 50, 32
+#: The modulus and the base of the permutation that chooses where units start.
+MODULUS, BASE = 2**31 - 1, 1_000_003
+#: Characters of the texts that are cut to units at a time, units that a task holds before it passes them on, and units of a bucket.
+CHARS_AT_ONCE = 2_000_000
+HELD = 1 << 20
+BUCKET = 1 << 20
+#: What a null doc_id counts as.
+NO_ID = -(2**63)
+
+PARAGRAPHS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("paragraph", pa.int32()), ("id", pa.int64()), ("n_words", pa.int64()), ("n", pa.int64())])
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def lines(text: str | None, min_words: int = MIN_WORDS) -> Iterator[tuple[int, list[str]]]:
-    """The place and the words of every paragraph of a whole text; a null text has none.
-
-    >>> list(lines("a b\\n\\nC d e", 3))
-    [(2, ['c', 'd', 'e'])]
-    """
-    for k, line in enumerate(ascii_lower(text or "").split("\n")):
-        if len(line) > 2 * min_words - 2 and len(w := words(line)) >= min_words:
-            yield k, w
-
-
 def blocks(text: str | None, min_words: int = MIN_WORDS) -> Iterator[tuple[int, list[str]]]:
     """The first word's place and the words of every long line, and of every run of shorter lines that together are long.
 
@@ -89,24 +91,29 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, width: int = WIDTH, cut: Callable = lines) -> DataFrame:
-    """(doc_id, paragraph, id, n_words, n): every paragraph of every text; n is the size of its shingle list, repeats included."""
+def keyed(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text): the rows of docs with a hash of their id and text, which rows that repeat both share; null texts are left out."""
+    return text_columns(docs, "doc_id", "text").where("text IS NOT NULL").select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
+
+
+def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, width: int = WIDTH) -> DataFrame:
+    """(row, doc_id, paragraph, id, n_words, n): every block of every text and its first word's place; n is the size of its shingle list, repeats included."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [(d, k, content_id(w), len(w), max(1, len(w) - width + 1)) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text")) for k, w in cut(t.as_py(), min_words)]
+            out = [(r, d, k, content_id(w), len(w), max(1, len(w) - width + 1)) for r, d, t in zip(b.column("row").to_pylist(), b.column("doc_id").to_pylist(), b.column("text")) for k, w in blocks(t.as_py(), min_words)]
             if out:
                 yield batch(PARAGRAPHS, *zip(*out))
 
-    return text_columns(docs, "doc_id", "text").mapInArrow(rows, "doc_id bigint, paragraph int, id bigint, n_words bigint, n bigint")
+    return keyed(docs).mapInArrow(rows, "row bigint, doc_id bigint, paragraph int, id bigint, n_words bigint, n bigint")
 
 
-def _collisions(docs: DataFrame, n_keys: int, min_words: int, width: int, cut: Callable) -> DataFrame:
+def _collisions(docs: DataFrame, n_keys: int, min_words: int, width: int) -> DataFrame:
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         hashes = WordHashes()
         for whole in batches:
             for lo in range(0, whole.num_rows, AT_ONCE):
-                found = {content_id(w): w for t in whole.column("text").slice(lo, AT_ONCE) for _, w in cut(t.as_py(), min_words)}
+                found = {content_id(w): w for t in whole.column("text").slice(lo, AT_ONCE) for _, w in blocks(t.as_py(), min_words)}
                 if found:
                     made = band_keys([shingles(hashes(w), width) for w in found.values()])
                     yield made.ravel(), np.repeat(np.fromiter(found, np.int64, len(found)), BANDS)
@@ -114,23 +121,21 @@ def _collisions(docs: DataFrame, n_keys: int, min_words: int, width: int, cut: C
     return edges(text_columns(docs, "text"), keys, n_keys)
 
 
-def repeated(docs: DataFrame, min_words: int = MIN_WORDS, width: int = WIDTH, percent: int = PERCENT, cut: Callable = lines) -> DataFrame:
-    """(doc_id, paragraph, first_doc_id, first_paragraph, n_words, removed): every paragraph whose class holds more than one.
+def near_blocks(docs: DataFrame, min_words: int = MIN_WORDS, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(row, doc_id, first_word, n_words, first_doc_id, removed): every block whose class holds more than one.
 
-    A class goes by its first paragraph. cut gives the paragraphs of a text and their places.
-
-    Documents without a repeated paragraph do not appear. removed is false for the first paragraph of a class alone; a
-    null doc_id comes before all others.
+    Documents without a repeated block do not appear, null and empty texts and an empty table give none. removed is false for the first
+    block of a class alone, and in rows that repeat its id and text; a null doc_id comes before all others.
     """
-    all_of = materialise(paragraphs(docs, min_words, width, cut), "paragraphs")
-    first = F.min(F.struct("doc_id", "paragraph"))
+    all_of = materialise(paragraphs(docs, min_words, width), "paragraphs")
+    first = F.min(F.struct("doc_id", "paragraph", "row"))
     contents = all_of.groupBy("id").agg(F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), first.alias("first"))
     n_keys = BANDS * contents.count()
-    groups = components(_collisions(docs, n_keys, min_words, width, cut))
-    chosen = contents.join(groups, "id").select(F.col("component").alias("group"), "id", "copies", "n", "first.doc_id", "first.paragraph")
+    groups = components(_collisions(docs, n_keys, min_words, width))
+    chosen = contents.join(groups, "id").select(F.col("component").alias("group"), "id", "copies", "n", "first.row", "first.paragraph")
     chosen = materialise(chosen, "candidates")
-    # one occurrence of each candidate gives its words: gathered by document, so that a text is read once
-    wanted = chosen.groupBy("doc_id").agg(F.collect_list(F.struct("paragraph", "group", "id", "copies", "n")).alias("wanted"))
+    # one occurrence of each candidate gives its words: gathered by row, so that a text is read once
+    wanted = chosen.groupBy("row").agg(F.collect_list(F.struct("paragraph", "group", "id", "copies", "n")).alias("wanted"))
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("group", pa.int64()), ("id", pa.int64()), ("copies", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary())])
@@ -138,36 +143,42 @@ def repeated(docs: DataFrame, min_words: int = MIN_WORDS, width: int = WIDTH, pe
         for b in batches:
             out = []
             for t, want in zip(b.column("text"), b.column("wanted").to_pylist()):
-                by_place = dict(cut(t.as_py(), min_words))
+                by_place = dict(blocks(t.as_py(), min_words))
                 for x in want:
-                    w = by_place.get(x["paragraph"])
-                    if w is not None and content_id(w) == x["id"]:
-                        s = shingles(hashes(w), width)
-                        out.append((x["group"], x["id"], x["copies"], len(s), s.tobytes()))
+                    s = shingles(hashes(by_place[x["paragraph"]]), width)
+                    out.append((x["group"], x["id"], x["copies"], len(s), s.tobytes()))
             if out:
                 yield batch(schema, *zip(*out))
 
-    key = F.coalesce("doc_id", F.lit(-(2**63)))
-    texts = text_columns(docs, "doc_id", "text").select(key.alias("key"), "text")
-    members = texts.join(wanted.select(key.alias("key"), "wanted"), "key").select("text", "wanted").mapInArrow(with_sets, "group bigint, id bigint, copies bigint, n bigint, shingles binary")
+    members = keyed(docs).join(wanted, "row").select("text", "wanted").mapInArrow(with_sets, "group bigint, id bigint, copies bigint, n bigint, shingles binary")
     found, _ = verified(materialise(members, "members"), percent)
     roots = components(found)
     classed = contents.join(roots, "id", "left").select("id", F.coalesce("component", "id").alias("class_id"), "copies", "first")
     whole = classed.groupBy("class_id").agg(F.sum("copies").alias("copies"), F.min("first").alias("first")).where("copies > 1")
     ids = materialise(classed.select("id", "class_id").join(whole.select("class_id", "first"), "class_id"), "classes")
-    where = F.struct("doc_id", "paragraph")
-    # rows that repeat a doc_id and a text repeat its paragraphs too: such copies all count as the first
-    return all_of.join(ids, "id").select("doc_id", "paragraph", F.col("first.doc_id").alias("first_doc_id"), F.col("first.paragraph").alias("first_paragraph"), "n_words", (~where.eqNullSafe(F.col("first"))).alias("removed"))
+    where = F.struct("doc_id", "paragraph", "row")
+    return all_of.join(ids, "id").select("row", "doc_id", F.col("paragraph").alias("first_word"), "n_words", F.col("first.doc_id").alias("first_doc_id"), (~where.eqNullSafe(F.col("first"))).alias("removed"))
 
 
-def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs with their removed paragraphs taken out of text; the other columns stay as they are."""
-    key, gone = fresh(docs, "gone_id"), fresh(docs, "gone")
-    marks = repeated(docs, min_words, width, percent).where("removed").groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("paragraph").alias(gone))
-    kept = F.expr(f"array_join(filter(split(text, '\\n', -1), (line, k) -> NOT array_contains({gone}, k)), '\\n')")
-    joined = docs.join(marks, F.col("doc_id").eqNullSafe(F.col(key)), "left")
-    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept)
-    return joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+class Vocabulary:
+    """The 64-bit hash of each word, and the first 31 bits of its MD5; remembered up to a bound, then emptied."""
+
+    BOUND = 400_000
+
+    def __init__(self) -> None:
+        self.seen: dict[str, int] = {}
+        self.wide, self.short = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+
+    def __call__(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.seen) > self.BOUND:
+            self.__init__()
+        new = [(w, w.encode("utf-8", "surrogatepass")) for w in set(tokens).difference(self.seen)]
+        if new:
+            self.seen.update(zip((w for w, _ in new), range(len(self.wide), len(self.wide) + len(new))))
+            self.wide = np.append(self.wide, np.array([xxhash.xxh3_64_intdigest(raw) for _, raw in new], np.uint64))
+            self.short = np.append(self.short, np.array([int.from_bytes(hashlib.md5(raw).digest()[:4], "big") >> 1 for _, raw in new], np.uint64))
+        at = np.fromiter(map(self.seen.__getitem__, tokens), np.int64, len(tokens))
+        return self.wide[at], self.short[at]
 
 
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -183,115 +194,208 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
         power, size = join(power, power[size:]), 2 * size
 
 
-def windows(texts: list[str], hashes: WordHashes) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(text, places, windows, anchors): the PASSAGE-word windows of several texts; a window's anchor is its least ANCHOR-word hash.
+def least_of(values: np.ndarray, n: int) -> np.ndarray:
+    """The least of the n values from each place on, by doubling."""
+    size = 1
+    while 2 * size <= n:
+        values, size = np.minimum(values[: len(values) - size], values[size:]), 2 * size
+    rest = n - size
+    return np.minimum(values[: len(values) - rest], values[rest:])
+
+
+def units(texts: list[str], known: Vocabulary) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(text, places, hashes) of the units of every text of PASSAGE words or more.
 
-    Equal windows have equal anchors, and neighbours mostly share one, so anchors are few.
+    >>> [len(at) > 0 for _, at, _ in units(["a b c", "w " * 60], Vocabulary())]
+    [True]
     """
     lists = [words(ascii_lower(t)) for t in texts]
-    held = [(k, hashes(w)) for k, w in enumerate(lists) if len(w) >= PASSAGE]
+    held = [(k, len(w)) for k, w in enumerate(lists) if len(w) >= PASSAGE]
     if not held:
         return
-    flat = np.concatenate([h for _, h in held])
-    whole, small = grams(flat, PASSAGE).view(np.int64), grams(flat, ANCHOR)
-    least, size = small, 1
-    while 2 * size <= PASSAGE - ANCHOR + 1:
-        least, size = np.minimum(least[: len(least) - size], least[size:]), 2 * size
-    rest = PASSAGE - ANCHOR + 1 - size
-    least = np.minimum(least[: len(least) - rest], least[rest:]).view(np.int64)
-    at = 0
-    for k, h in held:
-        n = len(h) - PASSAGE + 1
-        yield k, np.arange(n), whole[at : at + n], least[at : at + n]
-        at += len(h)
-
-
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray, np.ndarray]]:
-    hashes = WordHashes()
-    for whole in batches:
-        for lo in range(0, whole.num_rows, AT_ONCE):
-            b = whole.slice(lo, AT_ONCE)
-            for found in windows([t.as_py() for t in b.column("text")], hashes):
-                yield b, *found
+    wide, short = known([w for k, _ in held for w in lists[k]])
+    value = short[: len(short) - WIDTH + 1] % np.uint64(MODULUS)
+    for k in range(1, WIDTH):
+        value = (value * np.uint64(BASE) + short[k : len(short) - WIDTH + 1 + k]) % np.uint64(MODULUS)
+    # value and place in one number: the least one is the first of the least values
+    placed = (value.astype(np.int64) << 32) + np.arange(len(value))
+    chosen, whole = least_of(placed, PASSAGE - UNIT + 1) & 0xFFFFFFFF, grams(wide, UNIT).view(np.int64)
+    start = 0
+    for k, n in held:
+        at = np.unique(chosen[start : start + n - PASSAGE + 1])
+        yield k, at - start, whole[at]
+        start += n
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray]]:
+    known = Vocabulary()
+    for b in batches:
+        held, size = [], 0
+        for k, t in enumerate(b.column("text")):
+            held.append((k, t.as_py()))
+            size += len(held[-1][1])
+            if size > CHARS_AT_ONCE or k == b.num_rows - 1:
+                for j, at, found in units([t for _, t in held], known):
+                    yield b, held[j][0], at, found
+                held, size = [], 0
+
+
+MET = pa.schema([("bucket", pa.int32()), ("units", pa.binary()), ("docs", pa.binary())])
+SHARED = pa.schema([("unit", pa.int64()), ("first", pa.int64())])
+
+
+def _ends(unit: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct units with the smallest and the largest document of each."""
+    order = np.lexsort((doc, unit))
+    unit, doc = unit[order], doc[order]
+    first = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]])) if len(unit) else np.zeros(0, np.int64)
+    last = np.append(first[1:], len(unit))[: len(first)] - 1
+    return unit[first], doc[first], doc[last]
+
+
+def shared_units(rows: DataFrame, n_units: int) -> DataFrame:
+    """(unit, first): the units that stand in two documents, with the smallest id. A task passes on two ids of a unit at most."""
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_units // BUCKET))
+
+    def packed(found: list[np.ndarray], docs: list[np.ndarray]) -> pa.RecordBatch:
+        unit, lo, hi = _ends(np.concatenate(found), np.concatenate(docs))
+        unit, doc = np.concatenate([unit, unit[lo != hi]]), np.concatenate([lo, hi[lo != hi]])
+        bucket = ((unit.view(np.uint64) >> np.uint64(20)) % np.uint64(n)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        name, start = np.unique(bucket[order], return_index=True)
+        parts = zip(np.split(unit[order], start[1:]), np.split(doc[order], start[1:]))
+        return batch(MET, name, *zip(*((u.tobytes(), d.tobytes()) for u, d in parts)))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, docs, held = [], [], 0
+        for b, k, _, unit in _slices(batches):
+            doc = b.column("doc_id")[k].as_py()
+            found.append(unit)
+            docs.append(np.full(len(unit), NO_ID if doc is None else doc, np.int64))
+            held += len(unit)
+            if held > HELD:
+                yield packed(found, docs)
+                found, docs, held = [], [], 0
+        if held:
+            yield packed(found, docs)
+
+    def meet(table: pa.Table) -> pa.Table:
+        unit, lo, hi = _ends(*(np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table[c]]) for c in ("units", "docs")))
+        return pa.table([pa.array(unit[lo != hi]), pa.array(lo[lo != hi])], schema=SHARED)
+
+    return rows.select("doc_id", "text").mapInArrow(pack, "bucket int, units binary, docs binary").groupBy("bucket").applyInArrow(meet, "unit bigint, first bigint")
 
 
 def passages(docs: DataFrame) -> DataFrame:
-    """(doc_id, first_word, n_words, first_doc_id): every run of words whose PASSAGE-word windows all stand in two documents.
+    """(row, doc_id, first_word, n_words, first_doc_id): every run of units that stand in two documents, with one smallest document.
 
-    Exact but for 64-bit hashes, with A-Z in lower case and single blanks. first_doc_id is the smallest id that holds a window; runs
-    of one first document that overlap are one row. A document is an id with a text: rows that repeat both count once, and a
-    null doc_id comes before all others. Keys are summed by their smallest and largest document; no pairs are listed.
+    Any PASSAGE words in a row that two documents share lead to a unit in both. first_doc_id is the smallest id that holds the units of the
+    run. A document is an id: rows that repeat one are no other document, a null doc_id comes before all others. Null and empty texts and an empty
+    table give none. A hashed bitmap keeps most units of one document from the join.
     """
-    rows = text_columns(docs, "doc_id", "text").where("text IS NOT NULL").select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
-    anchor_schema = pa.schema([("anchor", pa.int64()), ("row", pa.int64())])
-    window_schema = pa.schema([("window", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32())])
-
-    def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids, held = [], [], 0
-        for b, k, _, _, least in _slices(batches):
-            keys.append(np.unique(least))
-            ids.append(np.full(len(keys[-1]), b.column("row")[k].as_py()))
-            held += len(keys[-1])
-            if held > 1 << 16:
-                yield batch(anchor_schema, np.concatenate(keys), np.concatenate(ids))
-                keys, ids, held = [], [], 0
-        if held:
-            yield batch(anchor_schema, np.concatenate(keys), np.concatenate(ids))
-
-    def windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, k, places, whole, least in _slices(batches):
-            keep = np.isin(least, b.column("anchors")[k].values.to_numpy())
+    rows = keyed(docs)
+    shared = materialise(shared_units(rows, input_bytes(docs, "text") // 50), "shared")
+    held = bitmap(shared.select("unit"))
+    schema = pa.schema([("unit", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32())])
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, k, at, unit in _slices(batches):
+            keep = perhaps(held.value, unit)
             if n := int(keep.sum()):
-                yield batch(window_schema, whole[keep], np.full(n, b.column("row")[k].as_py()), pa.array([b.column("doc_id")[k].as_py()] * n, pa.int64()), places[keep])
-
-    anchors = materialise(rows.mapInArrow(anchored, "anchor bigint, row bigint"), "anchors")
-    in_two = anchors.groupBy("anchor").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo <> hi").select("anchor")
-    wanted = anchors.join(in_two, "anchor").groupBy("row").agg(F.collect_set("anchor").alias("anchors"))
-    all_of = materialise(rows.join(wanted, "row").select("row", "doc_id", "text", "anchors").mapInArrow(windowed, "window bigint, row bigint, doc_id bigint, at int"), "windows")
-    none = F.lit(-(2**63))
-    in_two = all_of.groupBy("window").agg(F.min("row").alias("lo"), F.max("row").alias("hi"), F.min(F.coalesce("doc_id", none)).alias("first")).where("lo <> hi").select("window", "first")
+                yield batch(schema, unit[keep], np.full(n, b.column("row")[k].as_py()), pa.array([b.column("doc_id")[k].as_py()] * n, pa.int64()), at[keep])
+
     order = Window.partitionBy("row", "first").orderBy("at")
-    begins = F.col("at") > F.coalesce(F.lag("at").over(order), F.lit(-PASSAGE - 1)) + PASSAGE
-    runs = all_of.join(in_two, "window").withColumn("begins", begins.cast("int")).withColumn("run", F.sum("begins").over(order))
+    begins = F.col("at") > F.coalesce(F.lag("at").over(order), F.lit(-UNIT - 1)) + UNIT
+    runs = rows.mapInArrow(candidates, "unit bigint, row bigint, doc_id bigint, at int").join(shared, "unit").withColumn("begins", begins.cast("int")).withColumn("run", F.sum("begins").over(order))
     each = runs.groupBy("row", "first", "run").agg(F.first("doc_id").alias("doc_id"), F.min("at").alias("first_word"), F.max("at").alias("last"))
-    return each.select("doc_id", "first_word", (F.col("last") - F.col("first_word") + PASSAGE).cast("bigint").alias("n_words"), F.nullif("first", none).alias("first_doc_id"))
+    return each.select("row", "doc_id", "first_word", (F.col("last") - F.col("first_word") + UNIT).cast("bigint").alias("n_words"), F.nullif("first", F.lit(NO_ID)).alias("first_doc_id"))
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
-    """(doc_id, first_word, n_words, first_doc_id, kind): the runs of equal words (equal), and the blocks that repeat (block).
+def repeated(docs: DataFrame, min_words: int = MIN_WORDS, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(row, kind, doc_id, first_word, n_words, first_doc_id, removed): the blocks and the passages that repeat.
 
-    first_word counts the words of the whole text from 0. A block is a long line or a run of shorter lines, in a class by its
-    Jaccard; it may overlap a run of equal words. The first of a class is there too.
+    first_word counts the words of the whole text from 0. A passage may overlap a block. The first of a class is there too, with removed
+    false. Of rows that repeat an id and a text, each block counts for itself and passages once.
     """
-    near = repeated(docs, cut=blocks).select("doc_id", F.col("paragraph").alias("first_word"), "n_words", "first_doc_id", F.lit("block").alias("kind"))
-    return passages(docs).withColumn("kind", F.lit("equal")).unionByName(near)
+    near = near_blocks(docs, min_words, width, percent).withColumn("kind", F.lit("block"))
+    equal = passages(docs).select("*", (~F.col("doc_id").eqNullSafe(F.col("first_doc_id"))).alias("removed"), F.lit("passage").alias("kind"))
+    return near.unionByName(equal)
 
 
-def op5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated lines of MIN_WORDS words or more, and no others, as the SQL has it; op5_passages covers every word."""
-    return repeated(read(spark, sf_dir, "documents"))
+def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs with the words of their removed paragraphs taken out of text, each word with the blanks before it.
 
+    Texts without a removed paragraph, and the other columns, stay as they are.
+    """
+    key, gone = fresh(docs, "gone_row"), fresh(docs, "gone")
+    marks = repeated(docs, min_words, width, percent).where("removed").groupBy(F.col("row").alias(key)).agg(F.collect_set(F.struct("first_word", "n_words")).alias(gone))
+    joined = docs.withColumn(key + "_of", F.xxhash64("doc_id", "text")).join(marks, F.col(key + "_of") == F.col(key), "left").drop(key, key + "_of")
+    schema = docs.schema
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = []
+            for t, ranges in zip(b.column("text"), b.column(gone)):
+                text, taken = t.as_py(), ranges.as_py()
+                if text is not None and taken:
+                    drop = {k for r in taken for k in range(r["first_word"], r["first_word"] + r["n_words"])}
+                    out, end = [], 0
+                    for k, m in enumerate(WORD.finditer(text)):
+                        if k not in drop:
+                            out.append(text[end : m.end()])
+                        end = m.end()
+                    text = "".join([*out, text[end:]])
+                texts.append(text)
+            at = b.schema.names.index("text")
+            kept = b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
+            yield kept.drop_columns([gone])
+
+    return joined.mapInArrow(cut, schema)
 
-def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(read(spark, sf_dir, "documents"))
 
+def op5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every repeated paragraph of every whole text, wherever it stands: (kind, doc_id, first_word, n_words, first_doc_id, removed)."""
+    return repeated(read(spark, sf_dir, "documents")).drop("row")
 
-#: DuckDB, by the definition: all pairs of paragraphs that share a shingle, not banded.
-SQL = r"""
+
+def _sql() -> str:
+    """DuckDB, by the definitions: all pairs of blocks that share a shingle, not banded; units where the least shingle value stands."""
+    value = "h0"
+    for k in range(1, WIDTH):
+        value = f"(({value}) * {BASE} + h{k}) % {MODULUS}"
+    ahead = ", ".join(f"lead(h, {k}) OVER o AS h{k}" for k in range(1, WIDTH))
+    return rf"""
 WITH RECURSIVE l AS (
-  SELECT doc_id, unnest(string_split(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS paragraph
+  SELECT doc_id, unnest(string_split(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k
   FROM documents),
-w AS MATERIALIZED (SELECT doc_id, paragraph, w FROM (SELECT doc_id, paragraph, list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM l) WHERE len(w) >= 30),
+y AS MATERIALIZED (SELECT doc_id, k, list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM l),
+x AS (SELECT *, coalesce(sum(len(w)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos,
+             sum(CASE WHEN len(w) >= {MIN_WORDS} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS n_long FROM y),
+w AS MATERIALIZED (SELECT doc_id, min(pos)::INT AS paragraph, flatten(list(w ORDER BY k)) AS w FROM x GROUP BY doc_id, n_long, len(w) >= {MIN_WORDS} HAVING sum(len(w)) >= {MIN_WORDS}),
 c AS MATERIALIZED (SELECT array_to_string(w, ' ') AS id, any_value(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s FROM w GROUP BY 1),
 n AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY id) AS k FROM c),
 t AS MATERIALIZED (SELECT k, len(s) AS n, unnest(s) AS t FROM n),
 p AS MATERIALIZED (
   SELECT a.k AS a, b.k AS b FROM t a JOIN t b ON a.t = b.t AND a.k <> b.k
-  GROUP BY a.k, b.k, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+  GROUP BY a.k, b.k, a.n, b.n HAVING 100 * count(*) >= {PERCENT} * (a.n + b.n - count(*))),
 r(k, root) AS (SELECT k, k FROM n UNION SELECT p.b, r.root FROM r JOIN p ON p.a = r.k WHERE r.root < p.b),
 m AS (SELECT k, min(root) AS root FROM r GROUP BY k),
 o AS (SELECT w.doc_id, w.paragraph, len(w.w)::BIGINT AS n_words, m.root FROM w JOIN n ON n.id = array_to_string(w.w, ' ') JOIN m ON m.k = n.k),
 f AS (SELECT *, count(*) OVER (PARTITION BY root) AS size, first_value(doc_id) OVER (PARTITION BY root ORDER BY doc_id, paragraph) AS first_doc_id,
-             first_value(paragraph) OVER (PARTITION BY root ORDER BY doc_id, paragraph) AS first_paragraph, row_number() OVER (PARTITION BY root ORDER BY doc_id, paragraph) AS k FROM o)
-SELECT doc_id, paragraph::INT AS paragraph, first_doc_id, first_paragraph::INT AS first_paragraph, n_words, k > 1 AS removed FROM f WHERE size > 1
+             row_number() OVER (PARTITION BY root ORDER BY doc_id, paragraph) AS k FROM o),
+d AS MATERIALIZED (SELECT doc_id, flatten(list(w ORDER BY k)) AS w FROM y GROUP BY doc_id HAVING sum(len(w)) >= {PASSAGE}),
+h AS (SELECT doc_id, unnest(range(len(w))) AS i, unnest(list_transform(w, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT // 2)) AS h FROM d),
+v AS (SELECT doc_id, i, h AS h0, {ahead} FROM h WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT doc_id, i, min(({value}) * 4294967296 + i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {PASSAGE - UNIT} FOLLOWING) AS least FROM v),
+q AS (SELECT DISTINCT g.doc_id, g.least % 4294967296 AS pos FROM g JOIN d ON d.doc_id = g.doc_id WHERE g.i <= len(d.w) - {PASSAGE}),
+u AS MATERIALIZED (SELECT q.doc_id, q.pos, array_to_string(d.w[q.pos + 1:q.pos + {UNIT}], ' ') AS unit FROM q JOIN d USING (doc_id)),
+z AS (SELECT unit, min(doc_id) AS first FROM u GROUP BY unit HAVING min(doc_id) <> max(doc_id)),
+e AS (SELECT doc_id, pos, first, pos > coalesce(lag(pos) OVER (PARTITION BY doc_id, first ORDER BY pos), -{UNIT + 1}) + {UNIT} AS begins FROM u JOIN z USING (unit)),
+j AS (SELECT *, sum(begins::INT) OVER (PARTITION BY doc_id, first ORDER BY pos) AS run FROM e)
+SELECT 'block' AS kind, doc_id, paragraph AS first_word, n_words, first_doc_id, k > 1 AS removed FROM f WHERE size > 1
+UNION ALL
+SELECT 'passage', doc_id, min(pos)::INT, (max(pos) - min(pos) + {UNIT})::BIGINT, first, doc_id <> first FROM j GROUP BY doc_id, first, run
 """
+
+
+SQL = _sql()

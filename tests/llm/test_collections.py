@@ -137,8 +137,8 @@ def test_paragraphs_brute(spark, edges, empty):  # noqa: F811
         rows.append((d, "\n".join(lines)))
     rows.append((12, rows[1][1]))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    found = op5_paragraphs.repeated(df).collect()
-    assert {(r.doc_id, r.paragraph) for r in found if r.first_doc_id == 0} == {(d, 1) for d in (0, 3, 6, 9)}
+    found = op5_paragraphs.near_blocks(df).collect()
+    assert {(r.doc_id, r.first_word) for r in found if r.first_doc_id == 0} == {(d, 40) for d in (0, 3, 6, 9)}
     assert {(r.doc_id, r.first_doc_id, r.removed) for r in found if r.doc_id in (1, 12)} == {(1, 1, False), (12, 1, True)}
     cleaned = {r.doc_id: r.text for r in op5_paragraphs.without_repeats(df).collect()}
     assert cleaned[12] == "" and cleaned[0] == rows[0][1] and len(cleaned[9].split("\n")) == 3
@@ -147,30 +147,48 @@ def test_paragraphs_brute(spark, edges, empty):  # noqa: F811
     assert op5_paragraphs.repeated(empty).count() == 0
 
 
-def test_passages_brute(spark, edges, empty):  # noqa: F811
-    """Every word of a 50-word window that two documents hold is found, in short lines and inside longer ones, and no other."""
+def test_passages_brute(spark, edges, empty, monkeypatch):  # noqa: F811
+    """Every 50 words in a row that two documents hold lead to a passage in both, whatever the lines; its words stand in another document."""
+    for name in ("HELD", "BUCKET", "CHARS_AT_ONCE"):  # many blocks, buckets and slices
+        monkeypatch.setattr(op5_paragraphs, name, 200)
     rng = random.Random(10)
     fill = lambda n: [f"z{rng.randrange(10**6)}" for _ in range(n)]
     shared = [f"p{k}" for k in range(60)]
     wrapped = "\n".join(" ".join(shared[k : k + 7]) for k in range(0, 60, 7))
-    rows = [(1, wrapped), (2, " ".join([*fill(200), *shared, *fill(200)])), (3, " ".join([*fill(40), *shared[:49], *fill(40)])), (4, " ".join(fill(300))), (5, "\n".join([*fill(9), *shared[5:55]]))]
+    rows = [(1, wrapped), (2, " ".join([*fill(200), *shared, *fill(200)])), (3, " ".join([*fill(40), *shared[:31], *fill(40)])), (4, " ".join(fill(300))), (5, "\n".join([*fill(9), *shared[5:55]])), (6, "same " * 200), (7, "same " * 80)]
+    rows += [(8 + k, " ".join([*fill(rng.randrange(60)), *shared[:50], *fill(rng.randrange(60))])) for k in range(40)]
     some = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     rows += [(100 + r.doc_id, r.text) for r in some]
     held = {d: common.words(common.ascii_lower(t or "")) for d, t in rows}
-    at = {}
-    for d, w in held.items():
-        for k in range(len(w) - 49):
-            at.setdefault(tuple(w[k : k + 50]), set()).add((d, k))
-    want = {(d, k + j) for places in at.values() if len({d for d, _ in places}) > 1 for d, k in places for j in range(50)}
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    found = op5_paragraphs.passages(df).collect()
-    assert {(r.doc_id, r.first_word + j) for r in found for j in range(r.n_words)} == want
-    assert {(r.doc_id, r.first_word, r.n_words, r.first_doc_id) for r in found if r.doc_id < 100} == {(1, 0, 60, 1), (2, 200, 60, 1), (5, 9, 50, 1)}
-    assert not {1, 2, 5} & {r.doc_id for r in op5_paragraphs.repeated(df).collect()}
-    edit = wrapped.replace("p33", "edit")
-    near = op5_paragraphs.repeated_passages(spark.createDataFrame([(1, wrapped), (2, edit), (3, None)], "doc_id long, text string")).collect()
-    assert {(r.doc_id, r.first_word, r.n_words, r.first_doc_id, r.kind) for r in near} == {(1, 0, 60, 1, "block"), (2, 0, 60, 1, "block")}
-    assert op5_paragraphs.repeated_passages(empty).count() == 0 and op5_paragraphs.passages(edges).count() == 0
+
+    def places(n):
+        at = defaultdict(set)
+        for d, w in held.items():
+            for k in range(len(w) - n + 1):
+                at[tuple(w[k : k + n])].add((d, k))
+        return [p for p in at.values() if len({d for d, _ in p}) > 1]
+
+    found = op5_paragraphs.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    units = {(d, k) for p in places(op5_paragraphs.UNIT) for d, k in p}
+    words = {(d, k + j) for d, k in units for j in range(op5_paragraphs.UNIT)}
+    marked = {(r.doc_id, r.first_word + j) for r in found for j in range(r.n_words)}
+    assert marked <= words
+    for p in places(op5_paragraphs.PASSAGE):
+        for d, k in p:
+            assert sum((d, k + j) in marked for j in range(op5_paragraphs.PASSAGE)) >= op5_paragraphs.UNIT
+    assert {5, *range(8, 48), 1, 2, 6, 7} == {r.doc_id for r in found if r.doc_id < 100}
+    assert all(r.first_doc_id <= r.doc_id for r in found)
+
+
+def test_passages_of_edges(spark, edges, empty):  # noqa: F811
+    assert op5_paragraphs.passages(empty).count() == 0 and op5_paragraphs.passages(edges).count() == 0
+    text = " ".join(f"p{k}" for k in range(60))
+    rows = spark.createDataFrame([(None, text), (None, text), (3, text.upper()), (4, None), (5, "")], "doc_id long, text string")
+    found = sorted((r.doc_id is None, r.first_word, r.n_words, r.first_doc_id, r.removed) for r in op5_paragraphs.repeated(rows).where("kind = 'passage'").collect())
+    assert [f[0] for f in found] == [False, True] and all(f[3] is None and f[2] >= 32 for f in found) and [f[4] for f in found] == [True, False]
+    inside = spark.createDataFrame([(1, text), (2, "one two " + text.replace(" ", "\n") + " three"), (3, "x " + text.replace("p33", "edit"))], "doc_id long, text string")
+    cleaned = {r.doc_id: r.text for r in op5_paragraphs.without_repeats(inside).collect()}
+    assert cleaned[1] == text and len(common.words(cleaned[2])) <= 63 - op5_paragraphs.UNIT
 
 
 def test_bands_recall():
