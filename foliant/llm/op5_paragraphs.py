@@ -16,17 +16,16 @@ one passage. So what is reported as a passage shares at least ``UNIT`` words in
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .collisions import edges
-from .common import WORD, WordHashes, ascii_lower, batch, fresh, input_bytes, materialise, mix, read, shingles, text_columns, words
+from .common import BASE, MODULUS, WORD, Words, batch, flat_shingles, fresh, input_bytes, materialise, mix, read, slices, text_columns
 from .components import components
 from .idfilter import bitmap, perhaps
 from .tiles import verified
@@ -35,14 +34,10 @@ MIN_WORDS = 30
 WIDTH = 5
 PERCENT = 80
 BANDS, ROWS = 10, 3
-#: Texts whose paragraphs are held as words at a time.
-AT_ONCE = 256
 #: Words of a passage that is found wherever it stands, and of the units that are compared.
 PASSAGE, UNIT = 50, 32
-#: The modulus and the base of the permutation that chooses where units start.
-MODULUS, BASE = 2**31 - 1, 1_000_003
-#: Characters of the texts that are cut to units at a time, units that a task holds before it passes them on, and units of a bucket.
-CHARS_AT_ONCE = 2_000_000
+#: Bytes of the texts that are cut at a time, units that a task holds before it passes them on, and units of a bucket.
+AT_ONCE = 2_000_000
 HELD = 1 << 20
 BUCKET = 1 << 20
 #: What a null doc_id counts as.
@@ -52,37 +47,38 @@ PARAGRAPHS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("paragraph
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def blocks(text: str | None, min_words: int = MIN_WORDS) -> Iterator[tuple[int, list[str]]]:
-    """The first word's place and the words of every long line, and of every run of shorter lines that together are long.
+def blocks(w: Words, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first word among all words of w, words) of every long line, and of every run of shorter lines that together are long.
 
-    >>> list(blocks("a b\\n\\nC d e\\nf\\ng h", 3))
-    [(2, ['c', 'd', 'e']), (5, ['f', 'g', 'h'])]
+    >>> [x.tolist() for x in blocks(Words(["a b\\n\\nC d e\\nf\\ng h", "x"], lines=True), 3)]
+    [[0, 0], [2, 5], [3, 3]]
     """
-    at, run = 0, []
-    for line in ascii_lower(text or "").split("\n"):
-        w = words(line)
-        if len(w) < min_words:
-            run += w
-            continue
-        if len(run) >= min_words:
-            yield at, run
-        yield at + len(run), w
-        at, run = at + len(run) + len(w), []
-    if len(run) >= min_words:
-        yield at, run
-
-
-def content_id(w: list[str]) -> int:
-    return xxhash.xxh3_64_intdigest(" ".join(w).encode("utf-8", "surrogatepass")) - 2**63
-
-
-def band_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """BANDS keys for each set: hashes of the band number and of ROWS minima."""
-    flat = np.concatenate(sets)
-    start = np.cumsum([0, *map(len, sets[:-1])])
-    out = np.empty((len(sets), BANDS), np.uint64)
+    long = w.lines >= min_words
+    begins = np.concatenate([[True], (w.line_text[1:] != w.line_text[:-1]) | long[1:] | long[:-1]])[: len(long)]
+    first = np.flatnonzero(begins)
+    if not len(first):
+        return first, first, first
+    n = np.add.reduceat(w.lines, first)
+    at, keep = np.cumsum(n) - n, n >= min_words
+    return w.line_text[first][keep], at[keep], n[keep]
+
+
+def content_ids(w: Words, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the words of each block."""
+    if not len(at):
+        return at
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    word = w.hashes[np.repeat(at, n) + place]
+    parts = mix(word + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1B54A32D192ED03))
+    return mix(np.add.reduceat(parts, np.cumsum(n) - n) + n.astype(np.uint64)).view(np.int64)
+
+
+def band_keys(flat: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """BANDS keys for each set: hashes of the band number and of ROWS minima. n elements of flat each, one at least; repeats do not matter."""
+    start = np.cumsum(n) - n
+    out = np.empty((len(n), BANDS), np.uint64)
     for band in range(BANDS):
-        key = np.full(len(sets), np.uint64(band + 1))
+        key = np.full(len(n), np.uint64(band + 1))
         for r in range(ROWS):
             x = flat * _SEEDS[band * ROWS + r]
             x ^= x >> np.uint64(32)
@@ -101,22 +97,32 @@ def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, width: int = WIDTH)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [(r, d, k, content_id(w), len(w), max(1, len(w) - width + 1)) for r, d, t in zip(b.column("row").to_pylist(), b.column("doc_id").to_pylist(), b.column("text")) for k, w in blocks(t.as_py(), min_words)]
-            if out:
-                yield batch(PARAGRAPHS, *zip(*out))
+            for lo, texts in slices(b.column("text"), AT_ONCE):
+                w = Words(texts, lines=True)
+                text, at, n = blocks(w, min_words)
+                if len(text):
+                    own = pa.array(text + lo)
+                    yield batch(PARAGRAPHS, b.column("row").take(own), b.column("doc_id").take(own), at - w.starts[text], content_ids(w, at, n), n, np.maximum(1, n - width + 1))
 
     return keyed(docs).mapInArrow(rows, "row bigint, doc_id bigint, paragraph int, id bigint, n_words bigint, n bigint")
 
 
+def _shingles(w: Words, at: np.ndarray, n: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingle hashes of blocks one after the other, repeats included, and how many each has; a block has width words at least."""
+    every, size = flat_shingles(w.hashes, width), n - width + 1
+    return every[np.repeat(at - np.cumsum(size) + size, size) + np.arange(size.sum())], size
+
+
 def _collisions(docs: DataFrame, n_keys: int, min_words: int, width: int) -> DataFrame:
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        hashes = WordHashes()
-        for whole in batches:
-            for lo in range(0, whole.num_rows, AT_ONCE):
-                found = {content_id(w): w for t in whole.column("text").slice(lo, AT_ONCE) for _, w in blocks(t.as_py(), min_words)}
-                if found:
-                    made = band_keys([shingles(hashes(w), width) for w in found.values()])
-                    yield made.ravel(), np.repeat(np.fromiter(found, np.int64, len(found)), BANDS)
+        for b in batches:
+            for _, texts in slices(b.column("text"), AT_ONCE):
+                w = Words(texts, lines=True)
+                _, at, n = blocks(w, min_words)
+                if len(at):
+                    ids, one = np.unique(content_ids(w, at, n), return_index=True)
+                    flat, size = _shingles(w, at[one], n[one], width)
+                    yield band_keys(flat, size).ravel(), np.repeat(ids, BANDS)
 
     return edges(text_columns(docs, "text"), keys, n_keys)
 
@@ -139,16 +145,17 @@ def near_blocks(docs: DataFrame, min_words: int = MIN_WORDS, width: int = WIDTH,
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("group", pa.int64()), ("id", pa.int64()), ("copies", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary())])
-        hashes = WordHashes()
         for b in batches:
-            out = []
-            for t, want in zip(b.column("text"), b.column("wanted").to_pylist()):
-                by_place = dict(blocks(t.as_py(), min_words))
-                for x in want:
-                    s = shingles(hashes(by_place[x["paragraph"]]), width)
-                    out.append((x["group"], x["id"], x["copies"], len(s), s.tobytes()))
-            if out:
-                yield batch(schema, *zip(*out))
+            for lo, texts in slices(b.column("text"), AT_ONCE):
+                w = Words(texts)
+                every, out = flat_shingles(w.hashes, width), []
+                for start, want in zip(w.starts.tolist(), b.column("wanted").slice(lo, len(texts)).to_pylist()):
+                    for x in want:
+                        at = start + x["paragraph"]
+                        s = np.unique(every[at : at + x["n"]])
+                        out.append((x["group"], x["id"], x["copies"], len(s), s.tobytes()))
+                if out:
+                    yield batch(schema, *zip(*out))
 
     members = keyed(docs).join(wanted, "row").select("text", "wanted").mapInArrow(with_sets, "group bigint, id bigint, copies bigint, n bigint, shingles binary")
     found, _ = verified(materialise(members, "members"), percent)
@@ -160,27 +167,6 @@ def near_blocks(docs: DataFrame, min_words: int = MIN_WORDS, width: int = WIDTH,
     return all_of.join(ids, "id").select("row", "doc_id", F.col("paragraph").alias("first_word"), "n_words", F.col("first.doc_id").alias("first_doc_id"), (~where.eqNullSafe(F.col("first"))).alias("removed"))
 
 
-class Vocabulary:
-    """The 64-bit hash of each word, and the first 31 bits of its MD5; remembered up to a bound, then emptied."""
-
-    BOUND = 400_000
-
-    def __init__(self) -> None:
-        self.seen: dict[str, int] = {}
-        self.wide, self.short = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-
-    def __call__(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.seen) > self.BOUND:
-            self.__init__()
-        new = [(w, w.encode("utf-8", "surrogatepass")) for w in set(tokens).difference(self.seen)]
-        if new:
-            self.seen.update(zip((w for w, _ in new), range(len(self.wide), len(self.wide) + len(new))))
-            self.wide = np.append(self.wide, np.array([xxhash.xxh3_64_intdigest(raw) for _, raw in new], np.uint64))
-            self.short = np.append(self.short, np.array([int.from_bytes(hashlib.md5(raw).digest()[:4], "big") >> 1 for _, raw in new], np.uint64))
-        at = np.fromiter(map(self.seen.__getitem__, tokens), np.int64, len(tokens))
-        return self.wide[at], self.short[at]
-
-
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the n words from each place on, by doubling."""
     out, done, power, size = None, 0, hashes, 1
@@ -203,43 +189,30 @@ def least_of(values: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(values[: len(values) - rest], values[rest:])
 
 
-def units(texts: list[str], known: Vocabulary) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(text, places, hashes) of the units of every text of PASSAGE words or more.
+def units(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place in the text, hash) of the units of every text of PASSAGE words or more; w has short hashes.
 
-    >>> [len(at) > 0 for _, at, _ in units(["a b c", "w " * 60], Vocabulary())]
-    [True]
+    >>> len(units(Words(["a b c", "w " * 60], short=True))[0]) > 0
+    True
     """
-    lists = [words(ascii_lower(t)) for t in texts]
-    held = [(k, len(w)) for k, w in enumerate(lists) if len(w) >= PASSAGE]
-    if not held:
-        return
-    wide, short = known([w for k, _ in held for w in lists[k]])
-    value = short[: len(short) - WIDTH + 1] % np.uint64(MODULUS)
+    held = np.flatnonzero(w.counts >= PASSAGE)
+    if not len(held):
+        return held, held, held
+    value = w.short[: len(w.short) - WIDTH + 1]
     for k in range(1, WIDTH):
-        value = (value * np.uint64(BASE) + short[k : len(short) - WIDTH + 1 + k]) % np.uint64(MODULUS)
+        value = (value * np.uint64(BASE) + w.short[k : len(w.short) - WIDTH + 1 + k]) % np.uint64(MODULUS)
     # value and place in one number: the least one is the first of the least values
     placed = (value.astype(np.int64) << 32) + np.arange(len(value))
-    chosen, whole = least_of(placed, PASSAGE - UNIT + 1) & 0xFFFFFFFF, grams(wide, UNIT).view(np.int64)
-    start = 0
-    for k, n in held:
-        at = np.unique(chosen[start : start + n - PASSAGE + 1])
-        yield k, at - start, whole[at]
-        start += n
-
-
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray]]:
-    known = Vocabulary()
-    for b in batches:
-        held, size = [], 0
-        for k, t in enumerate(b.column("text")):
-            held.append((k, t.as_py()))
-            size += len(held[-1][1])
-            if size > CHARS_AT_ONCE or k == b.num_rows - 1:
-                for j, at, found in units([t for _, t in held], known):
-                    yield b, held[j][0], at, found
-                held, size = [], 0
+    chosen = least_of(placed, PASSAGE - UNIT + 1) & 0xFFFFFFFF
+    n = w.counts[held] - PASSAGE + 1
+    text = np.repeat(held, n)
+    at = chosen[np.arange(n.sum()) + np.repeat(w.starts[held] - np.cumsum(n) + n, n)]
+    new = np.concatenate([[True], at[1:] != at[:-1]])  # a later window never has an earlier least
+    text, at = text[new], at[new]
+    return text, at - w.starts[text], grams(w.hashes, UNIT).view(np.int64)[at]
 
 
+UNITS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("units", pa.binary()), ("places", pa.binary())])
 MET = pa.schema([("bucket", pa.int32()), ("units", pa.binary()), ("docs", pa.binary())])
 SHARED = pa.schema([("unit", pa.int64()), ("first", pa.int64())])
 
@@ -253,8 +226,27 @@ def _ends(unit: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return unit[first], doc[first], doc[last]
 
 
+def text_units(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, units, places): the units of every text that has one, packed."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, texts in slices(b.column("text"), AT_ONCE):
+                text, at, unit = units(Words(texts, short=True))
+                if len(text):
+                    first = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+                    own = pa.array(text[first] + lo)
+                    parts = [[x.tobytes() for x in np.split(v, first[1:])] for v in (unit, at.astype("<i4"))]
+                    yield batch(UNITS, b.column("row").take(own), b.column("doc_id").take(own), *parts)
+
+    return keyed(docs).mapInArrow(rows, "row bigint, doc_id bigint, units binary, places binary")
+
+
 def shared_units(rows: DataFrame, n_units: int) -> DataFrame:
-    """(unit, first): the units that stand in two documents, with the smallest id. A task passes on two ids of a unit at most."""
+    """(unit, first): the units of rows(doc_id, units) that stand in two documents, with the smallest id.
+
+    A task passes on two ids of a unit at most.
+    """
     n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_units // BUCKET))
 
     def packed(found: list[np.ndarray], docs: list[np.ndarray]) -> pa.RecordBatch:
@@ -268,14 +260,14 @@ def shared_units(rows: DataFrame, n_units: int) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, docs, held = [], [], 0
-        for b, k, _, unit in _slices(batches):
-            doc = b.column("doc_id")[k].as_py()
-            found.append(unit)
-            docs.append(np.full(len(unit), NO_ID if doc is None else doc, np.int64))
-            held += len(unit)
-            if held > HELD:
-                yield packed(found, docs)
-                found, docs, held = [], [], 0
+        for b in batches:
+            for doc, raw in zip(b.column("doc_id").fill_null(NO_ID).to_pylist(), b.column("units")):
+                found.append(np.frombuffer(raw.as_buffer(), np.int64))
+                docs.append(np.full(len(found[-1]), doc, np.int64))
+                held += len(found[-1])
+                if held > HELD:
+                    yield packed(found, docs)
+                    found, docs, held = [], [], 0
         if held:
             yield packed(found, docs)
 
@@ -283,7 +275,7 @@ def shared_units(rows: DataFrame, n_units: int) -> DataFrame:
         unit, lo, hi = _ends(*(np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table[c]]) for c in ("units", "docs")))
         return pa.table([pa.array(unit[lo != hi]), pa.array(lo[lo != hi])], schema=SHARED)
 
-    return rows.select("doc_id", "text").mapInArrow(pack, "bucket int, units binary, docs binary").groupBy("bucket").applyInArrow(meet, "unit bigint, first bigint")
+    return rows.select("doc_id", "units").mapInArrow(pack, "bucket int, units binary, docs binary").groupBy("bucket").applyInArrow(meet, "unit bigint, first bigint")
 
 
 def passages(docs: DataFrame) -> DataFrame:
@@ -293,16 +285,19 @@ def passages(docs: DataFrame) -> DataFrame:
     run. A document is an id: rows that repeat one are no other document, a null doc_id comes before all others. Null and empty texts and an empty
     table give none. A hashed bitmap keeps most units of one document from the join.
     """
-    rows = keyed(docs)
-    shared = materialise(shared_units(rows, input_bytes(docs, "text") // 50), "shared")
+    rows = materialise(text_units(docs), "units")
+    shared = materialise(shared_units(rows, input_bytes(rows, "units") // 8), "shared")
     held = bitmap(shared.select("unit"))
     schema = pa.schema([("unit", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32())])
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, k, at, unit in _slices(batches):
-            keep = perhaps(held.value, unit)
-            if n := int(keep.sum()):
-                yield batch(schema, unit[keep], np.full(n, b.column("row")[k].as_py()), pa.array([b.column("doc_id")[k].as_py()] * n, pa.int64()), at[keep])
+        for b in batches:
+            size = pc.divide(pc.binary_length(b.column("units")), 8).to_numpy()
+            if size.sum():
+                unit, at = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in b.column(c)]) for c, kind in (("units", np.int64), ("places", "<i4")))
+                keep = perhaps(held.value, unit)
+                own = pa.array(np.repeat(np.arange(b.num_rows), size)[keep])
+                yield batch(schema, unit[keep], b.column("row").take(own), b.column("doc_id").take(own), at[keep])
 
     order = Window.partitionBy("row", "first").orderBy("at")
     begins = F.col("at") > F.coalesce(F.lag("at").over(order), F.lit(-UNIT - 1)) + UNIT
@@ -384,7 +379,10 @@ o AS (SELECT w.doc_id, w.paragraph, len(w.w)::BIGINT AS n_words, m.root FROM w J
 f AS (SELECT *, count(*) OVER (PARTITION BY root) AS size, first_value(doc_id) OVER (PARTITION BY root ORDER BY doc_id, paragraph) AS first_doc_id,
              row_number() OVER (PARTITION BY root ORDER BY doc_id, paragraph) AS k FROM o),
 d AS MATERIALIZED (SELECT doc_id, flatten(list(w ORDER BY k)) AS w FROM y GROUP BY doc_id HAVING sum(len(w)) >= {PASSAGE}),
-h AS (SELECT doc_id, unnest(range(len(w))) AS i, unnest(list_transform(w, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT // 2)) AS h FROM d),
+b AS MATERIALIZED (SELECT DISTINCT unnest(w) AS word FROM d),
+s AS MATERIALIZED (SELECT word, list_reduce(list_prepend(0, list_reverse(list_transform(range(strlen(word)), lambda i: ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::BIGINT))), lambda x, y: (x * {BASE} + y) % {MODULUS}) AS h FROM b),
+i AS (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS word FROM d),
+h AS (SELECT doc_id, i, h FROM i JOIN s USING (word)),
 v AS (SELECT doc_id, i, h AS h0, {ahead} FROM h WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 g AS (SELECT doc_id, i, min(({value}) * 4294967296 + i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {PASSAGE - UNIT} FOLLOWING) AS least FROM v),
 q AS (SELECT DISTINCT g.doc_id, g.least % 4294967296 AS pos FROM g JOIN d ON d.doc_id = g.doc_id WHERE g.i <= len(d.w) - {PASSAGE}),

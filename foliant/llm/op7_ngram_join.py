@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .collisions import edges
-from .common import WordHashes, ascii_lower, batch, fresh, input_bytes, materialise, mix, read, shingles, text_columns, words
+from .common import batch, fresh, input_bytes, materialise, mix, read, shingle_sets, slices, text_columns
 from .components import components
 from .frequencies import prefixes
 from .idfilter import bitmap, perhaps
@@ -33,10 +33,6 @@ def set_hash(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
 
 
-def shingle_set(text: str | None, hashes: WordHashes, width: int = WIDTH) -> np.ndarray:
-    return shingles(hashes(words(ascii_lower(text))), width) if text else np.zeros(0, np.uint64)
-
-
 def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links), one row per row of docs.
 
@@ -46,11 +42,10 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        hashes = WordHashes()
         for b in batches:
-            for doc_id, t in zip(b.column("doc_id").to_pylist(), b.column("text")):
-                s = shingle_set(t.as_py(), hashes, width)
-                yield doc_id, s, *set_hash(s)
+            for lo, texts in slices(b.column("text")):
+                for doc_id, s in zip(b.column("doc_id").slice(lo, len(texts)).to_pylist(), shingle_sets(texts, width)):
+                    yield doc_id, s, *set_hash(s)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for b in batches:
@@ -75,14 +70,13 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("shingles", pa.binary())])
-        hashes = WordHashes()
         for b in batches:
             if not b.num_rows:
                 continue
             b = b.filter(pa.array(perhaps(held.value, b.column("doc_id").to_numpy())))
-            found = [shingle_set(t.as_py(), hashes, width) for t in b.column("text")]
-            if found:
-                yield batch(schema, b.column("doc_id"), *zip(*map(set_hash, found)), [s.tobytes() for s in found])
+            for lo, texts in slices(b.column("text")):
+                found = list(shingle_sets(texts, width))
+                yield batch(schema, b.column("doc_id").slice(lo, len(texts)), *zip(*map(set_hash, found)), [s.tobytes() for s in found])
 
     # of rows that repeat an id with another text, those of a wanted class alone find their match
     members = known.mapInArrow(with_sets, "id bigint, h1 bigint, h2 bigint, shingles binary").join(chosen, ["id", "h1", "h2"])
@@ -94,9 +88,9 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     alone = sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("bigint").alias("n_links"))
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for b in batches:
-            yield batch(pa.schema([("n", pa.int64())]), [len(shingle_set(t.as_py(), hashes, width)) for t in b.column("text")])
+            for _, texts in slices(b.column("text")):
+                yield batch(pa.schema([("n", pa.int64())]), [len(s) for s in shingle_sets(texts, width)])
 
     none = F.lit(None).cast("bigint")
     nameless = docs.where("doc_id IS NULL").select("text").mapInArrow(sized, "n bigint").select(none.alias("doc_id"), F.col("n").alias("n_shingles"), none.alias("component_id"), F.lit(0).cast("bigint").alias("n_links"))

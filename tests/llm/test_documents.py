@@ -34,6 +34,21 @@ def empty(edges):
     return edges.where("false")
 
 
+def test_hashed_words(monkeypatch):
+    """The words of several texts at once, by their bytes, are those of the pattern; equal words have equal hashes."""
+    rng = random.Random(1)
+    for chunk in (1 << 22, 7):
+        monkeypatch.setattr(common, "CHUNK", chunk)
+        for _ in range(100):
+            texts = ["".join(rng.choice(["a", "B", "é", " ", "\n", "\t", "漢", "\x1c", "\xa0", "x" * 70, "x" * 70 + "y"]) for _ in range(rng.randrange(40))) for _ in range(3)] + [None]
+            held, w, seen = [common.words(common.ascii_lower(t or "")) for t in texts], common.Words(texts, short=True, lines=True), {}
+            assert w.counts.tolist() == list(map(len, held))
+            assert w.lines.tolist() == [len(common.words(line)) for t in texts for line in (t or "").split("\n")]
+            for word, h, short in zip((x for ws in held for x in ws), w.hashes.tolist(), w.short.tolist(), strict=True):
+                assert seen.setdefault(word, h) == h and short == sum(b * common.BASE**k for k, b in enumerate(word.encode())) % common.MODULUS
+            assert len(set(seen.values())) == len(seen)
+
+
 def test_words():
     for text in [t for _, t in EDGES if t] + ["\xa0a\x85b c", " a\x0b\x0cb\r"]:
         assert common.words(text) == re.findall(r"[^\x20\x09-\x0D]+", text)
