@@ -23,7 +23,8 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     seen = _mark(now)
     for _ in range(limit):
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # a table of its own: the join then has a shuffle of its own, whose hot ids the adaptive plan splits
+        least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         pair = large.join(least, "hi")

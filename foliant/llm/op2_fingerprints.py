@@ -16,6 +16,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,8 +35,8 @@ SEED = 20240607
 LANES = 6_000_000
 #: Bytes of text of a partition while the following text is looked up.
 TARGET = 24 << 20
-#: Ranges at most; they are read as streams, so a larger table has longer ranges.
-RANGES = 1024
+#: Ranges at most (their bounds are broadcast: 0.5 MB). They are sorted and read as streams, so a larger table has longer ranges: 1.5 GB each at 100 TB.
+RANGES = 1 << 16
 BANDS, BAND_SLOTS = 40, 8
 LIKENESS = 0.8
 
@@ -155,28 +156,54 @@ def band_keys(prints: np.ndarray) -> np.ndarray:
     return mix(key)
 
 
+SENT = pa.schema([("part", pa.int32()), ("last", pa.bool_()), ("doc_id", pa.int64()), ("head", pa.string()), ("tie", pa.int64()), ("packed", pa.binary())])
+
+
 def followed(docs: DataFrame) -> DataFrame:
-    """(part, last, doc_id, text): the rows of docs dealt to ranges of doc_id, each range followed by the first row of the next.
+    """(part, last, doc_id, packed): the rows of docs dealt to ranges of doc_id, each range followed by the first row of the next.
 
-    The row that follows (last is true) is there for its text alone. The last range is followed by the first row of all. Rows of one
-    doc_id are in the order of their texts; a null doc_id comes first, a null text is empty.
+    packed is the text, compressed. The row that follows (last is true) is there for its text alone. The last range is followed by the first
+    row of all. Rows of one doc_id are in the order of the first 32 characters, then of a hash, of their texts; a null doc_id comes first, a null text is empty.
     """
     spark = docs.sparkSession
     rows = text_columns(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n = min(RANGES, partitions_for(spark, input_bytes(docs, "text"), TARGET))
     # n - 1 bounds between ranges, whatever the table holds
-    quantiles = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 10_000).alias("q")).first()["q"] or []
-    bounds = sorted(set(quantiles))
-    ranged = rows.withColumn("part", F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("doc_id"))), F.lit(0)) if bounds else F.lit(0))
-    starts = ranged.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("s")).orderBy("part").collect()
-    before = {r.part: starts[k - 1].part for k, r in enumerate(starts)}
-    first = {r.part: r.s.doc_id for r in starts}
-    arms = F.lit(None).cast("int")
-    for part, start in first.items():
-        arms = F.when((F.col("part") == part) & F.col("doc_id").eqNullSafe(F.lit(start)), F.lit(before[part])).otherwise(arms)
-    own = F.struct(F.col("part"), F.lit(False).alias("last"))
-    sent = ranged.withColumn("to", F.explode(F.when(arms.isNull(), F.array(own)).otherwise(F.array(own, F.struct(arms.alias("part"), F.lit(True).alias("last"))))))
-    return sent.select("to.part", "to.last", "doc_id", "text").repartition(max(len(starts), 1), "part").sortWithinPartitions("part", "last", F.col("doc_id").asc_nulls_first(), "text")
+    quantiles = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], max(10_000, 4 * n)).alias("q")).first()["q"] or []
+    sent = spark.sparkContext.broadcast(np.array(sorted(set(quantiles)), np.int64))
+
+    def parts(ids: pa.Array) -> np.ndarray:
+        return np.where(ids.is_valid().to_numpy(zero_copy_only=False), np.searchsorted(sent.value, ids.fill_null(0).to_numpy()), 0).astype(np.int32)
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("part", pa.int32()), ("known", pa.bool_()), ("doc_id", pa.int64())])
+        first: dict[int, tuple] = {}
+        for b in batches:
+            for part, doc_id in zip(parts(b.column("doc_id")).tolist(), b.column("doc_id").to_pylist()):
+                key = (doc_id is not None, doc_id)
+                if part not in first or key < first[part]:
+                    first[part] = key
+        if first:
+            yield batch(schema, list(first), *zip(*first.values()))
+
+    starts = rows.select("doc_id").mapInArrow(least, "part int, known boolean, doc_id bigint").groupBy("part").agg(F.min(F.struct("known", "doc_id")).alias("s")).orderBy("part").collect()
+    places = spark.sparkContext.broadcast({r.part: (r.s.doc_id, starts[k - 1].part) for k, r in enumerate(starts)})
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            out = []
+            for part, doc_id, *tie, t in zip(parts(b.column("doc_id")).tolist(), *(b.column(c).to_pylist() for c in ("doc_id", "head", "tie")), b.column("text")):
+                first, before = places.value[part]
+                packed = packer.compress(t.as_buffer())
+                out.append((part, False, doc_id, *tie, packed))
+                if doc_id == first:
+                    out.append((before, True, doc_id, *tie, packed))
+            if out:
+                yield batch(SENT, *zip(*out))
+
+    made = rows.select("doc_id", F.substring("text", 1, 32).alias("head"), F.xxhash64("text").alias("tie"), "text").mapInArrow(dealt, "part int, last boolean, doc_id bigint, head string, tie bigint, packed binary")
+    return made.repartition(max(len(starts), 1), "part").sortWithinPartitions("part", "last", F.col("doc_id").asc_nulls_first(), "head", "tie").drop("head", "tie")
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("edited_meets", pa.bool_())])
@@ -186,7 +213,8 @@ OUT_DDL = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint stri
 def with_edits(docs: DataFrame) -> DataFrame:
     """One row per row of docs: its fingerprint, that of its edited text, and their likeness to it and to the next row's.
 
-    edited_meets tells whether the bands bring the text and its edited text together. A table of one row follows itself.
+    edited_meets tells whether the bands bring the text and its edited text together. A table of one row follows itself, an empty one gives
+    no row; a null text is empty; rows that repeat an id follow each other.
     """
 
     def run(rows: list[tuple], following: str) -> pa.RecordBatch:
@@ -201,9 +229,10 @@ def with_edits(docs: DataFrame) -> DataFrame:
     def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []  # rows of one range whose following text is still to come
         size, closed = 0, False
+        unpacker = zstandard.ZstdDecompressor()
         for b in batches:
-            for last, doc_id, t in zip(b.column("last").to_pylist(), b.column("doc_id").to_pylist(), b.column("text")):
-                text = t.as_py()
+            for last, doc_id, t in zip(b.column("last").to_pylist(), b.column("doc_id").to_pylist(), b.column("packed")):
+                text = unpacker.decompress(t.as_buffer()).decode("utf-8", "surrogatepass")
                 if last:
                     # of rows that repeat the next range's first doc_id, the first in order follows
                     if not closed:
@@ -220,6 +249,13 @@ def with_edits(docs: DataFrame) -> DataFrame:
     return followed(docs).mapInArrow(walked, OUT_DDL)
 
 
+def slot_set(packed: bytes | pa.Buffer) -> np.ndarray:
+    """The slots of a packed fingerprint as a set: a slot and its value are one element, so slots in common are an intersection."""
+    two = np.frombuffer(packed, np.uint8)
+    slots = np.stack([two >> 4, two & 15], 1).ravel().astype(np.uint64)
+    return np.sort(mix((np.arange(len(slots), dtype=np.uint64) << np.uint64(4)) + slots))
+
+
 def _classed(prints: DataFrame, least: float) -> DataFrame:
     """(fingerprint, class_id): the class of every fingerprint of prints(doc_id, fingerprint) that a row with an id holds."""
 
@@ -228,20 +264,12 @@ def _classed(prints: DataFrame, least: float) -> DataFrame:
             if b.num_rows:
                 yield band_keys(from_text(b.column("fingerprint").to_pylist())).ravel(), np.repeat(b.column("id").to_numpy(), BANDS)
 
-    def with_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a slot and its value are one element of a set, so slots in common are an intersection
-        out = pa.schema([("group", pa.int64()), ("id", pa.int64()), ("copies", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary())])
-        for b in batches:
-            if b.num_rows:
-                tokens = np.sort(mix((np.arange(SLOTS, dtype=np.uint64) << np.uint64(4)) + from_text(b.column("fingerprint").to_pylist())), axis=1)
-                yield batch(out, b.column("group"), b.column("id"), b.column("copies"), [SLOTS] * b.num_rows, [t.tobytes() for t in tokens])
-
     some = prints.where("doc_id IS NOT NULL")
     classes = materialise(some.groupBy("fingerprint").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")), "classes")
     groups = components(edges(classes.select("id", "fingerprint"), keys, BANDS * classes.count()))
-    members = classes.join(groups, "id").select(F.col("component").alias("group"), "id", "copies", "fingerprint").mapInArrow(with_slots, "group bigint, id bigint, copies bigint, n bigint, shingles binary")
+    members = classes.join(groups, "id").select(F.col("component").alias("group"), "id", "copies", F.lit(SLOTS).cast("bigint").alias("n"), F.unhex("fingerprint").alias("shingles"))
     shared = int(np.ceil(least * SLOTS))
-    found, _ = verified(materialise(members, "members"), 100 * shared / (2 * SLOTS - shared) - 1e-9)
+    found, _ = verified(materialise(members, "members"), 100 * shared / (2 * SLOTS - shared) - 1e-9, slot_set)
     return classes.join(components(found), "id", "left").select("fingerprint", F.coalesce("component", "id").alias("class_id"))
 
 

@@ -10,6 +10,8 @@ overlap from above.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -78,7 +80,11 @@ def compare(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, same: b
     return linked
 
 
-def _tile(table: pa.Table, percent: float) -> pa.Table:
+def _numbers(raw: pa.Buffer) -> np.ndarray:
+    return np.frombuffer(raw, np.uint64)
+
+
+def _tile(table: pa.Table, percent: float, unpack: Callable = _numbers) -> pa.Table:
     """All tiles of one bucket: edges of a spanning forest (other not null) and link counts weighted by copies."""
     order = np.lexsort((table["id"].to_numpy(), table["side"].to_numpy(), table["tile"].to_numpy()))
     tile, side, ids, copies = (table[n].to_numpy()[order] for n in ("tile", "side", "id", "copies"))
@@ -90,7 +96,7 @@ def _tile(table: pa.Table, percent: float) -> pa.Table:
     out: list[tuple] = []
     cuts = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1], [True]])) if len(tile) else np.zeros(1, int)
     for lo, hi in zip(cuts[:-1], cuts[1:]):
-        sets = [np.frombuffer(raw[int(k)].as_buffer(), np.uint64) for k in order[lo:hi]]
+        sets = [unpack(raw[int(k)].as_buffer()) for k in order[lo:hi]]
         at = np.arange(hi - lo)
         same = side[lo] == 2
         left, right = (at, at) if same else (at[side[lo:hi] == 0], at[side[lo:hi] == 1])
@@ -121,6 +127,8 @@ def assign(members: DataFrame) -> DataFrame:
         F.sum("m").alias("members"),
         F.when(blocks(F.sum("m"), F.sum("s")) <= 1, F.lit(None)).otherwise(F.map_from_entries(F.collect_list(F.struct("band", blocks(F.col("m"), F.col("s")))))).alias("salts"),
     ).where("members > 1")
+    # a table of its own, so that the join below has a shuffle of its own, whose hot groups the adaptive plan splits
+    whole = materialise(whole, "groups")
     n_small = max(1, whole.where("salts IS NULL").agg(F.sum("members")).first()[0] or 1)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_small // BUCKET_MEMBERS))
     placed = members.join(whole, "group").withColumn("band", band).withColumn("salt", F.expr("pmod(xxhash64(id), coalesce(salts[band], 1))"))
@@ -137,12 +145,12 @@ def assign(members: DataFrame) -> DataFrame:
     return each.select(bucket.alias("bucket"), key.alias("tile"), F.col("t.side").cast("int").alias("side"), *[F.col(f"`{c}`") for c in members.columns if c not in ("group", "n")])
 
 
-def verified(members: DataFrame, percent: float = 80) -> tuple[DataFrame, DataFrame]:
+def verified(members: DataFrame, percent: float = 80, unpack: Callable = _numbers) -> tuple[DataFrame, DataFrame]:
     """The links of members(group, id, copies, n, shingles): edges (a, b) of a forest with the same components, and (id, links).
 
-    links counts the rows, copies included, whose sets lie within the similarity, other than the member's own copies.
+    unpack makes the sorted 64-bit elements of a set from its shingles. links counts the rows, copies included, whose sets lie within the similarity, other than the member's own copies.
     """
-    found = assign(members).groupBy("bucket").applyInArrow(lambda t: _tile(t.drop_columns("bucket"), percent), "id bigint, other bigint, links bigint")
+    found = assign(members).groupBy("bucket").applyInArrow(lambda t: _tile(t.drop_columns("bucket"), percent, unpack), "id bigint, other bigint, links bigint")
     found = materialise(found, "links")
     return found.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")), found.where("other IS NULL").groupBy("id").agg(F.sum("links").alias("links"))
 
