@@ -22,6 +22,9 @@ HELD = 1 << 20
 BUCKET_KEYS = 1 << 20
 
 BLOCKS = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("edges", pa.binary())])
+#: What a null id counts as.
+NO_ID = -(2**63)
+
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -103,3 +106,52 @@ def edges(rows: DataFrame, source: Callable, n_keys: int) -> DataFrame:
     n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_keys // BUCKET_KEYS))
     packed = rows.mapInArrow(blocks(source, n), "bucket int, keys binary, ids binary, edges binary")
     return packed.groupBy("bucket").applyInArrow(meet, "a bigint, b bigint").distinct()
+
+
+MET = pa.schema([("bucket", pa.int32()), ("units", pa.binary()), ("docs", pa.binary())])
+SHARED = pa.schema([("key", pa.int64()), ("first", pa.int64())])
+
+
+def _ends(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys with the smallest and the largest id of each."""
+    order = np.lexsort((ids, key))
+    key, ids = key[order], ids[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    last = np.append(first[1:], len(key))[: len(first)] - 1
+    return key[first], ids[first], ids[last]
+
+
+def shared_keys(rows: DataFrame, n_keys: int) -> DataFrame:
+    """(key, first): the keys of rows(doc_id, units), 64-bit numbers packed into a binary, that stand under two ids, with the smallest id.
+
+    A task passes on two ids of a key at most. n_keys: about how many keys there are.
+    """
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_keys // BUCKET_KEYS))
+
+    def packed(found: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
+        key, lo, hi = _ends(np.concatenate(found), np.concatenate(ids))
+        key, own = np.concatenate([key, key[lo != hi]]), np.concatenate([lo, hi[lo != hi]])
+        bucket = ((key.view(np.uint64) >> np.uint64(20)) % np.uint64(n)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        name, start = np.unique(bucket[order], return_index=True)
+        parts = zip(np.split(key[order], start[1:]), np.split(own[order], start[1:]))
+        return batch(MET, name, *zip(*((k.tobytes(), i.tobytes()) for k, i in parts)))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, ids, held = [], [], 0
+        for b in batches:
+            for own, raw in zip(b.column("doc_id").fill_null(NO_ID).to_pylist(), b.column("units")):
+                found.append(np.frombuffer(raw.as_buffer(), np.int64))
+                ids.append(np.full(len(found[-1]), own, np.int64))
+                held += len(found[-1])
+                if held > HELD:
+                    yield packed(found, ids)
+                    found, ids, held = [], [], 0
+        if held:
+            yield packed(found, ids)
+
+    def meet(table: pa.Table) -> pa.Table:
+        key, lo, hi = _ends(*(np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table[c]]) for c in ("units", "docs")))
+        return pa.table([pa.array(key[lo != hi]), pa.array(lo[lo != hi])], schema=SHARED)
+
+    return rows.select("doc_id", "units").mapInArrow(pack, "bucket int, units binary, docs binary").groupBy("bucket").applyInArrow(meet, "key bigint, first bigint")

@@ -20,9 +20,10 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .collisions import edges
+from .collisions import shared_keys
 from .common import batch, input_bytes, materialise, mix, partitions_for, read, text_columns
 from .components import components
+from .idfilter import bitmap, perhaps
 from .tiles import verified
 
 SLOTS = 128
@@ -257,20 +258,47 @@ def slot_set(packed: bytes | pa.Buffer) -> np.ndarray:
 
 
 def _classed(prints: DataFrame, least: float) -> DataFrame:
-    """(fingerprint, class_id): the class of every fingerprint of prints(doc_id, fingerprint) that a row with an id holds."""
+    """(fingerprint, class_id): the class of every fingerprint of prints(doc_id, fingerprint) that a row with an id holds.
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    Each fingerprint is first verified against the smallest one of every band key that it shares. Only the keys
+    whose holders are not all linked by then have all their pairs compared, in tiles.
+    """
+    key_schema = pa.schema([("key", pa.int64()), ("id", pa.int64())])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield batch(pa.schema([("doc_id", pa.int64()), ("units", pa.binary())]), b.column("id"), [k.tobytes() for k in band_keys(from_text(b.column("fingerprint").to_pylist()))])
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                keys = band_keys(from_text(b.column("fingerprint").to_pylist())).ravel().view(np.int64)
+                keep = perhaps(held.value, keys)
+                yield batch(key_schema, keys[keep], np.repeat(b.column("id").to_numpy(), BANDS)[keep])
+
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield band_keys(from_text(b.column("fingerprint").to_pylist())).ravel(), np.repeat(b.column("id").to_numpy(), BANDS)
+                yield b.select(["a", "b"]).filter(pa.array(likeness(*(from_text(b.column(c).to_pylist()) for c in ("x", "y"))) >= least))
 
     some = prints.where("doc_id IS NOT NULL")
     classes = materialise(some.groupBy("fingerprint").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")), "classes")
-    groups = components(edges(classes.select("id", "fingerprint"), keys, BANDS * classes.count()))
-    members = classes.join(groups, "id").select(F.col("component").alias("group"), "id", "copies", F.lit(SLOTS).cast("bigint").alias("n"), F.unhex("fingerprint").alias("shingles"))
-    shared = int(np.ceil(least * SLOTS))
-    found, _ = verified(materialise(members, "members"), 100 * shared / (2 * SLOTS - shared) - 1e-9, slot_set)
-    return classes.join(components(found), "id", "left").select("fingerprint", F.coalesce("component", "id").alias("class_id"))
+    shared = materialise(shared_keys(classes.select("id", "fingerprint").mapInArrow(packed, "doc_id bigint, units binary"), BANDS * classes.count()), "shared")
+    held = bitmap(shared.select("key"))
+    met = materialise(classes.select("id", "fingerprint").mapInArrow(candidates, "key bigint, id bigint").join(shared, "key"), "met")
+    own = classes.select("id", "fingerprint")
+    pairs = met.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
+    sides = pairs.join(own.select(F.col("id").alias("a"), F.col("fingerprint").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("fingerprint").alias("y")), "b")
+    links = materialise(sides.mapInArrow(checked, "a bigint, b bigint"), "links")
+    known = materialise(components(links), "components")
+    labelled = met.join(known, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
+    open_keys = materialise(labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key"), "open")
+    members = met.join(open_keys, "key").join(classes, "id").select(F.col("key").alias("group"), "id", "copies", F.lit(SLOTS).cast("bigint").alias("n"), F.unhex("fingerprint").alias("shingles"))
+    part = int(np.ceil(least * SLOTS))
+    found, _ = verified(materialise(members, "members"), 100 * part / (2 * SLOTS - part) - 1e-9, slot_set)
+    whole = components(links.union(found))
+    return classes.join(whole, "id", "left").select("fingerprint", F.coalesce("component", "id").alias("class_id"))
 
 
 def near_classes(docs: DataFrame, least: float = LIKENESS) -> DataFrame:

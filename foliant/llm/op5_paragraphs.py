@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .collisions import edges
+from .collisions import NO_ID, edges, shared_keys
 from .common import BASE, MODULUS, WORD, Words, batch, flat_shingles, fresh, input_bytes, materialise, mix, read, slices, text_columns
 from .components import components
 from .idfilter import bitmap, perhaps
@@ -36,12 +36,8 @@ PERCENT = 80
 BANDS, ROWS = 10, 3
 #: Words of a passage that is found wherever it stands, and of the units that are compared.
 PASSAGE, UNIT = 50, 32
-#: Bytes of the texts that are cut at a time, units that a task holds before it passes them on, and units of a bucket.
+#: Bytes of the texts that are cut at a time.
 AT_ONCE = 2_000_000
-HELD = 1 << 20
-BUCKET = 1 << 20
-#: What a null doc_id counts as.
-NO_ID = -(2**63)
 
 PARAGRAPHS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("paragraph", pa.int32()), ("id", pa.int64()), ("n_words", pa.int64()), ("n", pa.int64())])
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -213,17 +209,6 @@ def units(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 UNITS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("units", pa.binary()), ("places", pa.binary())])
-MET = pa.schema([("bucket", pa.int32()), ("units", pa.binary()), ("docs", pa.binary())])
-SHARED = pa.schema([("unit", pa.int64()), ("first", pa.int64())])
-
-
-def _ends(unit: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct units with the smallest and the largest document of each."""
-    order = np.lexsort((doc, unit))
-    unit, doc = unit[order], doc[order]
-    first = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]])) if len(unit) else np.zeros(0, np.int64)
-    last = np.append(first[1:], len(unit))[: len(first)] - 1
-    return unit[first], doc[first], doc[last]
 
 
 def text_units(docs: DataFrame) -> DataFrame:
@@ -242,42 +227,6 @@ def text_units(docs: DataFrame) -> DataFrame:
     return keyed(docs).mapInArrow(rows, "row bigint, doc_id bigint, units binary, places binary")
 
 
-def shared_units(rows: DataFrame, n_units: int) -> DataFrame:
-    """(unit, first): the units of rows(doc_id, units) that stand in two documents, with the smallest id.
-
-    A task passes on two ids of a unit at most.
-    """
-    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_units // BUCKET))
-
-    def packed(found: list[np.ndarray], docs: list[np.ndarray]) -> pa.RecordBatch:
-        unit, lo, hi = _ends(np.concatenate(found), np.concatenate(docs))
-        unit, doc = np.concatenate([unit, unit[lo != hi]]), np.concatenate([lo, hi[lo != hi]])
-        bucket = ((unit.view(np.uint64) >> np.uint64(20)) % np.uint64(n)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        name, start = np.unique(bucket[order], return_index=True)
-        parts = zip(np.split(unit[order], start[1:]), np.split(doc[order], start[1:]))
-        return batch(MET, name, *zip(*((u.tobytes(), d.tobytes()) for u, d in parts)))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, docs, held = [], [], 0
-        for b in batches:
-            for doc, raw in zip(b.column("doc_id").fill_null(NO_ID).to_pylist(), b.column("units")):
-                found.append(np.frombuffer(raw.as_buffer(), np.int64))
-                docs.append(np.full(len(found[-1]), doc, np.int64))
-                held += len(found[-1])
-                if held > HELD:
-                    yield packed(found, docs)
-                    found, docs, held = [], [], 0
-        if held:
-            yield packed(found, docs)
-
-    def meet(table: pa.Table) -> pa.Table:
-        unit, lo, hi = _ends(*(np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table[c]]) for c in ("units", "docs")))
-        return pa.table([pa.array(unit[lo != hi]), pa.array(lo[lo != hi])], schema=SHARED)
-
-    return rows.select("doc_id", "units").mapInArrow(pack, "bucket int, units binary, docs binary").groupBy("bucket").applyInArrow(meet, "unit bigint, first bigint")
-
-
 def passages(docs: DataFrame) -> DataFrame:
     """(row, doc_id, first_word, n_words, first_doc_id): every run of units that stand in two documents, with one smallest document.
 
@@ -286,7 +235,7 @@ def passages(docs: DataFrame) -> DataFrame:
     table give none. A hashed bitmap keeps most units of one document from the join.
     """
     rows = materialise(text_units(docs), "units")
-    shared = materialise(shared_units(rows, input_bytes(rows, "units") // 8), "shared")
+    shared = materialise(shared_keys(rows, input_bytes(rows, "units") // 8).select(F.col("key").alias("unit"), "first"), "shared")
     held = bitmap(shared.select("unit"))
     schema = pa.schema([("unit", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32())])
 

@@ -149,8 +149,8 @@ def test_paragraphs_brute(spark, edges, empty):  # noqa: F811
 
 def test_passages_brute(spark, edges, empty, monkeypatch):  # noqa: F811
     """Every 50 words in a row that two documents hold lead to a passage in both, whatever the lines; its words stand in another document."""
-    for name in ("HELD", "BUCKET", "AT_ONCE"):  # many blocks, buckets and slices
-        monkeypatch.setattr(op5_paragraphs, name, 200)
+    for module, name in ((collisions, "HELD"), (collisions, "BUCKET_KEYS"), (op5_paragraphs, "AT_ONCE")):  # many blocks, buckets and slices
+        monkeypatch.setattr(module, name, 200)
     rng = random.Random(10)
     fill = lambda n: [f"z{rng.randrange(10**6)}" for _ in range(n)]
     shared = [f"p{k}" for k in range(60)]
