@@ -1,9 +1,11 @@
 """Format-preserving pseudonyms for personal data, by keyed Feistel permutations.
 
-E-mail addresses, phone and social security numbers, payment card numbers, IBANs, IPv4 addresses, dates and hexadecimal
-secrets are found and validated; each is permuted within its own format under a key, so a valid card number stays
-valid, a date stays a date of its century, and equal values stay equal in every document. Each round adds a keyed
-hash of one half to the other half, modulo the half's own range, so every step can be undone with the key.
+E-mail addresses, phone numbers, social security numbers, payment card numbers, IBANs, IP addresses, dates and secrets are
+found and validated: cards by their check digit, IBANs by their remainder, social security numbers by their areas, groups and
+serials, addresses by their octets, dates by the calendar; phone numbers by their lengths alone. What does not hold stays as it
+is. Each value is permuted within its own format under a key, so a valid number stays valid, a date stays a date of its century, and equal values
+stay equal in every document and spelling (blanks, hyphens, the case of addresses, the order of a date). Each round adds a keyed hash
+of one half to the other half, modulo the half's own range, so every step can be undone with the key.
 DataFrame and SQL functions only.
 """
 
@@ -14,22 +16,26 @@ from pyspark.sql import functions as F
 
 from .common import fresh, read
 
-KEY = "foliant"
+#: The session's setting that names the key, and the published key of the registered query and the tests, which guards nothing.
+KEY_SETTING, DEMONSTRATION_KEY = "spark.foliant.pseudonym.key", "foliant"
 ROUNDS = 8
 
 _L, _R = "(?<![0-9A-Za-z])", "(?![0-9A-Za-z])"
 #: The forms that are looked for, the first that matches at a place wins. Bounded repeats keep the search linear in long texts.
 FORMS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-    "secret": _L + r"[0-9A-Fa-f]{32,128}" + _R,
-    "iban": _L + r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}" + _R,
-    "date": _L + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4})" + _R,
+    "token": _L + r"(?:A[KS]IA[A-Z0-9]{16}|gh[opsur]_[A-Za-z0-9]{36,255}|xox[abprs]-[A-Za-z0-9-]{10,200}|AIza[A-Za-z0-9_-]{35}|sk-[A-Za-z0-9_-]{20,200})" + _R,
+    "secret": _L + r"[0-9A-Fa-f]{32,512}" + _R,
+    "iban": _L + r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)" + _R,
+    "date": _L + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{4}[.][0-9]{2}[.][0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4})" + _R,
+    "ipv6": r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:.])",
     "ip": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}" + _R,
     "ssn": _L + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _R,
     "phone": r"(?:(?<![0-9A-Za-z])\+?[0-9]{1,3}[ .-]?)?(?<![0-9A-Za-z])\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}" + _R
     + r"|(?:(?<![0-9A-Za-z])\+?[0-9]{1,3}[ .-])?(?<![0-9A-Za-z])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}" + _R
     + r"|(?<![0-9A-Za-z])\+[0-9](?:[ .-]?[0-9]){7,13}" + _R,
-    "card": _L + r"[0-9](?:[ -]?[0-9]){12,18}" + _R,
+    # groups of four, however many follow each other: the ones that hold are sought inside the run
+    "card": _L + r"(?:[0-9]{4}(?: [0-9]{4}){3,15}|[0-9]{4}(?:-[0-9]{4}){3,15}|[0-9]{4} [0-9]{6} [0-9]{4,5}|[0-9]{4}-[0-9]{6}-[0-9]{4,5}|[0-9]{13,19})" + _R,
 }
 PATTERN = "|".join(FORMS.values())
 
@@ -102,16 +108,62 @@ def _bound(name: str, value: str, body: str) -> str:
 
 
 def _date(key: str) -> str:
-    """A date of a century stays in it: centuries have 36525 = 75 * 487 or 36524 = 92 * 397 days."""
-    form = "CASE WHEN m LIKE '%-%' THEN 'yyyy-MM-dd' WHEN m LIKE '%/%' THEN 'M/d/yyyy' ELSE 'd.M.yyyy' END"
-    exact = "CASE WHEN m LIKE '%-%' THEN 'yyyy-MM-dd' WHEN m LIKE '%/%' THEN concat(if(m rlike '^[0-9]{2}/', 'MM', 'M'), '/', if(m rlike '/[0-9]{2}/', 'dd', 'd'), '/yyyy') ELSE concat(if(m rlike '^[0-9]{2}[.]', 'dd', 'd'), '.', if(m rlike '[.][0-9]{2}[.]', 'MM', 'M'), '.yyyy') END"
+    """A date of a century stays in it: centuries have 36525 = 75 * 487 or 36524 = 92 * 397 days. 5/3/2024 is read month first, 31/12/2024 day first."""
+    year_first = "m rlike '^[0-9]{4}'"
+    read = f"CASE WHEN {year_first} THEN try_to_timestamp(m, concat('yyyy', substr(m, 5, 1), 'MM', substr(m, 5, 1), 'dd')) WHEN m LIKE '%/%' THEN coalesce(try_to_timestamp(m, 'M/d/yyyy'), try_to_timestamp(m, 'd/M/yyyy')) ELSE try_to_timestamp(m, 'd.M.yyyy') END"
+    month_first = "(m LIKE '%/%' AND try_to_timestamp(m, 'M/d/yyyy') IS NOT NULL)"
+    one, two = (f"repeat(if({month_first}, '{x}', '{y}'), if(m rlike '{wide}', 2, 1))" for x, y, wide in (("M", "d", "^[0-9]{2}[./]"), ("d", "M", "[./][0-9]{2}[./]")))
+    exact = f"if({year_first}, concat('yyyy', substr(m, 5, 1), 'MM', substr(m, 5, 1), 'dd'), concat({one}, if(m LIKE '%/%', '/', '.'), {two}, if(m LIKE '%/%', '/', '.'), 'yyyy'))"
     start = "make_date((year(day) div 100) * 100, 1, 1)"
     leap = "((year(day) div 100) % 4 = 0)"
     q = f"if({leap}, 487, 397)"
     n = f"datediff(day, {start})"
     moved = _numbers(key, "date", f"{n} div {q}", f"{n} % {q}", f"if({leap}, 75, 92)", q, f"st.a * {q} + st.b")
     body = f"if(day IS NULL OR year(day) < 100, m, date_format(date_add({start}, cast({moved} AS int)), {exact}))"
-    return _bound("day", f"cast(try_to_timestamp(m, {form}) AS date)", body)
+    return _bound("day", f"cast({read} AS date)", body)
+
+
+def _card(key: str, d: str) -> str:
+    """The digits of a valid card number: the body is permuted, its check digit made anew."""
+    return _bound("body", _digits(key, "card", f"left({d}, length({d}) - 1)"), f"concat(body, cast({_luhn('body')} AS string))")
+
+
+def _valid_card(d: str) -> str:
+    return f"(cast(right({d}, 1) AS int) = {_luhn(f'left({d}, length({d}) - 1)')})"
+
+
+def _cards(key: str) -> str:
+    """A run of groups of four: the first four that hold are a card, then the next four after them; all other groups stay."""
+    here = "regexp_replace(substr(m, 5 * k + 1, 19), '[^0-9]', '')"
+    spaced = f"regexp_replace({_card(key, 'd')}, '([0-9]{{4}})(?=[0-9])', concat('$1', substr(m, 5, 1)))"
+    found = _bound("d", here, f"if(length(d) = 16 AND {_valid_card('d')}, {spaced}, NULL)")
+    step = f"if(k < r.next, r, {_bound('c', found, _put())})"
+    return f"aggregate(sequence(0, cast(length(m) div 5 AS int)), named_struct('o', '', 'next', 0), (r, k) -> {step}, r -> r.o)"
+
+
+def _put() -> str:
+    taken = "named_struct('o', concat(r.o, if(k > 0, substr(m, 5, 1), ''), coalesce(c, substr(m, 5 * k + 1, 4))), 'next', k + if(c IS NULL, 1, 4))"
+    return taken
+
+
+def _iban(key: str) -> str:
+    """The longest run of groups whose remainder holds, permuted and spaced as it was; what follows it stays."""
+    whole = "concat_ws('', slice(split(m, ' '), 1, k))"
+    valid = f"filter(sequence(size(split(m, ' ')), 1, -1), k -> length({whole}) BETWEEN 15 AND 34 AND {_mod97(f'concat(substr({whole}, 5), left({whole}, 4))')} = 1)"
+    body = _letters(key, "iban", "substr(w, 5)")
+    made = _bound("body", body, f"concat(left(w, 2), lpad(cast(98 - {_mod97('concat(body, left(w, 2), ' + _quoted('00') + ')')} AS string), 2, '0'), body)")
+    spaced = f"if(instr(m, ' ') > 0, regexp_replace({made}, '(.{{4}})(?=.)', '$1 '), {made})"
+    rest = "concat_ws('', transform(slice(split(m, ' '), n + 1, 99), x -> concat(' ', x)))"
+    changed = _bound("w", "concat_ws('', slice(split(m, ' '), 1, n))", f"concat({spaced}, {rest})")
+    return _bound("n", f"try_element_at({valid}, 1)", f"if(n IS NULL, m, {changed})")
+
+
+def _ssn(key: str) -> str:
+    """Areas 001 to 899 but 666, groups 01 to 99, serials 0001 to 9999, each permuted among those alone."""
+    area, group, serial = "cast(left(m, 3) AS int)", "cast(substr(m, 5, 2) AS int)", "cast(right(m, 4) AS int)"
+    result = "concat(lpad(cast(st.a + 1 + if(st.a >= 665, 1, 0) AS string), 3, '0'), '-', lpad(cast(st.b div 9999 + 1 AS string), 2, '0'), '-', lpad(cast(st.b % 9999 + 1 AS string), 4, '0'))"
+    moved = _numbers(key, "ssn", f"{area} - 1 - if({area} > 666, 1, 0)", f"({group} - 1) * 9999 + {serial} - 1", "898", "989901", result)
+    return f"if({area} BETWEEN 1 AND 899 AND {area} <> 666 AND {group} > 0 AND {serial} > 0, {moved}, m)"
 
 
 def _pseudonym(key: str) -> str:
@@ -119,29 +171,32 @@ def _pseudonym(key: str) -> str:
     d = "regexp_replace(m, '[^0-9]', '')"
     dot = "(length(m) - instr(reverse(m), '.'))"
     phone = f"concat(left(d, greatest(length(d) - 10, 0)), {_digits(key, 'phone', 'right(d, 10)')})"
-    # body and distance from the right check digit: valid numbers stay valid, and no two numbers meet
-    off = f"(cast(right(d, 1) AS int) + 10 - {_luhn('left(d, length(d) - 1)')})"
-    card = _bound("body", _digits(key, "card", "left(d, length(d) - 1)"), f"concat(body, cast(({_luhn('body')} + {off}) % 10 AS string))")
     octet = lambda k: f"cast(split(m, '[.]')[{k}] AS int)"
     ip = _numbers(key, "ip", f"{octet(0)} * 256 + {octet(1)}", f"{octet(2)} * 256 + {octet(3)}", "65536", "65536", "concat_ws('.', st.a div 256, st.a % 256, st.b div 256, st.b % 256)")
-    iban = _bound("body", _letters(key, "iban", "substr(m, 5)"), f"concat(left(m, 2), lpad(cast(98 - {_mod97('concat(body, left(m, 2), ' + _quoted('00') + ')')} AS string), 2, '0'), body)")
     whole = lambda name: _quoted(f"^(?:{FORMS[name]})$")
     return f"""CASE
-      WHEN instr(m, '@') > 0 THEN concat({_letters(key, 'email', f'left(m, {dot})')}, substr(m, {dot} + 1))
+      WHEN instr(m, '@') > 0 THEN concat({_letters(key, 'email', f'lower(left(m, {dot}))')}, lower(substr(m, {dot} + 1)))
+      WHEN m rlike {whole('token')} THEN concat(left(m, 4), {_letters(key, 'token', 'substr(m, 5)')})
       WHEN m rlike {whole('secret')} THEN {_letters(key, 'secret', 'm', 'abcdef')}
-      WHEN m rlike {whole('iban')} THEN if({_mod97('concat(substr(m, 5), left(m, 4))')} = 1, {iban}, concat(left(m, 2), {_letters(key, 'iban-like', 'substr(m, 3)')}))
+      WHEN m rlike {whole('iban')} THEN {_iban(key)}
       WHEN m rlike {whole('date')} THEN {_date(key)}
+      WHEN m rlike {whole('ipv6')} THEN {_letters(key, 'ipv6', 'lower(m)', 'abcdef')}
       WHEN m rlike {whole('ip')} THEN if({' AND '.join(f'{octet(k)} < 256' for k in range(4))}, {ip}, m)
-      WHEN m rlike {whole('ssn')} THEN {_bound('d', d, _refill('m', _digits(key, 'ssn', 'd')))}
+      WHEN m rlike {whole('ssn')} THEN {_ssn(key)}
       WHEN m rlike {whole('phone')} THEN {_bound('d', d, _refill('m', phone))}
-      ELSE {_bound('d', d, _refill('m', card))} END"""
+      WHEN m rlike '^[0-9]{{4}}([ -][0-9]{{4}})+$' THEN {_cards(key)}
+      ELSE {_bound('d', d, f"if({_valid_card('d')}, {_refill('m', _card(key, 'd'))}, m)")} END"""
+
+
+def key_of(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, DEMONSTRATION_KEY)
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY, count: str = "n_pii") -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str, count: str = "n_pii") -> DataFrame:
     """docs with text pseudonymised, and the number of values replaced in the column count (which takes the place of one of that name).
 
     Other columns and the rows stay as they are. A null text stays null with a count of 0. A text without a digit or an at sign is
-    passed on as it is.
+    passed on as it is. Repeated rows and an empty table stay what they are.
     """
     p, old, new = _quoted(PATTERN), fresh(docs, "pii_found"), fresh(docs, "pii_new")
     none = F.expr("cast(array() AS array<string>)")
@@ -155,4 +210,4 @@ def pseudonymised(docs: DataFrame, key: str = KEY, count: str = "n_pii") -> Data
 
 
 def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymised(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymised(read(spark, sf_dir, "documents").select("doc_id", "text"), key_of(spark))
