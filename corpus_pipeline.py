@@ -25,7 +25,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data in their texts replaced by pseudonyms of the same form."""
     count = common.fresh(docs, "n_pii")
-    changed = op4_pseudonyms.pseudonymised(docs, count=count)
+    changed = op4_pseudonyms.pseudonymised(docs, op4_pseudonyms.key_of(spark), count)
     size = F.when(F.col(count) > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
     return changed.select(*[size.alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
