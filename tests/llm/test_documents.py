@@ -333,7 +333,7 @@ def test_language(spark, edges, empty):
 
 
 def test_language_gradient_is_whole_text():
-    model = op6_langid.train(["abc abd", "xyz xyw"] * 40, ["a", "x"] * 40, visits=2000)
+    model = op6_langid.train([op6_langid.profile(t) for t in ["abc abd", "xyz xyw"] * 40], ["a", "x"] * 40, visits=2000)
     long = "xyz " * 100 + "abc " * 200_000
     assert model.predict(long)[0] == "a"
     blocks = op6_langid.BLOCK
@@ -342,3 +342,45 @@ def test_language_gradient_is_whole_text():
         assert np.allclose(model.logits(long), (lambda: (setattr(op6_langid, "BLOCK", blocks), model.logits(long))[1])())
     finally:
         op6_langid.BLOCK = blocks
+
+
+def plain_bucket(gram, width=(1 << 32) - 1):
+    """The bucket of a one- to three-character n-gram, by Python's own numbers."""
+    one = gram[0] * 0x85EBCA6B & width
+    if len(gram) == 1:
+        h = (one + 1) & width
+    else:
+        two = ((one ^ one >> 15) * 0xC2B2AE35 + gram[1]) & width
+        h = two * 0x85EBCA6B & width if len(gram) == 2 else (((two ^ two >> 13) * 0x85EBCA6B + gram[2]) * 0xC2B2AE35) & width
+    h ^= h >> 16
+    return (h * 0x27D4EB2F & width) >> 17
+
+
+def test_language_brute(spark):
+    """Predictions against plain hashing, means, softmax and the rejection threshold, one n-gram at a time."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("text IS NOT NULL")
+    model = op6_langid.fit(docs)
+    for text in ["Ein Wort, zwei", "x", *(r.text for r in docs.select("text").limit(12).collect())]:
+        if not op6_langid.has_letter(text):
+            continue
+        letters = re.sub("[^a-z\u00aa\u00b5\u00ba\u00c0-\U0010ffff]+", " ", " " + text.lower() + " ")
+        points = list(map(ord, letters))
+        found = [plain_bucket(points[k : k + n]) for n in (1, 2, 3) for k in range(len(points) - n + 1)]
+        z = [(sum(float(model.scores[b, c]) for b in found) / len(found) + float(model.bias[c])) / model.temperature for c in range(len(model.langs))]
+        p = [np.exp(x - max(z)) for x in z]
+        lang, score, rejected = model.predict(text)
+        assert lang == model.langs[int(np.argmax(p))] and abs(score - max(p) / sum(p)) < 1e-9 and rejected == (score < model.threshold)
+
+
+def test_rejection_threshold():
+    best = np.array([0.9, 0.8, 0.7, 0.4, 0.3])
+    assert op6_langid.accepting(best, np.array([True] * 5)) == 0
+    assert op6_langid.accepting(best, np.array([True, True, True, True, False])) == 0.4
+    assert op6_langid.accepting(best, np.array([False] * 5)) == 0.5
+
+
+def test_many_languages(spark):
+    """Every language is learnt, however many there are."""
+    rows = [(k, chr(0x4E00 + 7 * (k % 300)) * 30, f"l{k % 300}") for k in range(3000)]
+    model = op6_langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 600)
+    assert len(model.langs) == 300
