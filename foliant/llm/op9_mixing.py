@@ -1,7 +1,7 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 The corpus is summed to cells of source, language and topic. Their token weights are raked in turn to the
-target shares of each of the three, until all marginals fit; a cell's weight over its tokens gives the
+target shares of each of the three, ``ROUNDS`` times, after which ``residuals`` tells how well all marginals fit; a cell's weight over its tokens gives the
 probability by which each of its documents is sampled, scaled so that the expected tokens are the
 budget. A document's fate follows from a hash of its id alone, so a second run samples the same ones.
 DataFrame functions only.
@@ -54,18 +54,21 @@ def cell_totals(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*[f"mix_{m}" for m in MARGINS]).agg(F.sum("mix_tokens").alias("tokens"))
 
 
+def _sum(cells: DataFrame, what) -> float:
+    return float(cells.agg(F.sum(what).alias("x")).first()["x"] or 0)
+
+
 def raked(cells: DataFrame, temperatures: dict[str, float] = TEMPERATURES, rounds: int = ROUNDS) -> DataFrame:
-    """cells with weight: token shares raked to the targets of every margin, one after the other, rounds times."""
-    whole = Window.partitionBy()
-    out = cells.withColumn("weight", F.col("tokens") / F.sum("tokens").over(whole))
+    """cells with weight: token shares raked to the targets of every margin, one after the other, rounds times.
+
+    residuals() tells how far the margins are from their targets after that.
+    """
+    total = _sum(cells, "tokens")
+    out = cells.withColumn("weight", F.col("tokens") / F.lit(total))
     for m in MARGINS:
-        each = Window.partitionBy(f"mix_{m}")
-        t = temperatures[m]
-        observed = F.sum("tokens").over(each) / F.sum("tokens").over(whole)
-        out = out.withColumn(f"share_{m}", F.pow(observed, F.lit(t)))
-        # the sum over values of a margin: each cell brings its part of its value's share
-        part = F.col(f"share_{m}") / F.count(F.lit(1)).over(each)
-        out = out.withColumn("part", part).withColumn(f"share_{m}", F.col(f"share_{m}") / F.sum("part").over(whole)).drop("part")
+        share = F.pow(F.sum("tokens") / F.lit(total), F.lit(temperatures[m]))
+        whole = _sum(cells.groupBy(f"mix_{m}").agg(share.alias("share")), "share")
+        out = out.withColumn(f"share_{m}", F.pow(F.sum("tokens").over(Window.partitionBy(f"mix_{m}")) / F.lit(total), F.lit(temperatures[m])) / F.lit(whole))
     for k in range(rounds):
         for m in MARGINS:
             out = out.withColumn("weight", F.col("weight") * F.col(f"share_{m}") / F.sum("weight").over(Window.partitionBy(f"mix_{m}")))
@@ -76,16 +79,38 @@ def raked(cells: DataFrame, temperatures: dict[str, float] = TEMPERATURES, round
 
 def probabilities(cells: DataFrame, budget: float = BUDGET, turns: int = 8) -> DataFrame:
     """cells with probability: the weight over the cell's tokens, scaled to the budget; what probabilities of one cannot take, the others share."""
-    whole = Window.partitionBy()
-    rate = F.col("weight") * F.sum("tokens").over(whole) / F.col("tokens")
-    out = cells.withColumn("rate", rate).withColumn("p", F.least(F.lit(1.0), F.col("rate") * budget))
+    total = _sum(cells, "tokens")
+    out = cells.withColumn("p", F.least(F.lit(1.0), F.col("weight") * F.lit(total) / F.col("tokens") * budget))
     for _ in range(turns):
-        open_ = F.col("p") < 1
-        lack = F.lit(budget) * F.sum("tokens").over(whole) - F.sum(F.col("p") * F.col("tokens")).over(whole)
-        room = F.sum(F.when(open_, F.col("p") * F.col("tokens")).otherwise(0.0)).over(whole)
-        grow = F.when(room > 0, 1 + F.greatest(lack, F.lit(0.0)) / room).otherwise(F.lit(1.0))
-        out = out.withColumn("grow", grow).withColumn("p", F.when(open_, F.least(F.lit(1.0), F.col("p") * F.col("grow"))).otherwise(F.col("p"))).drop("grow")
-    return out.withColumn("probability", F.round("p", 9)).drop("p", "rate")
+        spent = out.agg(F.sum(F.col("p") * F.col("tokens")).alias("all"), F.sum(F.when(F.col("p") < 1, F.col("p") * F.col("tokens"))).alias("room")).first()
+        if not spent["room"]:
+            break
+        grow = 1 + max(budget * total - spent["all"], 0.0) / spent["room"]
+        out = out.withColumn("p", F.when(F.col("p") < 1, F.least(F.lit(1.0), F.col("p") * F.lit(grow))).otherwise(F.col("p")))
+    return out.withColumn("probability", F.round("p", 9)).drop("p")
+
+
+def residuals(docs: DataFrame, temperatures: dict[str, float] = TEMPERATURES, budget: float = BUDGET, rounds: int = ROUNDS) -> DataFrame:
+    """(margin, value, tokens, target, raked, expected, sampled): the token shares of every value of every margin.
+
+    target is what was asked for, raked what the fitting gives, expected the sample's share by the probabilities (which
+    cannot pass one, so small cells may miss their targets), and sampled that of the rows that the hash samples. An empty table gives no row.
+    """
+    rows = described(docs)
+    cells = materialise(raked(materialise(cell_totals(rows), "cells"), temperatures, rounds), "cells")
+    cells = materialise(probabilities(cells, budget), "cells")
+    keys = [f"mix_{m}" for m in MARGINS]
+    taken = rows.join(cells.select(*keys, "probability"), keys).where(chance(F.col("row.doc_id")) < F.col("probability"))
+    cells = materialise(cells.join(taken.groupBy(*keys).agg(F.sum("mix_tokens").alias("taken")), keys, "left"), "cells")
+    expected, sampled = _sum(cells, F.col("probability") * F.col("tokens")), _sum(cells, "taken")
+    each = [
+        cells.groupBy(F.lit(m).alias("margin"), F.col(f"mix_{m}").alias("value")).agg(
+            F.sum("tokens").alias("tokens"), F.first(f"share_{m}").alias("target"), F.sum("weight").alias("raked"),
+            (F.sum(F.col("probability") * F.col("tokens")) / F.lit(max(expected, 1e-300))).alias("expected"), (F.coalesce(F.sum("taken"), F.lit(0)) / F.lit(max(sampled, 1e-300))).alias("sampled"),
+        )
+        for m in MARGINS
+    ]
+    return each[0].unionByName(each[1]).unionByName(each[2])
 
 
 def chance(doc_id: Column) -> Column:
@@ -105,7 +130,7 @@ def _mixed(docs: DataFrame, temperatures: dict[str, float], budget: float, round
 def mixed(docs: DataFrame, temperatures: dict[str, float] = TEMPERATURES, budget: float = BUDGET, rounds: int = ROUNDS) -> DataFrame:
     """docs with mix_topic, mix_tokens, probability and sampled; every row of docs is there, repeated rows with the same fate.
 
-    A null source or language is a value of its own. Columns of docs keep their values, but for those with the new names.
+    A null source or language is a value of its own, a null text is short with one token, an empty table stays empty. Columns of docs keep their values, but for those with the new names.
     """
     own = ["mix_topic", "mix_tokens", "probability", "sampled"]
     return _mixed(docs, temperatures, budget, rounds).select(*[F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in own], *own)
