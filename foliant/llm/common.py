@@ -11,6 +11,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,22 +45,42 @@ def ascii_lower(text: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one where it is unset and all runs on one machine (tests)."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if sc.getCheckpointDir() is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-foliant-"))
         base = sc.getCheckpointDir()
     return base.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, and survives lost executors."""
+def located(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder or file, and its path there; file:/x as Hadoop writes it is file:///x."""
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+
+
+def stored(df: DataFrame, name: str = "table") -> tuple[DataFrame, str]:
+    """Write df to the shared folder and read it back: cuts the lineage, and survives lost executors. Also the table's path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialise(df: DataFrame, name: str = "table") -> DataFrame:
+    """The table of stored(); it stays until the cluster clears the folder, as later results read it."""
+    return stored(df, name)[0]
+
+
+def discard(path: str) -> None:
+    """Delete a table that no later result reads."""
+    store, place = located(path)
+    store.delete_dir(place)
 
 
 def input_bytes(df: DataFrame, column: str) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, stored
 
 
 def _mark(stars: DataFrame) -> tuple:
@@ -19,17 +19,20 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     (summed before the shuffle) and joins it back; a round's stars are written to the shared folder.
     """
     whole = edges.where("a <> b")
-    now = materialise(whole.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "stars")
+    now, path = stored(whole.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "stars")
     seen = _mark(now)
     for _ in range(limit):
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         # a table of its own: the join then has a shuffle of its own, whose hot ids the adaptive plan splits
-        least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        least, used = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         pair = large.join(least, "hi")
         small = pair.select("hi", F.col("m").alias("lo")).union(pair.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))).distinct()
-        now = materialise(small, "stars")
+        now, new = stored(small, "stars")
+        discard(used)
+        discard(path)
+        path = new
         mark = _mark(now)
         if mark == seen:
             break

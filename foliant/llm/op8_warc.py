@@ -16,16 +16,17 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, input_bytes, materialise, partitions_for, read, shared_dir, text_columns
+from .collisions import NO_ID
+from .common import batch, input_bytes, located, materialise, partitions_for, read, shared_dir, text_columns
 
 #: Payload bytes of an archive file, at least one record; and the bytes of its records that the dictionary is built from.
 ARCHIVE_BYTES = 16 << 20
 SAMPLE_BYTES = 2 << 20
 DICTIONARY_BYTES = 32 << 10
+PIECE_BYTES = 64 << 10
 LEVEL = 3
 #: Payload bytes that a partition of the writing stage should hold.
 TARGET = 24 << 20
@@ -45,27 +46,46 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, mark: str, refers_to: int | None, revisit: bool) -> bytes:
-    """One WARC 1.1 record. A revisit has no payload; its length and digest headers are those of the full payload."""
+def record_id(*parts) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, ' '.join(map(str, parts)))}>"
+
+
+def _headed(head: dict, block: bytes) -> bytes:
+    lines = ["WARC/1.1", *(f"{k}: {str(v).translate({10: '%0A', 13: '%0D'})}" for k, v in {**head, "Content-Length": len(block)}.items() if v is not None)]
+    return ("\r\n".join(lines) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, mark: str, refers_to: int | None, revisit: bool, turn: int = 0) -> bytes:
+    """One WARC 1.1 record: an HTTP response whose body is the payload.
+
+    A revisit has the HTTP head alone; X-Payload-Length and the digest are those of the full payload. turn numbers the rows that
+    repeat an id and a payload, so that no two records share their id.
+    """
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     head = {
         "WARC-Type": "revisit" if revisit else "response",
-        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url} {mark}')}>",
+        "WARC-Record-ID": record_id(page_id, mark, *(["revisit", turn] if revisit else [])),
         "WARC-Date": DATE,
         "WARC-Target-URI": url,
         "WARC-Payload-Digest": f"sha1:{mark}",
+        "WARC-Refers-To": record_id(refers_to, mark) if revisit else None,
+        "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" if revisit else None,
         "X-Page-ID": page_id,
         "X-Payload-Length": len(payload),
         "X-Refers-To-Page-ID": refers_to if revisit else None,
-        "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" if revisit else None,
-        "Content-Type": "text/html; charset=utf-8",
-        "Content-Length": 0 if revisit else len(payload),
+        "Content-Type": "application/http; msgtype=response",
     }
-    lines = ["WARC/1.1", *(f"{k}: {str(v).translate({10: '%0A', 13: '%0D'})}" for k, v in head.items() if v is not None)]
-    return ("\r\n".join(lines) + "\r\n\r\n").encode() + (b"" if revisit else payload) + b"\r\n\r\n"
+    return _headed(head, http + (b"" if revisit else payload))
+
+
+def info(name: str) -> bytes:
+    """The record that describes an archive file."""
+    head = {"WARC-Type": "warcinfo", "WARC-Record-ID": record_id("warcinfo", name), "WARC-Date": DATE, "WARC-Filename": name, "Content-Type": "application/warc-fields"}
+    return _headed(head, b"software: foliant\r\nformat: WARC File Format 1.1\r\n")
 
 
 def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
-    """The headers and the payload of one record."""
+    """The headers and the payload of one record: the body of its HTTP response, or the block of a warcinfo."""
     head, _, rest = raw.partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
     if lines[0] != "WARC/1.1":
@@ -74,17 +94,20 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     n = int(headers["Content-Length"])
     if rest[n:] != b"\r\n\r\n":
         raise ValueError("a record does not end where its length says")
-    return headers, rest[:n]
+    return headers, rest[:n] if headers["WARC-Type"] == "warcinfo" else rest[:n].partition(b"\r\n\r\n")[2]
 
 
 def dictionary(records: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
-    """A dictionary built from records spread evenly over the archive, or nothing where they are too few for one."""
-    step = max(1, sum(map(len, records)) // SAMPLE_BYTES)
-    sample = [r[:65536] for r in records[::step]]
+    """A dictionary built from pieces spread evenly over the archive's records.
+
+    Where they are too few or too short to train one, the pieces themselves are the dictionary (raw content, as the format allows).
+    """
+    pieces = [r[k : k + PIECE_BYTES] for r in records for k in range(0, len(r), PIECE_BYTES)]
+    sample = pieces[:: max(1, sum(map(len, pieces)) // SAMPLE_BYTES)]
     try:
-        return zstandard.train_dictionary(size, sample, d=8, k=256, steps=1, threads=0).as_bytes() if len(sample) > 8 else b""
-    except zstandard.ZstdError:
-        return b""
+        return zstandard.train_dictionary(size, sample, d=8, k=256, steps=1, threads=0).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b"".join(sample)[-size:]
 
 
 def write_archive(out, records: list[bytes]) -> None:
@@ -114,27 +137,14 @@ def read_archive(source) -> Iterator[tuple[dict[str, str], bytes]]:
         held = held or source.read(1 << 20)
 
 
-def decisions(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
-    """(digest, first): of every payload, the largest page_id that holds it; made from digests alone, summed before the shuffle."""
-
-    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("page_id", pa.int64()), ("digest", pa.string()), ("bytes", pa.int64())])
-        for b in batches:
-            payloads = [(x.as_py() or "").encode() for x in b.column("html")]
-            yield batch(schema, b.column("page_id"), [digest(p) for p in payloads], [len(p) for p in payloads])
-
-    marks = text_columns(pages, "page_id", "html").mapInArrow(digested, "page_id bigint, digest string, bytes bigint")
-    first = marks.groupBy("digest").agg(F.max("page_id").alias("first"), F.max("bytes").alias("n"))
-    # ids are joined back, not gathered: a payload that a third of all pages hold is split over tasks by the adaptive plan
-    refers = marks.join(first.where(F.col("n") >= least).select("digest", "first"), "digest", "left")
-    return refers.groupBy("page_id").agg(F.map_from_entries(F.collect_set(F.struct("digest", "first"))).alias("firsts"))
+def decisions(marks: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
+    """(key, hex, first): for each id and payload digest of marks(key, hex, bytes) the largest page_id that holds the payload.
 
-
-def located(uri: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a folder or file, and its path there; file:/x as Hadoop writes it is file:///x."""
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
-    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+    Made from digests alone, summed before the shuffle; first is null where the payload is shorter than least.
+    """
+    first = marks.groupBy("hex").agg(F.max("key").alias("first"), F.max("bytes").alias("n")).where(F.col("n") >= least)
+    # a payload that a third of all pages hold is split over tasks by the adaptive plan
+    return marks.select("key", "hex").distinct().join(first.select("hex", "first"), "hex", "left")
 
 
 FILES = pa.schema([("path", pa.string()), ("records", pa.int64())])
@@ -144,15 +154,16 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = LEA
     """Write every row of pages to archives under folder and return (path, records), one row per file.
 
     Of rows that repeat an id and a payload, the first written is the response and the others revisit it.
-    A null html is an empty payload; a null page_id is smaller than any other.
+    A null html is an empty payload; a null page_id is smaller than any other. An empty table writes no file.
     """
     spark = pages.sparkSession
     folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     n = partitions_for(spark, input_bytes(pages, "html"), TARGET)
-    known = decisions(pages, least)
-    keyed = text_columns(pages, "page_id", "url", "html").withColumn("key", F.coalesce("page_id", F.lit(-(2**63))))
-    known = known.select(F.coalesce("page_id", F.lit(-(2**63))).alias("key"), "firsts")
-    wide = keyed.repartition(n, "key").join(known, "key").sortWithinPartitions("key", "html", "url").drop("key")
+    payload = F.coalesce("html", F.lit("")).cast("binary")
+    keyed = text_columns(pages, "page_id", "url", "html").select(F.coalesce("page_id", F.lit(NO_ID)).alias("key"), F.sha1(payload).alias("hex"), F.octet_length(payload).cast("bigint").alias("bytes"), "url", "html")
+    known = materialise(decisions(keyed.select("key", "hex", "bytes"), least), "decisions")
+    # by id and digest, so that rows without an id are spread, and rows that repeat both meet
+    wide = keyed.repartition(n, "key", "hex").join(known.repartition(n, "key", "hex"), ["key", "hex"]).sortWithinPartitions("key", "hex", "url")
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = located(folder)
@@ -166,18 +177,19 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = LEA
             path = f"{root}/{name}.warc.zst"
             part = f"{path}.{uuid.uuid4().hex}.tmp"
             with store.open_output_stream(part, compression=None) as out:
-                write_archive(out, held)
+                write_archive(out, [info(f"{name}.warc.zst"), *held])
             store.move(part, path)
             return batch(FILES, [f"{folder}/{name}.warc.zst"], [len(held)])
 
+        turn = 0
         for b in batches:
-            for page_id, url, html, firsts in zip(b.column("page_id").to_pylist(), b.column("url").to_pylist(), b.column("html"), b.column("firsts").to_pylist()):
+            for key, code, first, url, html in zip(*(b.column(c).to_pylist() for c in ("key", "hex", "first", "url")), b.column("html")):
                 payload = (html.as_py() or "").encode()
-                mark = digest(payload)
-                known, first = dict(firsts).get(mark, None), (page_id, mark)
-                revisit = mark in dict(firsts) and len(payload) >= least and (known != page_id or first == last)
-                last = first
-                held.append(record(page_id, url, payload, mark, known, revisit))
+                turn = turn + 1 if (key, code) == last else 0
+                last = (key, code)
+                name = lambda k: None if k == NO_ID else k
+                revisit = first is not None and (key != first or turn > 0)
+                held.append(record(name(key), url, payload, base64.b32encode(bytes.fromhex(code)).decode(), name(first), revisit, turn))
                 size += len(held[-1])
                 if size >= ARCHIVE_BYTES:
                     yield flush()
@@ -201,6 +213,8 @@ def read_archives(files: DataFrame) -> DataFrame:
                 with store.open_input_stream(place, compression=None) as source:
                     rows = []
                     for h, payload in read_archive(source):
+                        if h["WARC-Type"] == "warcinfo":
+                            continue
                         mark, n, kind = h["WARC-Payload-Digest"].removeprefix("sha1:"), int(h["X-Payload-Length"]), h["WARC-Type"]
                         if kind == "response" and (digest(payload) != mark or len(payload) != n):
                             raise ValueError(f"{path}: a payload does not match its digest")

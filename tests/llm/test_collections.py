@@ -266,6 +266,42 @@ def test_mixing(spark, edges, empty):  # noqa: F811
     assert op9_mixing.mixed(empty).count() == 0
 
 
+def test_residuals(spark, edges, empty):  # noqa: F811
+    """The fitted margins reach their targets; the shares of the sample are told as they are."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = op9_mixing.residuals(docs).toPandas()
+    for _, part in found.groupby("margin"):
+        assert all(abs(part[c].sum() - 1) < 1e-9 for c in ("target", "raked", "expected", "sampled"))
+    assert (found.raked - found.target).abs().max() < 1e-3
+    assert (found.expected - found.target).abs().max() < 0.05 and (found.sampled - found.expected).abs().max() < 0.05
+    assert op9_mixing.residuals(empty).count() == 0 and op9_mixing.residuals(edges).count() > 3
+
+
+def test_small_archives_have_a_dictionary(tmp_path):
+    records = [op8_warc.record(1, "u", b"alone", op8_warc.digest(b"alone"), None, False)]
+    with (tmp_path / "a").open("wb") as out:
+        op8_warc.write_archive(out, records)
+    assert int.from_bytes((tmp_path / "a").read_bytes()[4:8], "little") > 0
+    with (tmp_path / "a").open("rb") as source:
+        assert [p for _, p in op8_warc.read_archive(source)] == [b"alone"]
+
+
+def test_archive_ids_and_long_pages(spark, tmp_path):
+    """No two records share an id, revisits name their response's, and a page of millions of characters comes back whole."""
+    rows = [(1, "u", "same"), (1, "u", "same"), (1, "u", "same"), (2, "v", "same"), (3, "w", "x" * 3_000_000), (None, None, "same")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'clash' AS key", "'clash' AS hex", "1 AS first")
+    files = op8_warc.write_archives(pages, f"file://{tmp_path}/warc")
+    heads = []
+    for r in files.collect():
+        with open(r.path.removeprefix("file://"), "rb") as source:
+            heads += [h for h, _ in op8_warc.read_archive(source)]
+    ids = [h["WARC-Record-ID"] for h in heads]
+    assert len(set(ids)) == len(ids) == len(rows) + files.count()
+    response = {h["WARC-Record-ID"] for h in heads if h["WARC-Type"] == "response"}
+    assert {h["WARC-Refers-To"] for h in heads if h["WARC-Type"] == "revisit"} <= response and len(response) == 2
+    assert max(r.payload_bytes for r in op8_warc.read_archives(files).collect()) == 3_000_000
+
+
 def sequences(found):
     """The pieces of each sequence lie gapless from 0 and within the window; the ids of padding."""
     filled = defaultdict(list)
