@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, crc32_text, read, text_columns
+from .common import batch, crc32_text, materialise, read, text_columns
 
 #: About so many labelled rows, twice as many at most, of the smallest hash of their id, train the model: whole texts, as counts of hashed n-grams.
 TRAIN_ROWS = 4_000
@@ -192,7 +192,8 @@ def fit(docs: DataFrame, max_rows: int = TRAIN_ROWS) -> Model:
             if found:
                 yield batch(schema, *zip(*((d, lang, x.tobytes(), n.astype("<u4").tobytes()) for d, lang, x, n in found)))
 
-    # the rates are as many as there are languages; they are left to the optimiser, which knows their size
+    # a table, whose size the optimiser knows when it plans the join: one row for each language
+    rates = materialise(rates, "rates")
     chosen = text_columns(able, "doc_id", "lang", "text").join(rates, "lang").where((u < F.col("rate")) | (u == F.col("first"))).select("doc_id", "lang", "text")
     made = chosen.mapInArrow(profiled, "doc_id bigint, lang string, buckets binary, times binary")
     rows = made.orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id", "lang", "buckets", "times").limit(2 * max_rows).collect()
