@@ -70,10 +70,12 @@ def top_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tags(documents(spark, sf_dir))
 
 
-@query(f"WITH {TAGS_SQL} SELECT term AS topic, count(*) AS n_documents, min(doc_id) AS first_doc_id, max(doc_id) AS last_doc_id FROM tags GROUP BY term")
+@query(f"WITH {TAGS_SQL} SELECT term AS topic, doc_id, weight, count(*) OVER (PARTITION BY term) AS n_documents FROM tags")
 def topic_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents by tag. The list of a common topic would grow without bound, so counts and ends are kept; the rows are top_tags."""
-    return tags(documents(spark, sf_dir)).groupBy(F.col("term").alias("topic")).agg(F.count(F.lit(1)).alias("n_documents"), F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id"))
+    """The documents of every tag, one row each, with how many there are; counts are summed apart, so that no group holds a common topic."""
+    each = tags(documents(spark, sf_dir))
+    counts = each.groupBy("term").agg(F.count(F.lit(1)).alias("n_documents"))
+    return each.join(counts, "term").select(F.col("term").alias("topic"), "doc_id", "weight", "n_documents")
 
 
 INSIGHTS_SQL = SCORES_SQL + ", ins AS (SELECT doc_id, source, round((entropy + surprise) / 2, 7) AS score FROM scores JOIN documents USING (doc_id))"
@@ -115,16 +117,25 @@ def priority_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.crossJoin(total).select("user_id", "visits", "priority", F.round(F.when(F.col("total") > 0, F.col("priority") / F.col("total")).otherwise(1 / F.col("n")), 9).alias("weight"))
 
 
-def _ordered(events: DataFrame) -> DataFrame:
-    rows = events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("v"))
-    return rows.select("user_id", F.col("v.value").alias("v"))
+def hours(events: DataFrame) -> DataFrame:
+    """(user_id, hour, v): the values of each user's hours in order. Recurrences are folded inside an hour first; a user's hours, two numbers each, follow."""
+    rows = events.where("value IS NOT NULL").select("user_id", F.coalesce(F.date_trunc("hour", "ts"), F.lit("0001-01-01").cast("timestamp")).alias("hour"), "ts", "event_id", "value")
+    return rows.groupBy("user_id", "hour").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("v")).select("user_id", "hour", F.col("v.value").alias("v"))
+
+
+def _folded(maps: DataFrame, forward: bool) -> DataFrame:
+    """(user_id, x, n): the maps x -> a * x + b of maps(user_id, hour, n, a, b), one after the other in time or against it, from zero."""
+    order = F.sort_array(F.collect_list(F.struct("hour", "n", "a", "b")), asc=forward)
+    return maps.groupBy("user_id").agg(F.aggregate(order, F.lit(0.0), lambda x, m: m["a"] * x + m["b"]).alias("x"), F.sum("n").alias("n"))
 
 
 @query("WITH o AS (SELECT user_id, list(value ORDER BY ts, event_id) AS v FROM events WHERE value IS NOT NULL GROUP BY user_id) SELECT user_id, round(list_reduce(list_prepend(0::DOUBLE, v), lambda r, x: 0.8 * r + 0.2 * x), 6) AS ema, len(v)::BIGINT AS n FROM o")
 def signal_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The running average r = 0.8 r + 0.2 x of every user's values in time."""
-    rows = _ordered(table(spark, sf_dir, "events").where("value IS NOT NULL"))
-    return rows.select("user_id", F.round(F.aggregate("v", F.lit(0.0), lambda r, x: DECAY * r + (1 - DECAY) * x), 6).alias("ema"), F.size("v").cast("bigint").alias("n"))
+    n = F.size("v").cast("bigint")
+    own = F.aggregate("v", F.lit(0.0), lambda r, x: DECAY * r + (1 - DECAY) * x)
+    maps = hours(table(spark, sf_dir, "events")).select("user_id", "hour", n.alias("n"), F.pow(F.lit(DECAY), n).alias("a"), own.alias("b"))
+    return _folded(maps, True).select("user_id", F.round("x", 6).alias("ema"), "n")
 
 
 @query(
@@ -133,8 +144,10 @@ SELECT user_id, round(list_reduce(list_prepend(0::DOUBLE, v), lambda g, x: x + 0
 )
 def discounted_advantage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The generalised advantage of the first step of every user's rollout, values being zero."""
-    rows = _ordered(table(spark, sf_dir, "events").where("value IS NOT NULL"))
-    return rows.select("user_id", F.round(F.aggregate(F.reverse("v"), F.lit(0.0), lambda g, x: x + GAMMA * LAMBDA * g), 6).alias("advantage"))
+    n = F.size("v").cast("bigint")
+    own = F.aggregate(F.reverse("v"), F.lit(0.0), lambda g, x: x + GAMMA * LAMBDA * g)
+    maps = hours(table(spark, sf_dir, "events")).select("user_id", "hour", n.alias("n"), F.pow(F.lit(GAMMA * LAMBDA), n).alias("a"), own.alias("b"))
+    return _folded(maps, False).select("user_id", F.round("x", 6).alias("advantage"))
 
 
 @query(

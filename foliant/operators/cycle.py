@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..plans.registry import query
 from ..sources.tables import SPANS_SQL, documents, spans, table
-from .curiosity import INSIGHTS_SQL, PRIORITY_SQL, TAGS_SQL, insights, priorities, tags
-from .terms import BM25_SQL, HASHED_SQL, bm25, hashed_vectors, top
+from .curiosity import INSIGHTS_SQL, PRIORITY_SQL, TAGS_SQL, insights, priorities, tags, hours
+from .vectors import nearest
+from .terms import BM25_SQL, HASHED_SQL, bm25, dense_vectors, top
 
 GAMMA, LAMBDA = 0.99, 0.95
 
@@ -50,11 +51,18 @@ SELECT user_id, step::INT AS step, round(CASE WHEN n > 1 THEN (g - m) / (d + 1e-
 )
 def gae(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generalised advantages of every user's rollout, scanned from its end and normalised; a rollout of one step stays as it is."""
-    rows = table(spark, sf_dir, "events").where("value IS NOT NULL").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("v"))
-    scan = F.aggregate(F.reverse(F.col("v.value")), F.expr("cast(array() AS array<double>)"), lambda acc, x: F.concat(F.array(x + GAMMA * LAMBDA * F.coalesce(F.get(acc, F.lit(0)), F.lit(0.0))), acc))
-    each = rows.select("user_id", F.posexplode(scan).alias("k", "g"))
+    decay, n = GAMMA * LAMBDA, F.size("v").cast("bigint")
+    # inside an hour from its end, as if nothing followed; the steps before and the advantage after come from the other hours, two numbers each
+    scan = F.aggregate(F.reverse("v"), F.expr("cast(array() AS array<double>)"), lambda acc, x: F.array_append(acc, x + decay * F.coalesce(F.element_at(F.when(F.size(acc) > 0, acc).otherwise(F.array(F.lit(0.0))), -1), F.lit(0.0))))
+    parts = hours(table(spark, sf_dir, "events")).select("user_id", "hour", n.alias("n"), F.reverse(scan).alias("g"))
+    lists = parts.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("hour", "n", F.col("g")[0].alias("b")))).alias("h"))
+    after = F.expr(f"aggregate(reverse(h), named_struct('x', 0D, 'o', cast(array() AS array<double>)), (acc, m) -> named_struct('x', pow({decay}D, m.n) * acc.x + m.b, 'o', array_append(acc.o, acc.x)), acc -> reverse(acc.o))")
+    before = F.expr("aggregate(h, named_struct('k', 0L, 'o', cast(array() AS array<bigint>)), (acc, m) -> named_struct('k', acc.k + m.n, 'o', array_append(acc.o, acc.k)), acc -> acc.o)")
+    ends = lists.select("user_id", F.explode(F.arrays_zip(F.col("h.hour").alias("hour"), after.alias("after"), before.alias("before"))).alias("e")).select("user_id", "e.*")
+    steps = parts.join(ends, ["user_id", "hour"]).select("user_id", "n", "after", "before", F.posexplode("g").alias("i", "own"))
+    each = steps.select("user_id", (F.col("before") + F.col("i")).alias("k"), (F.col("own") + F.pow(F.lit(decay), F.col("n") - F.col("i")) * F.col("after")).alias("g"))
     stats = each.groupBy("user_id").agg(F.avg("g").alias("m"), F.stddev_pop("g").alias("d"), F.count(F.lit(1)).alias("n"))
-    return each.join(stats, "user_id").select("user_id", (F.col("k") + 1).alias("step"), F.round(F.when(F.col("n") > 1, (F.col("g") - F.col("m")) / (F.col("d") + 1e-8)).otherwise(F.col("g")), 5).alias("advantage"))
+    return each.join(stats, "user_id").select("user_id", (F.col("k") + 1).cast("int").alias("step"), F.round(F.when(F.col("n") > 1, (F.col("g") - F.col("m")) / (F.col("d") + 1e-8)).otherwise(F.col("g")), 5).alias("advantage"))
 
 
 @query(
@@ -82,9 +90,8 @@ def fused_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ranks of every document that either list holds among its ten, by a full outer join."""
     docs, questions = documents(spark, sf_dir), table(spark, sf_dir, "benchmark")
     lexical = top(bm25(docs, questions), "bm25", 10).select("item_id", "doc_id", F.col("rank").alias("lexical_rank"))
-    asked = hashed_vectors(questions, "item_id").withColumnRenamed("weight", "w")
-    near = asked.join(hashed_vectors(docs, "doc_id"), "bucket").groupBy("item_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("weight")), 6).alias("dense"))
-    return lexical.join(top(near, "dense", 10).select("item_id", "doc_id", F.col("rank").alias("dense_rank")), ["item_id", "doc_id"], "full_outer")
+    near = nearest(dense_vectors(questions, "item_id"), dense_vectors(docs, "doc_id"), 10)
+    return lexical.join(near.select(F.col("query_id").alias("item_id"), F.col("vec_id").alias("doc_id"), F.col("rank").alias("dense_rank")), ["item_id", "doc_id"], "full_outer")
 
 
 @query("SELECT vec_id, label FROM embeddings SEMI JOIN documents ON vec_id = doc_id")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..plans.registry import query
 from ..sources.tables import documents, table
+from .vectors import nearest
 
 K1, B = 1.5, 0.75
 #: Fixed values of rank fusion: weights of the lexical and the dense list, and the rank constant.
@@ -144,6 +145,12 @@ def hashed_vectors(rows: DataFrame, key: str, width: int = WIDTH) -> DataFrame:
     return counts.select(key, "bucket", (F.col("c") / norm).alias("weight"))
 
 
+def dense_vectors(rows: DataFrame, key: str, width: int = WIDTH) -> DataFrame:
+    """(vec_id, embedding): the hashed vectors as arrays of one length; rows without a token have none."""
+    packed = hashed_vectors(rows, key, width).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"))
+    return packed.select(F.col(key).alias("vec_id"), F.expr(f"transform(sequence(0, {width - 1}), b -> coalesce(try_element_at(m, b), 0D))").alias("embedding"))
+
+
 @query("WITH " + HASHED_SQL.format(id="doc_id", table="documents", width=WIDTH) + " SELECT id AS doc_id, b::INT AS bucket, round(c / norm, 6) AS weight FROM hv")
 def hashed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hashed feature vector of every document, as (bucket, weight) rows."""
@@ -162,9 +169,7 @@ def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best documents of every question by reciprocal ranks in the lexical and the hashed dense list, 25 deep each."""
     docs, questions = documents(spark, sf_dir), table(spark, sf_dir, "benchmark")
     lexical = top(bm25(docs, questions), "bm25", 25).select("item_id", "doc_id", (LEXICAL / (RRF + F.col("rank"))).alias("s"))
-    asked, held = hashed_vectors(questions, "item_id"), hashed_vectors(docs, "doc_id")
-    # the sparse dot product meets on the bucket; questions are a stated set, summed per question and document
-    dense = asked.withColumnRenamed("weight", "w").join(held, "bucket").groupBy("item_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("weight")), 6).alias("dense"))
-    near = top(dense, "dense", 25).select("item_id", "doc_id", (DENSE / (RRF + F.col("rank"))).alias("s"))
+    dense = nearest(dense_vectors(questions, "item_id"), dense_vectors(docs, "doc_id"), 25)
+    near = dense.select(F.col("query_id").alias("item_id"), F.col("vec_id").alias("doc_id"), (DENSE / (RRF + F.col("rank"))).alias("s"))
     fused = lexical.unionByName(near).groupBy("item_id", "doc_id").agg(F.round(F.sum("s"), 9).alias("fused"))
     return top(fused, "fused", 5)

@@ -15,7 +15,8 @@ from ..plans.registry import query
 from ..sources.tables import table
 
 QUERY_EVERY = 20
-BLOCK = 8192
+#: Queries and rows of a block: a pair of blocks is a table of 512 x 8192 scores, 32 MB.
+QUERY_BLOCK, BLOCK = 512, 8192
 #: The weights of content, style and rhetoric in a multi-vector search.
 WEIGHTS = (0.7, 0.2, 0.1)
 FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -27,7 +28,39 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 
 def _matrix(t: pa.Table) -> np.ndarray:
-    return np.array(t["embedding"].to_pylist(), np.float64).reshape(t.num_rows, -1)
+    return t["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1)
+
+
+def best_of(score: np.ndarray, asked: np.ndarray, ids: np.ndarray, k: int, ties_up: bool = True) -> pa.Table:
+    """The k best finite scores of every row of a table of scores, ties by id."""
+    tie, out = ids if ties_up else -ids, []
+    for i, row in enumerate(score):
+        able = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
+        near = able[np.lexsort((tie[able], -row[able]))][:k]
+        near = near[np.isfinite(row[near])]
+        out.append((np.full(len(near), asked[i]), ids[near], row[near]))
+    return pa.table([pa.array(np.concatenate([o[c] for o in out])) for c in range(3)], schema=FOUND)
+
+
+def in_blocks(queries: DataFrame, rows: DataFrame, best) -> DataFrame:
+    """best(block of queries, block of rows) for every pair of blocks; both have vec_id. Queries are a stated set, so rows are copied few times."""
+    n_v = max(1, -(-rows.count() // BLOCK))
+    n_q = max(1, -(-queries.count() // QUERY_BLOCK))
+    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    left = queries.withColumn("q", block(n_q)).withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))))
+    right = rows.withColumn("v", block(n_v)).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
+    return left.groupBy("q", "v").cogroup(right.groupBy("q", "v")).applyInArrow(lambda a, b: best(a, b) if a.num_rows and b.num_rows else FOUND.empty_table(), "query_id bigint, vec_id bigint, score double")
+
+
+def nearest(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score, rank): the k rows of the largest dot product with each query, above zero, rounded to six places."""
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        score = _matrix(a) @ _matrix(b).T
+        return best_of(np.where(score > 0, np.round(score, 6), -np.inf), a["vec_id"].to_numpy(), b["vec_id"].to_numpy(), k)
+
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return in_blocks(queries, rows, best).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def search(vectors: DataFrame, k: int, least: float | None = None, other_label: bool = False, parts: tuple[tuple[float, int], ...] = ((1.0, 0),), ties_up: bool = True) -> DataFrame:
@@ -38,15 +71,7 @@ def search(vectors: DataFrame, k: int, least: float | None = None, other_label:
     """
     rows = vectors.where("embedding IS NOT NULL AND vec_id IS NOT NULL").select("vec_id", "label", "embedding")
     queries = rows.where(F.col("vec_id") % QUERY_EVERY == 0)
-    n_v = max(1, -(-rows.count() // BLOCK))
-    n_q = max(1, -(-queries.count() // BLOCK))
-    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    left = queries.withColumn("q", block(n_q)).withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))))
-    right = rows.withColumn("v", block(n_v)).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
-
     def best(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            return FOUND.empty_table()
         qa, vb = _matrix(a), _matrix(b)
         score = sum(w * (_unit(qa[:, : d or None]) @ _unit(vb[:, : d or None]).T) for w, d in parts)
         score = np.round(score, 6)
@@ -56,15 +81,9 @@ def search(vectors: DataFrame, k: int, least: float | None = None, other_label:
             score[np.array(a["label"].to_pylist(), object)[:, None] == np.array(b["label"].to_pylist(), object)[None, :]] = -np.inf
         if least is not None:
             score[score <= least] = -np.inf
-        tie = ids if ties_up else -ids
-        out = []
-        for i in range(len(asked)):
-            near = np.lexsort((tie, -score[i]))[:k]
-            near = near[np.isfinite(score[i][near])]
-            out.append((np.full(len(near), asked[i]), ids[near], score[i][near]))
-        return pa.table([pa.array(np.concatenate([o[c] for o in out])) for c in range(3)], schema=FOUND)
-
-    found = left.groupBy("q", "v").cogroup(right.groupBy("q", "v")).applyInArrow(best, "query_id bigint, vec_id bigint, score double")
+        return best_of(score, asked, ids, k, ties_up)
+
+    found = in_blocks(queries, rows, best)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id") if ties_up else F.desc("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
