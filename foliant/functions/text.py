@@ -92,20 +92,29 @@ def summary(text: Column, words: int = 60) -> Column:
 
 
 def markers(text: Column) -> Column:
-    """Citation markers such as [e 3], in their canonical form [E3], each once."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\[[eE]\s*[0-9]+\]"), F.lit(0)), lambda m: F.upper(F.regexp_replace(m, r"\s+", ""))))
+    """Citation markers such as [e3], in their canonical form [E3], each once."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(MARKER), F.lit(0)), F.upper))
+
+
+#: The form of a citation marker, and of the literal facts that a claim may not change.
+MARKER = r"\[[eE][0-9]+\]"
+_BEFORE, _AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+NUMBER = r"[0-9]+(?:[.,][0-9]+)?"
+DATE = r"[0-9]{1,4}[/-][0-9]{1,2}[/-][0-9]{1,4}"
+UNIT = r"(?:[%°ºµ]|\p{L}{1,12})"
 
 
 def literals(text: Column) -> Column:
-    """The facts that a claim must share with its evidence, as prefixed strings: dates, percentages, measures, numbers."""
+    """The facts that a claim must share with its evidence, as prefixed strings: dates, percentages, measures, numbers; whole words alone."""
+    plain = F.lower(F.regexp_replace(text, r"\s+", " "))
 
-    def found(pattern: str, prefix: str) -> Column:
-        return F.transform(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0)), lambda m: F.concat(F.lit(prefix), F.regexp_replace(m, r"\s+", "")))
+    def found(pattern: str) -> Column:
+        return F.regexp_extract_all(plain, F.lit(_BEFORE + pattern + _AFTER), F.lit(0))
 
     parts = [
-        found(r"[0-9]{1,4}[-/][0-9]{1,2}[-/][0-9]{1,4}", "date:"),
-        found(r"[0-9]+(?:[.,][0-9]+)?\s*%", "percent:"),
-        found(r"[0-9]+(?:[.,][0-9]+)?\s*(?:km|kg|mm|cm|ms|mb|gb|hz)", "measure:"),
-        found(r"[0-9]+(?:[.,][0-9]+)?", "number:"),
+        F.transform(found(DATE), lambda m: F.concat(F.lit("date:"), m)),
+        F.transform(found(NUMBER + r"\s*%"), lambda m: F.concat(F.lit("percent:"), F.replace(m, F.lit(" "), F.lit("")))),
+        F.transform(found(NUMBER + r"\s*" + UNIT), lambda m: F.concat(F.lit("measure:"), F.regexp_replace(m, "^(" + NUMBER + r")\s*", "$1:"))),
+        F.transform(found(NUMBER), lambda m: F.concat(F.lit("number:"), m)),
     ]
     return F.array_sort(F.array_distinct(F.flatten(F.array(*parts))))

@@ -49,7 +49,7 @@ SENTENCES_SQL = r"""
 sen AS (SELECT item_id, doc_id, rank, bm25, i::INT AS sentence_no, s AS sentence FROM (
   SELECT item_id, doc_id, rank, bm25, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM (
     SELECT item_id, doc_id, rank, bm25, list_filter(list_transform(string_split_regex(regexp_replace(q, '([.!?])\s+', '\1' || chr(30), 'g'), '\x1E|\n+'), lambda s: trim(s, chr(32) || chr(9) || chr(10) || chr(12) || chr(13))), lambda s: s <> '') AS l
-    FROM (SELECT item_id, doc_id, rank, bm25, """ + QUOTE_SQL + r""" AS q FROM hit JOIN documents USING (doc_id))))),
+    FROM (SELECT item_id, doc_id, rank, bm25, text AS q FROM hit JOIN documents USING (doc_id))))),
 qc AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda x: length(x) > 2)) AS qt FROM benchmark),
 cand AS (SELECT item_id, doc_id, rank, sentence_no, sentence, bm25, qt, list_distinct(list_filter(regexp_extract_all(lower(sentence), '[\p{L}\p{N}]+'), lambda x: length(x) > 2)) AS st FROM sen JOIN qc USING (item_id)),
 score AS (SELECT *, len(list_intersect(qt, st)) AS shared FROM cand),
@@ -58,8 +58,8 @@ first AS (SELECT *, row_number() OVER (PARTITION BY item_id, key ORDER BY score
 
 
 def extract(docs: DataFrame, questions: DataFrame, k: int = 4) -> DataFrame:
-    """The k sentences of each question's evidence that share most with it; a sentence that is repeated counts once."""
-    cited = evidence(docs, questions).select("item_id", "doc_id", "rank", "bm25", F.posexplode(T.sentences(F.col("quote"))).alias("n", "sentence"))
+    """The k sentences of each question's evidence, whole texts, that share most with it; a sentence that is repeated counts once."""
+    cited = evidence(docs, questions).join(docs.select("doc_id", "text"), "doc_id").select("item_id", "doc_id", "rank", "bm25", F.posexplode(T.sentences(F.col("text"))).alias("n", "sentence"))
     asked = questions.select("item_id", _distinct_content(F.col("text")).alias("qt"))
     rows = cited.join(asked, "item_id").withColumn("st", _distinct_content(F.col("sentence"))).withColumn("shared", F.size(F.array_intersect("qt", "st"))).where("shared > 0")
     score = 0.75 * F.col("shared") / F.size("qt") + 0.25 * F.col("shared") / F.size("st") + 0.05 * F.col("bm25") / (1 + F.col("bm25"))
@@ -74,53 +74,75 @@ def extractive_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
-def grounding(claims: DataFrame, evidence: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """claims(answer_id, claim_no, claim, source_id) against evidence(source_id, text): one row per answer.
+def grounding(answers: DataFrame, evidence: DataFrame, support: float = SUPPORT, fraction: float = FRACTION) -> DataFrame:
+    """answers(answer_id, text) against evidence(answer_id, marker, text): one row per answer.
 
-    A claim is supported if a sentence of its source holds enough of its content tokens, all its literal facts, and the same
-    polarity. An answer is grounded if it has claims and all are supported. Each claim meets the sentences of its own source only.
+    A claim is a sentence with content tokens. It is supported if a sentence of the evidence that it cites by marker holds enough
+    of its content tokens, all its literal facts, and the same polarity. An answer is grounded if it has claims, all are supported, and
+    it cites no marker without evidence. Each claim meets the sentences of its own markers only.
     """
     negated = lambda tokens: F.arrays_overlap(tokens, F.array(*map(F.lit, NEGATIONS)))
-    units = evidence.select("source_id", F.explode(T.sentences(F.col("text"))).alias("sentence"))
-    text = F.col("claim")
-    asked = claims.select("answer_id", "claim_no", "source_id", _distinct_content(text).alias("ct"), T.literals(text).alias("cl"), negated(T.tokens(text)).alias("cn")).where("size(ct) > 0")
+    known = evidence.groupBy("answer_id").agg(F.collect_set("marker").alias("known"))
+    cited = answers.select("answer_id", T.markers(F.col("text")).alias("cited")).join(known, "answer_id", "left")
+    has = F.coalesce("known", F.expr("cast(array() AS array<string>)"))
+    cited = cited.select("answer_id", F.array_sort(F.array_intersect("cited", has)).alias("valid_markers"), F.array_sort(F.array_except("cited", has)).alias("invalid_markers"))
+    each = answers.select("answer_id", F.posexplode(T.sentences(F.col("text"))).alias("claim_no", "claim")).where(F.size(_distinct_content(F.col("claim"))) > 0)
+    clean = F.trim(F.regexp_replace("claim", T.MARKER, ""))
+    asked = each.select("answer_id", "claim_no", F.explode(T.markers(F.col("claim"))).alias("marker"), _distinct_content(clean).alias("ct"), T.literals(clean).alias("cl"), negated(T.tokens(clean)).alias("cn")).where("size(ct) > 0")
     s = F.col("sentence")
-    units = units.select("source_id", _distinct_content(s).alias("st"), T.literals(s).alias("sl"), negated(T.tokens(s)).alias("sn")).where("size(st) > 0")
+    units = evidence.select("answer_id", "marker", F.explode(T.sentences(F.col("text"))).alias("sentence"))
+    units = units.select("answer_id", "marker", _distinct_content(s).alias("st"), T.literals(s).alias("sl"), negated(T.tokens(s)).alias("sn")).where("size(st) > 0")
     fits = (F.size(F.array_except("cl", "sl")) == 0) & (F.col("cn") == F.col("sn"))
     overlap = F.when(fits, F.size(F.array_intersect("ct", "st")) / F.size("ct")).otherwise(F.lit(0.0))
-    best = asked.join(units, "source_id", "left").groupBy("answer_id", "claim_no").agg(F.max(F.coalesce(overlap, F.lit(0.0))).alias("best"))
-    return best.groupBy("answer_id").agg(F.count(F.lit(1)).alias("total_claims"), F.count_if(F.col("best") >= support).alias("supported_claims"))
+    best = asked.join(units, ["answer_id", "marker"]).groupBy("answer_id", "claim_no").agg(F.max(overlap).alias("best"))
+    total = each.groupBy("answer_id").agg(F.count(F.lit(1)).alias("total_claims"))
+    backed = best.groupBy("answer_id").agg(F.count_if(F.col("best") >= support).alias("supported_claims"))
+    none = F.lit(0).cast("bigint")
+    out = cited.join(total, "answer_id", "left").join(backed, "answer_id", "left").withColumns({"total_claims": F.coalesce("total_claims", none), "supported_claims": F.coalesce("supported_claims", none)})
+    share = F.when(F.col("total_claims") > 0, F.col("supported_claims") / F.col("total_claims")).otherwise(F.lit(0.0))
+    whole = (F.col("total_claims") > 0) & (F.size("invalid_markers") == 0) & (F.col("supported_claims") == F.col("total_claims")) & (share >= fraction)
+    return out.select("answer_id", "total_claims", "supported_claims", share.alias("support_fraction"), whole.alias("grounded"), "valid_markers", "invalid_markers")
 
 
+#: Word boundaries stand for look-around, which DuckDB lacks; a unit takes the character after it along.
 _LITERALS_SQL = r"""list_sort(list_distinct(
-  list_transform(regexp_extract_all(lower({x}), '[0-9]{{1,4}}[-/][0-9]{{1,2}}[-/][0-9]{{1,4}}'), lambda m: 'date:' || regexp_replace(m, '\s+', '', 'g'))
-  || list_transform(regexp_extract_all(lower({x}), '[0-9]+(?:[.,][0-9]+)?\s*%'), lambda m: 'percent:' || regexp_replace(m, '\s+', '', 'g'))
-  || list_transform(regexp_extract_all(lower({x}), '[0-9]+(?:[.,][0-9]+)?\s*(?:km|kg|mm|cm|ms|mb|gb|hz)'), lambda m: 'measure:' || regexp_replace(m, '\s+', '', 'g'))
-  || list_transform(regexp_extract_all(lower({x}), '[0-9]+(?:[.,][0-9]+)?'), lambda m: 'number:' || regexp_replace(m, '\s+', '', 'g'))))"""
+  list_transform(regexp_extract_all(lower(regexp_replace({x}, '\s+', ' ', 'g')), '\b[0-9]{{1,4}}[/-][0-9]{{1,2}}[/-][0-9]{{1,4}}\b'), lambda m: 'date:' || m)
+  || list_transform(regexp_extract_all(lower(regexp_replace({x}, '\s+', ' ', 'g')), '\b([0-9]+(?:[.,][0-9]+)?\s*%)(?:[^\p{{L}}\p{{N}}_]|$)', 1), lambda m: 'percent:' || replace(m, ' ', ''))
+  || list_transform(regexp_extract_all(lower(regexp_replace({x}, '\s+', ' ', 'g')), '\b([0-9]+(?:[.,][0-9]+)?\s*(?:[%°ºµ]|\p{{L}}{{1,12}}))(?:[^\p{{L}}\p{{N}}_]|$)', 1), lambda m: 'measure:' || regexp_replace(m, '^([0-9]+(?:[.,][0-9]+)?)\s*', '\1:'))
+  || list_transform(regexp_extract_all(lower(regexp_replace({x}, '\s+', ' ', 'g')), '\b[0-9]+(?:[.,][0-9]+)?\b'), lambda m: 'number:' || m)))"""
 _SPLIT_SQL = r"list_filter(list_transform(string_split_regex(regexp_replace({x}, '([.!?])\s+', '\1' || chr(30), 'g'), '\x1E|\n+'), lambda s: trim(s, chr(32) || chr(9) || chr(10) || chr(12) || chr(13))), lambda s: s <> '')"
 _CONTENT_SQL = r"list_distinct(list_filter(regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}]+'), lambda t: length(t) > 2))"
 _NEGATED_SQL = r"list_has_any(regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}]+'), [" + ", ".join(f"'{n}'" for n in NEGATIONS) + "])"
 
 
 @query(
-    f"""WITH a AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations),
-c AS (SELECT conv_id, turn, claim_no, {_CONTENT_SQL.format(x="claim")} AS ct, {_LITERALS_SQL.format(x="claim")} AS cl, {_NEGATED_SQL.format(x="claim")} AS cn
-      FROM (SELECT conv_id, turn, unnest(l) AS claim, generate_subscripts(l, 1) AS claim_no FROM (SELECT conv_id, turn, {_SPLIT_SQL.format(x="text")} AS l FROM a WHERE before IS NOT NULL))),
-s AS (SELECT conv_id, turn, {_CONTENT_SQL.format(x="sentence")} AS st, {_LITERALS_SQL.format(x="sentence")} AS sl, {_NEGATED_SQL.format(x="sentence")} AS sn
-      FROM (SELECT conv_id, turn, unnest({_SPLIT_SQL.format(x="before")}) AS sentence FROM a WHERE before IS NOT NULL)),
-b AS (SELECT c.conv_id, c.turn, claim_no, max(CASE WHEN len(list_filter(cl, lambda x: NOT list_contains(sl, x))) = 0 AND cn = sn THEN len(list_intersect(ct, st)) / len(ct) ELSE 0 END) AS best
-      FROM c LEFT JOIN (SELECT * FROM s WHERE len(st) > 0) s ON s.conv_id = c.conv_id AND s.turn = c.turn WHERE len(ct) > 0 GROUP BY ALL)
-SELECT conv_id, turn, count(*) AS total_claims, count(*) FILTER (best >= 0.55) AS supported_claims, round(count(*) FILTER (best >= 0.55) / count(*), 6) AS support_fraction, count(*) = count(*) FILTER (best >= 0.55) AS grounded FROM b GROUP BY ALL"""
+    f"""WITH b AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before, lag(text, 2) OVER (PARTITION BY conv_id ORDER BY turn) AS earlier FROM conversations),
+a AS MATERIALIZED (SELECT conv_id, turn, before, earlier, before || ' [E1] ' || coalesce(earlier, '') || ' [E2] ' || text || ' [e1]' AS answer FROM b WHERE before IS NOT NULL),
+ev AS (SELECT conv_id, turn, '[E1]' AS marker, before AS text FROM a UNION ALL SELECT conv_id, turn, '[E2]', earlier FROM a WHERE earlier IS NOT NULL),
+mk AS (SELECT conv_id, turn, list_sort(list_distinct(list_transform(regexp_extract_all(answer, '\\[[eE][0-9]+\\]'), lambda m: upper(m)))) AS cited, CASE WHEN earlier IS NULL THEN ['[E1]'] ELSE ['[E1]', '[E2]'] END AS known FROM a),
+cl AS MATERIALIZED (SELECT conv_id, turn, claim_no, claim, regexp_replace(claim, '\\[[eE][0-9]+\\]', '', 'g') AS clean
+      FROM (SELECT conv_id, turn, unnest(l) AS claim, generate_subscripts(l, 1) AS claim_no FROM (SELECT conv_id, turn, {_SPLIT_SQL.format(x="answer")} AS l FROM a)) WHERE len({_CONTENT_SQL.format(x="claim")}) > 0),
+c AS (SELECT conv_id, turn, claim_no, unnest(list_distinct(list_transform(regexp_extract_all(claim, '\\[[eE][0-9]+\\]'), lambda m: upper(m)))) AS marker, {_CONTENT_SQL.format(x="clean")} AS ct, {_LITERALS_SQL.format(x="clean")} AS cl, {_NEGATED_SQL.format(x="clean")} AS cn FROM cl),
+s AS (SELECT conv_id, turn, marker, {_CONTENT_SQL.format(x="sentence")} AS st, {_LITERALS_SQL.format(x="sentence")} AS sl, {_NEGATED_SQL.format(x="sentence")} AS sn
+      FROM (SELECT conv_id, turn, marker, unnest({_SPLIT_SQL.format(x="text")}) AS sentence FROM ev)),
+p AS (SELECT c.conv_id, c.turn, claim_no, max(CASE WHEN len(list_filter(cl, lambda x: NOT list_contains(sl, x))) = 0 AND cn = sn THEN len(list_intersect(ct, st)) / len(ct) ELSE 0 END) AS best
+      FROM c JOIN s ON s.conv_id = c.conv_id AND s.turn = c.turn AND s.marker = c.marker WHERE len(ct) > 0 AND len(st) > 0 GROUP BY ALL),
+n AS (SELECT conv_id, turn, count(*) AS total FROM cl GROUP BY ALL), k AS (SELECT conv_id, turn, count(*) FILTER (best >= 0.55) AS backed FROM p GROUP BY ALL)
+SELECT mk.conv_id, mk.turn, coalesce(total, 0) AS total_claims, coalesce(backed, 0) AS supported_claims, round(CASE WHEN total > 0 THEN coalesce(backed, 0) / total ELSE 0 END, 6) AS support_fraction,
+  coalesce(total > 0 AND len(list_filter(cited, lambda x: NOT list_contains(known, x))) = 0 AND coalesce(backed, 0) = total, false) AS grounded,
+  array_to_string(list_filter(cited, lambda x: list_contains(known, x)), ' ') AS valid_markers, array_to_string(list_filter(cited, lambda x: NOT list_contains(known, x)), ' ') AS invalid_markers
+FROM mk LEFT JOIN n USING (conv_id, turn) LEFT JOIN k USING (conv_id, turn)"""
 )
 def grounding_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every turn of a conversation as an answer whose evidence is the turn before."""
-    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", before.alias("before")).where("before IS NOT NULL")
-    answer = F.struct("conv_id", "turn")
-    claims = rows.select(answer.alias("answer_id"), answer.alias("source_id"), F.posexplode(T.sentences(F.col("text"))).alias("claim_no", "claim"))
-    out = grounding(claims, rows.select(answer.alias("source_id"), F.col("before").alias("text")))
-    share = F.col("supported_claims") / F.col("total_claims")
-    return out.select("answer_id.conv_id", "answer_id.turn", "total_claims", "supported_claims", F.round(share, 6).alias("support_fraction"), (F.col("total_claims") == F.col("supported_claims")).alias("grounded"))
+    """Every turn that echoes the two before it, each with its marker: the turn before is evidence [E1], the one before that, where there is one, [E2]."""
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.lag("text").over(order).alias("before"), F.lag("text", 2).over(order).alias("earlier")).where("before IS NOT NULL")
+    rows = rows.withColumn("answer_id", F.struct("conv_id", "turn"))
+    asked = rows.select("answer_id", F.concat("before", F.lit(" [E1] "), F.coalesce("earlier", F.lit("")), F.lit(" [E2] "), "text", F.lit(" [e1]")).alias("text"))
+    held = rows.select("answer_id", F.lit("[E1]").alias("marker"), F.col("before").alias("text")).unionByName(rows.where("earlier IS NOT NULL").select("answer_id", F.lit("[E2]").alias("marker"), F.col("earlier").alias("text")))
+    marks = {c: F.array_join(c, " ") for c in ("valid_markers", "invalid_markers")}
+    out = grounding(asked, held).withColumns(marks).withColumn("support_fraction", F.round("support_fraction", 6))
+    return out.select("answer_id.conv_id", "answer_id.turn", *[c for c in out.columns if c != "answer_id"])
 
 
 @query(f"SELECT doc_id, array_to_string({_LITERALS_SQL.format(x='text')}, ' ') AS literals FROM documents WHERE len({_LITERALS_SQL.format(x='text')}) > 0")

@@ -186,10 +186,10 @@ def duplicate_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).groupBy(F.sha2("text", 256).alias("digest")).agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_doc_id")).where("copies > 1")
 
 
-@query("SELECT doc_id, count(*) AS n_rows FROM documents GROUP BY doc_id HAVING count(*) > 1")
+@query("SELECT 'chk_' || substr(sha256(text), 1, 32) AS record_id, count(*) AS n_rows FROM documents GROUP BY 1 HAVING count(*) > 1")
 def duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids that stand more than once."""
-    return documents(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1")
+    """Content-addressed ids that stand more than once; ids are shuffled, not texts."""
+    return documents(spark, sf_dir).groupBy(T.chunk_id(F.col("text")).alias("record_id")).agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1")
 
 
 @query(r"SELECT doc_id, n_chars, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::BIGINT AS n_words FROM documents WHERE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) < 5")
@@ -199,10 +199,10 @@ def ghost_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", "n_chars", n.alias("n_words")).where("n_words < 5")
 
 
-@query("SELECT doc_id, n_chars AS listed, length(text)::BIGINT AS found FROM documents WHERE n_chars <> length(text)")
+@query("SELECT doc_id, n_chars AS listed, strlen(text)::BIGINT AS found FROM documents WHERE n_chars <> strlen(text)")
 def manifest_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents whose listed size is not that of their text."""
-    return documents(spark, sf_dir).select("doc_id", F.col("n_chars").alias("listed"), F.length("text").cast("bigint").alias("found")).where("listed <> found")
+    """Documents whose listed size is not the number of bytes that their text takes."""
+    return documents(spark, sf_dir).select("doc_id", F.col("n_chars").alias("listed"), F.octet_length("text").cast("bigint").alias("found")).where("listed <> found")
 
 
 @query("WITH t AS (SELECT (SELECT count(*) FROM documents) AS a, (SELECT count(DISTINCT doc_id) FROM documents) AS b, (SELECT count(*) FROM labels SEMI JOIN documents USING (doc_id)) AS c, (SELECT count(*) FROM labels) AS d) SELECT a = b AS ids_unique, c = d AS labels_known, a AS n_documents, d AS n_labels FROM t")
@@ -289,7 +289,7 @@ def line_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "width", F.size("cells").alias("n_rows"), F.md5(F.array_join(line, "\n")).alias("digest"))
 
 
-@query(r"SELECT page_id, lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) AS scheme, lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)) AS host, lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)) IN ('localhost', '127.0.0.1') AS allowed FROM pages")
+@query(r"SELECT page_id, lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) AS scheme, lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)) AS host, lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)) IN ('localhost', '127.0.0.1') AND lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) IN ('http', 'https', 'ws', 'wss') AS allowed FROM pages")
 def url_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a page's address is a web or socket address of this machine."""
     scheme, host = F.lower(F.regexp_extract("url", r"^([a-zA-Z]+)://", 1)), F.lower(F.regexp_extract("url", r"^[a-zA-Z]+://([^/:?#]+)", 1))

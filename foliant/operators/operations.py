@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,9 +9,16 @@ from ..plans.registry import query
 from ..sources.tables import documents, table
 from .ranks import numbered
 
-#: Which state a task may go to from each state, and the state that each event asks for.
-TRANSITIONS = {"open": {"claimed", "cancelled"}, "claimed": {"in_progress", "open", "cancelled"}, "in_progress": {"done", "failed", "cancelled"}, "done": set(), "failed": {"open"}, "cancelled": set()}
-ASKS = {"signup": "open", "view": "claimed", "click": "in_progress", "purchase": "done", "error": "failed"}
+#: Which states a task may go to from each state (an open one is claimed by its own step), and the state that each event asks for.
+TRANSITIONS = {
+    "open": {"claimed", "cancelled"},
+    "claimed": {"in_progress", "completed", "failed", "open", "cancelled"},
+    "in_progress": {"completed", "failed", "open", "cancelled"},
+    "completed": set(),
+    "failed": {"open"},
+    "cancelled": {"open"},
+}
+ASKS = {"signup": "open", "view": "claimed", "click": "in_progress", "purchase": "completed", "error": "failed"}
 
 
 @query("SELECT conv_id, count(*) AS n_messages, min(turn) AS first_turn, max(turn) AS last_turn, count(*) FILTER (role = 'user') AS n_user, sum(length(text))::BIGINT AS n_chars FROM conversations GROUP BY conv_id")
@@ -78,22 +84,39 @@ def idempotent_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fold_tasks(events: DataFrame) -> DataFrame:
-    """(user_id, state, version, refused): every user's events folded in order through the allowed transitions."""
+    """(user_id, state, version, refused): every user's events folded in order through the allowed transitions.
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        state, version, refused = "open", 0, 0
-        for asked in rows.sort_values(["ts", "event_id"])["event_type"].map(ASKS):
-            if asked in TRANSITIONS[state]:
-                state, version = asked, version + 1
-            else:
-                refused += 1
-        return pd.DataFrame([(rows["user_id"].iloc[0], state, version, refused)], columns=["user_id", "state", "version", "refused"])
+    An hour of a user is folded from each of the six states at once, so that no row or task needs all events of a user; the maps
+    of a user's hours are then put together in order. Events of an unknown kind are refused.
+    """
+    names = list(TRANSITIONS)
+    moves = ", ".join(str(names.index(to) if to in TRANSITIONS[name] else -1) for name in names for to in names)
+    asks = "CASE event_type " + " ".join(f"WHEN '{kind}' THEN {names.index(to)}" for kind, to in ASKS.items()) + " END"
+    rows = events.select("user_id", F.coalesce(F.date_trunc("hour", "ts"), F.lit("0001-01-01").cast("timestamp")).alias("hour"), "ts", "event_id", F.expr(asks).alias("ask"))
+    hours = rows.groupBy("user_id", "hour").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "ask"))).alias("v"))
+    move = f"coalesce(element_at(array({moves}), acc.s * {len(names)} + x.ask + 1), -1)"
+    step = f"if({move} < 0, named_struct('s', acc.s, 'n', acc.n, 'r', acc.r + 1), named_struct('s', {move}, 'n', acc.n + 1, 'r', acc.r))"
+    maps = hours.select("user_id", "hour", F.expr(f"transform(sequence(0, {len(names) - 1}), s -> aggregate(v, named_struct('s', s, 'n', 0L, 'r', 0L), (acc, x) -> {step}))").alias("m"))
+    steps = maps.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("hour", "m"))).alias("h"))
+    whole = F.expr("aggregate(h, named_struct('s', 0, 'n', 0L, 'r', 0L), (acc, x) -> named_struct('s', x.m[acc.s].s, 'n', acc.n + x.m[acc.s].n, 'r', acc.r + x.m[acc.s].r))")
+    state = F.expr("element_at(array(" + ", ".join(f"'{n}'" for n in names) + "), w.s + 1)")
+    return steps.select("user_id", whole.alias("w")).select("user_id", state.alias("state"), F.col("w.n").alias("version"), F.col("w.r").alias("refused"))
 
-    return events.select("user_id", "ts", "event_id", "event_type").groupBy("user_id").applyInPandas(fold, "user_id bigint, state string, version bigint, refused bigint")
 
+_ASK_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ASKS.items()) + " ELSE '?' END"
+_ALLOWED_SQL = "CASE state " + " ".join(f"WHEN '{k}' THEN asked IN ({', '.join(repr(x) for x in sorted(v)) or repr('')})" for k, v in TRANSITIONS.items()) + " END"
 
-@query()
+
+@query(
+    f"""WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, {_ASK_SQL} AS asked FROM events),
+f(user_id, k, state, version, refused) AS (
+  SELECT DISTINCT user_id, 0::BIGINT, 'open', 0::BIGINT, 0::BIGINT FROM e
+  UNION ALL SELECT f.user_id, e.k, CASE WHEN {_ALLOWED_SQL} THEN asked ELSE state END, version + CASE WHEN {_ALLOWED_SQL} THEN 1 ELSE 0 END, refused + CASE WHEN {_ALLOWED_SQL} THEN 0 ELSE 1 END
+  FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)
+SELECT user_id, arg_max(state, k) AS state, max(version) AS version, max(refused) AS refused FROM f GROUP BY user_id"""
+)
 def task_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of every user's task after all events."""
     return fold_tasks(table(spark, sf_dir, "events"))
 
 

@@ -234,10 +234,10 @@ def weighted_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("source", "draw").agg(F.min("doc_id").alias("doc_id")).select("source", F.col("draw").cast("int").alias("draw"), "doc_id")
 
 
-@query("SELECT doc_id, 'Q: ' || source || ' ' || lang || chr(10) || 'E: ' || substr(text, 1, 120) || chr(10) || 'A: [E1]' AS example FROM documents")
+@query("SELECT doc_id, 'Q: ' || source || ' ' || lang || chr(10) || 'E: ' || text || chr(10) || 'A: [E1]' AS example FROM documents")
 def control_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The head of an evidence example of every document: its first 120 characters, as the SQL has it; control_spans has whole spans."""
-    return documents(spark, sf_dir).select("doc_id", F.concat(F.lit("Q: "), "source", F.lit(" "), "lang", F.lit("\nE: "), F.substring("text", 1, 120), F.lit("\nA: [E1]")).alias("example"))
+    """Every document, whole, as one evidence example; control_spans has spans."""
+    return documents(spark, sf_dir).select("doc_id", F.concat(F.lit("Q: "), "source", F.lit(" "), "lang", F.lit("\nE: "), "text", F.lit("\nA: [E1]")).alias("example"))
 
 
 #: The words of the examples, as the trainer has them: before the evidence, between it and the answer, after it, and without any.

@@ -28,7 +28,7 @@ def test_text_functions(spark):
     assert one(spark, T.markers(t), "x [e 2] y [E2] z [E10]") == ["[E2]", "[E10]"]
     assert one(spark, T.truncated_quote(t, 5), "abc defg") == "abc…"
     assert one(spark, T.hashed_bucket(t, 128), "motor") == 2
-    assert one(spark, T.literals(t), "5 km and 10%") == ["measure:5km", "number:10", "number:5", "percent:10%"]
+    assert one(spark, T.literals(t), "5 km and 10% of abc123, 2,5mm") == ["measure:10:%", "measure:2,5:mm", "measure:5:km", "number:10", "number:2", "number:5", "percent:10%"]
     assert one(spark, T.tokens(t), None) is None
 
 
@@ -57,10 +57,12 @@ def test_bm25_of_empty_and_unseen(spark):
 
 
 def test_grounding(spark):
-    claims = spark.createDataFrame([(1, 0, "The tower has 10 floors.", 7), (2, 0, "The tower has 12 floors.", 7), (3, 0, "The tower has not 10 floors.", 7)], "answer_id long, claim_no int, claim string, source_id long")
-    evidence = spark.createDataFrame([(7, "Rain fell. The tower has 10 floors.")], "source_id long, text string")
-    found = {r.answer_id: r.supported_claims for r in answers.grounding(claims, evidence).collect()}
-    assert found == {1: 1, 2: 0, 3: 0}
+    answers_ = [(1, "The tower has 10 floors [E1]."), (2, "The tower has 12 floors [e1]."), (3, "The tower has not 10 floors [E1]."), (4, "The tower has 10 floors."), (5, "The tower has 10 floors [E1] [E7]."), (6, "Rain fell [E1]. The tower has 10 floors [E2].")]
+    asked = spark.createDataFrame(answers_, "answer_id long, text string")
+    evidence = spark.createDataFrame([(k, "[E1]", "Rain fell. The tower has 10 floors.") for k in range(1, 7)], "answer_id long, marker string, text string")
+    found = {r.answer_id: r for r in answers.grounding(asked, evidence).collect()}
+    assert {k: (r.supported_claims, r.total_claims, r.grounded) for k, r in found.items()} == {1: (1, 1, True), 2: (0, 1, False), 3: (0, 1, False), 4: (0, 1, False), 5: (1, 1, False), 6: (1, 2, False)}
+    assert found[5].valid_markers == ["[E1]"] and found[5].invalid_markers == ["[E7]"] and found[6].invalid_markers == ["[E2]"]
 
 
 def test_search_blocks_agree(spark, monkeypatch):
@@ -89,7 +91,7 @@ def test_merges(spark):
 def test_task_fold(spark):
     rows = [(k, datetime(2024, 1, 1, k), 1, kind) for k, kind in enumerate(["purchase", "view", "click", "purchase", "view"])]
     df = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string")
-    assert tuple(operations.fold_tasks(df).first()) == (1, "done", 3, 2)
+    assert tuple(operations.fold_tasks(df).first()) == (1, "completed", 3, 2)
 
 
 def test_markdown():
