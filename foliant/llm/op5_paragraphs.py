@@ -35,7 +35,7 @@ WIDTH = 5
 PERCENT = 80
 BANDS, ROWS = 10, 3
 #: Words of a passage that is found wherever it stands, and of the units that are compared.
-PASSAGE, UNIT = 50, 32
+PASSAGE, UNIT = 50, 40
 #: Bytes of the texts that are cut at a time.
 AT_ONCE = 2_000_000
 
