@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A lexical token: a run of letters and digits of any script, in lower case.
+#: Fixed values, the patterns of this block. A lexical token: a run of letters and digits of any script, in lower case.
 TOKEN = r"[\p{L}\p{N}]+"
 #: A token of the lexical profile: Latin letters, digits and underscores.
 PROFILE_TOKEN = r"[a-zA-ZÀ-ÖØ-öø-ÿ0-9_]+"

@@ -160,6 +160,7 @@ SELECT doc_id, count(*) AS n_sentences, count(*) FILTER (noise) AS n_noise FROM
 )
 def noise_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many sentences of each document are too short, mostly bare numbers, or lists of marks."""
+    # fixed values: the form of a bare number, and the limits 20, 30, 0.12 and 5
     s = F.col("s")
     cores = F.transform(F.split(s, r"\s+"), lambda t: F.regexp_replace(t, r"^[.,;:()\[\]{}–—]+|[.,;:()\[\]{}–—]+$", ""))
     bare = F.aggregate(F.filter(cores, lambda t: t.rlike(r"^[+-]?\d+([.,:/]\d+)*%?$")), F.lit(0), lambda n, t: n + F.length(F.regexp_replace(t, r"\D", "")))
