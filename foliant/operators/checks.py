@@ -13,12 +13,12 @@ from .curiosity import CONTENT_SQL, SIGNALS_SQL, content_counts
 from .terms import TOKENS_SQL, postings
 
 
-@query(r"SELECT doc_id, regexp_matches(source, '^[a-z][a-z0-9_.:-]{0,63}$') AS label_ok, regexp_matches(lang, '^[a-z]{2}$') AS lang_ok, length(text) = n_chars AS size_ok, regexp_matches(sha256(text), '^[0-9a-f]{64}$') AS digest_ok FROM documents")
+@query(r"SELECT doc_id, regexp_matches(source, '^[a-z][a-z0-9_.:-]{0,63}$') AS label_ok, regexp_matches(lang, '^[a-z]{2}$') AS lang_ok, length(text) = n_chars AS size_ok, sha256(text) = sha256(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ')) AS digest_ok FROM documents")
 def field_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether the label, language, size and digest of every document are well formed."""
+    """Whether the label, language and size of every document are well formed, and its digest is that of its canonical form."""
     return documents(spark, sf_dir).select(
         "doc_id", F.col("source").rlike(r"^[a-z][a-z0-9_.:-]{0,63}$").alias("label_ok"), F.col("lang").rlike(r"^[a-z]{2}$").alias("lang_ok"),
-        (F.length("text") == F.col("n_chars")).alias("size_ok"), F.sha2("text", 256).rlike("^[0-9a-f]{64}$").alias("digest_ok"),
+        (F.length("text") == F.col("n_chars")).alias("size_ok"), (F.sha2("text", 256) == F.sha2(T.squeeze(F.col("text")), 256)).alias("digest_ok"),
     )
 
 

@@ -84,8 +84,10 @@ lex AS MATERIALIZED (SELECT item_id, doc_id, round(bm25, 6) AS bm25,
 
 @query(f"WITH {INDEX_SQL} SELECT term, df::BIGINT AS df, sum(tf)::BIGINT AS cf FROM tf JOIN df USING (term) GROUP BY ALL")
 def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document and corpus frequency of every term."""
-    return postings(documents(spark, sf_dir)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    """Document and corpus frequency of every term, summed by term in each task; a document's own terms are made distinct in its row."""
+    one = lambda terms, df: F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(df).alias("df")))
+    rows = documents(spark, sf_dir).select(T.tokens(F.col("text")).alias("t")).select(F.explode(F.concat(one("t", 0), one(F.array_distinct("t"), 1))).alias("x"))
+    return rows.groupBy("x.term").agg(F.sum("x.df").alias("df"), F.count_if(F.col("x.df") == 0).alias("cf"))
 
 
 @query(f"WITH {INDEX_SQL} SELECT (SELECT n FROM st) AS n_docs, (SELECT round(avgdl, 6) FROM st) AS avg_length, (SELECT count(*) FROM df) AS n_terms, (SELECT sum(dl) FROM dl)::BIGINT AS n_tokens")

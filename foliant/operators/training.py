@@ -194,13 +194,13 @@ def ngram_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = T.tokens(F.col("text"))
     rows = documents(spark, sf_dir).select("doc_id", t.alias("l")).where("size(l) > 1")
     pairs = F.transform(F.slice("l", 1, F.size("l") - 1), lambda x, i: F.struct(x.alias("a"), F.get("l", i + 1).alias("b")))
-    g = rows.select("doc_id", F.explode(pairs).alias("p")).groupBy("doc_id", "p.a", "p.b").agg(F.count(F.lit(1)).alias("n"))
-    c = g.groupBy("a", "b").agg(F.sum("n").alias("pair"))
+    g = rows.select("doc_id", F.explode(pairs).alias("p")).select("doc_id", "p.a", "p.b")
+    c = g.groupBy("a", "b").agg(F.count(F.lit(1)).alias("pair"))
     u = c.groupBy("a").agg(F.sum("pair").alias("first"))
     v = F.broadcast(c.agg(F.countDistinct("b").alias("v")))  # one row
     p = (F.col("pair") + 0.5) / (F.col("first") + 0.5 * F.col("v"))
     joined = g.join(c.join(u, "a"), ["a", "b"]).crossJoin(v)
-    return joined.groupBy("doc_id").agg(F.round(F.sum(F.col("n") * -F.log(p)) / F.sum("n"), 6).alias("loss"), F.sum("n").alias("n_targets"))
+    return joined.groupBy("doc_id").agg(F.round(F.sum(-F.log(p)) / F.count(F.lit(1)), 6).alias("loss"), F.count(F.lit(1)).alias("n_targets"))
 
 
 @query(

@@ -11,8 +11,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows, dealt out to all cores where the scan has fewer tasks than there are cores.
+
+    A file of one row group is read by one task, however long the texts in it take. A table of many files or row groups stays as it
+    is, without an exchange. Filters and column pruning pass through to the scan.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return dealt(table(spark, sf_dir, "documents"))
 
 
 def spans(docs: DataFrame) -> DataFrame:
