@@ -90,7 +90,7 @@ def fused_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ranks of every document that either list holds among its ten, by a full outer join."""
     docs, questions = documents(spark, sf_dir), table(spark, sf_dir, "benchmark")
     lexical = top(bm25(docs, questions), "bm25", 10).select("item_id", "doc_id", F.col("rank").alias("lexical_rank"))
-    near = nearest(dense_vectors(questions, "item_id"), dense_vectors(docs, "doc_id"), 10)
+    near = nearest(dense_vectors(questions, "item_id"), dense_vectors(docs, "doc_id"), 10, (questions, docs))
     return lexical.join(near.select(F.col("query_id").alias("item_id"), F.col("vec_id").alias("doc_id"), F.col("rank").alias("dense_rank")), ["item_id", "doc_id"], "full_outer")
 
 

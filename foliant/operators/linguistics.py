@@ -229,12 +229,15 @@ def style_vectors(docs: DataFrame) -> DataFrame:
     return v.withColumn("norm", norm).select("doc_id", F.when(F.col("norm") > 1e-8, F.transform("v", lambda x: F.round(x / F.col("norm"), 5))).otherwise(F.col("v")).alias("style"))
 
 
-@query(
-    f"WITH {LEXICAL_SQL}, {SYNTAX_SQL}, {DISCOURSE_SQL}, v0 AS (SELECT doc_id, [" + ", ".join(f"least(1::DOUBLE, ({e})::DOUBLE)" for e in STYLE) + "] AS v FROM lexical JOIN syntax USING (doc_id) JOIN discourse USING (doc_id)),"
+STYLE_SQL = (
+    f"{LEXICAL_SQL}, {SYNTAX_SQL}, {DISCOURSE_SQL}, v0 AS (SELECT doc_id, [" + ", ".join(f"least(1::DOUBLE, ({e})::DOUBLE)" for e in STYLE) + "] AS v FROM lexical JOIN syntax USING (doc_id) JOIN discourse USING (doc_id)),"
     + " v1 AS (SELECT doc_id, v || [" + ", ".join(f"(v[{a + 1}] + v[{b + 1}]) / 2" for a, b in COMPOSITES) + "] AS v FROM v0),"
-    + " v2 AS (SELECT doc_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM v1)"
-    + " SELECT doc_id, array_to_string(list_transform(CASE WHEN norm > 1e-8 THEN list_transform(v, lambda x: round(x / norm, 5)) ELSE v END, lambda x: round(x * 100000)::BIGINT::VARCHAR), ' ') AS style FROM v2"
+    + " v2 AS (SELECT doc_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM v1),"
+    + " style AS MATERIALIZED (SELECT doc_id, CASE WHEN norm > 1e-8 THEN list_transform(v, lambda x: round(x / norm, 5)) ELSE v END AS style FROM v2)"
 )
+
+
+@query(f"WITH {STYLE_SQL} SELECT doc_id, array_to_string(list_transform(style, lambda x: round(x * 100000)::BIGINT::VARCHAR), ' ') AS style FROM style")
 def style_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return style_vectors(documents(spark, sf_dir)).select("doc_id", _in_units("style").alias("style"))
 
@@ -247,10 +250,13 @@ def rhetorical_vectors(docs: DataFrame) -> DataFrame:
     return v.withColumn("norm", norm).select("doc_id", F.transform("v", lambda x: F.round(x / F.col("norm"), 5)).alias("rhetoric"))
 
 
-@query(
-    f"WITH {RHETORIC_SQL}, v AS (SELECT doc_id, [{', '.join(ROLES)}, confidence, " + ", ".join(f"CASE WHEN role = '{r}' THEN 1.0::DOUBLE ELSE 0 END" for r in ("definition", "comparison", "procedure", "mathematical_formulation")) + ", 0, 0, 0] AS v FROM rhetoric)"
-    " SELECT doc_id, array_to_string(list_transform(v, lambda x: round(100000 * round(x / sqrt(list_sum(list_transform(v, lambda y: y * y))), 5))::BIGINT::VARCHAR), ' ') AS rhetoric FROM v"
+RHETORIC_VECTOR_SQL = (
+    f"{RHETORIC_SQL}, rv AS (SELECT doc_id, [{', '.join(ROLES)}, confidence, " + ", ".join(f"CASE WHEN role = '{r}' THEN 1.0::DOUBLE ELSE 0 END" for r in ("definition", "comparison", "procedure", "mathematical_formulation")) + ", 0, 0, 0] AS v FROM rhetoric),"
+    " rhetoric_v AS MATERIALIZED (SELECT doc_id, list_transform(v, lambda x: round(x / sqrt(list_sum(list_transform(v, lambda y: y * y))), 5)) AS rhetoric FROM rv)"
 )
+
+
+@query(f"WITH {RHETORIC_VECTOR_SQL} SELECT doc_id, array_to_string(list_transform(rhetoric, lambda x: round(100000 * x)::BIGINT::VARCHAR), ' ') AS rhetoric FROM rhetoric_v")
 def rhetorical_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rhetorical_vectors(documents(spark, sf_dir)).select("doc_id", _in_units("rhetoric").alias("rhetoric"))
 

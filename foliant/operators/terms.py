@@ -171,7 +171,7 @@ def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best documents of every question by reciprocal ranks in the lexical and the hashed dense list, 25 deep each."""
     docs, questions = documents(spark, sf_dir), table(spark, sf_dir, "benchmark")
     lexical = top(bm25(docs, questions), "bm25", 25).select("item_id", "doc_id", (LEXICAL / (RRF + F.col("rank"))).alias("s"))
-    dense = nearest(dense_vectors(questions, "item_id"), dense_vectors(docs, "doc_id"), 25)
+    dense = nearest(dense_vectors(questions, "item_id"), dense_vectors(docs, "doc_id"), 25, (questions, docs))
     near = dense.select(F.col("query_id").alias("item_id"), F.col("vec_id").alias("doc_id"), (DENSE / (RRF + F.col("rank"))).alias("s"))
     fused = lexical.unionByName(near).groupBy("item_id", "doc_id").agg(F.round(F.sum("s"), 9).alias("fused"))
     return top(fused, "fused", 5)

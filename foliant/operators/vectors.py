@@ -42,25 +42,29 @@ def best_of(score: np.ndarray, asked: np.ndarray, ids: np.ndarray, k: int, ties_
     return pa.table([pa.array(np.concatenate([o[c] for o in out])) for c in range(3)], schema=FOUND)
 
 
-def in_blocks(queries: DataFrame, rows: DataFrame, best) -> DataFrame:
-    """best(block of queries, block of rows) for every pair of blocks; both have vec_id. Queries are a stated set, so rows are copied few times."""
-    n_v = max(1, -(-rows.count() // BLOCK))
-    n_q = max(1, -(-queries.count() // QUERY_BLOCK))
+def in_blocks(queries: DataFrame, rows: DataFrame, best, of: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """best(block of queries, block of rows) for every pair of blocks; both have vec_id. Queries are a stated set, so rows are copied few times.
+
+    of: the tables that queries and rows are made of, one vector a row at most; they are counted instead, without making the vectors.
+    """
+    counted = of or (queries, rows)
+    n_v = max(1, -(-counted[1].count() // BLOCK))
+    n_q = max(1, -(-counted[0].count() // QUERY_BLOCK))
     block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     left = queries.withColumn("q", block(n_q)).withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))))
     right = rows.withColumn("v", block(n_v)).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
     return left.groupBy("q", "v").cogroup(right.groupBy("q", "v")).applyInArrow(lambda a, b: best(a, b) if a.num_rows and b.num_rows else FOUND.empty_table(), "query_id bigint, vec_id bigint, score double")
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score, rank): the k rows of the largest dot product with each query, above zero, rounded to six places."""
+def nearest(queries: DataFrame, rows: DataFrame, k: int, of: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(query_id, vec_id, score, rank): the k rows of the largest dot product with each query, above zero, rounded to six places; of as in in_blocks."""
 
     def best(a: pa.Table, b: pa.Table) -> pa.Table:
         score = _matrix(a) @ _matrix(b).T
         return best_of(np.where(score > 0, np.round(score, 6), -np.inf), a["vec_id"].to_numpy(), b["vec_id"].to_numpy(), k)
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return in_blocks(queries, rows, best).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return in_blocks(queries, rows, best, of).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def search(vectors: DataFrame, k: int, least: float | None = None, other_label: bool = False, parts: tuple[tuple[float, int], ...] = ((1.0, 0),), ties_up: bool = True) -> DataFrame:
