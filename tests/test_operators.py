@@ -147,3 +147,57 @@ def test_control_spans_are_whole(spark, tmp_path):
     assert set(found) == {(1, 0, "evidence"), (1, 2, "evidence"), (None, None, "abstention")}
     assert found[1, 2, "evidence"] == f"Pergunta:\nExtraia somente a passagem apoiada pela evidência.\nEvidências:\n[E1] {long}\nResposta:\n{long} [E1]"
     assert found[None, None, "abstention"].endswith("Resposta:\nNÃO ENCONTRADO.")
+
+
+def manifest_rows(spark, rows):
+    return spark.createDataFrame(rows, "doc_id bigint, source string, digest string, n_bytes bigint")
+
+
+def test_manifest_changes_and_digest(spark):
+    from foliant.operators.ledger import changed, corpus_mark
+
+    stored = manifest_rows(spark, [(1, "a", "x", 3), (2, "a", "y", 4), (3, "b", "z", 5)])
+    put = manifest_rows(spark, [(2, "a", "w", 9), (4, "b", "v", 1)])
+    gone = spark.createDataFrame([(3,), (7,)], "doc_id bigint")
+    after = changed(stored, gone, put)
+    assert sorted(map(tuple, after.collect())) == [(1, "a", "x", 3), (2, "a", "w", 9), (4, "b", "v", 1)]
+    mark = lambda rows: tuple(corpus_mark(rows).first())
+    assert mark(after) == mark(after.orderBy("n_bytes").repartition(3))
+    assert mark(after) != mark(stored)
+    assert mark(changed(stored, gone.limit(0), put.limit(0))) == mark(stored)
+    assert mark(stored.limit(0))[:2] == (0, 0)
+
+
+def test_times_need_a_zone(spark):
+    from foliant.operators.ledger import zoned
+
+    texts = ["2024-01-01T00:00:00Z", "2024-01-01T02:00:00+02:00", "2024-01-01T00:00:00", "2024-13-01T00:00:00Z", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = [r[0] for r in rows.select(F.unix_micros(zoned(F.col("t")))).collect()]
+    assert found == [1704067200000000, 1704067200000000, None, None, None, None]
+
+
+def test_hybrid_counts_low_lexical_ranks_and_leaves_out_inactive(spark):
+    from foliant.operators.retrieval import hybrid
+
+    docs = spark.createDataFrame([(0, "apple pear"), (1, "apple apple"), (2, "apple"), (3, "apple stone road river"), (4, "")], "doc_id bigint, text string")
+    asked = spark.createDataFrame([(9, "apple")], "item_id bigint, text string")
+    both = hybrid(docs.where("doc_id <> 2"), docs, asked, kept=3, depth=1).collect()
+    # the one dense hit, document 1 or 2, is met first by id; lexical ranks of the others count
+    assert [r.doc_id for r in both] == [1, 0, 3] and all(r.doc_id != 2 for r in both)
+    assert both[0].dense_score == 1.0 and both[1].dense_score is None
+    plain = hybrid(docs, docs, asked, calibrate=None, kept=1, depth=3).first()
+    assert 0 < plain.confidence <= 1
+    assert hybrid(docs.limit(0), docs, asked).count() == 0
+
+
+def test_texts_are_dealt_only_where_tasks_are_few(spark, tmp_path):
+    from foliant.sources.tables import dealt
+
+    spark.range(100).repartition(9).write.parquet(str(tmp_path / "many"))
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
+    cores = spark.sparkContext.defaultParallelism
+    one = dealt(spark.read.parquet(str(tmp_path / "one")))
+    assert one.rdd.getNumPartitions() == cores and one.count() == 100
+    many = spark.read.parquet(str(tmp_path / "many"))
+    assert dealt(many).rdd.getNumPartitions() == max(cores, many.rdd.getNumPartitions())
