@@ -138,11 +138,10 @@ hv AS MATERIALIZED (SELECT {id} AS id, b, sqrt(sum(c * c) OVER (PARTITION BY {id
 def hashed_vectors(rows: DataFrame, key: str, width: int = WIDTH) -> DataFrame:
     """(key, bucket, weight): the L2-normalised counts of tokens in hashed buckets, zero buckets left out.
 
-    Each distinct token is hashed once.
+    Tokens are hashed where they are read, and counted by bucket before the only shuffle.
     """
-    tokens = rows.select(key, F.explode(T.tokens(F.col("text"))).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("c"))
-    ids = tokens.select("token").distinct().withColumn("bucket", T.hashed_bucket(F.col("token"), width))
-    counts = tokens.join(ids, "token").groupBy(key, "bucket").agg(F.sum("c").alias("c"))
+    tokens = rows.select(key, F.explode(T.tokens(F.col("text"))).alias("token"))
+    counts = tokens.groupBy(key, T.hashed_bucket(F.col("token"), width).alias("bucket")).agg(F.count(F.lit(1)).alias("c"))
     norm = F.sqrt(F.sum(F.col("c") * F.col("c")).over(Window.partitionBy(key)))
     return counts.select(key, "bucket", (F.col("c") / norm).alias("weight"))
 
