@@ -113,10 +113,11 @@ def read_back(pieces: DataFrame) -> DataFrame:
     return pieces.withColumns({"turns": turns, "learned": learned})
 
 
-def chains(rows: DataFrame) -> DataFrame:
-    """Conversations without branches, as messages: conv_id, role, text, id, parent and score; every row answers the one before it.
+def chains(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Conversations without branches, as messages: (id, parent, score), where every row answers the one before it, and (id, conv_id, role, text).
 
-    Rows stand by turn (nulls first), then by a digest of role and text. Rows without conv_id are one conversation.
+    Rows stand by turn (nulls first), then by a digest of role and text. Rows without conv_id are one conversation. The texts stay apart
+    from the pointers, which alone are joined again and again.
     """
     digest = F.sha2(F.concat_ws("\n", "role", "text"), 256)
     table = in_order(rows.select("conv_id", "turn", "role", "text", digest.alias("digest")), ["conv_id"], ["turn", "digest"], "id")
@@ -127,12 +128,12 @@ def chains(rows: DataFrame) -> DataFrame:
     ends = slim.groupBy("conv_id", "part").agg(F.min("id").alias("id"), F.max("id").alias("last"))
     far = materialise(ends.select("id", F.lag("last").over(Window.partitionBy("conv_id").orderBy("part")).alias("far")).where("far is not null"), "far")
     linked = near.select("id", "parent").join(F.broadcast(far), "id", "left").select("id", F.coalesce("parent", "far").alias("parent"))
-    return table.join(linked, "id").select("conv_id", "role", "text", "id", "parent", F.lit(0.0).alias("score"))
+    return linked.withColumn("score", F.lit(0.0)), table.select("id", "conv_id", "role", "text")
 
 
-def chats(messages: DataFrame, keep: list[str], top: int | None = 1) -> DataFrame:
-    """The pieces of the best paths of every tree, formatted; a table of the shared folder."""
-    return materialise(formatted(branches(messages, top), messages, keep), "chats")
+def chats(tree: DataFrame, messages: DataFrame, keep: list[str], top: int | None = 1) -> DataFrame:
+    """The pieces of the best paths of every tree(id, parent, score), formatted with the texts of messages; a table of the shared folder."""
+    return materialise(formatted(branches(tree, top), messages, keep), "chats")
 
 
 def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,8 +145,7 @@ def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "role", "text")
     trial = spark.range(2).select(F.lit(TRIAL[0]).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRIAL[1]).alias("text"))
-    messages = materialise(chains(rows.unionByName(trial)), "messages")
-    back = read_back(chats(messages, ["conv_id"]))
+    back = read_back(chats(*chains(rows.unionByName(trial)), ["conv_id"]))
     piece = back.select(
         "conv_id", "path", "piece", F.size("turns").cast("bigint").alias("n"), F.length("formatted").cast("bigint").alias("chars"),
         F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").alias("said"), F.array_join("learned", "").alias("learned"),

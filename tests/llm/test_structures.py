@@ -132,7 +132,7 @@ def test_chats_read_back(spark):
     """Texts and roles with every control string come back; the mask covers the assistants' texts and nothing else."""
     rows = [(c, t, role, text) for c in range(3) for t, (role, text) in enumerate((r, x) for r in ("user", "assistant", "<turn>", None) for x in HARD)]
     messages = op12_chat.chains(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3))
-    back = op12_chat.read_back(op12_chat.chats(messages, ["conv_id"])).orderBy("conv_id", "piece").collect()
+    back = op12_chat.read_back(op12_chat.chats(*messages, ["conv_id"])).orderBy("conv_id", "piece").collect()
     for c in range(3):
         mine = [r for r in back if r.conv_id == c]
         assert [(t.role, t.text) for r in mine for t in r.turns] == [(a or "", x or "") for k, _, a, x in rows if k == c]
