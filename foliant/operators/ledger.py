@@ -261,20 +261,6 @@ def least_surfaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("source").agg(F.min_by("doc_id", order).alias("doc_id"), F.min("shown").alias("shown"))
 
 
-_BUCKET = "4 + ('0x' || substr(sha256(x), 7, 2) || substr(sha256(x), 5, 2) || substr(sha256(x), 3, 2) || substr(sha256(x), 1, 2))::BIGINT % 1000"
-
-
-@query(
-    rf"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS l FROM documents)
-SELECT doc_id, array_to_string(list_transform(l[1:64], lambda x: ({_BUCKET})::VARCHAR) || list_transform(range(0, greatest(64 - len(l), 0)), lambda i: '0'), ' ') AS row, array_to_string(l[1:64], ' ') AS decoded, len(l) > 64 AS cut FROM t"""
-)
-def padded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document as a row of 64 hashed token ids with zeros on the right, and what is read back without them; a row's length is the feature, cut tells of more."""
-    rows = documents(spark, sf_dir).select("doc_id", T.tokens(F.col("text")).alias("l")).select("doc_id", F.slice("l", 1, 64).alias("k"), (F.size("l") > 64).alias("cut"))
-    ids = F.transform("k", lambda x: (T.hashed_bucket(x, 1000) + 4).cast("string"))
-    return rows.select("doc_id", F.array_join(F.concat(ids, F.array_repeat(F.lit("0"), 64 - F.size("k"))), " ").alias("row"), F.array_join("k", " ").alias("decoded"), "cut")
-
-
 @query(
     "WITH o AS (SELECT user_id, list(value ORDER BY ts, event_id) AS v FROM events WHERE value IS NOT NULL GROUP BY user_id), e AS (SELECT user_id, round(list_reduce(list_prepend(0::DOUBLE, v), lambda r, x: 0.8 * r + 0.2 * x), 6) AS reward FROM o)"
     " SELECT user_id, reward, arg_max(value, (ts, event_id)) FILTER (event_type = 'click' AND value IS NOT NULL) AS loss, arg_max(value, (ts, event_id)) FILTER (event_type = 'view' AND value IS NOT NULL) AS uncertainty,"

@@ -14,85 +14,9 @@ from ..sources.tables import SPANS_SQL, documents, spans, table
 from .ranks import numbered, running
 from .terms import HASHED_SQL, TOKENS_SQL, hashed_vectors
 
-END = "</w>"
 CONTEXT, STRIDE = 128, 64
 
 
-def word_types(docs: DataFrame) -> DataFrame:
-    """(word, freq): every distinct token of the corpus with its count."""
-    return docs.select(F.explode(T.tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
-
-
-def symbols(words: DataFrame) -> DataFrame:
-    """Adds symbols: a word's characters, then the mark of its end."""
-    chars = F.filter(F.split("word", ""), lambda c: c != "")
-    return words.withColumn("symbols", F.concat(chars, F.array(F.lit(END))))
-
-
-def pair_counts(types: DataFrame) -> DataFrame:
-    """(left, right, n): adjacent symbols over word types, weighed by frequency; (n, pair) decides a merge, the larger pair winning ties."""
-    pairs = F.transform(F.slice("symbols", 1, F.size("symbols") - 1), lambda x, i: F.struct(x.alias("left"), F.get("symbols", i + 1).alias("right")))
-    return types.select("freq", F.explode(pairs).alias("p")).groupBy("p.left", "p.right").agg(F.sum("freq").alias("n"))
-
-
-PAIRS_SQL = TOKENS_SQL + """,
-wt AS MATERIALIZED (SELECT term AS word, count(*) AS freq, string_split(term, '') || ['</w>'] AS sy FROM tok GROUP BY term),
-pr AS MATERIALIZED (SELECT sy[i] AS "left", sy[i + 1] AS "right", sum(freq)::BIGINT AS n FROM (SELECT sy, freq, unnest(range(1, len(sy))) AS i FROM wt) GROUP BY ALL)"""
-
-
-@query(f'WITH {PAIRS_SQL} SELECT "left", "right", n FROM pr')
-def bpe_pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pair_counts(symbols(word_types(documents(spark, sf_dir))))
-
-
-@query(f'WITH {PAIRS_SQL} SELECT "left", "right", n FROM pr ORDER BY n DESC, "left" DESC, "right" DESC LIMIT 1')
-def bpe_first_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best pair of the corpus."""
-    return pair_counts(symbols(word_types(documents(spark, sf_dir)))).orderBy(F.desc("n"), F.desc("left"), F.desc("right")).limit(1)
-
-
-def learn_merges(types: DataFrame, n: int) -> list[tuple[str, str]]:
-    """The first n merges, each counted over all word types; one row a merge reaches the driver."""
-    joined, merges = types.withColumn("s", F.concat(F.lit("\x00"), F.array_join("symbols", "\x00"), F.lit("\x00"))), []
-    for _ in range(n):
-        best = pair_counts(joined.withColumn("symbols", F.filter(F.split("s", "\x00"), lambda c: c != ""))).orderBy(F.desc("n"), F.desc("left"), F.desc("right")).first()
-        if best is None:
-            break
-        merges.append((best.left, best.right))
-        # a mark stands on both sides of a symbol, so that repeated pairs do not share one
-        wide = F.replace("s", F.lit("\x00"), F.lit("\x00\x00"))
-        merged = F.replace(wide, F.lit(f"\x00{best.left}\x00\x00{best.right}\x00"), F.lit(f"\x00{best.left}{best.right}\x00"))
-        joined = joined.withColumn("s", F.replace(merged, F.lit("\x00\x00"), F.lit("\x00")))
-    return merges
-
-
-@query()
-def bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(word, freq, pieces): distinct words cut by the first 24 merges of the corpus, the lowest rank first."""
-    types = symbols(word_types(documents(spark, sf_dir)))
-    ranks = {pair: k for k, pair in enumerate(learn_merges(types.cache(), 24))}
-
-    def cut(word: str) -> list[str]:
-        parts = [*word, END]
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda k: ranks.get((parts[k], parts[k + 1]), len(ranks)))
-            if (parts[best], parts[best + 1]) not in ranks:
-                break
-            pair, out, k = (parts[best], parts[best + 1]), [], 0
-            while k < len(parts):
-                step = 2 if tuple(parts[k : k + 2]) == pair else 1
-                out.append("".join(parts[k : k + step]))
-                k += step
-            parts = out
-        return parts
-
-    def encoded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"word": f["word"], "freq": f["freq"], "pieces": [cut(w) for w in f["word"]]})
-
-    return types.select("word", "freq").mapInPandas(encoded, "word string, freq bigint, pieces array<string>")
-
-
 _TOKEN_LIST = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 
 
@@ -259,9 +183,3 @@ def control_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spans(documents(spark, sf_dir)).select("doc_id", "span_ord", F.lit("evidence").alias("kind"), example.alias("example"))
     without = spark.range(1).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("int").alias("span_ord"), F.lit("abstention").alias("kind"), F.lit(ABSTAIN).alias("example"))
     return rows.unionByName(without)
-
-
-@query("SELECT doc_id, least(512, greatest(16, pow(2, ceil(log2(greatest(n_chars, 1))))))::INT AS bucket FROM documents")
-def length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The power of two that a document is padded to, between 16 and 512."""
-    return documents(spark, sf_dir).select("doc_id", F.least(F.lit(512), F.greatest(F.lit(16), F.pow(F.lit(2), F.ceil(F.log2(F.greatest("n_chars", F.lit(1))))))).cast("int").alias("bucket"))

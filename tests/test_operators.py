@@ -82,12 +82,6 @@ def test_asof(spark):
     assert sorted((r.k, r.at, r.name) for r in found if r.name) == [(1, 9, "a"), (1, 10, "b")]
 
 
-def test_merges(spark):
-    docs = spark.createDataFrame([(1, "aaab aaab ab")], "doc_id long, text string")
-    merges = training.learn_merges(training.symbols(training.word_types(docs)), 2)
-    assert merges == [("a", "a"), ("b", "</w>")]
-
-
 def test_task_fold(spark):
     rows = [(k, datetime(2024, 1, 1, k), 1, kind) for k, kind in enumerate(["purchase", "view", "click", "purchase", "view"])]
     df = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string")
