@@ -1,19 +1,35 @@
-"""A corpus as files: chunks in JSON lines, a manifest beside them, vectors in Parquet, and the checks before they are read.
+"""A corpus as files: generations of chunks in JSON lines behind a log, vectors in Parquet, and the checks before they are read.
 
-A save writes a new folder and then moves a small pointer file, so a reader sees a whole corpus or the one before.
+Chunks lie in buckets by the hash of their document's id. A generation is one entry of the log: for every bucket the folder
+that holds it, its counts and its ordered digest, and the digest of the entry before. A change writes the buckets that it touches to a new folder
+and then claims the next number of the log by creating that entry's file, which fails if it is there. So of two writers who saw
+the same generation one fails, and a reader sees a whole generation or the one before.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.digests import document_digests, nodes, place
 
-VERSION = 2
+VERSION = 3
 CHUNK_SCHEMA = "document_id string, ordinal int, section string, text string, chunk_id string"
+LISTED_SCHEMA = "document_id string, digest string, chunks bigint, words bigint"
+#: Hexadecimal digits of a document's place that name its bucket; 2 give 256 buckets, whose entries the driver holds.
+DIGITS = 2
+#: The fields of an entry, all of which it must have and no others.
+ENTRY = {"version", "number", "parent", "action", "aggregate", "buckets", "digest"}
+BUCKET = {"folder", "documents", "chunks", "words", "digest"}
+
+
+class ConcurrentUpdate(ValueError):
+    """Another writer has published the generation that this one was to be."""
 
 
 def chunk_identity() -> Column:
@@ -29,60 +45,198 @@ def faults(chunks: DataFrame) -> DataFrame:
     return wrong.unionByName(twice).unionByName(place)
 
 
-def totals(chunks: DataFrame) -> dict:
-    """The aggregate that a manifest holds: counts, and the sum of the digests' leading bits, which no order changes."""
-    words = F.size(F.split("text", " "))
-    mark = F.conv(F.substring(F.sha2("chunk_id", 256), 1, 12), 16, 10).cast("decimal(38,0)")
-    row = chunks.agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("document_id").alias("documents"), F.coalesce(F.sum(words), F.lit(0)).alias("words"), F.coalesce(F.sum(mark), F.lit(0)).alias("mark")).first()
-    return {"version": VERSION, "chunks": row.chunks, "documents": row.documents, "words": int(row.words), "mark": str(row.mark)}
-
-
-def _fs(spark: SparkSession, path: str):
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
-
-
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    fs, target = _fs(spark, path)
-    out = fs.create(target, True)
-    out.write(bytearray(text.encode()))
-    out.close()
-
-
-def _read_text(spark: SparkSession, path: str) -> str | None:
-    fs, target = _fs(spark, path)
-    if not fs.exists(target):
-        return None
-    return "\n".join(r.value for r in spark.read.text(path).collect())  # a pointer or manifest: one short line
-
-
-def save_corpus(chunks: DataFrame, folder: str, generation: str, expected: str | None = None) -> None:
-    """Write a generation and point to it; with expected, only if the pointer still names that generation."""
-    spark = chunks.sparkSession
-    chunks = chunks.select("document_id", "ordinal", "section", "text", "chunk_id")
-    if (bad := faults(chunks).first()) is not None:
-        raise ValueError(f"{bad.fault}: {bad.document_id} {bad.ordinal}")
-    chunks.write.mode("errorifexists").json(f"{folder}/{generation}/chunks")
-    _write_text(spark, f"{folder}/{generation}/manifest.json", json.dumps(totals(chunks), sort_keys=True))
-    if expected is not None and (_read_text(spark, f"{folder}/CURRENT") or "") != expected:
-        raise ValueError("another generation has been published meanwhile")
-    _write_text(spark, f"{folder}/CURRENT", generation)
-
-
-def load_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    """The chunks of the current generation, once every record and the aggregate have been checked."""
-    generation = _read_text(spark, f"{folder}/CURRENT")
-    if not generation:
-        raise FileNotFoundError(f"{folder} holds no corpus")
-    chunks = spark.read.schema(CHUNK_SCHEMA).option("mode", "FAILFAST").json(f"{folder}/{generation}/chunks")
-    listed = json.loads(_read_text(spark, f"{folder}/{generation}/manifest.json") or "{}")
-    if listed.get("version") != VERSION:
-        raise ValueError(f"version {listed.get('version')} is not {VERSION}")
-    if (bad := faults(chunks).first()) is not None:
-        raise ValueError(f"{bad.fault}: {bad.document_id} {bad.ordinal}")
-    if totals(chunks) != listed:
-        raise ValueError("the chunks are not those that the manifest lists")
-    return chunks
+def listing(chunks: DataFrame) -> DataFrame:
+    """(document_id, digest, chunks, words): what a manifest says of every document; the digest covers its chunks in order."""
+    words = chunks.groupBy("document_id").agg(F.sum(F.size(F.split("text", " "))).cast("bigint").alias("words"))
+    digests = document_digests(chunks, "document_id", "ordinal", "chunk_id")
+    return digests.join(words, "document_id").select("document_id", "digest", F.col("n").alias("chunks"), "words")
+
+
+def _bucket(key: str = "document_id") -> Column:
+    return F.substring(place(F.col(key)), 1, DIGITS)
+
+
+def summaries(listed: DataFrame) -> dict[str, dict]:
+    """What an entry says of every bucket; at most 16 ** DIGITS of them reach the driver."""
+    counts = listed.groupBy(_bucket().alias("bucket")).agg(F.count(F.lit(1)).alias("documents"), F.sum("chunks").alias("chunks"), F.sum("words").alias("words"))
+    digests = nodes(listed.select("document_id", "digest"), "document_id", (8, 4, DIGITS))[DIGITS]
+    rows = counts.join(digests.select(F.col("prefix").alias("bucket"), "digest"), "bucket").collect()
+    return {r.bucket: {"documents": r.documents, "chunks": r.chunks, "words": r.words, "digest": r.digest} for r in rows}
+
+
+def root(buckets: dict[str, dict]) -> str:
+    """The digest of a generation: its buckets' digests in order."""
+    return hashlib.sha256("\n".join(f"{k}:{buckets[k]['digest']}" for k in sorted(buckets)).encode()).hexdigest()
+
+
+def _aggregate(buckets: dict[str, dict]) -> dict[str, int]:
+    return {k: sum(b[k] for b in buckets.values()) for k in ("documents", "chunks", "words")}
+
+
+class Files:
+    """Small files beside the data, by Hadoop's public file system interface: the one way to all stores that Spark reads, and to a create that fails if the file is there.
+
+    That create is exclusive on local disks and HDFS; on an object store it is as exclusive as its connector makes it.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+
+    def _at(self, path: str):
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), target
+
+    def create(self, path: str, text: str) -> bool:
+        """Writes a file that is not there yet; whether it has."""
+        from py4j.protocol import Py4JJavaError
+
+        fs, target = self._at(path)
+        try:
+            out = fs.create(target, False)
+        except Py4JJavaError as e:
+            if "AlreadyExists" in e.java_exception.getClass().getName() or fs.exists(target):
+                return False
+            raise
+        out.write(bytearray(text.encode()))
+        out.close()
+        return True
+
+    def read(self, path: str) -> str | None:
+        """The one line of a file; None where it is missing."""
+        fs, target = self._at(path)
+        return "\n".join(r.value for r in self.spark.read.text(path).collect()) if fs.exists(target) else None
+
+    def names(self, folder: str) -> list[str]:
+        fs, target = self._at(folder)
+        return sorted(s.getPath().getName() for s in fs.listStatus(target)) if fs.exists(target) else []
+
+
+class Corpus:
+    """The generations of a folder."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder, self.files = spark, folder.rstrip("/"), Files(spark)
+
+    def head(self) -> int:
+        """The number of the last generation; 0 where there is none."""
+        names = [n for n in self.files.names(f"{self.folder}/log") if n.endswith(".json") and n[:-5].isdigit()]
+        return int(names[-1][:-5]) if names else 0
+
+    def _path(self, number: int) -> str:
+        return f"{self.folder}/log/{number:010d}.json"
+
+    def entry(self, number: int | None = None) -> dict:
+        """An entry whose fields, number, aggregate, digest and parent are what they must be."""
+        number = self.head() if number is None else number
+        line = self.files.read(self._path(number)) if number else None
+        if line is None:
+            raise FileNotFoundError(f"{self.folder} holds no generation {number or ''}".rstrip())
+        found = json.loads(line)
+        if not isinstance(found, dict) or set(found) != ENTRY or any(set(b) != BUCKET for b in found["buckets"].values()):
+            raise ValueError("an entry of the log has missing or other fields")
+        if found["version"] != VERSION:
+            raise ValueError(f"version {found['version']} is not {VERSION}")
+        if found["number"] != number:
+            raise ValueError(f"entry {number} names itself {found['number']}")
+        if found["aggregate"] != _aggregate(found["buckets"]):
+            raise ValueError("the aggregate is not that of the listed buckets")
+        if found["digest"] != root(found["buckets"]):
+            raise ValueError("the digest is not that of the listed buckets")
+        before = self.files.read(self._path(number - 1)) if number > 1 else ""
+        if found["parent"] != hashlib.sha256((before or "").encode()).hexdigest():
+            raise ValueError("the generation before is not the one that this one was made from")
+        return found
+
+    def _publish(self, action: str, chunks: DataFrame, kept: dict[str, dict], expected: int) -> int:
+        """Writes chunks to a folder of their own and claims the number after expected; kept are the buckets that stay."""
+        chunks = chunks.select("document_id", "ordinal", "section", "text", "chunk_id")
+        folder = f"{self.folder}/data/{uuid.uuid4().hex}"
+        # a bucket is written by several tasks, so that one long document does not make one long file
+        parts = chunks.withColumn("bucket", _bucket()).repartition("bucket", F.pmod(F.floor(F.col("ordinal") / 4096), F.lit(8)))
+        parts.write.mode("errorifexists").partitionBy("bucket").json(f"{folder}/chunks")
+        read = self._chunks([f"{folder}/chunks"])
+        if (bad := faults(read).first()) is not None:
+            raise ValueError(f"{bad.fault}: {bad.document_id} {bad.ordinal}")
+        listing(read).withColumn("bucket", _bucket()).repartition("bucket").write.partitionBy("bucket").json(f"{folder}/listed")
+        own = summaries(self._listed([f"{folder}/listed"]))
+        name = folder.rsplit("/", 1)[1]
+        buckets = kept | {k: {"folder": name, **b} for k, b in own.items()}
+        before = self.files.read(self._path(expected)) if expected else ""
+        entry = {"version": VERSION, "number": expected + 1, "parent": hashlib.sha256((before or "").encode()).hexdigest(), "action": action, "aggregate": _aggregate(buckets), "buckets": buckets, "digest": root(buckets)}
+        if not self.files.create(self._path(expected + 1), json.dumps(entry, sort_keys=True)):
+            raise ConcurrentUpdate(f"generation {expected + 1} has been published meanwhile")
+        return expected + 1
+
+    def _json(self, schema: str, paths: list[str]) -> DataFrame:
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("mode", "FAILFAST").json(paths)
+
+    def _chunks(self, paths: list[str]) -> DataFrame:
+        return self._json(CHUNK_SCHEMA, paths)
+
+    def _listed(self, paths: list[str]) -> DataFrame:
+        return self._json(LISTED_SCHEMA, paths)
+
+    def _paths(self, buckets: dict[str, dict], kind: str) -> list[str]:
+        return [f"{self.folder}/data/{b['folder']}/{kind}/bucket={k}" for k, b in sorted(buckets.items())]
+
+    def _touched(self, ids: DataFrame, buckets: dict[str, dict]) -> tuple[dict[str, dict], dict[str, dict]]:
+        """The buckets that hold ids or would, and the others."""
+        names = {r.bucket for r in ids.select(_bucket().alias("bucket")).distinct().collect()}
+        return {k: b for k, b in buckets.items() if k in names}, {k: b for k, b in buckets.items() if k not in names}
+
+    def replace(self, chunks: DataFrame, expected: int | None = None) -> int:
+        """A generation of chunks alone; its number. expected is the generation that it follows (the last one where it is None)."""
+        return self._publish("replace", chunks, {}, self.head() if expected is None else expected)
+
+    def put(self, chunks: DataFrame, expected: int | None = None) -> int:
+        """The generation before with the documents of chunks in place of theirs, or new."""
+        expected = self.head() if expected is None else expected
+        buckets = self.entry(expected)["buckets"] if expected else {}
+        ids = chunks.select("document_id").distinct()
+        touched, kept = self._touched(ids, buckets)
+        old = self._chunks(self._paths(touched, "chunks")).join(ids, "document_id", "left_anti")
+        return self._publish("put", old.unionByName(chunks.select(*old.columns)), kept, expected)
+
+    def remove(self, ids: DataFrame, expected: int | None = None) -> int:
+        """The generation before without the documents of ids(document_id); an id that it has not is an error."""
+        expected = self.head() if expected is None else expected
+        touched, kept = self._touched(ids, self.entry(expected)["buckets"])
+        missing = ids.join(self._listed(self._paths(touched, "listed")), "document_id", "left_anti").first()
+        if missing is not None:
+            raise KeyError(missing.document_id)
+        return self._publish("remove", self._chunks(self._paths(touched, "chunks")).join(ids, "document_id", "left_anti"), kept, expected)
+
+    def faults(self, number: int | None = None) -> DataFrame:
+        """(fault, document_id, ordinal): all that the files of a generation have against its entry; no row if they hold.
+
+        identity, repeated id, repeated place: of records. unlisted, missing: documents in the chunks alone or in the list alone. chunks, words,
+        digest: documents of which the list says otherwise. place: documents in a bucket that is not theirs. bucket: buckets (named in document_id) of which the entry says otherwise.
+        """
+        buckets = self.entry(number)["buckets"]
+        chunks, listed = self._chunks(self._paths(buckets, "chunks")), self._listed(self._paths(buckets, "listed"))
+        found = listing(chunks)
+        both = listed.select("document_id", *[F.col(c).alias(f"l_{c}") for c in ("digest", "chunks", "words")]).join(found, "document_id", "full_outer")
+        kind = F.when(F.col("l_digest").isNull(), "unlisted").when(F.col("digest").isNull(), "missing").when(F.col("l_chunks") != F.col("chunks"), "chunks").when(F.col("l_words") != F.col("words"), "words").when(F.col("l_digest") != F.col("digest"), "digest")
+        told = both.select(kind.alias("fault"), "document_id", F.lit(None).cast("int").alias("ordinal")).where("fault is not null")
+        lies = F.regexp_extract(F.input_file_name(), "bucket=([0-9a-f]+)", 1)
+        astray = chunks.select("document_id", "ordinal", lies.alias("lies")).where(F.col("lies") != _bucket()).select(F.lit("place").alias("fault"), "document_id", "ordinal")
+        said = {k: {x: v for x, v in b.items() if x != "folder"} for k, b in buckets.items()}
+        real = summaries(found)
+        odd = sorted(k for k in {*said, *real} if said.get(k) != real.get(k))
+        out = faults(chunks).unionByName(told).unionByName(astray)
+        return out.unionByName(self.spark.createDataFrame([("bucket", k, None) for k in odd], "fault string, document_id string, ordinal int")) if odd else out
+
+    def documents(self, number: int | None = None) -> DataFrame:
+        """What a generation lists of its documents: document_id, digest, chunks, words."""
+        return self._listed(self._paths(self.entry(number)["buckets"], "listed"))
+
+    def read(self, number: int | None = None) -> DataFrame:
+        """The chunks of a generation, the last one by default, once nothing speaks against them."""
+        if (bad := self.faults(number).first()) is not None:
+            raise ValueError(f"{bad.fault}: {bad.document_id} {bad.ordinal if bad.ordinal is not None else ''}".rstrip())
+        return self._chunks(self._paths(self.entry(number)["buckets"], "chunks"))
 
 
 def save_vectors(vectors: DataFrame, path: str) -> None:
