@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..plans.registry import query
+from ..sources.shared import written
 from ..sources.tables import documents, table
 from .ranks import numbered
 
@@ -19,10 +20,15 @@ def content_counts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(T.content_tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def smooth_idf(counts: DataFrame, docs: DataFrame) -> DataFrame:
-    """(term, idf): ln((N + 1) / (df + 1)) + 1."""
+def smooth_idf(docs: DataFrame) -> DataFrame:
+    """(term, idf): ln((N + 1) / (df + 1)) + 1, as a table.
+
+    A document's terms are made distinct in its row and counted before the only shuffle. As a table it joins by shuffles of its own,
+    so that the adaptive plan can split the rows of a term that stands in a large share of the documents.
+    """
     n = F.broadcast(docs.agg(F.count(F.lit(1)).alias("n")))  # one row
-    return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(n).select("term", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    terms = docs.select(F.explode(F.array_distinct(T.content_tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return written(terms.crossJoin(n).select("term", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf")), "idf")
 
 
 CONTENT_SQL = r"""
@@ -34,8 +40,7 @@ mx AS (SELECT max(idf) AS m FROM ci)"""
 
 def scores(docs: DataFrame) -> DataFrame:
     """(doc_id, entropy, surprise) of documents with content tokens, both between 0 and 1."""
-    counts = content_counts(docs)
-    idf = smooth_idf(counts, docs)
+    counts, idf = content_counts(docs), smooth_idf(docs)
     highest = F.broadcast(idf.agg(F.max("idf").alias("highest")))  # one row
     rows = counts.join(idf, "term").withColumn("total", F.sum("tf").over(Window.partitionBy("doc_id")))
     p = F.col("tf") / F.col("total")
@@ -57,8 +62,7 @@ def entropy_surprise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tags(docs: DataFrame, k: int = 5) -> DataFrame:
     """(doc_id, rank, term, weight): the k terms of each document of the largest idf times tf."""
-    counts = content_counts(docs)
-    rows = counts.join(smooth_idf(counts, docs), "term").select("doc_id", "term", F.round(F.col("idf") * F.col("tf"), 6).alias("weight"))
+    rows = content_counts(docs).join(smooth_idf(docs), "term").select("doc_id", "term", F.round(F.col("idf") * F.col("tf"), 6).alias("weight"))
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("weight"), "term"))).where(F.col("rank") <= k)
 
 
@@ -72,9 +76,14 @@ def top_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {TAGS_SQL} SELECT term AS topic, doc_id, weight, count(*) OVER (PARTITION BY term) AS n_documents FROM tags")
 def topic_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents of every tag, one row each, with how many there are; counts are summed apart, so that no group holds a common topic."""
-    each = tags(documents(spark, sf_dir))
-    counts = each.groupBy("term").agg(F.count(F.lit(1)).alias("n_documents"))
+    """The documents of every tag, one row each, with how many there are; counts are a table of their own, so that the rows of a common topic are split in the join."""
+    return topics(tags(documents(spark, sf_dir)))
+
+
+def topics(tagged: DataFrame) -> DataFrame:
+    """(topic, doc_id, weight, n_documents) of tags(); a null term is none."""
+    each = written(tagged, "tags")
+    counts = written(each.groupBy("term").agg(F.count(F.lit(1)).alias("n_documents")), "topics")
     return each.join(counts, "term").select(F.col("term").alias("topic"), "doc_id", "weight", "n_documents")
 
 
