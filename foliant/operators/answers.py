@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..plans.registry import query
+from ..sources.shared import written
 from ..sources.tables import documents, table
 from .terms import BM25_SQL, bm25, top
 
@@ -45,35 +46,112 @@ def _distinct_content(text: Column) -> Column:
     return F.array_distinct(T.content_tokens(text))
 
 
-SENTENCES_SQL = r"""
+#: Our own cues in the corpus languages: words by which a sentence says what something is, and words between the concepts of a question.
+DEFINES = ["are", "was", "means", "called", "defined", "sont", "est", "signifie", "ist", "sind", "bedeutet", "heißt", "son", "fue", "significa"]
+BETWEEN = r" (?:and|or|versus|vs|et|ou|und|oder|y|o) "
+#: The weight of a sentence that defines, in its score and once more where it is matched with a concept.
+DEFINITION, MATCHED = 1.8, 2.0
+_CUES = ", ".join(f"'{w}'" for w in DEFINES)
+
+SENTENCES_SQL = rf"""
 sen AS (SELECT item_id, doc_id, rank, bm25, i::INT AS sentence_no, s AS sentence FROM (
   SELECT item_id, doc_id, rank, bm25, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM (
     SELECT item_id, doc_id, rank, bm25, list_filter(list_transform(string_split_regex(regexp_replace(q, '([.!?])\s+', '\1' || chr(30), 'g'), '\x1E|\n+'), lambda s: trim(s, chr(32) || chr(9) || chr(10) || chr(12) || chr(13))), lambda s: s <> '') AS l
     FROM (SELECT item_id, doc_id, rank, bm25, text AS q FROM hit JOIN documents USING (doc_id))))),
-qc AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda x: length(x) > 2)) AS qt FROM benchmark),
-cand AS (SELECT item_id, doc_id, rank, sentence_no, sentence, bm25, qt, list_distinct(list_filter(regexp_extract_all(lower(sentence), '[\p{L}\p{N}]+'), lambda x: length(x) > 2)) AS st FROM sen JOIN qc USING (item_id)),
-score AS (SELECT *, len(list_intersect(qt, st)) AS shared FROM cand),
-ranked AS (SELECT item_id, doc_id, rank, sentence_no, round(0.75 * shared / len(qt) + 0.25 * shared / len(st) + 0.05 * bm25 / (1 + bm25), 6) AS score, lower(sentence) AS key FROM score WHERE shared > 0),
+qc AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'), lambda x: length(x) > 2)) AS qt FROM benchmark),
+cand AS (SELECT item_id, doc_id, rank, sentence_no, sentence, bm25, qt, list_distinct(list_filter(regexp_extract_all(lower(sentence), '[\p{{L}}\p{{N}}]+'), lambda x: length(x) > 2)) AS st FROM sen JOIN qc USING (item_id)),
+score AS (SELECT *, len(list_intersect(qt, st)) AS shared, list_has_any(st, [{_CUES}]) AS defines FROM cand),
+ranked AS MATERIALIZED (SELECT item_id, doc_id, rank, sentence_no, st, defines, round((0.75 * shared / len(qt) + 0.25 * shared / len(st) + 0.05 * bm25 / (1 + bm25)) * CASE WHEN defines THEN {DEFINITION} ELSE 1.0 END, 6) AS score, lower(sentence) AS key FROM score WHERE shared > 0),
 first AS (SELECT *, row_number() OVER (PARTITION BY item_id, key ORDER BY score DESC, rank, sentence_no) AS copy FROM ranked)"""
 
 
-def extract(docs: DataFrame, questions: DataFrame, k: int = 4) -> DataFrame:
-    """The k sentences of each question's evidence, whole texts, that share most with it; a sentence that is repeated counts once."""
+def candidates(docs: DataFrame, questions: DataFrame) -> DataFrame:
+    """(item_id, doc_id, rank, sentence_no, st, defines, score, key): the sentences of each question's evidence, whole texts, that share a term with it.
+
+    st are a sentence's distinct content tokens, key tells repeated sentences. A sentence that defines weighs more.
+    """
     cited = evidence(docs, questions).join(docs.select("doc_id", "text"), "doc_id").select("item_id", "doc_id", "rank", "bm25", F.posexplode(T.sentences(F.col("text"))).alias("n", "sentence"))
     asked = questions.select("item_id", _distinct_content(F.col("text")).alias("qt"))
     rows = cited.join(asked, "item_id").withColumn("st", _distinct_content(F.col("sentence"))).withColumn("shared", F.size(F.array_intersect("qt", "st"))).where("shared > 0")
     score = 0.75 * F.col("shared") / F.size("qt") + 0.25 * F.col("shared") / F.size("st") + 0.05 * F.col("bm25") / (1 + F.col("bm25"))
-    rows = rows.select("item_id", "doc_id", "rank", (F.col("n") + 1).alias("sentence_no"), F.round(score, 6).alias("score"), F.lower("sentence").alias("key"))
+    defines = F.arrays_overlap("st", F.array(*map(F.lit, DEFINES)))
+    return rows.select("item_id", "doc_id", "rank", (F.col("n") + 1).alias("sentence_no"), "st", defines.alias("defines"), F.round(score * F.when(defines, DEFINITION).otherwise(1.0), 6).alias("score"), F.lower("sentence").alias("key"))
+
+
+def best_sentences(rows: DataFrame, k: int = 4) -> DataFrame:
+    """The k best candidates of each question; a sentence that is repeated counts once, ties go to the better document and the earlier sentence."""
     order = [F.desc("score"), F.asc("rank"), F.asc("sentence_no")]
     rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("item_id", "key").orderBy(*order))).where("copy = 1")
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("item_id").orderBy(*order))).where(F.col("place") <= k).select("item_id", "place", "doc_id", "sentence_no", "score")
 
 
+def extract(docs: DataFrame, questions: DataFrame, k: int = 4) -> DataFrame:
+    """The k sentences of each question's evidence that share most with it."""
+    return best_sentences(candidates(docs, questions), k)
+
+
 @query(f"WITH {TOP3_SQL}, {SENTENCES_SQL} SELECT item_id, place, doc_id, sentence_no, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, rank, sentence_no)::INT AS place FROM first WHERE copy = 1) WHERE place <= 4")
 def extractive_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def concepts(questions: DataFrame) -> DataFrame:
+    """(item_id, concept_no, concept, terms): the parts of a question between words such as and; a question without one has none, nor has a part without content tokens."""
+    parts = F.transform(F.split(F.lower("text"), BETWEEN), lambda p: F.trim(p))
+    several = F.when(F.size(parts) > 1, parts).otherwise(F.expr("cast(array() AS array<string>)"))
+    rows = questions.select("item_id", F.posexplode(several).alias("concept_no", "concept"))
+    return rows.withColumn("terms", _distinct_content(F.col("concept"))).where("size(terms) > 0")
+
+
+def concept_sentences(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """(item_id, concept_no, doc_id, sentence_no, score): for each concept in turn the candidate that fits it best and that no earlier concept has taken.
+
+    The fit is the number of shared terms times the candidate's score, twice that where it defines; of equal fits the first candidate
+    is taken, and repeated sentences are one. Concepts meet the sentences that share a term with them alone, and are dealt with by a fold over
+    a question's pairs in the order of concept and fit.
+    """
+    terms = asked.select("item_id", "concept_no", F.explode("terms").alias("term"))
+    held = rows.select("item_id", "doc_id", "rank", "sentence_no", "defines", "score", "key", F.explode("st").alias("term"))
+    own = ["item_id", "concept_no", "doc_id", "rank", "sentence_no", "defines", "score", "key"]
+    met = held.join(terms, ["item_id", "term"]).groupBy(*own).agg(F.count(F.lit(1)).alias("matches"))
+    fit = F.round(F.col("matches") * F.when(F.col("defines"), MATCHED).otherwise(1.0) * F.col("score"), 6)
+    pairs = F.sort_array(F.collect_list(F.struct("concept_no", (-fit).alias("fit"), (-F.col("score")).alias("less"), "rank", "sentence_no", "doc_id", "key")))
+    start = F.expr("named_struct('last', -1, 'used', cast(array() AS array<string>), 'took', cast(array() AS array<struct<concept_no: int, doc_id: bigint, sentence_no: int, score: double>>))")
+
+    def taken(state: Column, pair: Column) -> Column:
+        with_pair = F.struct(pair["concept_no"].alias("last"), F.array_append(state["used"], pair["key"]).alias("used"), F.array_append(state["took"], F.struct(pair["concept_no"].alias("concept_no"), pair["doc_id"].cast("bigint").alias("doc_id"), pair["sentence_no"].alias("sentence_no"), (-pair["fit"]).alias("score"))).alias("took"))
+        return F.when((pair["concept_no"] == state["last"]) | F.array_contains(state["used"], pair["key"]), state).otherwise(with_pair)
+
+    chosen = met.groupBy("item_id").agg(F.aggregate(pairs, start, taken, lambda s: s["took"]).alias("took"))
+    return chosen.select("item_id", F.explode("took").alias("t")).select("item_id", "t.*")
+
+
+@query(
+    f"""WITH RECURSIVE {TOP3_SQL}, {SENTENCES_SQL},
+part AS (SELECT item_id, i - 1 AS concept_no, trim(p, ' ') AS concept, list_distinct(list_filter(regexp_extract_all(p, '[\\p{{L}}\\p{{N}}]+'), lambda x: length(x) > 2)) AS ct FROM (
+  SELECT item_id, unnest(l) AS p, generate_subscripts(l, 1) AS i FROM (SELECT item_id, string_split_regex(lower(text), '{BETWEEN}') AS l FROM benchmark) WHERE len(l) > 1)),
+pair AS (SELECT item_id, concept_no::INT AS concept_no, doc_id, rank, sentence_no, score, key, round(len(list_intersect(ct, st)) * CASE WHEN defines THEN {MATCHED} ELSE 1.0 END * score, 6) AS fit FROM part JOIN ranked USING (item_id) WHERE list_has_any(ct, st)),
+seq AS MATERIALIZED (SELECT item_id, list({{'c': concept_no, 'f': fit, 'd': doc_id, 'n': sentence_no, 'k': key}} ORDER BY concept_no, fit DESC, score DESC, rank, sentence_no, doc_id, key) AS l FROM pair GROUP BY item_id),
+walk AS (
+  SELECT item_id, 0 AS i, -1 AS last, []::VARCHAR[] AS used, []::INT[] AS took FROM seq
+  UNION ALL
+  SELECT item_id, i + 1, CASE WHEN ok THEN l[i + 1].c ELSE last END, CASE WHEN ok THEN list_append(used, l[i + 1].k) ELSE used END, CASE WHEN ok THEN list_append(took, i + 1) ELSE took END
+  FROM (SELECT walk.*, l, l[i + 1].c <> last AND NOT list_contains(used, l[i + 1].k) AS ok FROM walk JOIN seq USING (item_id) WHERE i < len(l))),
+took AS (SELECT item_id, l[t] AS x FROM (SELECT item_id, l, unnest(took) AS t FROM walk JOIN seq USING (item_id) WHERE i = len(l)))
+SELECT item_id, 'concept' AS kind, x.c::INT AS place, concept, x.d AS doc_id, x.n AS sentence_no, x.f AS score FROM took JOIN part ON part.item_id = took.item_id AND concept_no = x.c
+UNION ALL SELECT item_id, 'sentence', place, NULL, doc_id, sentence_no, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, rank, sentence_no)::INT AS place FROM first WHERE copy = 1) WHERE place <= 4 AND item_id NOT IN (SELECT item_id FROM took)""".replace("\\\\", "\\").replace("SELECT item_id, 'concept' AS", "SELECT took.item_id, 'concept' AS")
+)
+def concept_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answer to every question: one sentence for each concept that it names, or its four best sentences where it names none or none fits."""
+    questions = table(spark, sf_dir, "benchmark")
+    rows, asked = written(candidates(documents(spark, sf_dir), questions), "candidates"), concepts(questions)
+    found = written(concept_sentences(rows, asked), "concepts")
+    named = found.join(asked.select("item_id", "concept_no", "concept"), ["item_id", "concept_no"])
+    plain = best_sentences(rows.join(found.select("item_id").distinct(), "item_id", "left_anti"))
+    out = named.select("item_id", F.lit("concept").alias("kind"), F.col("concept_no").alias("place"), "concept", "doc_id", "sentence_no", "score")
+    return out.unionByName(plain.select("item_id", F.lit("sentence").alias("kind"), "place", F.lit(None).cast("string").alias("concept"), "doc_id", "sentence_no", "score"))
+
+
 def grounding(answers: DataFrame, evidence: DataFrame, support: float = SUPPORT, fraction: float = FRACTION) -> DataFrame:
     """answers(answer_id, text) against evidence(answer_id, marker, text): one row per answer.
 

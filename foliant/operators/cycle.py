@@ -187,36 +187,6 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.select("event_type", "s.n", "s.low", "newest")
 
 
-def best_matches(rows: pd.DataFrame) -> pd.DataFrame:
-    """For each concept in turn the best sentence that no earlier concept has taken, ties to the earlier sentence."""
-    used, out = set(), []
-    for concept, part in rows.sort_values(["concept_no", "sentence_no"]).groupby("concept_no", sort=True):
-        free = part[~part["sentence_no"].isin(used)]
-        if len(free):
-            best = free.sort_values(["matches", "sentence_no"], ascending=[False, True]).iloc[0]
-            used.add(best["sentence_no"])
-            out.append((int(rows["item_id"].iloc[0]), int(concept), int(best["sentence_no"]), int(best["matches"])))
-    return pd.DataFrame(out, columns=["item_id", "concept_no", "sentence_no", "matches"])
-
-
-@query()
-def concept_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sentences of each question dealt to its longest words as concepts, each sentence once."""
-    t = F.col("text")
-    concepts = F.slice(F.array_sort(F.array_distinct(T.content_tokens(t)), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)), 1, 4)
-    rows = table(spark, sf_dir, "benchmark").select("item_id", T.sentences(t).alias("s"), concepts.alias("c"))
-    pairs = rows.select("item_id", F.posexplode("s").alias("sentence_no", "sentence"), "c").select("item_id", "sentence_no", "sentence", F.posexplode("c").alias("concept_no", "concept"))
-    hits = F.size(F.filter(T.tokens(F.col("sentence")), lambda w: w == F.col("concept")))
-    return pairs.select("item_id", "sentence_no", "concept_no", hits.alias("matches")).where("matches > 0").groupBy("item_id").applyInPandas(best_matches, "item_id bigint, concept_no int, sentence_no int, matches int")
-
-
-@query()
-def path_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files and bytes of the input folder by extension, from a listing that reads no content."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(sf_dir).select("path", "length")
-    return files.groupBy(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1).alias("extension")).agg(F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("n_bytes"))
-
-
 def page_texts(pages: DataFrame) -> DataFrame:
     """(page_id, text): the visible text of pages, scripts and styles left out, blanks squeezed."""
 

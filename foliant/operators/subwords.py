@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,19 +40,24 @@ RUNS = 30_000
 #: Tokens of a training row.
 ROW = 512
 LEVELS = (16, 64, 256, 1024, 4096, 16_384, 65_536)
-#: Runs that a task counts before it hands them on.
-HELD = 100_000
+#: Word types that a task handles at a time.
+HELD = 200_000
 
 
 def pretokens(text: Column) -> Column:
     """Citation markers, runs of letters, runs of digits and single marks, in lower case; a marker keeps its E."""
     found = F.regexp_extract_all(text, F.lit(PRETOKEN), F.lit(0))
-    return F.transform(found, lambda t: F.when(F.upper(t).rlike(MARKER), F.upper(t)).otherwise(F.lower(t)))
+    return F.transform(found, lambda t: F.when(marked(t), F.upper(t)).otherwise(F.lower(t)))
+
+
+def marked(token: Column) -> Column:
+    """Whether a pre-token is a citation marker: no other one begins with a bracket and goes on."""
+    return token.startswith("[") & (F.length(token) > 1)
 
 
 def word_types(docs: DataFrame) -> DataFrame:
     """(word, freq): every distinct pre-token of the corpus, markers left out, with its count."""
-    words = docs.select(F.explode(pretokens(F.col("text"))).alias("word")).where(~F.col("word").rlike(MARKER))
+    words = docs.select(F.explode(pretokens(F.col("text"))).alias("word")).where(~marked(F.col("word")))
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
 
 
@@ -67,54 +72,153 @@ def pair_counts(types: DataFrame) -> DataFrame:
     return types.where(F.size("symbols") > 1).select("freq", F.explode(pairs).alias("p")).groupBy(F.col("p.left").alias("left"), F.col("p.right").alias("right")).agg(F.sum("freq").alias("n"))
 
 
-def _cuts(parts: list[str], rank: dict[tuple[str, str], int]) -> list[int]:
-    """The ranks of the neighbours in parts; no candidate has the largest."""
-    return [rank.get(p, len(rank)) for p in zip(parts, parts[1:])]
+class Types:
+    """Word types side by side: the symbols of all of them as numbers, how many each has, and how often each stands in the corpus."""
 
+    def __init__(self, symbols: np.ndarray, sizes: np.ndarray, freq: np.ndarray) -> None:
+        self.symbols, self.sizes, self.freq = symbols, sizes, freq
+        self.word = np.repeat(np.arange(len(sizes)), sizes)
+        self.inside = self.word[1:] == self.word[:-1]
+        self.pairs = (symbols[:-1].astype(np.int64) << 32) | symbols[1:]
 
-def _pieces(parts: list[str], ranks: list[int], level: int) -> Iterator[tuple[str, ...]]:
-    """parts, cut where the rank of two neighbours is level or more."""
-    at = 0
-    for k, r in enumerate(ranks, 1):
-        if r >= level:
-            yield tuple(parts[at:k])
-            at = k
-    yield tuple(parts[at:])
+    def pair_sums(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct neighbours inside words, and their frequencies."""
+        return sums(self.pairs[self.inside], self.freq[self.word[:-1][self.inside]])
 
+    def runs(self, joined: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first place, symbols, hash) of every run: the longest stretches whose neighbours are all joined."""
+        left = np.concatenate([[False], joined])
+        right = np.concatenate([joined, [False]])
+        start = np.flatnonzero(right & ~left)
+        if not len(start):
+            return start, start, start
+        size = np.flatnonzero(left & ~right) - start + 1
+        at = spread(start, size)
+        place = at - np.repeat(start, size)
+        value = mixed(self.symbols[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+        return start, size, mixed(np.add.reduceat(value, np.cumsum(size) - size) + size.astype(np.uint64)).view(np.int64)
 
-def _runs(rank: dict[tuple[str, str], int], levels: tuple[int, ...]):
-    kind = pa.schema([("level", pa.int32()), ("run", pa.list_(pa.string())), ("n", pa.int64())])
 
-    def table(held: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.int32()), pa.array([list(k[1]) for k in held], kind.field(1).type), pa.array(list(held.values()), pa.int64())], schema=kind)
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-        for b in batches:
-            for parts, freq in zip(b.column("symbols").to_pylist(), b.column("freq").to_pylist()):
-                ranks = _cuts(parts, rank)
-                for level in levels:
-                    for run in _pieces(parts, ranks, level):
-                        if len(run) > 1:
-                            held[level, run] += freq
-                if len(held) > HELD:
-                    yield table(held)
-                    held.clear()
-        yield table(held)
-
-    return counted
-
-
-def _replaced(rank: dict[tuple[str, str], int], level: int, outcome: dict[tuple[str, ...], tuple[str, ...]]):
-    def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of stretches of these sizes, one after the other."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+def sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys and the sum of n over each."""
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def lists(flat: np.ndarray, size: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(flat, pa.int32()))
+
+
+def held(batches: Iterator[pa.RecordBatch]) -> Iterator[Types]:
+    """The word types of a task, about HELD at a time."""
+    kept: list[pa.RecordBatch] = []
+    for b in batches:
+        kept.append(b)
+        if sum(x.num_rows for x in kept) >= HELD:
+            yield types_of(kept)
+            kept = []
+    if sum(x.num_rows for x in kept):
+        yield types_of(kept)
+
+
+def types_of(kept: list[pa.RecordBatch]) -> Types:
+    parts = [b.column("symbols") for b in kept]
+    return Types(np.concatenate([p.flatten().to_numpy(zero_copy_only=False) for p in parts]), np.concatenate([np.diff(p.offsets.to_numpy()) for p in parts]), np.concatenate([b.column("freq").to_numpy() for b in kept]))
+
+
+def numbered(types: DataFrame, alphabet: list[str]) -> DataFrame:
+    """(symbols, freq): words as the numbers of their characters in the sorted alphabet, then that of the end of a word, which comes behind the alphabet."""
+    code = np.array([ord(c) for c in alphabet], np.int64)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for parts in b.column("symbols").to_pylist():
-                out.append([s for run in _pieces(parts, _cuts(parts, rank), level) for s in outcome.get(run, run)])
-            at = b.schema.get_field_index("symbols")
-            yield b.set_column(at, b.schema.field(at), pa.array(out, b.schema.field(at).type))
+            words = b.column("word").to_pylist()
+            flat = np.frombuffer("\0".join([*words, ""]).encode("utf-32-le"), "<u4").astype(np.int64)
+            size = np.array([len(w) + 1 for w in words], np.int64)
+            ids = np.searchsorted(code, flat)
+            ids[np.cumsum(size) - 1] = len(code)
+            yield pa.RecordBatch.from_arrays([lists(ids, size), b.column("freq").cast(pa.int64())], names=["symbols", "freq"])
+
+    return types.select("word", "freq").mapInArrow(cut, "symbols array<int>, freq bigint")
 
-    return replace
+
+def numbered_pairs(types: DataFrame) -> DataFrame:
+    """(pair, n): the neighbours of numbered() types, left and right in one number, summed in each task first."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in held(batches):
+            pair, n = t.pair_sums()
+            yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], names=["pair", "n"])
+
+    return types.mapInArrow(counted, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+
+
+def counted_runs(types: DataFrame, pairs: np.ndarray, ranks: np.ndarray, levels: tuple[int, ...]) -> DataFrame:
+    """(level, run, n): the runs of every level, whose candidates are the pairs of a lower rank; pairs are sorted, and at most LEVELS[-1]."""
+    sent = types.sparkSession.sparkContext.broadcast((pairs, ranks))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in held(batches):
+            rank = rank_of(t, *sent.value)
+            for level in levels:
+                start, size, key = t.runs(rank < level)
+                if not len(start):
+                    continue
+                _, first, which = np.unique(key, return_index=True, return_inverse=True)
+                n = np.bincount(which, minlength=len(first)) * 0
+                np.add.at(n, which, t.freq[t.word[start]])
+                run = lists(t.symbols[spread(start[first], size[first])], size[first])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), level), pa.int32()), run, pa.array(n, pa.int64())], names=["level", "run", "n"])
+
+    return types.mapInArrow(counted, "level int, run array<int>, n bigint").groupBy("level", "run").agg(F.sum("n").alias("n"))
+
+
+def rank_of(t: Types, pairs: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The rank of every pair of neighbours; of those that are no candidate, or not of one word, a number above all."""
+    found = np.minimum(np.searchsorted(pairs, t.pairs), len(pairs) - 1)
+    return np.where((pairs[found] == t.pairs) & t.inside, ranks[found], np.iinfo(np.int64).max)
+
+
+def replaced(types: DataFrame, pairs: np.ndarray, ranks: np.ndarray, level: int, before: list[list[int]], after: list[list[int]]) -> DataFrame:
+    """types with the outcome of every run in its place (at most RUNS of them); types of one symbol have nothing to merge and go."""
+    size, new = (np.array([len(x) for x in runs], np.int64) for runs in (before, after))
+    flat = np.array([y for x in before for y in x], np.int32)
+    own = Types(flat, size, size)
+    key = own.runs(own.inside)[2]
+    order = np.argsort(key)
+    if len(np.unique(key)) < len(key):
+        raise ArithmeticError("two runs have one hash")
+    sent = types.sparkSession.sparkContext.broadcast((pairs, ranks, key[order], new[order], (np.cumsum(new) - new)[order], np.array([y for x in after for y in x], np.int32)))
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, ranks, keys, sizes, places, outcome = sent.value
+        for t in held(batches):
+            start, size, key = t.runs(rank_of(t, pairs, ranks) < level)
+            symbols, keep = t.symbols.copy(), np.ones(len(t.symbols), bool)
+            if len(start):
+                at = np.searchsorted(keys, key)  # every run of the table is among the keys
+                keep[spread(start, size)] = False
+                put_at = spread(start, sizes[at])
+                keep[put_at] = True
+                symbols[put_at] = outcome[spread(places[at], sizes[at])]
+            left = np.add.reduceat(keep.astype(np.int64), np.cumsum(t.sizes) - t.sizes)
+            more = left > 1
+            yield pa.RecordBatch.from_arrays([lists(symbols[keep & more[t.word]], left[more]), pa.array(t.freq[more])], names=["symbols", "freq"])
+
+    return types.mapInArrow(put, "symbols array<int>, freq bigint")
 
 
 #: Pre-tokens and pairs in DuckDB.
@@ -192,25 +296,26 @@ def steps(runs: list[tuple[tuple[str, ...], int]], least: int, known: set[str],
     return merges, now
 
 
-def _levels(pairs: DataFrame) -> tuple[tuple[int, ...], list[int]]:
-    """Numbers of candidates, each with the count of the first pair that is none: pairs of one count are candidates together.
-
-    The first level is the first pair alone, with its own count, which always leads on by one merge; others end with the pairs of a count.
-    """
-    # LEVELS[-1] classes hold at least as many pairs
-    classes = pairs.groupBy("n").agg(F.count(F.lit(1)).alias("size")).orderBy(F.desc("n")).limit(LEVELS[-1] + 1).collect()
-    if not classes:
-        return (), []
-    out = {1: classes[0].n if classes[0].size > 1 else classes[1].n if len(classes) > 1 else 0}
+def _levels(pairs: DataFrame) -> tuple[list[int], list[int]]:
+    """Numbers of candidates, each with the count of the first pair that is none: pairs of one count are candidates together."""
+    # the first LEVELS[-1] counts, each of one pair at least
+    counts = pairs.groupBy("n").agg(F.count(F.lit(1)).alias("size")).orderBy(F.desc("n")).limit(LEVELS[-1] + 1).collect()
     upto, ends = 0, []
-    for k, c in enumerate(classes):
-        upto += c.size
-        ends.append((upto, classes[k + 1].n if k + 1 < len(classes) else 0))
-    for most in LEVELS:
-        found = [e for e in ends if e[0] <= most]
-        if found:
-            out[found[-1][0]] = found[-1][1]
-    return tuple(sorted(out)), [out[k] for k in sorted(out)]
+    for k, c in enumerate(counts):
+        upto += c["size"]
+        ends.append((upto, counts[k + 1].n if k + 1 < len(counts) else 0))
+    out = dict(found[-1] for most in LEVELS if (found := [e for e in ends if e[0] <= most]))
+    return sorted(out), [out[k] for k in sorted(out)]
+
+
+def _single(pairs: DataFrame, names: list[str]) -> tuple[int, int]:
+    """The best pair of all and its count, where no level can be taken: the largest of those that are most frequent."""
+    table = F.broadcast(pairs.sparkSession.createDataFrame(list(enumerate(names)), "id int, name string"))  # as many as symbols
+    most = pairs.where(F.col("n") == pairs.agg(F.max("n").alias("n")).first()["n"])
+    sides = most.withColumns({"l": F.shiftright("pair", 32).cast("int"), "r": F.col("pair").bitwiseAND(0xFFFFFFFF).cast("int")})
+    named = sides.join(table.select(F.col("id").alias("l"), F.col("name").alias("left")), "l").join(table.select(F.col("id").alias("r"), F.col("name").alias("right")), "r")
+    best = named.orderBy(F.desc("left"), F.desc("right")).first()
+    return best.pair, best.n
 
 
 def learn(types: DataFrame, vocabulary: int = VOCABULARY) -> tuple[list[str], list[tuple[str, str, int]]]:
@@ -221,51 +326,66 @@ def learn(types: DataFrame, vocabulary: int = VOCABULARY) -> tuple[list[str], li
     """
     if vocabulary < len(BASE):
         raise ValueError(f"a vocabulary of {vocabulary} tokens has no room for the base tokens")
-    spark = types.sparkSession
-    now, path = stored(types.where("word <> ''").select("word", F.col("freq").cast("bigint").alias("freq"), symbols(F.col("word")).alias("symbols")), "words")
-    # at most as many characters as tokens that the vocabulary has room for
-    letters = now.select(F.explode("symbols").alias("s")).distinct().where(~F.col("s").isin(BASE)).orderBy("s").limit(vocabulary - len(BASE))
-    tokens = [*BASE, *[r.s for r in letters.collect()]]
-    known, merges = set(tokens), []
+    types = types.where("word <> ''")
+    # every character once: as many as Unicode has at most
+    alphabet = sorted(r.c for r in types.select(F.explode(F.array_distinct(F.filter(F.split("word", ""), lambda c: c != ""))).alias("c")).distinct().collect())
+    if not alphabet:
+        return list(BASE), []
+    names = [*alphabet, END]
+    numbers = {c: k for k, c in enumerate(names)}
+    tokens = [*BASE, *[c for c in sorted(names) if c not in BASE]][: max(vocabulary, len(BASE))]
+    known, merges = {*tokens, *names}, []
+    now, path = stored(numbered(types, alphabet), "words")
+    reach = 1
     while len(tokens) < vocabulary:
-        pairs, counts = stored(pair_counts(now), "pairs")
+        pairs, counts = stored(numbered_pairs(now), "pairs")
         levels, leasts = _levels(pairs)
-        if not levels:
-            break
-        # as many pairs as the last level has
-        first = pairs.orderBy(F.desc("n"), F.desc("left"), F.desc("right")).limit(levels[-1]).collect()
-        rank = spark.sparkContext.broadcast({(r.left, r.right): k for k, r in enumerate(first)})
-        counted, held = stored(_counted(now, rank, levels), "runs")
-        sizes = {r.level: r.n for r in counted.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()}
-        at = max((k for k, level in enumerate(levels) if sizes.get(level, 0) <= RUNS), default=0)
-        level, least = levels[at], leasts[at]
-        runs = [(tuple(r.run), r.n) for r in counted.where(F.col("level") == level).collect()]
-        made, after = steps(runs, least, known, vocabulary - len(tokens))
+        # three levels about the one that the last round took
+        levels, leasts = (x[max(reach - 1, 0) : reach + 2] for x in (levels, leasts))
+        first = pairs.where(F.col("n") > leasts[-1]).collect() if levels else []  # as many as the last of these levels
+        order = sorted(first, key=lambda r: -r.n)
+        rank = {r.pair: k for k, r in enumerate(order)}
+        used = [counts]
+        if levels:
+            key = np.array(sorted(rank), np.int64)
+            ranks = np.array([rank[k] for k in key.tolist()], np.int64)
+            counted, at = stored(counted_runs(now, key, ranks, tuple(levels)), "runs")
+            used.append(at)
+            sizes = {r.level: r.n for r in counted.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()}
+            fit = [k for k, level in enumerate(levels) if sizes.get(level, 0) <= RUNS]
+        if not levels or not fit:
+            if not pairs.limit(1).count():
+                discard(counts)
+                break
+            if reach > 1:
+                reach = max(reach - 2, 1)
+                for u in used:
+                    discard(u)
+                continue
+            best, n = _single(pairs, names)
+            key, ranks, level, least = np.array([best], np.int64), np.zeros(1, np.int64), 1, n
+            counted, at = stored(counted_runs(now, key, ranks, (1,)), "runs")
+            used.append(at)
+        else:
+            level, least = levels[fit[-1]], leasts[fit[-1]]
+            reach = max(reach - 1, 0) + fit[-1]
+            reach = max(reach, 1)
+        runs = [(r.run, r.n) for r in counted.where(F.col("level") == level).collect()]
+        made, after = steps([(tuple(names[i] for i in r), n) for r, n in runs], least, known, vocabulary - len(tokens))
         merges += made
-        tokens += dict.fromkeys(c for a, b, _ in made if (c := a + b) not in tokens)
-        outcome = spark.sparkContext.broadcast({r: tuple(a) for (r, _), a in zip(runs, after) if len(a) < len(r)})
-        now, old = _rewritten(now, rank, level, outcome), path
+        for a, b, _ in made:
+            if a + b not in numbers:
+                numbers[a + b] = len(names)
+                names.append(a + b)
+        tokens += dict.fromkeys(c for a, b, _ in made if (c := a + b) not in set(tokens))
+        now, old = replaced(now, key, ranks, level, [r for r, _ in runs], [[numbers[x] for x in a] for a in after]), path
         now, path = stored(now, "words")
-        for used in (old, held, counts):
-            discard(used)
+        for u in (old, *used):
+            discard(u)
     discard(path)
     return tokens, merges
 
 
-def _counted(types: DataFrame, rank, levels: tuple[int, ...]) -> DataFrame:
-    def counted(batches):
-        return _runs(rank.value, levels)(batches)
-
-    return types.select("symbols", "freq").mapInArrow(counted, "level int, run array<string>, n bigint").groupBy("level", "run").agg(F.sum("n").alias("n"))
-
-
-def _rewritten(types: DataFrame, rank, level: int, outcome) -> DataFrame:
-    def replaced(batches):
-        return _replaced(rank.value, level, outcome.value)(batches)
-
-    return types.mapInArrow(replaced, types.schema)
-
-
 def vocabulary_table(spark: SparkSession, tokens: list[str], merges: list[tuple[str, str, int]]) -> DataFrame:
     """(kind, place, token, left, right, n): the tokens by id and the merges by rank, as a table."""
     rows = [("token", k, t, None, None, None) for k, t in enumerate(tokens)] + [("merge", k, a + b, a, b, n) for k, (a, b, n) in enumerate(merges)]
@@ -409,7 +529,7 @@ def bpe_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, tokens, merges = trained(spark, sf_dir)
     n = F.size("ids")
     row = F.concat(F.slice("ids", 1, ROW), F.array_repeat(F.lit(0), F.greatest(F.lit(ROW) - n, F.lit(0))))
-    said = F.rtrim(F.array_join(F.transform("words", lambda w: F.when(w.rlike(MARKER), w).otherwise(F.concat(w, F.lit(" ")))), ""))
+    said = F.rtrim(F.array_join(F.transform("words", lambda w: F.when(marked(w), w).otherwise(F.concat(w, F.lit(" ")))), ""))
     bucket = F.least(F.lit(ROW), F.greatest(F.lit(16), F.pow(F.lit(2), F.ceil(F.log2(F.greatest(n, F.lit(1))))))).cast("int")
     rows = encoded_documents(documents(spark, sf_dir), tokens, merges)
     return rows.select("doc_id", n.alias("n_tokens"), F.size(F.filter("ids", lambda i: i == UNKNOWN)).alias("n_unknown"), F.md5(F.array_join(row, " ")).alias("row_digest"), (n > ROW).alias("cut"), bucket.alias("bucket"), (said == F.col("text")).alias("intact"))

@@ -195,3 +195,29 @@ def test_texts_are_dealt_only_where_tasks_are_few(spark, tmp_path):
     assert one.rdd.getNumPartitions() == cores and one.count() == 100
     many = spark.read.parquet(str(tmp_path / "many"))
     assert dealt(many).rdd.getNumPartitions() == max(cores, many.rdd.getNumPartitions())
+
+
+def plain_concepts(candidates, asked):
+    """For each concept in turn the fitting candidate that is not taken."""
+    out = []
+    for item in sorted({a[0] for a in asked}):
+        used = set()
+        for _, no, terms in sorted(a for a in asked if a[0] == item):
+            fits = [(-round(len(terms & c["st"]) * (2.0 if c["defines"] else 1.0) * c["score"], 6), -c["score"], c["rank"], c["sentence_no"], c) for c in candidates if c["item_id"] == item and terms & c["st"] and c["key"] not in used]
+            if fits:
+                best = min(fits, key=lambda f: f[:4])[4]
+                used.add(best["key"])
+                out.append((item, no, best["doc_id"], best["sentence_no"]))
+    return out
+
+
+def test_concepts(spark):
+    rows = spark.createDataFrame([(1, "Cats and dogs versus the birds or xx"), (2, "no such word"), (3, "alpha and beta and alpha"), (4, None), (5, "")], "item_id long, text string")
+    found = answers.concepts(rows).collect()
+    assert [(r.item_id, r.concept_no, r.concept, r.terms) for r in found] == [(1, 0, "cats", ["cats"]), (1, 1, "dogs", ["dogs"]), (1, 2, "the birds", ["the", "birds"]), (3, 0, "alpha", ["alpha"]), (3, 1, "beta", ["beta"]), (3, 2, "alpha", ["alpha"])]
+    rng = np.random.default_rng(5)
+    held = [{"item_id": int(rng.integers(1, 4)), "doc_id": k, "rank": 1 + k % 3, "sentence_no": k, "st": set(rng.choice(["cats", "dogs", "the", "birds", "alpha", "beta"], 2)), "defines": bool(rng.integers(2)), "score": round(float(rng.integers(1, 4)) / 4, 6), "key": f"s{rng.integers(12)}"} for k in range(40)]
+    df = spark.createDataFrame([(*list(c.values())[:4], sorted(c["st"]), *list(c.values())[5:]) for c in held], "item_id long, doc_id long, rank int, sentence_no int, st array<string>, defines boolean, score double, key string")
+    got = answers.concept_sentences(df, answers.concepts(rows)).collect()
+    assert sorted((r.item_id, r.concept_no, r.doc_id, r.sentence_no) for r in got) == plain_concepts(held, [(r.item_id, r.concept_no, set(r.terms)) for r in found])
+    assert answers.concept_sentences(df.where("false"), answers.concepts(rows)).count() == 0
