@@ -14,6 +14,8 @@ from ..sources.tables import SPANS_SQL, documents, spans, table
 
 #: Words of a window, words that two windows share, and words below which a window is short.
 TARGET, OVERLAP, MINIMUM = 220, 40, 12
+#: Lines of a page.
+PAGE_LINES = 60
 
 
 def by_span(rows: str = "doc_id") -> Window:
@@ -21,15 +23,23 @@ def by_span(rows: str = "doc_id") -> Window:
 
 
 def with_sections(spans: DataFrame) -> DataFrame:
-    """Adds section (the last heading so far, '' before the first) and segment (a new one at each heading)."""
+    """Adds section (the last heading so far, '' before the first), page, kind and segment (a new one at each heading, page and change of kind).
+
+    A page is PAGE_LINES lines of the text, a span with two bars or more is of a table. Sections go on over pages.
+    """
+    rows = spans.withColumn("page", (F.floor(F.col("span_ord") / PAGE_LINES) + 1).cast("int")).withColumn("kind", F.when(F.regexp_count("text", F.lit(r"\|")) > 1, "table").otherwise("text"))
     past = by_span().rowsBetween(Window.unboundedPreceding, 0)
     section = F.coalesce(F.last(F.when(F.col("is_heading"), F.col("text")), ignorenulls=True).over(past), F.lit(""))
-    return spans.withColumn("section", section).withColumn("segment", F.sum(F.col("is_heading").cast("bigint")).over(past))
+    other = F.coalesce(F.lag("page").over(by_span()) != F.col("page"), F.lit(False)) | F.coalesce(F.lag("kind").over(by_span()) != F.col("kind"), F.lit(False))
+    begun = rows.withColumn("section", section).withColumn("begins", (F.col("is_heading") | other).cast("bigint"))
+    return begun.withColumn("segment", F.sum("begins").over(past)).drop("begins")
 
 
-SECTIONS_SQL = SPANS_SQL + """,
-sections AS MATERIALIZED (SELECT *, coalesce(last_value(CASE WHEN is_heading THEN text END IGNORE NULLS) OVER w, '') AS section, sum(is_heading::INT) OVER w::BIGINT AS segment
-  FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY span_ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+SECTIONS_SQL = SPANS_SQL + f""",
+paged AS (SELECT *, (span_ord // {PAGE_LINES} + 1)::INT AS page, CASE WHEN len(regexp_extract_all(text, '\\|')) > 1 THEN 'table' ELSE 'text' END AS kind FROM spans),
+begun AS (SELECT *, is_heading OR coalesce(lag(page) OVER w <> page, false) OR coalesce(lag(kind) OVER w <> kind, false) AS begins FROM paged WINDOW w AS (PARTITION BY doc_id ORDER BY span_ord)),
+sections AS MATERIALIZED (SELECT * EXCLUDE (begins), coalesce(last_value(CASE WHEN is_heading THEN text END IGNORE NULLS) OVER w, '') AS section, sum(begins::INT) OVER w::BIGINT AS segment
+  FROM begun WINDOW w AS (PARTITION BY doc_id ORDER BY span_ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
 
 
 @query(f"WITH {SECTIONS_SQL} SELECT doc_id, span_ord::INT AS span_ord, section FROM sections")
@@ -39,19 +49,19 @@ def section_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segments(spans: DataFrame) -> DataFrame:
-    """(doc_id, segment, section, first_span, n_spans, text): the spans of a segment joined in their order by one space."""
-    rows = with_sections(spans).groupBy("doc_id", "segment").agg(F.min("span_ord").alias("first_span"), F.count(F.lit(1)).alias("n_spans"), F.max("section").alias("section"), F.array_sort(F.collect_list(F.struct("span_ord", "text"))).alias("parts"))
-    return rows.select("doc_id", "segment", "section", "first_span", "n_spans", F.array_join(F.col("parts.text"), " ").alias("text"))
+    """(doc_id, segment, section, page, kind, first_span, n_spans, text): the spans of a segment joined in their order by one space."""
+    rows = with_sections(spans).groupBy("doc_id", "segment").agg(F.min("span_ord").alias("first_span"), F.count(F.lit(1)).alias("n_spans"), *[F.max(c).alias(c) for c in ("section", "page", "kind")], F.array_sort(F.collect_list(F.struct("span_ord", "text"))).alias("parts"))
+    return rows.select("doc_id", "segment", "section", "page", "kind", "first_span", "n_spans", F.array_join(F.col("parts.text"), " ").alias("text"))
 
 
 SEGMENTS_SQL = SECTIONS_SQL + """,
-segments AS MATERIALIZED (SELECT doc_id, segment, max(section) AS section, min(span_ord)::INT AS first_span, count(*) AS n_spans, string_agg(text, ' ' ORDER BY span_ord) AS text FROM sections GROUP BY doc_id, segment)"""
+segments AS MATERIALIZED (SELECT doc_id, segment, max(section) AS section, max(page) AS page, max(kind) AS kind, min(span_ord)::INT AS first_span, count(*) AS n_spans, string_agg(text, ' ' ORDER BY span_ord) AS text FROM sections GROUP BY doc_id, segment)"""
 
 
-@query(f"WITH {SEGMENTS_SQL} SELECT doc_id, segment, section, first_span, n_spans, length(text)::BIGINT AS n_chars FROM segments")
+@query(f"WITH {SEGMENTS_SQL} SELECT doc_id, segment, section, page, kind, first_span, n_spans, length(text)::BIGINT AS n_chars FROM segments")
 def segment_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The segments of every document."""
-    return segments(spans(documents(spark, sf_dir))).select("doc_id", "segment", "section", "first_span", "n_spans", F.length("text").cast("bigint").alias("n_chars"))
+    return segments(spans(documents(spark, sf_dir))).select("doc_id", "segment", "section", "page", "kind", "first_span", "n_spans", F.length("text").cast("bigint").alias("n_chars"))
 
 
 def word_windows_of(words: Column, target: int = TARGET, overlap: int = OVERLAP) -> Column:
@@ -60,19 +70,21 @@ def word_windows_of(words: Column, target: int = TARGET, overlap: int = OVERLAP)
     return F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(target - overlap)), lambda s: (n > 0) & ((s == 0) | (n - s > overlap)))
 
 
-def windows(segments: DataFrame, target: int = TARGET, overlap: int = OVERLAP, minimum: int = MINIMUM) -> DataFrame:
-    """(doc_id, segment, window, start, n_words, text): sliding windows; a last one shorter than minimum joins the one before."""
-    rows = segments.select("doc_id", "segment", F.split("text", " ").alias("words"))
+def windows(segments: DataFrame, target: int = TARGET, overlap: int = OVERLAP, minimum: int = MINIMUM, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, segment, keep..., window, start, n_words, text): sliding windows; a last one shorter than minimum joins the one before. keep are columns of segments."""
+    if target < 16 or not 0 <= overlap < target or not 1 <= minimum <= target:
+        raise ValueError("windows need 16 words at least, an overlap below that, and a minimum from 1 to it")
+    rows = segments.select("doc_id", "segment", *keep, F.split("text", " ").alias("words"))
     rows = rows.withColumn("starts", word_windows_of(F.col("words"), target, overlap))
     n, k = F.size("words"), F.size("starts")
     short = (k > 1) & (n - F.element_at("starts", -1) < minimum)
     rows = rows.withColumn("joined", short).withColumn("starts", F.when(F.col("joined"), F.slice("starts", 1, F.greatest(k - 1, F.lit(0)))).otherwise(F.col("starts")))
-    each = rows.select("doc_id", "segment", "words", "joined", n.alias("n"), F.size("starts").alias("k"), F.posexplode("starts").alias("window", "start"))
+    each = rows.select("doc_id", "segment", *keep, "words", "joined", n.alias("n"), F.size("starts").alias("k"), F.posexplode("starts").alias("window", "start"))
     # the joined tail repeats the words of the overlap, as two whole windows put together do
     last = (F.col("window") == F.col("k") - 1) & F.col("joined")
     own = F.slice("words", F.col("start") + 1, target)
     tail = F.slice("words", F.col("start") + 1 + target - overlap, F.lit(target))
-    return each.withColumn("piece", F.when(last, F.concat(own, tail)).otherwise(own)).select("doc_id", "segment", "window", "start", F.size("piece").alias("n_words"), F.array_join("piece", " ").alias("text"))
+    return each.withColumn("piece", F.when(last, F.concat(own, tail)).otherwise(own)).select("doc_id", "segment", *keep, "window", "start", F.size("piece").alias("n_words"), F.array_join("piece", " ").alias("text"))
 
 
 def _windows_sql(target: int, overlap: int, minimum: int) -> str:
@@ -99,34 +111,60 @@ def short_tail_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows(segments(spans(documents(spark, sf_dir))), 32, 4, 12).withColumn("digest", F.md5("text")).drop("text")
 
 
+def carried(sizes: DataFrame, minimum: int = MINIMUM) -> DataFrame:
+    """(doc_id, segment, chunk): which segments of a document make one chunk, of sizes(doc_id, segment, k, n, page, kind).
+
+    A segment of a single window (k = 1) whose n words, with those that it is given, stay below minimum gives them on to the next segment,
+    if that is on its page and of its kind. chunk numbers the receivers. Segments that may give are folded by stretches, as numbers alone.
+    """
+    by = Window.partitionBy("doc_id").orderBy("segment")
+    near = (F.lead("page").over(by) == F.col("page")) & (F.lead("kind").over(by) == F.col("kind"))
+    rows = sizes.withColumn("may", (F.col("k") == 1) & (F.col("n") < minimum) & F.coalesce(near, F.lit(False)))
+    rows = rows.withColumn("stretch", F.sum((~F.col("may") | ~F.coalesce(F.lag("may").over(by), F.lit(False))).cast("bigint")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    folded = rows.where("may").groupBy("doc_id", "stretch").agg(F.sort_array(F.collect_list(F.struct("segment", "n"))).alias("s"))
+    # words on their way after every segment of a stretch: 0 where it gives none on
+    gives = F.aggregate("s", F.expr("named_struct('c', 0, 'o', cast(array() AS array<boolean>))"), lambda a, x: F.struct(F.when(a["c"] + x["n"] < minimum, a["c"] + x["n"]).otherwise(0).alias("c"), F.array_append(a["o"], a["c"] + x["n"] < minimum).alias("o")), lambda a: a["o"])
+    given = folded.select("doc_id", F.explode(F.arrays_zip(F.col("s.segment").alias("segment"), gives.alias("gives"))).alias("g")).select("doc_id", "g.segment", "g.gives")
+    every = given.unionByName(rows.where("NOT may").select("doc_id", "segment", F.lit(False).alias("gives")))
+    starts = (~F.coalesce(F.lag("gives").over(by), F.lit(False))).cast("bigint")
+    return every.withColumn("starts", starts).select("doc_id", "segment", F.sum("starts").over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("chunk"))
+
+
 def chunks(spans: DataFrame, target: int = TARGET, overlap: int = OVERLAP, minimum: int = MINIMUM) -> DataFrame:
-    """(doc_id, ordinal, section, n_words, text): the canonical chunks of every document.
+    """(doc_id, ordinal, section, page, kind, n_words, text): the canonical chunks of every document.
 
-    A segment of a single window shorter than minimum is carried into the next segment of its document, chained, and the
-    receiver keeps its own section; the last segment never carries. The fold runs in order inside one document.
+    A segment of a single window shorter than minimum is carried into the next segment of its page and kind, chained, and the
+    receiver keeps its own section. Null and empty texts have no chunk.
     """
-    segs = segments(spans)
-    each = windows(segs, target, overlap, minimum).join(segs.select("doc_id", "segment", "section"), ["doc_id", "segment"])
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        out, carry = [], ""
-        last = rows["segment"].max()
-        for number, part in rows.sort_values(["segment", "window"]).groupby("segment", sort=True):
-            texts = part["text"].tolist()
-            if carry:
-                texts[0] = f"{carry} {texts[0]}"
-                carry = ""
-            if len(texts) == 1 and number != last and len(texts[0].split(" ")) < minimum:
-                carry = texts[0]
-                continue
-            out += [(part["section"].iloc[0], t) for t in texts]
-        doc_id = rows["doc_id"].iloc[0]
-        return pd.DataFrame([(doc_id, k, s, len(t.split(" ")), t) for k, (s, t) in enumerate(out)], columns=["doc_id", "ordinal", "section", "n_words", "text"])
-
-    return each.groupBy("doc_id").applyInPandas(fold, "doc_id bigint, ordinal int, section string, n_words int, text string")
+    each = windows(segments(spans), target, overlap, minimum, ("section", "page", "kind"))
+    sizes = each.groupBy("doc_id", "segment").agg(F.count(F.lit(1)).alias("k"), F.max(F.when(F.col("window") == 0, F.col("n_words"))).alias("n"), F.max("page").alias("page"), F.max("kind").alias("kind"))
+    placed = each.join(carried(sizes, minimum), ["doc_id", "segment"])
+    # what is carried stands before the receiver's first window
+    parts = F.sort_array(F.collect_list(F.struct("segment", "text", "section", "page", "kind")))
+    whole = placed.groupBy("doc_id", "chunk", "window").agg(parts.alias("p"))
+    last = F.element_at("p", -1)
+    text = F.array_join(F.transform("p", lambda x: x["text"]), " ")
+    rows = whole.select("doc_id", "chunk", "window", last["section"].alias("section"), last["page"].alias("page"), last["kind"].alias("kind"), text.alias("text"))
+    ordinal = F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk", "window")) - 1
+    return rows.select("doc_id", ordinal.alias("ordinal"), "section", "page", "kind", F.size(F.split("text", " ")).alias("n_words"), "text")
+
+
+CHUNKS_SQL = f"""WITH RECURSIVE {SEGMENTS_SQL}, {_windows_sql(TARGET, OVERLAP, MINIMUM)},
+sz AS (SELECT doc_id, segment, count(*) AS k, max(CASE WHEN "window" = 0 THEN len(piece) END) AS n FROM windows GROUP BY ALL),
+nm AS MATERIALIZED (SELECT doc_id, segment, n, row_number() OVER o AS i, k = 1 AND coalesce(lead(page) OVER o = page AND lead(kind) OVER o = kind, false) AS may FROM sz JOIN segments USING (doc_id, segment) WINDOW o AS (PARTITION BY doc_id ORDER BY segment)),
+wk AS (SELECT doc_id, i, CASE WHEN may AND n < {MINIMUM} THEN n ELSE 0 END AS c FROM nm WHERE i = 1
+  UNION ALL SELECT nm.doc_id, nm.i, CASE WHEN may AND c + n < {MINIMUM} THEN c + n ELSE 0 END FROM wk JOIN nm ON nm.doc_id = wk.doc_id AND nm.i = wk.i + 1),
+st AS (SELECT doc_id, i, coalesce(lag(c) OVER o, 0) = 0 AS starts FROM wk WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+ck AS (SELECT doc_id, i, sum(starts::INT) OVER (PARTITION BY doc_id ORDER BY i) AS chunk FROM st),
+pt AS (SELECT w.doc_id, chunk, "window", w.segment, section, page, kind, array_to_string(piece, ' ') AS text FROM windows w JOIN nm USING (doc_id, segment) JOIN ck USING (doc_id, i) JOIN segments USING (doc_id, segment)),
+ch AS MATERIALIZED (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY chunk, "window") - 1)::INT AS ordinal, section, page, kind, text FROM (
+  SELECT doc_id, chunk, "window", arg_max(section, segment) AS section, arg_max(page, segment) AS page, arg_max(kind, segment) AS kind, string_agg(text, ' ' ORDER BY segment) AS text FROM pt GROUP BY doc_id, chunk, "window"))"""
 
 
-@query()
+@query(
+    CHUNKS_SQL + " SELECT doc_id, ordinal, section, page, kind, len(string_split(text, ' '))::INT AS n_words, 'doc_' || substr(sha256(doc_id::VARCHAR), 1, 24) AS document_id,"
+    " 'chk_' || substr(sha256('doc_' || substr(sha256(doc_id::VARCHAR), 1, 24) || '|' || ordinal || '|' || section || '|' || text), 1, 32) AS chunk_id FROM ch"
+)
 def canonical_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks with their identities."""
     return identified(chunks(spans(documents(spark, sf_dir)))).drop("text")

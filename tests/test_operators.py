@@ -221,3 +221,35 @@ def test_concepts(spark):
     got = answers.concept_sentences(df, answers.concepts(rows)).collect()
     assert sorted((r.item_id, r.concept_no, r.doc_id, r.sentence_no) for r in got) == plain_concepts(held, [(r.item_id, r.concept_no, set(r.terms)) for r in found])
     assert answers.concept_sentences(df.where("false"), answers.concepts(rows)).count() == 0
+
+
+def plain_chunks(sizes, minimum):
+    """What every segment hands on, one after the other; the numbers of the receivers."""
+    out, carry, chunk = {}, 0, 0
+    for k, (segment, n_windows, n, page, kind) in enumerate(sizes):
+        chunk += carry == 0
+        out[segment] = chunk
+        near = k + 1 < len(sizes) and sizes[k + 1][3:] == (page, kind)
+        carry = carry + n if n_windows == 1 and carry + n < minimum and near else 0
+    return out
+
+
+def test_carried_segments(spark):
+    rng = np.random.default_rng(6)
+    docs = {d: [(s, int(rng.choice([1, 1, 1, 2])), int(rng.integers(1, 14)), 1 + s // 9, ("text", "table")[int(rng.random() < 0.1)]) for s in range(int(rng.integers(1, 60)))] for d in range(40)}
+    df = spark.createDataFrame([(d, *row) for d, rows in docs.items() for row in rows], "doc_id long, segment long, k long, n int, page int, kind string").repartition(3)
+    found = {(r.doc_id, r.segment): r.chunk for r in corpus.carried(df, 12).collect()}
+    assert found == {(d, s): c for d, rows in docs.items() for s, c in plain_chunks(rows, 12).items()}
+    assert corpus.carried(df.where("false"), 12).count() == 0
+
+
+def test_chunks_stay_on_their_page_and_kind(spark):
+    text = "Head\n| a | b |\n| c | d |\nTail words\n" + "\n".join("line ends." for _ in range(60))
+    found = corpus.chunks(spans(spark.createDataFrame([(1, text), (2, None), (3, " \n")], "doc_id long, text string"))).orderBy("ordinal").collect()
+    assert [(r.doc_id, r.ordinal, r.kind, r.page, r.text.split(" ")[0]) for r in found] == [(1, 0, "text", 1, "Head"), (1, 1, "table", 1, "|"), (1, 2, "text", 1, "Tail"), (1, 3, "text", 2, "line")]
+    for bad in ((15, 4, 3), (20, 20, 3), (20, 4, 21), (20, 4, 0)):
+        try:
+            corpus.windows(spark.createDataFrame([], "doc_id long, segment long, text string"), *bad)
+        except ValueError:
+            continue
+        raise AssertionError(bad)
