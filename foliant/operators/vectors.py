@@ -19,6 +19,7 @@ QUERY_EVERY = 20
 QUERY_BLOCK, BLOCK = 512, 8192
 #: The weights of content, style and rhetoric in a multi-vector search.
 WEIGHTS = (0.7, 0.2, 0.1)
+KINDS = {pa.int64(): "bigint", pa.float64(): "double", pa.string(): "string"}
 FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
@@ -42,10 +43,10 @@ def best_of(score: np.ndarray, asked: np.ndarray, ids: np.ndarray, k: int, ties_
     return pa.table([pa.array(np.concatenate([o[c] for o in out])) for c in range(3)], schema=FOUND)
 
 
-def in_blocks(queries: DataFrame, rows: DataFrame, best, of: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def in_blocks(queries: DataFrame, rows: DataFrame, best, of: tuple[DataFrame, DataFrame] | None = None, found: pa.Schema = FOUND) -> DataFrame:
     """best(block of queries, block of rows) for every pair of blocks; both have vec_id. Queries are a stated set, so rows are copied few times.
 
-    of: the tables that queries and rows are made of, one vector a row at most; they are counted instead, without making the vectors.
+    of: the tables that queries and rows are made of, one vector a row at most; they are counted instead, without making the vectors. found is what best returns.
     """
     counted = of or (queries, rows)
     n_v = max(1, -(-counted[1].count() // BLOCK))
@@ -53,7 +54,7 @@ def in_blocks(queries: DataFrame, rows: DataFrame, best, of: tuple[DataFrame, Da
     block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     left = queries.withColumn("q", block(n_q)).withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))))
     right = rows.withColumn("v", block(n_v)).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
-    return left.groupBy("q", "v").cogroup(right.groupBy("q", "v")).applyInArrow(lambda a, b: best(a, b) if a.num_rows and b.num_rows else FOUND.empty_table(), "query_id bigint, vec_id bigint, score double")
+    return left.groupBy("q", "v").cogroup(right.groupBy("q", "v")).applyInArrow(lambda a, b: best(a, b) if a.num_rows and b.num_rows else found.empty_table(), ", ".join(f"{f.name} {KINDS[f.type]}" for f in found))
 
 
 def nearest(queries: DataFrame, rows: DataFrame, k: int, of: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
