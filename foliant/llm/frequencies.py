@@ -1,7 +1,7 @@
 """Document frequencies of shingles, and the rare-first prefixes of sets that follow from them.
 
-A task numbers its documents in flushes and sends each flush's shingles to buckets, in packed blocks: 4 bytes of
-the shingle and 2 of the document's number, or of a shingle that several of its documents hold, once, with
+A task numbers its documents in flushes and sends each flush's shingles to buckets, in packed blocks: 8 bytes of
+the shingle's hash and 2 of the document's number, or of a shingle that several of its documents hold, once, with
 their count. A bucket adds up the counts and returns those of two and more to their flushes, so what comes back
 is small: most shingles of a corpus stand in one document. No bucket grows with the copies of a set.
 """
@@ -30,9 +30,8 @@ BACK = pa.schema(list(BLOCKS)[1:])
 DOCS = np.dtype([("doc_id", "<i8"), ("n", "<i8"), ("h1", "<i8"), ("h2", "<i8"), ("same", "<u2")])
 
 
-def _token(s: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bucket and the 32 bits that are told apart inside it."""
-    return ((s >> np.uint64(32)) % np.uint64(n)).astype(np.int32), s.astype(np.uint32)
+def _bucket(s: np.ndarray, n: int) -> np.ndarray:
+    return ((s >> np.uint64(32)) % np.uint64(n)).astype(np.int32)
 
 
 def _runs(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
@@ -53,12 +52,13 @@ def _packed(flush: int, docs: list[tuple], sets: list[np.ndarray], n: int) -> pa
     rows: dict[int, list] = {}
     for several in (False, True):
         chosen = at[(times > 1) == several]
-        bucket, low = _token(every[chosen], n)
+        token = every[chosen]
+        bucket = _bucket(token, n)
         by = np.argsort(bucket, kind="stable")
         other = times[times > 1].astype(np.uint32)[by] if several else number[chosen][by]
-        low = low[by]
+        token = token[by]
         for b, part in _runs(bucket[by]):
-            rows.setdefault(b, [b""] * 4)[2 * several : 2 * several + 2] = low[part].tobytes(), other[part].tobytes()
+            rows.setdefault(b, [b""] * 4)[2 * several : 2 * several + 2] = token[part].tobytes(), other[part].tobytes()
     many = np.repeat(times > 1, times)
     out = [(b, flush, b"", *r, b"", b"") for b, r in rows.items()]
     out.append((flush % n, flush, np.array(docs, DOCS).tobytes(), b"", b"", b"", b"", number[many].tobytes(), every[many].tobytes()))
@@ -93,32 +93,30 @@ def _count(table: pa.Table) -> pa.Table:
     """Adds up one bucket and returns to each flush what is there twice or more: (token, frequency) pairs, lone ones with their document."""
     flush = table["flush"].to_pylist()
     lone, numbers, shared, counts = (table[n].to_pylist() for n in ("lone", "numbers", "shared", "counts"))
-    token = np.concatenate([_joined(lone, "<u4"), _joined(shared, "<u4")])
-    times = np.concatenate([np.ones(sum(map(len, lone)) // 4, np.int64), _joined(counts, "<u4").astype(np.int64)])
+    token = np.concatenate([_joined(lone, "<u8"), _joined(shared, "<u8")])
+    times = np.concatenate([np.ones(sum(map(len, lone)) // 8, np.int64), _joined(counts, "<u4").astype(np.int64)])
     order = np.argsort(token, kind="stable")
     first = np.concatenate([[True], token[order][1:] != token[order][:-1]]) if len(token) else np.zeros(0, bool)
     group = np.empty(len(token), np.int64)
     group[order] = np.cumsum(first) - 1
     total = np.bincount(group, times).astype(np.uint32)[group] if len(token) else np.zeros(0, np.uint32)
-    out, a, b = [], 0, sum(map(len, lone)) // 4
+    out, a, b = [], 0, sum(map(len, lone)) // 8
     for k, f in enumerate(flush):
-        la, lb = len(lone[k]) // 4, len(shared[k]) // 4
+        la, lb = len(lone[k]) // 8, len(shared[k]) // 8
         often = total[a : a + la] > 1
-        mine, df = np.frombuffer(lone[k], "<u4")[often], total[a : a + la][often]
+        mine, df = np.frombuffer(lone[k], "<u8")[often], total[a : a + la][often]
         number = np.frombuffer(numbers[k], "<u2")[often]
         meta = table["docs"][k].as_py()
         if len(mine) or lb or meta:
-            bucket = table["bucket"][k].as_py()
-            wide = lambda x: (x.astype("<u8") | (np.uint64(bucket) << np.uint64(32))).tobytes()
-            out.append((f, meta, wide(mine) + wide(np.frombuffer(shared[k], "<u4")), number.tobytes(), b"", df.tobytes() + total[b : b + lb].tobytes(), table["holders"][k].as_py(), table["held"][k].as_py()))
+            out.append((f, meta, mine.tobytes() + shared[k], number.tobytes(), b"", df.tobytes() + total[b : b + lb].tobytes(), table["holders"][k].as_py(), table["held"][k].as_py()))
         a, b = a + la, b + lb
     if not out:
         return BACK.empty_table()
     return pa.Table.from_batches([batch(BACK, *zip(*out))])
 
 
-def _prefix(table: pa.Table, n: int, percent: int) -> pa.Table:
-    """The prefixes of one flush: of each first document, the frequent shingles among its rarest n - ceil(percent n / 100) + 2."""
+def _prefix(table: pa.Table, percent: int) -> pa.Table:
+    """The prefixes of one flush: of each first document, the frequent shingles among its rarest n - ceil(percent n / 100) + 1."""
     schema = pa.schema([("doc_id", pa.int64()), ("keys", pa.binary())])
     columns = {c: table[c].to_pylist() for c in _BINARY}
     docs = _joined([x for x in columns["docs"] if x], DOCS)
@@ -136,19 +134,16 @@ def _prefix(table: pa.Table, n: int, percent: int) -> pa.Table:
     shared, shared_df = shared[order], shared_df[order]
     held, holders = _joined(columns["held"], "<u8"), _joined(columns["holders"], "<u2")
     if len(held):
-        bucket, low = _token(held, n)
-        wide = low.astype("<u8") | (bucket.astype("<u8") << np.uint64(32))
-        token.append(wide)
+        token.append(held)
         number.append(holders)
-        df.append(shared_df[np.searchsorted(shared, wide)])
+        df.append(shared_df[np.searchsorted(shared, held)])
     number, token, df = _joined(number, "<u2"), _joined(token, "<u8"), _joined(df, "<u4")
     order = np.lexsort((token, df, number))
     number, token = number[order], token[order]
     out = []
     for at, part in _runs(number.astype(np.int32)):
         size = int(docs["n"][at])
-        # one more than the theorem asks for, as two shingles of a document may share a token
-        take = size - -(-percent * size // 100) + 2 - (size - (part.stop - part.start))
+        take = size - -(-percent * size // 100) + 1 - (size - (part.stop - part.start))
         if take > 0:
             out.append((int(docs["doc_id"][at]), token[part][:take].tobytes()))
     # copies inside the flush hold the same keys; one of them is enough of a set, the set's class has the others
@@ -176,5 +171,5 @@ def prefixes(rows: DataFrame, source: Callable, n_items: int, percent: int) -> t
                 yield batch(SET, *(docs[c] for c in SET.names))
 
     sets = back.where(F.length("docs") > 0).select("docs").mapInArrow(unpacked, "doc_id bigint, n bigint, h1 bigint, h2 bigint")
-    keys = back.groupBy("flush").applyInArrow(lambda t: _prefix(t, n, percent), "doc_id bigint, keys binary")
+    keys = back.groupBy("flush").applyInArrow(lambda t: _prefix(t, percent), "doc_id bigint, keys binary")
     return sets, materialise(keys, "prefixes")

@@ -181,8 +181,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, loss: fl
         for b in batches:
             yield batch(FEATURE_SCHEMA, b.column("quality"), [statistics(t.as_py())[1] for t in b.column("text")])
 
-    # the sample is bounded by max_rows, whatever the corpus holds
-    rows = text_columns(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("quality", "text").mapInArrow(featured, "quality int, features array<double>").toPandas()
+    # one text of every chosen id, so that the sample is bounded by max_rows whatever the corpus holds: of rows that repeat an id the least text
+    rows = text_columns(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("quality", "text").mapInArrow(featured, "quality int, features array<double>").toPandas()
     x = np.array(rows["features"].tolist(), float).reshape(len(rows), len(FEATURES))
     y = (rows["quality"].to_numpy() > 0).astype(float)
     model = train(x, y, list(FEATURES.values()))

@@ -19,13 +19,15 @@ from .common import fresh, read
 #: The session's setting that names the key, and the published key of the registered query and the tests, which guards nothing.
 KEY_SETTING, DEMONSTRATION_KEY = "spark.foliant.pseudonym.key", "foliant"
 ROUNDS = 8
+#: How the numbers of known card issuers begin.
+ISSUERS = "^(?:4|5[1-5]|2[2-7]|3[4-689]|6)"
 
 _L, _R = "(?<![0-9A-Za-z])", "(?![0-9A-Za-z])"
-#: The forms that are looked for, the first that matches at a place wins. Bounded repeats keep the search linear in long texts.
+#: The forms that are looked for, the first that matches at a place wins. Repeats are bounded or keep what they take, so the search is linear in long texts.
 FORMS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-    "token": _L + r"(?:A[KS]IA[A-Z0-9]{16}|gh[opsur]_[A-Za-z0-9]{36,255}|xox[abprs]-[A-Za-z0-9-]{10,200}|AIza[A-Za-z0-9_-]{35}|sk-[A-Za-z0-9_-]{20,200})" + _R,
-    "secret": _L + r"[0-9A-Fa-f]{32,512}" + _R,
+    "token": _L + r"(?:A[KS]IA[A-Z0-9]{16}|gh[opsur]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[A-Za-z0-9_-]{35}|sk-[A-Za-z0-9_-]{20,}+)" + _R,
+    "secret": _L + r"[0-9A-Fa-f]{32,}+" + _R,
     "iban": _L + r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)" + _R,
     "date": _L + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{4}[.][0-9]{2}[.][0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4})" + _R,
     "ipv6": r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:.])",
@@ -35,7 +37,7 @@ FORMS = {
     + r"|(?:(?<![0-9A-Za-z])\+?[0-9]{1,3}[ .-])?(?<![0-9A-Za-z])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}" + _R
     + r"|(?<![0-9A-Za-z])\+[0-9](?:[ .-]?[0-9]){7,13}" + _R,
     # groups of four, however many follow each other: the ones that hold are sought inside the run
-    "card": _L + r"(?:[0-9]{4}(?: [0-9]{4}){3,15}|[0-9]{4}(?:-[0-9]{4}){3,15}|[0-9]{4} [0-9]{6} [0-9]{4,5}|[0-9]{4}-[0-9]{6}-[0-9]{4,5}|[0-9]{13,19})" + _R,
+    "card": _L + r"(?:[0-9]{4}(?:[ -][0-9]{4}" + _R + r"){3,}+|[0-9]{4} [0-9]{6} [0-9]{4,5}|[0-9]{4}-[0-9]{6}-[0-9]{4,5}|[0-9]{13,19})" + _R,
 }
 PATTERN = "|".join(FORMS.values())
 
@@ -68,8 +70,9 @@ def _letters(key: str, tag: str, s: str, lower: str = "abcdefghijklmnopqrstuvwxy
     """A permutation of the strings with the same classes of characters: digits, small and capital letters each among themselves."""
     upper = lower.upper()
     stream = f"sha2(concat({_quoted(key)}, '|{tag}|', i, '|', length(st.a), '|', st.b), 256)"
-    k = f"cast(conv(substr({stream}, 1 + 2 * ((j - 1) % 32), 2), 16, 10) AS int)"
-    moved = f"if(st.a = '', '', array_join(transform(sequence(1, greatest(length(st.a), 1)), j -> {_shift('substr(st.a, j, 1)', k, lower, upper)}), ''))"
+    k = "cast(conv(substr(h, 1 + 2 * (j % 32), 2), 16, 10) AS int)"
+    # the characters as an array, and the keyed hash once a round, so that long values take time in proportion
+    moved = _bound("h", stream, f"array_join(transform(filter(split(st.a, ''), c -> c <> ''), (c, j) -> {_shift('c', k, lower, upper)}), '')")
     half = f"((length({s}) + 1) div 2)"
     return f"aggregate(sequence(1, {ROUNDS}), named_struct('a', left({s}, {half}), 'b', substr({s}, {half} + 1)), (st, i) -> named_struct('a', st.b, 'b', {moved}), st -> concat(st.a, st.b))"
 
@@ -133,17 +136,20 @@ def _valid_card(d: str) -> str:
 
 
 def _cards(key: str) -> str:
-    """A run of groups of four: the first four that hold are a card, then the next four after them; all other groups stay."""
-    here = "regexp_replace(substr(m, 5 * k + 1, 19), '[^0-9]', '')"
-    spaced = f"regexp_replace({_card(key, 'd')}, '([0-9]{{4}})(?=[0-9])', concat('$1', substr(m, 5, 1)))"
-    found = _bound("d", here, f"if(length(d) = 16 AND {_valid_card('d')}, {spaced}, NULL)")
-    step = f"if(k < r.next, r, {_bound('c', found, _put())})"
-    return f"aggregate(sequence(0, cast(length(m) div 5 AS int)), named_struct('o', '', 'next', 0), (r, k) -> {step}, r -> r.o)"
+    """A run of groups of four: a card is four of them that hold, the leftmost of those with the beginning of a known issuer before others; all other groups stay.
 
-
-def _put() -> str:
-    taken = "named_struct('o', concat(r.o, if(k > 0, substr(m, 5, 1), ''), coalesce(c, substr(m, 5 * k + 1, 4))), 'next', k + if(c IS NULL, 1, 4))"
-    return taken
+    By chance one in ten of any four groups holds. So four that hold give way to four that hold and begin like a card within their own groups.
+    """
+    here = "regexp_replace(concat_ws('', slice(g, k + 1, 4)), '[^0-9]', '')"
+    kind = f"if(length(d) = 16 AND {_valid_card('d')}, if(d rlike '{ISSUERS}', 2, 1), 0)"
+    flags = f"transform(sequence(0, size(g) - 1), k -> {_bound('d', here, kind)})"
+    later = "coalesce(greatest(get(f, k + 1), get(f, k + 2), get(f, k + 3)), 0)"
+    spaced = _bound("x", _card(key, here), "concat(left(x, 4), s[k], substr(x, 5, 4), s[k + 1], substr(x, 9, 4), s[k + 2], right(x, 4))")
+    found = f"if(f[k] = 2 OR f[k] = 1 AND {later} < 2, {spaced}, NULL)"
+    taken = "named_struct('o', concat(r.o, if(k > 0, s[k - 1], ''), coalesce(c, g[k])), 'next', k + if(c IS NULL, 1, 4))"
+    fold = f"aggregate(sequence(0, size(g) - 1), named_struct('o', '', 'next', 0), (r, k) -> if(k < r.next, r, {_bound('c', found, taken)}), r -> r.o)"
+    marks = "filter(split(regexp_replace(m, '[0-9]', ''), ''), c -> c <> '')"
+    return _bound("g", "split(m, '[ -]')", _bound("s", marks, _bound("f", flags, fold)))
 
 
 def _iban(key: str) -> str:
@@ -195,12 +201,12 @@ def key_of(spark: SparkSession) -> str:
 def pseudonymised(docs: DataFrame, key: str, count: str = "n_pii") -> DataFrame:
     """docs with text pseudonymised, and the number of values replaced in the column count (which takes the place of one of that name).
 
-    Other columns and the rows stay as they are. A null text stays null with a count of 0. A text without a digit or an at sign is
-    passed on as it is. Repeated rows and an empty table stay what they are.
+    Other columns and the rows stay as they are. A null text stays null with a count of 0. What a value becomes does not depend on
+    the text around it. Values and texts of any length are taken whole. Repeated rows and an empty table stay what they are.
     """
     p, old, new = _quoted(PATTERN), fresh(docs, "pii_found"), fresh(docs, "pii_new")
     none = F.expr("cast(array() AS array<string>)")
-    found = F.coalesce(F.expr(f"if(text rlike '[0-9@]', regexp_extract_all(text, {p}, 0), array())"), none)
+    found = F.coalesce(F.expr(f"regexp_extract_all(text, {p}, 0)"), none)
     put = F.when(F.size(old) > 0, F.expr(f"transform({old}, m -> {_pseudonym(key)})")).otherwise(none)
     filled = F.expr(f"if(size({old}) > 0, array_join(zip_with(split(text, {p}, -1), {new}, (t, v) -> concat(t, coalesce(v, ''))), ''), text)")
     changed = F.expr(f"cast(size(filter(zip_with({old}, {new}, (x, y) -> x <> y), z -> z)) AS bigint)")

@@ -98,28 +98,35 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
 
 
 def first_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs, all columns, with one document of each component: that of the smallest id.
+    """The rows of docs, all columns, with one row of each component: that of the smallest id, of equal ids the first in the files.
 
-    Of rows that repeat an id one stays; rows with a null doc_id all stay. A hashed bitmap tells most of the rows that stay
-    without a join, so only rows that may go are shuffled.
+    Every row is judged by its own text, under a number of its own: rows that repeat an id with another text stay unless they are linked
+    with a row that stays, rows without an id take part and come after all others. Rows alike in id and text leave one. Texts without words stay. An
+    empty table stays empty. docs should be read from files, which give a row the same number at every reading. A hashed bitmap tells most of the rows that stay
+    without a join, so only rows that may go are looked at again.
     """
-    found = linked(docs, width, percent).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("first_id"), F.count(F.lit(1)).alias("times"))
-    doubtful = materialise(found.where("first_id <> doc_id OR times > 1").select("doc_id", "first_id"), "doubtful")
-    held = bitmap(doubtful.select("doc_id"))
-
-    def chosen(wanted: bool):
-        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    number = fresh(docs, "row_number")
+    rows = docs.withColumn(number, F.monotonically_increasing_id())
+    found = linked(rows.select(F.col(number).alias("doc_id"), "text"), width, percent).where("n_links > 0").select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
+    # ids of the rows that have a link, and of each component the row that stays
+    linked_rows = materialise(found, "linked")
+    held = bitmap(linked_rows.select(F.col("row").alias("doc_id")))
+
+    def perhaps_linked(wanted: bool):
+        def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                ids = b.column("doc_id")
-                maybe = perhaps(held.value, ids.fill_null(0).to_numpy()) & ids.is_valid().to_numpy(zero_copy_only=False)
-                yield b.filter(pa.array(maybe == wanted))
-
-        return docs.mapInArrow(rows, docs.schema)
-
-    key, first = fresh(docs, "doubtful_id"), fresh(docs, "doubtful_first")
-    named = doubtful.select(F.col("doc_id").alias(key), F.col("first_id").alias(first))
-    rest = chosen(True).join(named, F.col("doc_id") == F.col(key), "left").where(F.col(first).isNull() | (F.col(first) == F.col("doc_id"))).dropDuplicates(["doc_id"])
-    return chosen(False).unionByName(rest.select(*[F.col(f"`{c}`") for c in docs.columns]))
+                if b.num_rows:
+                    maybe = perhaps(held.value, b.column(number).to_numpy())
+                    yield b.filter(pa.array(maybe == wanted))
+
+        return chosen
+
+    ids = rows.select(number, "doc_id").mapInArrow(perhaps_linked(True), f"{number} bigint, doc_id bigint").join(linked_rows, F.col(number) == F.col("row"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    groups = ids.groupBy("group").agg(F.min_by("row", order).alias("first"))
+    gone = materialise(ids.join(groups, "group").where("row <> first").select("row"), "gone")
+    doubtful = rows.mapInArrow(perhaps_linked(True), rows.schema).join(gone, F.col(number) == F.col("row"), "left_anti")
+    return rows.mapInArrow(perhaps_linked(False), rows.schema).unionByName(doubtful).drop(number)
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

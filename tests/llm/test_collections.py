@@ -106,6 +106,15 @@ def test_first_of_each(spark, edges, empty):  # noqa: F811
     assert kept == {d for d, _, c, _ in brute_join(near_copies(20)) if d == c}
 
 
+def test_first_of_repeated_ids(spark):
+    """Rows are judged by their own texts: another text under a used id stays, copies without an id go but for one."""
+    long = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, "one two three four five six"), (1, long), (1, "another text under the same id here"), (2, long + " x"), (3, None), (3, ""), (None, "no id at all here now"), (None, "no id at all here now"), (None, long), (7, "last copy of a text below"), (5, "last copy of a text below"), (5, "last copy of a text below")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    kept = [tuple(r) for r in op7_ngram_join.first_of_each(df).collect()]
+    assert sorted(kept, key=str) == sorted([rows[0], rows[1], rows[2], rows[4], rows[5], rows[6], rows[10]], key=str)
+
+
 def test_prefixes_meet():
     """Sets within the similarity always share a key, whatever the frequencies."""
     rng = np.random.default_rng(6)
@@ -116,7 +125,7 @@ def test_prefixes_meet():
         b = np.unique(rng.permutation(a)[:keep])
         docs = [(1, len(a), 1, 1, 0), (2, len(b), 2, 2, 1)]
         table = frequencies._count(common_table(frequencies._packed(0, docs, [a, b], 1)))
-        keys = {r["doc_id"]: set(np.frombuffer(r["keys"], "<u8")) for r in frequencies._prefix(table, 1, 80).to_pylist()}
+        keys = {r["doc_id"]: set(np.frombuffer(r["keys"], "<u8")) for r in frequencies._prefix(table, 80).to_pylist()}
         assert keys.get(1, set()) & keys.get(2, set())
 
 
