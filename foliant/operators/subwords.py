@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
@@ -42,6 +43,8 @@ ROW = 512
 LEVELS = (16, 64, 256, 1024, 4096, 16_384, 65_536)
 #: Word types that a task handles at a time.
 HELD = 200_000
+#: Pre-tokens of documents that are encoded at a time.
+AT_ONCE = 200_000
 
 
 def pretokens(text: Column) -> Column:
@@ -465,25 +468,33 @@ def decoded(ids: DataFrame, tokens: DataFrame, key: str) -> DataFrame:
 
 
 def encoded_documents(docs: DataFrame, tokens: list[str], merges: list[tuple[str, str, int]]) -> DataFrame:
-    """(doc_id, words, ids, text): the pre-tokens of whole texts, their ids, and what is read back from the ids alone.
+    """(doc_id, ids, text, intact): the ids of whole texts, what is read back from the ids alone, and whether that is the text's pre-tokens.
 
-    A task encodes the distinct pre-tokens of a batch once. A marker is its beginning, its digits and its end. A null text has no ids.
+    A task encodes the distinct pre-tokens of a few texts once, about AT_ONCE pre-tokens at a time. A marker is its beginning, its digits and its
+    end. Pre-tokens are joined by spaces, but for a marker, which has none behind it. A null text has no ids.
     """
     model = docs.sparkSession.sparkContext.broadcast((tokens, merges))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(*model.value)
-        table = np.array(["" if k < SPECIAL else t.replace(END, " ") for k, t in enumerate(model.value[0])], object)
+        table = ["" if k < SPECIAL else t.replace(END, " ") for k, t in enumerate(model.value[0])]
         for b in batches:
-            texts = b.column("words").to_pylist()
-            types = list({w for t in texts for w in t})
-            ids = dict(zip(types, encoder.encode_all(types)))
-            rows = [[i for w in t for i in ids[w]] for t in texts]
-            back = ["".join(table[r].tolist()).strip(" ") if r else "" for r in rows]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("words"), pa.array(rows, pa.list_(pa.int32())), pa.array(back, pa.string())], names=["doc_id", "words", "ids", "text"])
+            upto = np.concatenate([[0], np.cumsum(pc.list_value_length(b.column("words")).to_numpy())])
+            lo = 0
+            while lo < b.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + AT_ONCE, "right")) - 1)
+                part = b.slice(lo, hi - lo)
+                texts = part.column("words").to_pylist()
+                types = list({w for t in texts for w in t})
+                ids = dict(zip(types, encoder.encode_all(types)))
+                rows = [[i for w in t for i in ids[w]] for t in texts]
+                back = ["".join([table[i] for i in r]).strip(" ") for r in rows]
+                said = ["".join([w if len(w) > 1 and w[0] == "[" else w + " " for w in t]).rstrip(" ") for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows, pa.list_(pa.int32())), pa.array(back, pa.string()), pa.array([x == y for x, y in zip(back, said)], pa.bool_())], names=["doc_id", "ids", "text", "intact"])
+                lo = hi
 
     words = docs.select("doc_id", F.coalesce(pretokens(F.col("text")), F.expr("cast(array() AS array<string>)")).alias("words"))
-    return words.mapInArrow(cut, "doc_id bigint, words array<string>, ids array<int>, text string")
+    return words.mapInArrow(cut, "doc_id bigint, ids array<int>, text string, intact boolean")
 
 
 def trained(spark: SparkSession, sf_dir: str, vocabulary: int = VOCABULARY) -> tuple[DataFrame, list[str], list[tuple[str, str, int]]]:
@@ -524,12 +535,11 @@ def bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bpe_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document under that vocabulary: its tokens, the row of 512 that it is padded or cut to, the power of two that it is padded to in a batch, and whether its ids give its pre-tokens back.
 
-    n_unknown counts pre-tokens' characters outside the vocabulary; where it is 0, intact is true: the text read back is the pre-tokens, joined by spaces (a marker has no space behind it).
+    n_unknown counts characters outside the vocabulary; where it is 0, intact is true.
     """
     _, tokens, merges = trained(spark, sf_dir)
     n = F.size("ids")
     row = F.concat(F.slice("ids", 1, ROW), F.array_repeat(F.lit(0), F.greatest(F.lit(ROW) - n, F.lit(0))))
-    said = F.rtrim(F.array_join(F.transform("words", lambda w: F.when(marked(w), w).otherwise(F.concat(w, F.lit(" ")))), ""))
     bucket = F.least(F.lit(ROW), F.greatest(F.lit(16), F.pow(F.lit(2), F.ceil(F.log2(F.greatest(n, F.lit(1))))))).cast("int")
     rows = encoded_documents(documents(spark, sf_dir), tokens, merges)
-    return rows.select("doc_id", n.alias("n_tokens"), F.size(F.filter("ids", lambda i: i == UNKNOWN)).alias("n_unknown"), F.md5(F.array_join(row, " ")).alias("row_digest"), (n > ROW).alias("cut"), bucket.alias("bucket"), (said == F.col("text")).alias("intact"))
+    return rows.select("doc_id", n.alias("n_tokens"), F.size(F.filter("ids", lambda i: i == UNKNOWN)).alias("n_unknown"), F.md5(F.array_join(row, " ")).alias("row_digest"), (n > ROW).alias("cut"), bucket.alias("bucket"), "intact")
