@@ -84,11 +84,17 @@ def _of_spans(docs: DataFrame) -> DataFrame:
     return document_digests(rows, "doc_id", "span_ord", "digest")
 
 
-def revised(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those labelled toxic; those of no quality have their lines put together."""
+def reviewed(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The document digests of docs, and of docs without those labelled toxic, in which those of no quality have their lines put together.
+
+    Both forms of every text are digested where it is read, so that labels meet digests and no text is shuffled.
+    """
+    first = written(_of_spans(docs), "digests")
+    joined = _of_spans(docs.withColumn("text", F.replace("text", F.lit("\n"), F.lit(" ")))).select("doc_id", F.col("digest").alias("joined"), F.col("n").alias("n_joined"))
     low, out = (labels.where(c).select("doc_id").distinct() for c in ("quality = 0 AND toxic = 0", "toxic = 1"))
-    rows = docs.join(out, "doc_id", "left_anti").join(low.withColumn("low", F.lit(True)), "doc_id", "left")
-    return rows.withColumn("text", F.when(F.col("low"), F.replace("text", F.lit("\n"), F.lit(" "))).otherwise(F.col("text"))).drop("low")
+    put = written(joined.join(low, "doc_id", "left_semi"), "joined")
+    after = first.join(out, "doc_id", "left_anti").join(put, "doc_id", "left")
+    return first, after.select("doc_id", F.coalesce("joined", "digest").alias("digest"), F.coalesce("n_joined", "n").alias("n"))
 
 
 def tree_sql(name: str, source: str) -> str:
@@ -122,6 +128,5 @@ REVIEWED_SQL = """reviewed AS (SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id
 )
 def changed_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ranges of documents in which the reviewed corpus differs from the first one."""
-    docs = documents(spark, sf_dir).select("doc_id", "text")
-    after = revised(docs, table(spark, sf_dir, "labels"))
-    return changed(tree(_of_spans(docs), "doc_id"), tree(_of_spans(after), "doc_id"))
+    before, after = reviewed(documents(spark, sf_dir).select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return changed(tree(before, "doc_id"), tree(after, "doc_id"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..plans.registry import query
+from ..sources.shared import written
 from ..sources.tables import documents, table
 from .corpus import _windows_sql, windows
 from .linguistics import RHETORIC_VECTOR_SQL, STYLE_SQL, rhetorical_vectors, style_vectors
@@ -31,7 +32,7 @@ def hybrid(active: DataFrame, indexed: DataFrame, questions: DataFrame, calibrat
     the first depth + kept are listed, the others' are counted for the dense hits alone, so no window holds all documents of a question.
     Without a calibrator dense scores do not enter the confidence. A document without a shared term has no lexical rank.
     """
-    scored = bm25(active, questions)
+    scored = written(bm25(active, questions), "scored")  # read three times below
     listed = top(scored, "bm25", depth + kept).withColumnRenamed("rank", "lexical_rank")
     found = nearest(dense_vectors(questions, "item_id"), dense_vectors(indexed, "doc_id"), depth, (questions, indexed))
     near = found.select(F.col("query_id").alias("item_id"), F.col("vec_id").alias("doc_id"), F.col("score").alias("dense_score"), F.col("rank").alias("r"))

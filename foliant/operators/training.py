@@ -164,9 +164,9 @@ def control_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", F.concat(F.lit("Q: "), "source", F.lit(" "), "lang", F.lit("\nE: "), "text", F.lit("\nA: [E1]")).alias("example"))
 
 
-#: The words of the examples, as the trainer has them: before the evidence, between it and the answer, after it, and without any.
-ASK, ANSWER, CITE = "Pergunta:\nExtraia somente a passagem apoiada pela evidência.\nEvidências:\n[E1] ", "\nResposta:\n", " [E1]"
-ABSTAIN = "Pergunta:\nResponda somente se houver evidência.\nEvidências:\n\nResposta:\nNÃO ENCONTRADO."
+#: Our own words of the examples: before the evidence, between it and the answer, after it, and without any.
+ASK, ANSWER, CITE = "Task: quote what the evidence says.\nEvidence:\n[E1] ", "\nQuotation:\n", " [E1]"
+ABSTAIN = "Task: answer from evidence alone.\nEvidence:\n\nQuotation:\nThe evidence says nothing of it."
 
 
 def _literal(text: str) -> str:

@@ -153,11 +153,11 @@ class Corpus:
         folder = f"{self.folder}/data/{uuid.uuid4().hex}"
         # a bucket is written by several tasks, so that one long document does not make one long file
         parts = chunks.withColumn("bucket", _bucket()).repartition("bucket", F.pmod(F.floor(F.col("ordinal") / 4096), F.lit(8)))
-        parts.write.mode("errorifexists").partitionBy("bucket").json(f"{folder}/chunks")
+        parts.write.mode("errorifexists").partitionBy("bucket").option("compression", "gzip").json(f"{folder}/chunks")
         read = self._chunks([f"{folder}/chunks"])
         if (bad := faults(read).first()) is not None:
             raise ValueError(f"{bad.fault}: {bad.document_id} {bad.ordinal}")
-        listing(read).withColumn("bucket", _bucket()).repartition("bucket").write.partitionBy("bucket").json(f"{folder}/listed")
+        listing(read).withColumn("bucket", _bucket()).repartition("bucket").write.partitionBy("bucket").option("compression", "gzip").json(f"{folder}/listed")
         own = summaries(self._listed([f"{folder}/listed"]))
         name = folder.rsplit("/", 1)[1]
         buckets = kept | {k: {"folder": name, **b} for k, b in own.items()}

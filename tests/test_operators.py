@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 
 import numpy as np
+import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
 from foliant.functions.html import markdown_tables
-from foliant.operators import answers, corpus, operations, terms, training, vectors
+from foliant.operators import answers, corpus, language, operations, terms, training, vectors
 from foliant.sources.tables import spans
 from foliant.streaming import events as streaming
 
@@ -253,3 +256,55 @@ def test_chunks_stay_on_their_page_and_kind(spark):
         except ValueError:
             continue
         raise AssertionError(bad)
+
+
+def plain_losses(docs, order):
+    """The same model over dictionaries, gram by gram."""
+    import math
+    from collections import defaultdict
+
+    held = [(d, ["<s>"] * (order - 1) + re.findall(r"[^\W_]+", (t or "").lower())) for d, t in docs]
+    counts = {order: defaultdict(float)}
+    for d, l in held:
+        if d is None or d % language.HELD_OUT:
+            for k in range(order - 1, len(l)):
+                counts[order][tuple(l[k - order + 1 : k + 1])] += 1
+    for n in range(order - 1, 0, -1):
+        counts[n] = defaultdict(float)
+        for g in counts[n + 1]:
+            counts[n][g[1:]] += 1
+    context = {n: defaultdict(list) for n in counts}
+    for n, c in counts.items():
+        for g, x in c.items():
+            context[n][g[:-1]].append(x)
+
+    def p(g):
+        own, seen = counts[len(g)].get(g, 0), context[len(g)].get(g[:-1])
+        if not seen:
+            return p(g[1:])
+        less = p(g[1:]) if len(g) > 1 else 1 / (len(seen) + 1)
+        return (max(own - language.DISCOUNT, 0) + language.DISCOUNT * len(seen) * less) / sum(seen)
+
+    out = {}
+    for d, l in held:
+        each = [-math.log(p(tuple(l[k - order + 1 : k + 1]))) for k in range(order - 1, len(l))]
+        out.setdefault(d, []).extend(each)
+    return {d: (round(sum(x) / len(x), 5), len(x)) for d, x in out.items() if x}
+
+
+@pytest.mark.parametrize("order", [2, 3, 5])
+def test_context_losses(spark, order):
+    rng = np.random.default_rng(order)
+    docs = [(int(k), " ".join(rng.choice(["a", "b", "c", "dd", "e1"], int(rng.integers(0, 30))))) for k in range(25)] + [(3, "a b a b"), (40, "unseen words a b"), (50, None), (51, ""), (None, "a b c")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    found = {r.doc_id: (round(r.loss, 5), r.n_targets) for r in language.losses(df, order).collect()}
+    want = plain_losses(docs, order)
+    assert found.keys() == want.keys() and all(abs(found[d][0] - want[d][0]) < 2e-5 and found[d][1] == want[d][1] for d in want)
+    assert language.losses(df.where("false"), order).count() == 0
+
+
+def test_longer_contexts_tell_more(spark):
+    """On documents that the model has not seen, the loss of order three lies below that of order two."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    mean = [language.losses(docs, n).where("held_out").agg(F.sum(F.col("loss") * F.col("n_targets")) / F.sum("n_targets")).first()[0] for n in (2, 3)]
+    assert mean[1] < mean[0]

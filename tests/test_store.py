@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import glob
+import gzip
 import hashlib
 import os
 import re
@@ -63,15 +64,21 @@ def test_two_writers(spark, chunks, tmp_path):
     assert corpus.head() == 2 and rows(corpus.read()) == rows(lots[got.index(2)])
 
 
-def rewritten(pattern, change, drop=False):
-    """Changes the first file of pattern that holds something; its checksum goes."""
-    path = next(p for p in sorted(glob.glob(pattern)) if open(p).read())
+def rewritten(pattern, change):
+    """Changes the first file of pattern that holds something; its checksum goes. What it returns puts the file back."""
+    opened = lambda path, mode: gzip.open(path, mode) if path.endswith(".gz") else open(path, mode)
+    path = next(p for p in sorted(glob.glob(pattern)) if opened(p, "rt").read())
     crc = os.path.join(os.path.dirname(path), f".{os.path.basename(path)}.crc")
     if os.path.exists(crc):
         os.remove(crc)
-    text = open(path).read()
-    os.remove(path) if drop else open(path, "w").write(change(text))
-    return lambda: open(path, "w").write(text)
+
+    def put(text):
+        with opened(path, "wt") as f:
+            f.write(text)
+
+    text = opened(path, "rt").read()
+    put(change(text))
+    return lambda: put(text)
 
 
 def test_tampering_is_found(spark, chunks, tmp_path):
