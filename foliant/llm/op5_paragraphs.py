@@ -1,8 +1,8 @@
 """Paragraph deduplication by MinHash banding, whatever the lines of a text.
 
-Words are compared with A-Z in lower case and single blanks; every word of every text takes part, in two kinds of paragraph:
+Words are compared with A-Z in lower case and single blanks. There are two kinds of paragraph:
 
-``block``: a line of ``MIN_WORDS`` words or more, or a run of shorter lines that together have as many. 30 permutations in
+``block``: a line of ``MIN_WORDS`` words or more, a run of shorter lines that together have as many, or a whole shorter text of ``WIDTH`` words or more. 30 permutations in
 10 bands of three rows bring blocks of Jaccard similarity 0.8 together with probability 0.9992; those that meet form groups, in
 which links are verified by the exact Jaccard of 5-word shingles. The connected components are the classes, of which the first
 block (by doc_id, then by place) stays.
@@ -12,6 +12,9 @@ its 5-word shingles; of equal ones the first). Equal windows have equal minima,
 words in a row that two documents share are found inside longer lines, over short lines, and at the ends of texts.
 Units that meet are verified by all their words (a 64-bit hash), and neighbouring ones are joined to
 one passage. So what is reported as a passage shares at least ``UNIT`` words in a row with another document.
+
+What is out of reach: texts of fewer than ``WIDTH`` words; runs of short lines of fewer than ``MIN_WORDS`` words in longer texts, but for their part
+in passages; and passages inside longer blocks whose edits leave no ``PASSAGE`` words in a row equal.
 """
 
 from __future__ import annotations
@@ -44,7 +47,7 @@ _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E377
 
 
 def blocks(w: Words, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first word among all words of w, words) of every long line, and of every run of shorter lines that together are long.
+    """(text, first word among all words of w, words) of every long line, of every run of shorter lines that together are long, and of shorter texts whole.
 
     >>> [x.tolist() for x in blocks(Words(["a b\\n\\nC d e\\nf\\ng h", "x"], lines=True), 3)]
     [[0, 0], [2, 5], [3, 3]]
@@ -55,7 +58,7 @@ def blocks(w: Words, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray
     if not len(first):
         return first, first, first
     n = np.add.reduceat(w.lines, first)
-    at, keep = np.cumsum(n) - n, n >= min_words
+    at, keep = np.cumsum(n) - n, (n >= min_words) | ((n >= WIDTH) & (n == w.counts[w.line_text[first]]))
     return w.line_text[first][keep], at[keep], n[keep]
 
 
@@ -314,8 +317,8 @@ WITH RECURSIVE l AS (
   FROM documents),
 y AS MATERIALIZED (SELECT doc_id, k, list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM l),
 x AS (SELECT *, coalesce(sum(len(w)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos,
-             sum(CASE WHEN len(w) >= {MIN_WORDS} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS n_long FROM y),
-w AS MATERIALIZED (SELECT doc_id, min(pos)::INT AS paragraph, flatten(list(w ORDER BY k)) AS w FROM x GROUP BY doc_id, n_long, len(w) >= {MIN_WORDS} HAVING sum(len(w)) >= {MIN_WORDS}),
+             sum(CASE WHEN len(w) >= {MIN_WORDS} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS n_long, sum(len(w)) OVER (PARTITION BY doc_id) AS total FROM y),
+w AS MATERIALIZED (SELECT doc_id, min(pos)::INT AS paragraph, flatten(list(w ORDER BY k)) AS w FROM x GROUP BY doc_id, n_long, len(w) >= {MIN_WORDS} HAVING sum(len(w)) >= {MIN_WORDS} OR (sum(len(w)) >= {WIDTH} AND sum(len(w)) = max(total))),
 c AS MATERIALIZED (SELECT array_to_string(w, ' ') AS id, any_value(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s FROM w GROUP BY 1),
 n AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY id) AS k FROM c),
 t AS MATERIALIZED (SELECT k, len(s) AS n, unnest(s) AS t FROM n),

@@ -156,6 +156,14 @@ def test_paragraphs_brute(spark, edges, empty):  # noqa: F811
     assert op5_paragraphs.repeated(empty).count() == 0
 
 
+def test_short_texts_are_blocks(spark):
+    """A text of five words or more is compared whole, however short; of fewer it is not."""
+    words = [f"w{k}" for k in range(28)]
+    rows = [(1, " ".join(words)), (2, "\n".join(words).upper()), (3, " ".join(words)), (4, " ".join(words[:14])), (5, "a b c d"), (6, "a b c d"), (7, "a b c d e"), (8, " a  b\nc d e ")]
+    found = op5_paragraphs.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.kind, r.doc_id, r.first_doc_id, r.n_words, r.removed) for r in found} == {("block", d, f, n, d != f) for d, f, n in ((1, 1, 28), (2, 1, 28), (3, 1, 28), (7, 7, 5), (8, 7, 5))}
+
+
 def test_passages_brute(spark, edges, empty, monkeypatch):  # noqa: F811
     """Every 50 words in a row that two documents hold lead to a passage in both, whatever the lines; its words stand in another document."""
     for module, name in ((collisions, "HELD"), (collisions, "BUCKET_KEYS"), (op5_paragraphs, "AT_ONCE")):  # many blocks, buckets and slices
