@@ -22,9 +22,14 @@ TOP3_SQL = BM25_SQL + """,
 hit AS MATERIALIZED (SELECT * FROM (SELECT item_id, doc_id, bm25, confidence, row_number() OVER (PARTITION BY item_id ORDER BY bm25 DESC, doc_id)::INT AS rank FROM lex) WHERE rank <= 3)"""
 
 
+def best_documents(docs: DataFrame, questions: DataFrame, k: int = 3) -> DataFrame:
+    """(item_id, doc_id, rank, bm25, confidence): the k best documents of each question, as a table: so its size is known where texts join it, and a small one is sent to them."""
+    return written(top(bm25(docs, questions), "bm25", k), "hits")
+
+
 def evidence(docs: DataFrame, questions: DataFrame, k: int = 3) -> DataFrame:
     """(item_id, doc_id, rank, marker, quote, bm25, confidence): the k best documents of each question as citations."""
-    found = top(bm25(docs, questions), "bm25", k)
+    found = best_documents(docs, questions, k)
     return found.join(docs.select("doc_id", "text"), "doc_id").select("item_id", "doc_id", "rank", F.concat(F.lit("[E"), "rank", F.lit("]")).alias("marker"), T.truncated_quote(F.col("text"), QUOTE).alias("quote"), "bm25", "confidence")
 
 
@@ -70,7 +75,7 @@ def candidates(docs: DataFrame, questions: DataFrame) -> DataFrame:
 
     st are a sentence's distinct content tokens, key tells repeated sentences. A sentence that defines weighs more.
     """
-    cited = evidence(docs, questions).join(docs.select("doc_id", "text"), "doc_id").select("item_id", "doc_id", "rank", "bm25", F.posexplode(T.sentences(F.col("text"))).alias("n", "sentence"))
+    cited = docs.select("doc_id", "text").join(best_documents(docs, questions), "doc_id").select("item_id", "doc_id", "rank", "bm25", F.posexplode(T.sentences(F.col("text"))).alias("n", "sentence"))
     asked = questions.select("item_id", _distinct_content(F.col("text")).alias("qt"))
     rows = cited.join(asked, "item_id").withColumn("st", _distinct_content(F.col("sentence"))).withColumn("shared", F.size(F.array_intersect("qt", "st"))).where("shared > 0")
     score = 0.75 * F.col("shared") / F.size("qt") + 0.25 * F.col("shared") / F.size("st") + 0.05 * F.col("bm25") / (1 + F.col("bm25"))
