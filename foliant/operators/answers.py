@@ -259,13 +259,39 @@ def sentence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences"), F.max(F.length("s")).cast("bigint").alias("longest"))
 
 
-@query(r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '^\s*(\{[^}]*\}\s*|>\s*)+', ''), '([a-z])-\s+([a-z])', '\1\2', 'g'), '\[\s*\d+(\s*,\s*\d+)*\s*\]', '', 'g'), '\s+', ' ', 'g'))) AS digest FROM documents")
+#: What is taken out of a passage, in this order, and what stands in its place. Leading quotation marks; leading braces, marks and
+#: single letters or digits, again and again; labels of figures; hyphens of broken words; numeric references; control characters; runs of blanks.
+_W = r"\p{L}\p{N}_"
+_MARKS = rf"\{{[^}}]*\}}\s*|[^{_W}\s{{][^{_W}{{]*|\{{\s*"
+PASSAGE_RULES = [
+    (r"^\s*>\s*", ""),
+    (rf"^(?:{_MARKS}|[a-zA-Z0-9]\s+|[a-zA-Z0-9](?:{_MARKS})|[a-zA-Z0-9]$)+", ""),
+    (rf"(?i)(^|[^{_W}])(?:figure|figura|abbildung)\s+[0-9]+\.[0-9]+:?\s*", "{}1"),
+    (rf"([{_W}]+)-\s+([{_W}]+)", "{}1{}2"),
+    (r"\[\s*[0-9]+(?:\s*,\s*[0-9]+)*\s*\]", ""),
+    (r"[\x{FFFD}\x00-\x08\x0B\x0C\x0E-\x1F]", ""),
+    (r"\s+", " "),
+]
+
+
+def clean_passage(text: Column) -> Column:
+    """A passage without the marks and remains of layout that PASSAGE_RULES name."""
+    for pattern, put in PASSAGE_RULES:
+        text = F.regexp_replace(text, pattern, put.replace("{}", "$"))
+    return F.trim(text)
+
+
+def _clean_sql() -> str:
+    out = "text"
+    for pattern, put in PASSAGE_RULES:
+        out = f"regexp_replace({out}, '{pattern}', '{put.replace('{}', chr(92))}', 'g')"
+    return f"trim({out})"
+
+
+@query(f"SELECT doc_id, md5({_clean_sql()}) AS digest FROM documents")
 def clean_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts without leading marks, broken words, numeric references and runs of blanks, as digests."""
-    t = F.regexp_replace("text", r"^\s*(\{[^}]*\}\s*|>\s*)+", "")
-    t = F.regexp_replace(t, r"([a-z])-\s+([a-z])", "$1$2")
-    t = F.regexp_replace(t, r"\[\s*\d+(\s*,\s*\d+)*\s*\]", "")
-    return documents(spark, sf_dir).select("doc_id", F.md5(T.squeeze(t)).alias("digest"))
+    """Cleaned texts, as digests."""
+    return documents(spark, sf_dir).select("doc_id", F.md5(clean_passage(F.col("text"))).alias("digest"))
 
 
 #: Intents in the order in which they are tried, our own cues in four languages.

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..plans.registry import query
+from ..sources.shared import written
 from ..sources.tables import SPANS_SQL, documents, spans, table
 from .curiosity import INSIGHTS_SQL, PRIORITY_SQL, TAGS_SQL, insights, priorities, tags, hours
 from .vectors import nearest
@@ -30,6 +31,50 @@ def curiosity_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.join(labels, "doc_id").select("source", "doc_id", "score", "tags", "rank")
 
 
+#: Rounds of the closed cycle, insights of a source that a round shows, and the share of the old in a running reward.
+CYCLES, SHOWN, KEPT_SHARE = 3, 10, 0.8
+
+
+def cycles(found: DataFrame, rounds: int = CYCLES, shown: int = SHOWN) -> DataFrame:
+    """(round, source, doc_id, rank, priority, surfaced): what every round shows, of insights (doc_id, source, score) that are not null.
+
+    A round shows the insights of the highest priority of each source, ties to those shown less and then the smaller id. An insight that is
+    shown gains a running reward from its score and is counted as shown, and its priority for the next round follows from both: what has just been
+    shown falls behind. A state is a table that one round writes and the next reads.
+    """
+    priority = lambda reward, seen: F.round(F.greatest(F.lit(0.0), T.bounded(reward) - 0.1 * F.log1p(seen)), 6)
+    state = written(found.select("doc_id", "source", "score", F.col("score").alias("reward"), F.lit(0).cast("bigint").alias("surfaced"), priority(F.col("score"), F.lit(0)).alias("priority")), "cycle")
+    order = Window.partitionBy("source").orderBy(F.desc("priority"), "surfaced", "doc_id")
+    out = None
+    for k in range(1, rounds + 1):
+        # the best of a source are found in every task before they meet
+        best = written(state.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= shown).select("doc_id", "source", "rank", "priority", "surfaced"), "shown")
+        part = best.select(F.lit(k).alias("round"), "source", "doc_id", "rank", "priority", "surfaced")
+        out = part if out is None else out.unionByName(part)
+        if k < rounds:
+            marked = state.join(best.select("doc_id", F.lit(1).alias("now")), "doc_id", "left").withColumn("now", F.coalesce("now", F.lit(0)))
+            reward = F.when(F.col("now") == 1, F.round(KEPT_SHARE * F.col("reward") + (1 - KEPT_SHARE) * F.col("score"), 6)).otherwise(F.col("reward"))
+            moved = marked.select("doc_id", "source", "score", reward.alias("reward"), (F.col("surfaced") + F.col("now")).alias("surfaced"))
+            state = written(moved.withColumn("priority", priority(F.col("reward"), F.col("surfaced"))), "cycle")
+    return out
+
+
+def _cycles_sql() -> str:
+    priority = "round(greatest(0, greatest({r}, 0) / (1 + greatest({r}, 0)) - 0.1 * ln(1 + {s})), 6)"
+    parts = [f"s1 AS MATERIALIZED (SELECT doc_id, source, score, score AS reward, 0::BIGINT AS surfaced, {priority.format(r='score', s='0')} AS priority FROM ins)"]
+    for k in range(1, CYCLES + 1):
+        parts.append(f"b{k} AS MATERIALIZED (SELECT * FROM (SELECT {k} AS round, source, doc_id, row_number() OVER (PARTITION BY source ORDER BY priority DESC, surfaced, doc_id)::INT AS rank, priority, surfaced FROM s{k}) WHERE rank <= {SHOWN})")
+        moved = f"SELECT s.doc_id, s.source, score, CASE WHEN b.doc_id IS NULL THEN reward ELSE round({KEPT_SHARE} * reward + {round(1 - KEPT_SHARE, 9)} * score, 6) END AS reward, s.surfaced + (b.doc_id IS NOT NULL)::BIGINT AS surfaced FROM s{k} s LEFT JOIN b{k} b ON b.doc_id = s.doc_id"
+        parts.append(f"s{k + 1} AS MATERIALIZED (SELECT *, {priority.format(r='reward', s='surfaced')} AS priority FROM ({moved}))")
+    return ", ".join(parts)
+
+
+@query(f"WITH {INSIGHTS_SQL}, {_cycles_sql()} " + " UNION ALL ".join(f"SELECT * FROM b{k}" for k in range(1, CYCLES + 1)))
+def curiosity_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rounds of the closed cycle over the insights of all documents."""
+    return cycles(insights(documents(spark, sf_dir)))
+
+
 @query(
     "WITH o AS (SELECT user_id, value, row_number() OVER w AS step, lag(value) OVER w AS before FROM events WHERE value IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"
     " SELECT user_id, step::INT AS step, round(0.01 * 0.5 * (value - before) * (value - before), 8) AS reward FROM o WHERE before IS NOT NULL"

@@ -90,19 +90,31 @@ def overlap_views(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "WITH " + HASHED_SQL.format(id="doc_id", table="documents", width=64) + """,
-b AS (SELECT doc_id, source, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 16 AS batch FROM documents),
-v AS MATERIALIZED (SELECT id, hv.b, c / norm AS w, source, batch FROM hv JOIN b ON doc_id = id),
-s AS (SELECT x.id, y.id AS other, round(sum(x.w * y.w), 6) AS s FROM v x JOIN v y ON x.source = y.source AND x.batch = y.batch AND x.b = y.b GROUP BY ALL)
+r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS r, count(*) OVER (PARTITION BY source) AS total FROM documents),
+b AS (SELECT doc_id, source, r // 16 AS batch, true AS own FROM r UNION ALL SELECT doc_id, source, r // 16 + 1, false FROM r WHERE r = total - 2 AND total % 16 = 1),
+v AS MATERIALIZED (SELECT id, hv.b, c / norm AS w, source, batch, own FROM hv JOIN b ON doc_id = id),
+s AS (SELECT x.id, y.id AS other, round(sum(x.w * y.w), 6) AS s FROM v x JOIN v y ON x.own AND x.source = y.source AND x.batch = y.batch AND x.b = y.b GROUP BY ALL)
 SELECT id AS doc_id, round(1 - max(CASE WHEN id = other THEN exp(s / 0.07) END) / sum(exp(s / 0.07)), 5) AS uncertainty FROM s GROUP BY id"""
 )
 def uncertainty_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How unsure a softmax over a batch of 16 documents of one source is of each document."""
-    docs = documents(spark, sf_dir)
-    batches = numbered(docs.select("doc_id", "source"), ["source"], "doc_id").select("doc_id", "source", F.floor((F.col("rank") - 1) / 16).alias("batch"))
-    v = hashed_vectors(docs, "doc_id").join(batches, "doc_id")
+    return batch_uncertainty(documents(spark, sf_dir))
+
+
+def batch_uncertainty(docs: DataFrame, size: int = 16, temperature: float = 0.07) -> DataFrame:
+    """(doc_id, uncertainty) of documents(doc_id, source, text) with tokens, by batches of size in the order of their ids.
+
+    A last document that would be alone in its batch has the one before it as its other; that one is measured in its own batch alone. A
+    source of one document is sure of it. Ids are unique and not null.
+    """
+    ranks = numbered(docs.select("doc_id", "source"), ["source"], "doc_id")
+    totals = ranks.groupBy("source").agg(F.max("rank").alias("total"))
+    own = ranks.select("doc_id", "source", F.floor((F.col("rank") - 1) / size).alias("batch"), F.lit(True).alias("own"))
+    beside = ranks.join(totals, "source").where((F.col("rank") == F.col("total") - 1) & (F.col("total") % size == 1)).select("doc_id", "source", (F.floor((F.col("rank") - 1) / size) + 1).alias("batch"), F.lit(False).alias("own"))
+    v = hashed_vectors(docs, "doc_id").join(own.unionByName(beside), "doc_id")
     other = v.select("source", "batch", "bucket", F.col("doc_id").alias("other"), F.col("weight").alias("w"))
-    s = v.join(other, ["source", "batch", "bucket"]).groupBy("doc_id", "other").agg(F.round(F.sum(F.col("weight") * F.col("w")), 6).alias("s"))
-    e = F.exp(F.col("s") / 0.07)
+    s = v.where("own").join(other, ["source", "batch", "bucket"]).groupBy("doc_id", "other").agg(F.round(F.sum(F.col("weight") * F.col("w")), 6).alias("s"))
+    e = F.exp(F.col("s") / temperature)
     return s.groupBy("doc_id").agg(F.round(1 - F.max(F.when(F.col("doc_id") == F.col("other"), e)) / F.sum(e), 5).alias("uncertainty"))
 
 
