@@ -53,7 +53,7 @@ def cycles(found: DataFrame, rounds: int = CYCLES, shown: int = SHOWN) -> DataFr
         out = part if out is None else out.unionByName(part)
         if k < rounds:
             marked = state.join(best.select("doc_id", F.lit(1).alias("now")), "doc_id", "left").withColumn("now", F.coalesce("now", F.lit(0)))
-            reward = F.when(F.col("now") == 1, F.round(KEPT_SHARE * F.col("reward") + (1 - KEPT_SHARE) * F.col("score"), 6)).otherwise(F.col("reward"))
+            reward = F.when(F.col("now") == 1, F.round(KEPT_SHARE * F.col("reward") + (1 - KEPT_SHARE) * F.col("score"), 10)).otherwise(F.col("reward"))
             moved = marked.select("doc_id", "source", "score", reward.alias("reward"), (F.col("surfaced") + F.col("now")).alias("surfaced"))
             state = written(moved.withColumn("priority", priority(F.col("reward"), F.col("surfaced"))), "cycle")
     return out
@@ -64,7 +64,7 @@ def _cycles_sql() -> str:
     parts = [f"s1 AS MATERIALIZED (SELECT doc_id, source, score, score AS reward, 0::BIGINT AS surfaced, {priority.format(r='score', s='0')} AS priority FROM ins)"]
     for k in range(1, CYCLES + 1):
         parts.append(f"b{k} AS MATERIALIZED (SELECT * FROM (SELECT {k} AS round, source, doc_id, row_number() OVER (PARTITION BY source ORDER BY priority DESC, surfaced, doc_id)::INT AS rank, priority, surfaced FROM s{k}) WHERE rank <= {SHOWN})")
-        moved = f"SELECT s.doc_id, s.source, score, CASE WHEN b.doc_id IS NULL THEN reward ELSE round({KEPT_SHARE} * reward + {round(1 - KEPT_SHARE, 9)} * score, 6) END AS reward, s.surfaced + (b.doc_id IS NOT NULL)::BIGINT AS surfaced FROM s{k} s LEFT JOIN b{k} b ON b.doc_id = s.doc_id"
+        moved = f"SELECT s.doc_id, s.source, score, CASE WHEN b.doc_id IS NULL THEN reward ELSE round({KEPT_SHARE} * reward + {round(1 - KEPT_SHARE, 9)} * score, 10) END AS reward, s.surfaced + (b.doc_id IS NOT NULL)::BIGINT AS surfaced FROM s{k} s LEFT JOIN b{k} b ON b.doc_id = s.doc_id"
         parts.append(f"s{k + 1} AS MATERIALIZED (SELECT *, {priority.format(r='reward', s='surfaced')} AS priority FROM ({moved}))")
     return ", ".join(parts)
 

@@ -71,7 +71,7 @@ def test_closed_cycle(spark):
             best = sorted((d for d in state if state[d][0] == source), key=lambda d: (-rank[d], state[d][3], d))[:5]
             want += [(n, source, d, k, rank[d], state[d][3]) for k, d in enumerate(best, 1)]
             for d in best:
-                state[d][2] = round(0.8 * state[d][2] + 0.2 * state[d][1], 6)
+                state[d][2] = round(0.8 * state[d][2] + 0.2 * state[d][1], 10)
                 state[d][3] += 1
     got = cycle.cycles(spark.createDataFrame(found, "doc_id long, source string, score double").repartition(3), 4, 5)
     assert Counter(map(tuple, got.collect())) == Counter(want)
