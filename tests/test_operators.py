@@ -142,8 +142,8 @@ def test_control_spans_are_whole(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     found = {(r.doc_id, r.span_ord, r.kind): r.example for r in training.control_spans(spark, str(tmp_path)).collect()}
     assert set(found) == {(1, 0, "evidence"), (1, 2, "evidence"), (None, None, "abstention")}
-    assert found[1, 2, "evidence"] == f"Pergunta:\nExtraia somente a passagem apoiada pela evidência.\nEvidências:\n[E1] {long}\nResposta:\n{long} [E1]"
-    assert found[None, None, "abstention"].endswith("Resposta:\nNÃO ENCONTRADO.")
+    assert found[1, 2, "evidence"] == f"Task: quote what the evidence says.\nEvidence:\n[E1] {long}\nQuotation:\n{long} [E1]"
+    assert found[None, None, "abstention"].endswith("Quotation:\nThe evidence says nothing of it.")
 
 
 def manifest_rows(spark, rows):
