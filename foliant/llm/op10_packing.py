@@ -296,7 +296,7 @@ OUT = pa.schema([*PIECES, ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
 def pack(docs: DataFrame, name: str = TOKENIZER, window: int = WINDOW, end: int = END) -> DataFrame:
-    """One row per piece with its sequence and offset. An empty table gives an empty result; repeated rows are packed each for itself."""
+    """One row per piece with its sequence and offset. An empty table gives an empty result; repeated rows are packed each for itself; null texts are empty, null ids are carried along."""
     spark = docs.sparkSession
     cut = materialise(pieces(docs, name, window, end), "pieces")
     # at most one row per length up to the window, whatever the corpus holds
@@ -326,4 +326,5 @@ def pack(docs: DataFrame, name: str = TOKENIZER, window: int = WINDOW, end: int
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pack() of all documents: nulls are empty texts, a null id is carried along, repeated rows are packed each, an empty table gives no row, texts of any length are cut."""
     return pack(read(spark, sf_dir, "documents"))

@@ -215,5 +215,6 @@ def judge(docs: DataFrame, model: Trees) -> DataFrame:
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """judge() of all documents by a model fitted to the labelled ones; a null or empty text fails the base rules, repeated rows are judged each, an empty table gives none, texts are read whole."""
     docs = read(spark, sf_dir, "documents")
     return judge(docs, fit(docs, read(spark, sf_dir, "labels")))

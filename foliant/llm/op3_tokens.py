@@ -68,7 +68,7 @@ def frequent(pieces: DataFrame, head: int) -> dict[str, int]:
 
 
 def token_counts(docs: DataFrame, name: str = TOKENIZER, limit: int = LIMIT, head: int = HEAD) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit), one row per row of docs; a null text is empty and has no token."""
+    """(doc_id, n_bytes, n_tokens, over_limit), one row per row of docs; a null text is empty and has no token, repeated rows count each, an empty table gives no row."""
     spark = docs.sparkSession
     pieces = materialise(vocabulary(docs, name), "pieces")
     known = spark.sparkContext.broadcast(frequent(pieces, head))
@@ -113,4 +113,5 @@ def token_counts(docs: DataFrame, name: str = TOKENIZER, limit: int = LIMIT, hea
 
 
 def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """token_counts() of all documents: one row per row, repeated ones included; a null text is empty, an empty table gives no row, texts are counted whole."""
     return token_counts(read(spark, sf_dir, "documents"))

@@ -218,4 +218,5 @@ def pseudonymised(docs: DataFrame, key: str, count: str = "n_pii") -> DataFrame:
 
 
 def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pseudonymised() of all documents: one row per row, repeated ones alike; a null text stays null, an empty table stays empty, texts are searched whole."""
     return pseudonymised(read(spark, sf_dir, "documents").select("doc_id", "text"), key_of(spark))

@@ -272,7 +272,8 @@ def repeated(docs: DataFrame, min_words: int = MIN_WORDS, width: int = WIDTH, pe
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The rows of docs with the words of their removed paragraphs taken out of text, each word with the blanks before it.
 
-    Texts without a removed paragraph, and the other columns, stay as they are.
+    Texts without a removed paragraph, and the other columns, stay as they are; so do null and empty texts and an empty table. Rows that repeat an id and a text
+    lose the same words.
     """
     key, gone = fresh(docs, "gone_row"), fresh(docs, "gone")
     marks = repeated(docs, min_words, width, percent).where("removed").groupBy(F.col("row").alias(key)).agg(F.collect_set(F.struct("first_word", "n_words")).alias(gone))

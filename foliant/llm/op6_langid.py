@@ -221,6 +221,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """identify() of all documents by a model fitted to those that are not held out; null and letterless texts are 'und', repeated rows alike, an empty table gives no row, texts are read whole."""
     docs = read(spark, sf_dir, "documents")
     return identify(docs, fit(docs))
 

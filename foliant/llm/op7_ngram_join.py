@@ -37,7 +37,7 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     """(doc_id, n_shingles, component_id, n_links), one row per row of docs.
 
     A document without words, or with a null text, has an empty set and no link; a row with a null doc_id takes no part in links and
-    has a null component. Rows that repeat a doc_id are one document for its component. docs should be read from files, as the
+    has a null component. Rows that repeat a doc_id are one document for its component. An empty table gives no row. docs should be read from files, as the
     stages of the pipeline are; write the result of a shuffle to a table first.
     """
 
@@ -130,6 +130,7 @@ def first_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """linked() of all documents; an empty table gives no row, texts are compared whole."""
     return linked(read(spark, sf_dir, "documents"))
 
 

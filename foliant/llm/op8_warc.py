@@ -229,6 +229,7 @@ def read_archives(files: DataFrame) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as archives and read back: one row per row; a null html is empty, repeated rows have records of their own, an empty table gives no row, payloads are written whole."""
     return read_archives(write_archives(read(spark, sf_dir, "pages")))
 
 

@@ -142,6 +142,7 @@ def sample(docs: DataFrame, temperatures: dict[str, float] = TEMPERATURES, budge
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mixed() of all documents: one row per row, repeated ones with the same fate; nulls are values of their own, an empty table gives no row, texts are counted whole."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     return mixed(docs).select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), "probability", "sampled")
 
