@@ -18,12 +18,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of linked ones; of rows that repeat an id one; rows without an id all."""
+    """One row of each group of linked ones, that of the smallest id; rows are judged each by its own text, those without an id too."""
     return op7_ngram_join.first_of_each(docs)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data in their texts replaced by pseudonyms of the same form."""
+    """All documents, personal data in their texts replaced by pseudonyms of the same form; null texts stay null, repeated rows alike, an empty table empty."""
     count = common.fresh(docs, "n_pii")
     changed = op4_pseudonyms.pseudonymised(docs, op4_pseudonyms.key_of(spark), count)
     size = F.when(F.col(count) > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
@@ -31,12 +31,12 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the raked weights sample."""
+    """The documents that the raked weights sample; nulls are values of their own, repeated rows share their fate, an empty table stays empty."""
     return op9_mixing.sample(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in the sequences."""
+    """The pieces of all documents and their places in the sequences; null texts are empty, repeated rows are packed each, an empty table gives none."""
     return op10_packing.pack(docs)
 
 
