@@ -121,9 +121,10 @@ def first_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -
 
         return chosen
 
-    ids = rows.select(number, "doc_id").mapInArrow(perhaps_linked(True), f"{number} bigint, doc_id bigint").join(linked_rows, F.col(number) == F.col("row"))
+    ids = materialise(rows.select(number, "doc_id").mapInArrow(perhaps_linked(True), f"{number} bigint, doc_id bigint").join(linked_rows, F.col(number) == F.col("row")), "ids")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
-    groups = ids.groupBy("group").agg(F.min_by("row", order).alias("first"))
+    # a table, so that the rows of a large component are split in the join
+    groups = materialise(ids.groupBy("group").agg(F.min_by("row", order).alias("first")), "firsts")
     gone = materialise(ids.join(groups, "group").where("row <> first").select("row"), "gone")
     doubtful = rows.mapInArrow(perhaps_linked(True), rows.schema).join(gone, F.col(number) == F.col("row"), "left_anti")
     return rows.mapInArrow(perhaps_linked(False), rows.schema).unionByName(doubtful).drop(number)
