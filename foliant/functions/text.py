@@ -67,6 +67,12 @@ def bounded(x: Column) -> Column:
     return y / (1 + y)
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """x in units of its last digit, rounded half away from zero there, as DuckDB does it; F.round takes the shortest decimal form of x, which differs at ties such as 41 / 640."""
+    unit = float(10**digits)
+    return F.round(x * unit) / unit
+
+
 def chunk_id(canonical: Column) -> Column:
     return F.concat(F.lit("chk_"), F.substring(F.sha2(canonical, 256), 1, 32))
 

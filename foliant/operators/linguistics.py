@@ -71,7 +71,7 @@ def lexical(docs: DataFrame) -> DataFrame:
     own = docs.select("doc_id", F.regexp_count("text", F.lit(ACRONYM)).cast("bigint").alias("n_acronyms"), F.regexp_count("text", F.lit(TECHNICAL)).cast("bigint").alias("n_technical"))
     some = F.col("n_tokens") > 0
     out = own.join(sums, "doc_id", "left").withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0))).withColumn("n_types", F.coalesce("n_types", F.lit(0)))
-    ratio = lambda x: F.round(F.when(some, x).otherwise(F.lit(0.0)), 6)
+    ratio = lambda x: T.rounded(F.when(some, x).otherwise(F.lit(0.0)), 6)
     yule = 10000.0 * (F.col("squares") - F.col("n_tokens")) / (F.col("n_tokens") * F.col("n_tokens"))
     return out.select(
         "doc_id", "n_tokens", "n_types", "n_acronyms", "n_technical",
@@ -111,16 +111,16 @@ def syntactic(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("mean", mean)
     spread = F.aggregate("l", F.lit(0.0), lambda a, x: a + (x - F.col("mean")) * (x - F.col("mean")))
     some = F.greatest("words", F.lit(1))
-    density = lambda c: F.round(F.when(F.col("n") > 0, c / some).otherwise(F.lit(0.0)), 6)
+    density = lambda c: T.rounded(F.when(F.col("n") > 0, c / some).otherwise(F.lit(0.0)), 6)
     text = F.col("text")
     return rows.select(
-        "doc_id", F.col("n").alias("n_sentences"), F.round("mean", 6).alias("mean_sentence"),
-        F.round(F.when(F.col("n") > 0, F.sqrt(spread / F.col("n"))).otherwise(F.lit(0.0)), 6).alias("std_sentence"),
+        "doc_id", F.col("n").alias("n_sentences"), T.rounded(F.col("mean"), 6).alias("mean_sentence"),
+        T.rounded(F.when(F.col("n") > 0, F.sqrt(spread / F.col("n"))).otherwise(F.lit(0.0)), 6).alias("std_sentence"),
         F.coalesce(F.array_min("l"), F.lit(0)).alias("min_sentence"), F.coalesce(F.array_max("l"), F.lit(0)).alias("max_sentence"),
         density(T.count_of(text, ":")).alias("colons"), density(T.count_of(text, ";")).alias("semicolons"), density(T.count_of(text, ",")).alias("commas"),
         density(T.count_of(text, "-–—")).alias("dashes"), density(T.count_of(text, "()")).alias("parens"), density(T.count_of(text, "?")).alias("questions"),
         density(F.regexp_count(text, F.lit(SYMBOLS))).alias("symbols"),
-        F.round(F.when(F.col("n") > 0, F.regexp_count(text, F.lit(LIST_ITEM)) / F.col("n")).otherwise(F.lit(0.0)), 6).alias("list_items"),
+        T.rounded(F.when(F.col("n") > 0, F.regexp_count(text, F.lit(LIST_ITEM)) / F.col("n")).otherwise(F.lit(0.0)), 6).alias("list_items"),
     )
 
 
@@ -163,7 +163,7 @@ def discourse(docs: DataFrame) -> DataFrame:
     sp = docs.select("doc_id", F.size(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")).cast("bigint").alias("words"), spaced(F.col("text")).alias("sp"))
     rows = sp.select("doc_id", "words", *[phrase_count(F.col("sp"), p).alias(c) for c, p in CONNECTIVES.items()])
     total = sum((F.col(c) for c in CONNECTIVES), F.lit(0).cast("bigint"))
-    return rows.select("doc_id", *CONNECTIVES, total.alias("n_connectives"), F.round(total / F.greatest("words", F.lit(1)), 6).alias("density"), _first_best(list(CONNECTIVES), "neutral_informative").alias("primary_function"))
+    return rows.select("doc_id", *CONNECTIVES, total.alias("n_connectives"), T.rounded(total / F.greatest("words", F.lit(1)), 6).alias("density"), _first_best(list(CONNECTIVES), "neutral_informative").alias("primary_function"))
 
 
 DISCOURSE_SQL = rf"""
@@ -188,8 +188,8 @@ def rhetorical(docs: DataFrame) -> DataFrame:
     best = F.greatest(*ROLES)
     return rows.select(
         "doc_id", _first_best(list(ROLES), "explanation").alias("role"),
-        F.round(F.when(F.col("total") > 0, best / F.col("total")).otherwise(F.lit(0.5)), 6).alias("confidence"),
-        *[F.round(F.when(F.col("total") > 0, F.col(r) / F.col("total")).otherwise(F.lit(0.125)), 6).alias(r) for r in ROLES],
+        T.rounded(F.when(F.col("total") > 0, best / F.col("total")).otherwise(F.lit(0.5)), 6).alias("confidence"),
+        *[T.rounded(F.when(F.col("total") > 0, F.col(r) / F.col("total")).otherwise(F.lit(0.125)), 6).alias(r) for r in ROLES],
     )
 
 
@@ -226,7 +226,7 @@ def style_vectors(docs: DataFrame) -> DataFrame:
     v = rows.select("doc_id", F.array(*[F.expr(f"least(1D, cast({e} AS double))") for e in STYLE]).alias("v"))
     v = v.select("doc_id", F.concat("v", F.array(*[(F.get("v", F.lit(a)) + F.get("v", F.lit(b))) / 2 for a, b in COMPOSITES])).alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    return v.withColumn("norm", norm).select("doc_id", F.when(F.col("norm") > 1e-8, F.transform("v", lambda x: F.round(x / F.col("norm"), 5))).otherwise(F.col("v")).alias("style"))
+    return v.withColumn("norm", norm).select("doc_id", F.when(F.col("norm") > 1e-8, F.transform("v", lambda x: T.rounded(x / F.col("norm"), 5))).otherwise(F.col("v")).alias("style"))
 
 
 STYLE_SQL = (
@@ -247,7 +247,7 @@ def rhetorical_vectors(docs: DataFrame) -> DataFrame:
     flags = [F.when(F.col("role") == r, F.lit(1.0)).otherwise(F.lit(0.0)) for r in ("definition", "comparison", "procedure", "mathematical_formulation")]
     v = rhetorical(docs).select("doc_id", F.array(*map(F.col, ROLES), F.col("confidence"), *flags, F.lit(0.0), F.lit(0.0), F.lit(0.0)).alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    return v.withColumn("norm", norm).select("doc_id", F.transform("v", lambda x: F.round(x / F.col("norm"), 5)).alias("rhetoric"))
+    return v.withColumn("norm", norm).select("doc_id", F.transform("v", lambda x: T.rounded(x / F.col("norm"), 5)).alias("rhetoric"))
 
 
 RHETORIC_VECTOR_SQL = (
@@ -269,7 +269,7 @@ def linguistics_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means of the profiles for each rhetorical role."""
     docs = documents(spark, sf_dir)
     rows = lexical(docs).select("doc_id", "ttr").join(syntactic(docs).select("doc_id", "mean_sentence", "symbols"), "doc_id").join(discourse(docs).select("doc_id", "density"), "doc_id").join(rhetorical(docs).select("doc_id", "role"), "doc_id")
-    mean = lambda c, d: F.round(F.avg(c), d)
+    mean = lambda c, d: T.rounded(F.avg(c), d)
     return rows.groupBy("role").agg(F.count(F.lit(1)).alias("n"), mean("ttr", 4).alias("avg_ttr"), mean("mean_sentence", 2).alias("avg_sentence"), mean("symbols", 4).alias("avg_symbols"), mean("density", 4).alias("avg_connectives"))
 
 

@@ -6,6 +6,7 @@ import re
 from datetime import datetime
 
 import numpy as np
+import oracle
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from foliant.functions import text as T
 from foliant.functions.html import markdown_tables
 from foliant.operators import answers, corpus, language, operations, terms, training, vectors
+from foliant.plans import catalogue
 from foliant.sources.tables import spans
 from foliant.streaming import events as streaming
 
@@ -308,3 +310,12 @@ def test_longer_contexts_tell_more(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     mean = [language.losses(docs, n).where("held_out").agg(F.sum(F.col("loss") * F.col("n_targets")) / F.sum("n_targets")).first()[0] for n in (2, 3)]
     assert mean[1] < mean[0]
+
+
+def test_shares_at_ties_are_those_of_sql(spark, tmp_path):
+    """41 commas in 640 words are 0.0640625, of which no double is the exact half; both engines round it alike."""
+    docs = [(k, " ".join(f"word{i % (7 + k)}" + "," * (i < marks) for i in range(n)) + ".", "en", "s", 0) for k, (n, marks) in enumerate([(640, 41), (640, 39), (320, 7), (1280, 83), (128, 1)])]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    con = oracle.connect(str(tmp_path))
+    for name in ("lexical_profile", "syntactic_profile", "discourse_profile", "rhetorical_role", "style_vector", "rhetorical_vector"):
+        oracle.same(catalogue.QUERIES[name](spark, str(tmp_path)), con, catalogue.SQL[name])
