@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: Fixed values, the patterns of this block. A lexical token: a run of letters and digits of any script, in lower case.
 TOKEN = r"[\p{L}\p{N}]+"
+LONG_TOKEN = r"[\p{L}\p{N}]{3,}"
 #: A token of the lexical profile: Latin letters, digits and underscores.
 PROFILE_TOKEN = r"[a-zA-ZÀ-ÖØ-öø-ÿ0-9_]+"
 #: Sentence ends: a mark and blanks, or line ends.
@@ -22,7 +23,7 @@ def tokens(text: Column) -> Column:
 
 def content_tokens(text: Column) -> Column:
     """Tokens of more than two characters."""
-    return F.filter(tokens(text), lambda t: F.length(t) > 2)
+    return F.regexp_extract_all(F.lower(text), F.lit(LONG_TOKEN), F.lit(0))
 
 
 def query_terms(text: Column) -> Column:

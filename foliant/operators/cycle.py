@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..plans.registry import query
 from ..sources.shared import written
 from ..sources.tables import SPANS_SQL, documents, spans, table
-from .curiosity import INSIGHTS_SQL, PRIORITY_SQL, TAGS_SQL, insights, priorities, tags, hours
+from .curiosity import INSIGHTS_SQL, PRIORITY_SQL, TAGS_SQL, Weighed, insights, priorities, tags, hours
 from .vectors import nearest
 from .terms import BM25_SQL, HASHED_SQL, bm25, dense_vectors, top
 
@@ -26,8 +26,10 @@ GAMMA, LAMBDA = 0.99, 0.95
 def curiosity_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One cycle: every document scored for entropy and surprise, the ten best insights of each source with their tags."""
     docs = documents(spark, sf_dir)
-    best = insights(docs).withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("score"), "doc_id"))).where("rank <= 10")
-    labels = tags(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("t")).select("doc_id", F.array_join(F.col("t.term"), " ").alias("tags"))
+    weighed = Weighed.of(docs)
+    best = written(insights(docs, weighed).withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("score"), "doc_id"))).where("rank <= 10"), "best")
+    shown = tags(docs, weighed=weighed.only(best.select("doc_id")))  # ten documents a source
+    labels = shown.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("t")).select("doc_id", F.array_join(F.col("t.term"), " ").alias("tags"))
     return best.join(labels, "doc_id").select("source", "doc_id", "score", "tags", "rank")
 
 
@@ -193,7 +195,7 @@ def ingest_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {TAGS_SQL} SELECT DISTINCT doc_id FROM tags WHERE term = (SELECT term FROM tags GROUP BY term ORDER BY count(*) DESC, term LIMIT 1)")
 def tag_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that have the most common tag, by exact membership."""
-    rows = tags(documents(spark, sf_dir))
+    rows = written(tags(documents(spark, sf_dir)).select("doc_id", "term"), "tags")
     most = rows.groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(1).select("term")
     return rows.join(F.broadcast(most), "term").select("doc_id").distinct()  # one row
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as T
 from foliant.functions.html import markdown_tables
-from foliant.operators import answers, corpus, language, operations, terms, training, vectors
+from foliant.operators import answers, corpus, curiosity, language, operations, terms, training, vectors
 from foliant.plans import catalogue
 from foliant.sources.tables import spans
 from foliant.streaming import events as streaming
@@ -319,3 +319,15 @@ def test_shares_at_ties_are_those_of_sql(spark, tmp_path):
     con = oracle.connect(str(tmp_path))
     for name in ("lexical_profile", "syntactic_profile", "discourse_profile", "rhetorical_role", "style_vector", "rhetorical_vector"):
         oracle.same(catalogue.QUERIES[name](spark, str(tmp_path)), con, catalogue.SQL[name])
+
+
+def test_counts_stay_in_rows(spark, monkeypatch):
+    """Counts and scores are the same whether terms are sent to every task or joined, rows of one id are one document, and no shuffle holds a row a term."""
+    docs = spark.createDataFrame([(1, "aaa bbb aaa of"), (1, "bbb ccc"), (2, "Aaa, ddd\nddd eee1"), (3, None), (4, ""), (5, "an it"), (None, "aaa zzz")], "doc_id long, text string").repartition(3)
+    want = {(1, "aaa", 2), (1, "bbb", 2), (1, "ccc", 1), (2, "aaa", 1), (2, "ddd", 2), (2, "eee1", 1), (None, "aaa", 1), (None, "zzz", 1)}
+    assert {tuple(r) for r in curiosity.content_counts(docs).collect()} == want
+    joined = [sorted(map(str, f(docs).collect())) for f in (curiosity.scores, curiosity.tags)]
+    monkeypatch.setattr(curiosity, "OFTEN", 2)
+    assert joined == [sorted(map(str, f(docs).collect())) for f in (curiosity.scores, curiosity.tags)] and len(joined[0]) == 3
+    once = docs.where("doc_id > 1")
+    assert "Exchange hashpartitioning" not in curiosity.content_counts(once)._jdf.queryExecution().executedPlan().toString()
