@@ -125,8 +125,9 @@ def first_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
     # a table, so that the rows of a large component are split in the join
     groups = materialise(ids.groupBy("group").agg(F.min_by("row", order).alias("first")), "firsts")
-    gone = materialise(ids.join(groups, "group").where("row <> first").select("row"), "gone")
-    doubtful = rows.mapInArrow(perhaps_linked(True), rows.schema).join(gone, F.col(number) == F.col("row"), "left_anti")
+    # under the number's own name: docs may have any other
+    gone = materialise(ids.join(groups, "group").where("row <> first").select(F.col("row").alias(number)), "gone")
+    doubtful = rows.mapInArrow(perhaps_linked(True), rows.schema).join(gone, number, "left_anti").select(*rows.columns)
     return rows.mapInArrow(perhaps_linked(False), rows.schema).unionByName(doubtful).drop(number)
 
 
