@@ -38,9 +38,9 @@ def _last(gram: str, k: int) -> Column:
     return F.substring_index(gram, " ", -k)
 
 
-def _context(gram: str) -> Column:
-    """A gram without its last token; that of a single token is empty."""
-    return F.regexp_replace(gram, " ?[^ ]+$", "")
+def _context(gram: str, k: int) -> Column:
+    """A gram of k tokens without its last; that of a single token is empty."""
+    return F.substring_index(gram, " ", k - 1)
 
 
 def probabilities(types: DataFrame, order: int, discount: float = DISCOUNT) -> DataFrame:
@@ -56,17 +56,21 @@ def probabilities(types: DataFrame, order: int, discount: float = DISCOUNT) -> D
     rows = None
     whole = F.broadcast(levels[1].agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("types")))  # one row
     for k in range(1, order + 1):
-        # the distinct grams of this length that are asked for
-        asked = types.select(_last("gram", k).alias("gram")).distinct() if k < order else types.select("gram")
-        seen = asked.join(levels[k], "gram", "left")
+        # the distinct grams of this length that are asked for; those of the whole length have their counts beside them
+        if k == order:
+            seen = types.select("gram", F.when(F.col("n") > 0, F.col("n").cast("double")).alias("c"))
+        else:
+            seen = types.select(_last("gram", k).alias("gram")).distinct().join(levels[k], "gram", "left")
         own = F.greatest(F.coalesce("c", F.lit(0.0)) - discount, F.lit(0.0))
         if k == 1:
             rows = seen.crossJoin(whole).select("gram", (own / F.col("total") + discount * F.col("types") / F.col("total") / (F.col("types") + 1)).alias("p"))
         else:
-            contexts = written(levels[k].groupBy(_context("gram").alias("context")).agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("types")), "contexts")
+            contexts = written(levels[k].groupBy(_context("gram", k).alias("context")).agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("types")), "contexts")
             shorter = rows.select(F.col("gram").alias("short"), F.col("p").alias("less"))
-            both = seen.withColumns({"context": _context("gram"), "short": _last("gram", k - 1)}).join(contexts, "context", "left").join(shorter, "short")
-            rows = both.select("gram", F.coalesce((own + discount * F.col("types") * F.col("less")) / F.col("total"), "less").alias("p"))
+            # keys are cut from the gram where they are needed, so that a row carries its gram alone through both shuffles
+            with_total = seen.join(contexts, _context("gram", k) == F.col("context"), "left").select("gram", own.alias("own"), "total", "types")
+            both = with_total.join(shorter, _last("gram", k - 1) == F.col("short"))
+            rows = both.select("gram", F.coalesce((F.col("own") + discount * F.col("types") * F.col("less")) / F.col("total"), "less").alias("p"))
         rows = written(rows, "probabilities")
     return rows
 
