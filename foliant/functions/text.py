@@ -55,7 +55,7 @@ def syntax_sentences(text: Column) -> Column:
 
 def count_of(text: Column, marks: str) -> Column:
     """How many characters of text are among marks."""
-    return F.length(text) - F.length(F.translate(text, marks, ""))
+    return sum(((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(m), F.lit("")))) / len(m.encode()) for m in marks), F.lit(0)).cast("int")
 
 
 def estimated_tokens(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,9 +43,36 @@ def _words_sql(pattern: str) -> str:
     return rf"len(regexp_extract_all(regexp_replace(text, '({other})', '\1\1', 'g'), '(?:^|{other})(?:{inner})(?:$|{other})'))::BIGINT"
 
 
-def spaced(text: Column) -> Column:
-    """The tokens of a text, two spaces between and around them, so that phrases are found whole."""
-    return F.concat(F.lit("  "), F.array_join(T.tokens(text), "  "), F.lit("  "))
+def spaced(text: Column, phrases: Iterable[str]) -> Column:
+    """The tokens of a text that stand in phrases, two spaces between neighbours and around them, so that phrases are found whole; four where others stood between.
+
+    What is left is short, so looking for every phrase reads little.
+    """
+    words = sorted({w for p in phrases for w in p.split()})
+    apart = F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " ")
+    left = F.array_join(F.transform(apart, lambda t: F.when(t.isin(words), t).otherwise("")), "  ")
+    return F.concat(F.lit("  "), F.regexp_replace(left, " {5,}", "    "), F.lit("  "))
+
+
+#: ASCII marks that the profiles count. What is neither one of them nor beyond ASCII is taken out first, so that counting reads what is left alone.
+ASCII_MARKS = r":;,\-()?=+*/^_{}\\<>"
+
+
+def marks(text: Column) -> Column:
+    """The counted marks of a text, and its characters beyond ASCII."""
+    return F.regexp_replace(text, rf"[^{ASCII_MARKS}&&[\x00-\x7F]]+", "")
+
+
+def symbol_count(marks: Column) -> Column:
+    """How many of SYMBOLS stand among marks()."""
+    return T.count_of(marks, r"=+*/^_{}\<>≤≥±∑∏∫√αβγθλμπσωτ-")
+
+
+def sentence_lengths(text: Column) -> Column:
+    """The words of every sentence that has any. A word becomes one letter and an end of a sentence one bar before the text is cut."""
+    ended = F.regexp_replace(text, r"([.!?])\s+", "$1\n\n")
+    bars = F.regexp_replace(F.regexp_replace(F.regexp_replace(ended, r"\S+", "w"), r"\n\n+", "|"), r"\s+", "")
+    return F.filter(F.transform(F.split(bars, r"\|"), lambda s: F.length(s).cast("bigint")), lambda n: n > 0)
 
 
 def _phrase(p: str) -> str:
@@ -52,7 +81,7 @@ def _phrase(p: str) -> str:
 
 def phrase_count(spaced_text: Column, phrases: list[str]) -> Column:
     """How often the phrases stand in a text made by spaced()."""
-    return sum((((F.length(spaced_text) - F.length(F.replace(spaced_text, F.lit(_phrase(p)), F.lit("")))) / len(_phrase(p))).cast("bigint") for p in phrases), F.lit(0).cast("bigint"))
+    return sum((((F.octet_length(spaced_text) - F.octet_length(F.replace(spaced_text, F.lit(_phrase(p)), F.lit("")))) / len(_phrase(p).encode())).cast("bigint") for p in phrases), F.lit(0).cast("bigint"))
 
 
 def _phrase_sql(phrases: list[str]) -> str:
@@ -102,8 +131,8 @@ def lexical_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def syntactic(docs: DataFrame) -> DataFrame:
     """Sentence lengths and densities of marks, row by row."""
-    lengths = F.transform(T.syntax_sentences(F.col("text")), lambda s: F.size(F.split(s, r"\s+")).cast("bigint"))
-    rows = docs.select("doc_id", "text", lengths.alias("l"))
+    items = F.regexp_count(F.concat(F.lit("\n"), "text"), F.lit(LIST_ITEM.replace(r"(?:^|\n)", r"\n")))  # the line end put before is its ^
+    rows = docs.select("doc_id", sentence_lengths(F.col("text")).alias("l"), marks(F.col("text")).alias("text"), items.alias("items"))
     total = F.aggregate("l", F.lit(0).cast("bigint"), lambda a, x: a + x)
     n = F.size("l").cast("bigint")
     rows = rows.withColumn("n", n).withColumn("words", total)
@@ -119,8 +148,8 @@ def syntactic(docs: DataFrame) -> DataFrame:
         F.coalesce(F.array_min("l"), F.lit(0)).alias("min_sentence"), F.coalesce(F.array_max("l"), F.lit(0)).alias("max_sentence"),
         density(T.count_of(text, ":")).alias("colons"), density(T.count_of(text, ";")).alias("semicolons"), density(T.count_of(text, ",")).alias("commas"),
         density(T.count_of(text, "-–—")).alias("dashes"), density(T.count_of(text, "()")).alias("parens"), density(T.count_of(text, "?")).alias("questions"),
-        density(F.regexp_count(text, F.lit(SYMBOLS))).alias("symbols"),
-        T.rounded(F.when(F.col("n") > 0, F.regexp_count(text, F.lit(LIST_ITEM)) / F.col("n")).otherwise(F.lit(0.0)), 6).alias("list_items"),
+        density(symbol_count(text)).alias("symbols"),
+        T.rounded(F.when(F.col("n") > 0, F.col("items") / F.col("n")).otherwise(F.lit(0.0)), 6).alias("list_items"),
     )
 
 
@@ -160,7 +189,7 @@ def _first_best_sql(names: list[str], otherwise: str) -> str:
 
 def discourse(docs: DataFrame) -> DataFrame:
     """Connectives of each category, their density, and the category with most of them."""
-    sp = docs.select("doc_id", F.size(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")).cast("bigint").alias("words"), spaced(F.col("text")).alias("sp"))
+    sp = docs.select("doc_id", F.size(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")).cast("bigint").alias("words"), spaced(F.col("text"), sum(CONNECTIVES.values(), [])).alias("sp"))
     rows = sp.select("doc_id", "words", *[phrase_count(F.col("sp"), p).alias(c) for c, p in CONNECTIVES.items()])
     total = sum((F.col(c) for c in CONNECTIVES), F.lit(0).cast("bigint"))
     return rows.select("doc_id", *CONNECTIVES, total.alias("n_connectives"), T.rounded(total / F.greatest("words", F.lit(1)), 6).alias("density"), _first_best(list(CONNECTIVES), "neutral_informative").alias("primary_function"))
@@ -180,7 +209,7 @@ def discourse_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rhetorical(docs: DataFrame) -> DataFrame:
     """The share of each role's cues, the best role and its share; without a cue an explanation at one half."""
-    rows = docs.select("doc_id", F.regexp_count("text", F.lit(SYMBOLS)).alias("m"), spaced(F.col("text")).alias("sp")).select("doc_id", "m", *[phrase_count(F.col("sp"), p).cast("double").alias(r) for r, p in ROLES.items()])
+    rows = docs.select("doc_id", symbol_count(marks(F.col("text"))).alias("m"), spaced(F.col("text"), sum(ROLES.values(), [])).alias("sp")).select("doc_id", "m", *[phrase_count(F.col("sp"), p).cast("double").alias(r) for r, p in ROLES.items()])
     boost = F.when(F.col("m") > 3, 1.5 + F.col("m") * 0.1).otherwise(F.lit(0.0))
     rows = rows.withColumn("mathematical_formulation", F.col("mathematical_formulation") + boost)
     total = sum((F.col(r) for r in ROLES), F.lit(0.0))
