@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values, the patterns of this block. A lexical token: a run of letters and digits of any script, in lower case.
@@ -21,6 +21,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+def each(rows: DataFrame, keys: list[str], values: Column, name: str) -> DataFrame:
+    """(keys..., name): a row for every value of an array that holds no null. An inner explode would make the array twice, the first time for a filter on its size."""
+    return rows.select(*keys, F.explode_outer(values).alias(name)).where(F.col(name).isNotNull())
+
+
 def content_tokens(text: Column) -> Column:
     """Tokens of more than two characters."""
     return F.regexp_extract_all(F.lower(text), F.lit(LONG_TOKEN), F.lit(0))

@@ -60,7 +60,7 @@ ASCII_MARKS = r":;,\-()?=+*/^_{}\\<>"
 
 def marks(text: Column) -> Column:
     """The counted marks of a text, and its characters beyond ASCII."""
-    return F.regexp_replace(text, rf"[^{ASCII_MARKS}&&[\x00-\x7F]]+", "")
+    return F.regexp_replace(text, rf"[[^{ASCII_MARKS}]&&[\x00-\x7F]]+", "")
 
 
 def symbol_count(marks: Column) -> Column:
@@ -93,7 +93,7 @@ SPACED_SQL = r"'  ' || array_to_string(regexp_extract_all(lower(text), '[\p{L}\p
 
 def lexical(docs: DataFrame) -> DataFrame:
     """Richness of each document's vocabulary: two levels of sums, the first on (document, term)."""
-    term = docs.select("doc_id", F.explode(T.profile_tokens(F.col("text"))).alias("t"))
+    term = T.each(docs, ["doc_id"], T.profile_tokens(F.col("text")), "t")
     counts = term.groupBy("doc_id", F.lower("t").alias("term")).agg(F.count(F.lit(1)).alias("c"), F.sum(F.length("t")).alias("chars"))
     n, types = F.sum("c"), F.count(F.lit(1))
     sums = counts.groupBy("doc_id").agg(n.alias("n_tokens"), types.alias("n_types"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.sum((F.col("c") == 1).cast("bigint")).alias("hapax"), F.sum("chars").alias("chars"))

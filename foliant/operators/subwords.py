@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
+from ..functions import text as T
 from ..plans.registry import query
 from ..sources.shared import discard, stored, written
 from ..sources.tables import documents
@@ -60,7 +61,7 @@ def marked(token: Column) -> Column:
 
 def word_types(docs: DataFrame) -> DataFrame:
     """(word, freq): every distinct pre-token of the corpus, markers left out, with its count."""
-    words = docs.select(F.explode(pretokens(F.col("text"))).alias("word")).where(~marked(F.col("word")))
+    words = T.each(docs, [], pretokens(F.col("text")), "word").where(~marked(F.col("word")))
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
 
 

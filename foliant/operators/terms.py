@@ -23,7 +23,7 @@ st AS MATERIALIZED (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(dl
 
 def postings(docs: DataFrame) -> DataFrame:
     """(doc_id, term, tf): how often a document holds a term; counted before the shuffle."""
-    return docs.select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return T.each(docs, ["doc_id"], T.tokens(F.col("text")), "term").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def lengths(docs: DataFrame) -> DataFrame:
@@ -140,7 +140,7 @@ def hashed_vectors(rows: DataFrame, key: str, width: int = WIDTH) -> DataFrame:
 
     Tokens are hashed where they are read, and counted by bucket before the only shuffle.
     """
-    tokens = rows.select(key, F.explode(T.tokens(F.col("text"))).alias("token"))
+    tokens = T.each(rows, [key], T.tokens(F.col("text")), "token")
     counts = tokens.groupBy(key, T.hashed_bucket(F.col("token"), width).alias("bucket")).agg(F.count(F.lit(1)).alias("c"))
     norm = F.sqrt(F.sum(F.col("c") * F.col("c")).over(Window.partitionBy(key)))
     return counts.select(key, "bucket", (F.col("c") / norm).alias("weight"))

@@ -33,3 +33,51 @@ def test_phrases_keep_their_neighbours(spark):
     assert [r.n for r in told] == [n for _, n in found]
     long = texts(spark, ["word " * 1000 + "is a"]).select(sp.alias("sp")).first().sp
     assert len(long) < 20
+
+
+def test_bigrams_that_share_a_number_are_told_apart(spark):
+    from foliant.operators import training
+
+    docs = texts(spark, ["a b a b c", "b c a", "c", ""])
+    seeds = []
+
+    def keys(a, b, seed):
+        seeds.append(seed)
+        return F.lit(7).cast("bigint") if seed == 0 else training.bigram_keys(a, b, seed)
+
+    told = {(r.doc_id, r.loss, r.n_targets) for r in training.bigram_loss(docs, keys).collect()}
+    assert told == {(r.doc_id, r.loss, r.n_targets) for r in training.bigram_loss(docs).collect()} and set(seeds) == {0, 1}
+    # ab 2, bc 2, ba 1, ca 1; a 2, b 3, c 1; three second tokens
+    import math
+
+    cost = {"ab": 2.5 / 3.5, "bc": 2.5 / 4.5, "ba": 1.5 / 4.5, "ca": 1.5 / 2.5}
+    assert told == {(d, round(sum(-math.log(cost[p]) for p in ps) / len(ps), 6), len(ps)) for d, ps in ((0, ["ab", "ba", "ab", "bc"]), (1, ["bc", "ca"]))}
+
+
+def test_a_window_row_carries_its_piece_alone(spark):
+    from foliant.operators import corpus
+
+    df = corpus.windows(spark.createDataFrame([(1, 0, " ".join(map(str, range(500))))], "doc_id long, segment int, text string"), 220, 40, 3)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    exploded = next(line for line in plan.splitlines() if "Generate posexplode" in line)
+    assert "words" not in exploded.split("posexplode")[0] and [(r.window, r.start, r.n_words) for r in df.orderBy("window").collect()] == [(0, 0, 220), (1, 180, 220), (2, 360, 140)]
+    below = plan[plan.index("Generate posexplode") :].splitlines()[1]
+    assert below.strip(" +-:").startswith("Project") and "words#" not in below.split("transform(")[0]
+
+
+def test_pages_go_to_python_a_hundred_at_a_time(spark):
+    from foliant.operators import cycle
+
+    df = cycle.page_texts(spark.createDataFrame([(1, "<p>a&amp;b</p><script>x()</script> <b>c</b>"), (2, None)], "page_id long, html string"))
+    assert {tuple(r) for r in df.collect()} == {(1, "a&b c"), (2, "")}
+    assert "BatchEvalPython" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_overlap_is_counted_by_more_tasks_in_a_larger_table(spark, monkeypatch):
+    from foliant.operators import curiosity
+
+    whole = {tuple(r) for r in curiosity.overlap_search(spark, "/root/testdata/sf0.001").collect()}
+    monkeypatch.setattr(curiosity, "AT_ONCE", 20)
+    df = curiosity.overlap_search(spark, "/root/testdata/sf0.001")
+    assert "hashpartitioning(doc_id" in (plan := df._jdf.queryExecution().executedPlan().toString()) and ", 10), REPARTITION_BY_NUM" in plan
+    assert {tuple(r) for r in df.collect()} == whole
