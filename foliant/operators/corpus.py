@@ -79,12 +79,17 @@ def windows(segments: DataFrame, target: int = TARGET, overlap: int = OVERLAP, m
     n, k = F.size("words"), F.size("starts")
     short = (k > 1) & (n - F.element_at("starts", -1) < minimum)
     rows = rows.withColumn("joined", short).withColumn("starts", F.when(F.col("joined"), F.slice("starts", 1, F.greatest(k - 1, F.lit(0)))).otherwise(F.col("starts")))
-    each = rows.select("doc_id", "segment", *keep, "words", "joined", n.alias("n"), F.size("starts").alias("k"), F.posexplode("starts").alias("window", "start"))
-    # the joined tail repeats the words of the overlap, as two whole windows put together do
-    last = (F.col("window") == F.col("k") - 1) & F.col("joined")
-    own = F.slice("words", F.col("start") + 1, target)
-    tail = F.slice("words", F.col("start") + 1 + target - overlap, F.lit(target))
-    return each.withColumn("piece", F.when(last, F.concat(own, tail)).otherwise(own)).select("doc_id", "segment", *keep, "window", "start", F.size("piece").alias("n_words"), F.array_join("piece", " ").alias("text"))
+    def piece(start: Column, window: Column) -> Column:
+        # the joined tail repeats the words of the overlap, as two whole windows put together do
+        last = (window == F.size("starts") - 1) & F.col("joined")
+        own = F.slice("words", start + 1, target)
+        tail = F.slice("words", start + 1 + target - overlap, F.lit(target))
+        words = F.when(last, F.concat(own, tail)).otherwise(own)
+        return F.struct(start.alias("start"), F.size(words).alias("n_words"), F.array_join(words, " ").alias("text"))
+
+    # pieces are cut in their segment's row, so that no window carries all of its words; an inner explode would make them once more, in a filter on their number
+    each = rows.select("doc_id", "segment", *keep, F.transform("starts", piece).alias("pieces"))
+    return each.select("doc_id", "segment", *keep, F.posexplode_outer("pieces").alias("window", "p")).where("p IS NOT NULL").select("doc_id", "segment", *keep, "window", "p.start", "p.n_words", "p.text")
 
 
 def _windows_sql(target: int, overlap: int, minimum: int) -> str:

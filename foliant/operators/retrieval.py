@@ -83,7 +83,8 @@ SELECT doc_id, "window", start, len(piece)::INT AS n_words, len(list_distinct(re
 )
 def indexed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts indexed without their lines: windows of 220 words that share 40, their distinct terms and digests."""
-    whole = documents(spark, sf_dir).select("doc_id", F.lit(0).alias("segment"), T.squeeze(F.col("text")).alias("text")).where("text <> ''")
+    some = documents(spark, sf_dir).where(F.col("text").rlike(r"\S"))  # not the squeezed text, which the filter would make once more
+    whole = some.select("doc_id", F.lit(0).alias("segment"), T.squeeze(F.col("text")).alias("text"))
     terms = F.size(F.array_distinct(T.tokens(F.col("text"))))
     return windows(whole, 220, 40, 3).select("doc_id", "window", "start", "n_words", terms.alias("n_terms"), F.md5("text").alias("digest"))
 
