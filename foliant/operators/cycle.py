@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -237,13 +234,13 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_texts(pages: DataFrame) -> DataFrame:
     """(page_id, text): the visible text of pages, scripts and styles left out, blanks squeezed."""
 
-    def parsed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def visible(html: str | None) -> str:
         from ..functions.html import visible_text
 
-        for f in frames:
-            yield pd.DataFrame({"page_id": f["page_id"], "text": [visible_text(h or "") for h in f["html"]]})
+        return visible_text(html or "")
 
-    return pages.select("page_id", "html").mapInPandas(parsed, "page_id bigint, text string")
+    # by pickled rows, a hundred at a time: Arrow's batches hold up to 10,000 pages, of whatever size
+    return pages.select("page_id", F.udf(visible, "string", useArrow=False)("html").alias("text"))
 
 
 @query()
