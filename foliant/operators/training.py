@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..plans.registry import query
+from ..sources.shared import discard, stored, written
 from ..sources.tables import SPANS_SQL, documents, spans, table
 from .ranks import numbered, running
 from .terms import HASHED_SQL, TOKENS_SQL, hashed_vectors
@@ -127,16 +128,43 @@ FROM g JOIN c USING (a, b) JOIN u USING (a) GROUP BY doc_id"""
 )
 def ngram_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean negative log-likelihood of each document under the corpus's own smoothed bigrams, in place of a neural model's."""
-    t = T.tokens(F.col("text"))
-    rows = documents(spark, sf_dir).select("doc_id", t.alias("l")).where("size(l) > 1")
-    pairs = F.transform(F.slice("l", 1, F.size("l") - 1), lambda x, i: F.struct(x.alias("a"), F.get("l", i + 1).alias("b")))
-    g = rows.select("doc_id", F.explode(pairs).alias("p")).select("doc_id", "p.a", "p.b")
-    c = g.groupBy("a", "b").agg(F.count(F.lit(1)).alias("pair"))
+    return bigram_loss(documents(spark, sf_dir))
+
+
+def number(seed: int, *of: Column) -> Column:
+    """A number for tokens or pairs, in place of their strings."""
+    return F.xxhash64(*of, F.lit(seed))
+
+
+def _unshared(rows: Callable[[int], DataFrame]) -> tuple[int, DataFrame]:
+    """The first seed under which no two of rows(seed), which has a key, share one; and the table of them."""
+    seed = 0
+    while True:
+        made = rows(seed)
+        named = [F.max(c).alias(c) for c in made.columns if c != "key"]
+        found, path = stored(made.groupBy("key").agg(F.count(F.lit(1)).alias("same"), *named), "numbers")
+        if not found.where("same > 1").limit(1).count():
+            return seed, found.drop("same")
+        discard(path)
+        seed += 1
+
+
+def bigram_loss(docs: DataFrame, numbers: Callable[..., Column] = number) -> DataFrame:
+    """(doc_id, loss, n_targets). Tokens and pairs go through the shuffles as numbers; those of a seed are taken only when no two tokens, or pairs, of the corpus share one."""
+    tokens = T.tokens(F.col("text"))
+    types = written(T.each(docs, [], F.array_distinct(tokens), "t").distinct(), "tokens")
+    own, _ = _unshared(lambda seed: types.select(numbers(seed, F.col("t")).alias("key")))
+    rows = docs.select("doc_id", F.transform(tokens, lambda t: numbers(own, t)).alias("l"))
+    beside = lambda make: F.transform(F.slice("l", 1, F.greatest(F.size("l") - 1, F.lit(0))), lambda x, i: make(x, F.get("l", i + 1)))
+    pairs = T.each(rows, [], beside(lambda a, b: F.struct(a.alias("a"), b.alias("b"))), "p").select("p.a", "p.b")
+    c = written(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("pair")), "bigrams")
     u = c.groupBy("a").agg(F.sum("pair").alias("first"))
     v = F.broadcast(c.agg(F.countDistinct("b").alias("v")))  # one row
     p = (F.col("pair") + 0.5) / (F.col("first") + 0.5 * F.col("v"))
-    joined = g.join(c.join(u, "a"), ["a", "b"]).crossJoin(v)
-    return joined.groupBy("doc_id").agg(F.round(F.sum(-F.log(p)) / F.count(F.lit(1)), 6).alias("loss"), F.count(F.lit(1)).alias("n_targets"))
+    costs = c.join(u, "a").crossJoin(v).select("a", "b", (-F.log(p)).alias("cost"))
+    seed, known = _unshared(lambda seed: costs.select(numbers(seed, F.col("a"), F.col("b")).alias("key"), "cost"))
+    g = T.each(rows, ["doc_id"], beside(lambda a, b: numbers(seed, a, b)), "key")
+    return g.join(known, "key").groupBy("doc_id").agg(F.round(F.sum("cost") / F.count(F.lit(1)), 6).alias("loss"), F.count(F.lit(1)).alias("n_targets"))
 
 
 @query(

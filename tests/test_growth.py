@@ -41,9 +41,9 @@ def test_bigrams_that_share_a_number_are_told_apart(spark):
     docs = texts(spark, ["a b a b c", "b c a", "c", ""])
     seeds = []
 
-    def keys(a, b, seed):
+    def keys(seed, *of):
         seeds.append(seed)
-        return F.lit(7).cast("bigint") if seed == 0 else training.bigram_keys(a, b, seed)
+        return F.lit(7).cast("bigint") if seed == 0 else training.number(seed, *of)
 
     told = {(r.doc_id, r.loss, r.n_targets) for r in training.bigram_loss(docs, keys).collect()}
     assert told == {(r.doc_id, r.loss, r.n_targets) for r in training.bigram_loss(docs).collect()} and set(seeds) == {0, 1}
@@ -81,3 +81,19 @@ def test_overlap_is_counted_by_more_tasks_in_a_larger_table(spark, monkeypatch):
     df = curiosity.overlap_search(spark, "/root/testdata/sf0.001")
     assert "hashpartitioning(doc_id" in (plan := df._jdf.queryExecution().executedPlan().toString()) and ", 10), REPARTITION_BY_NUM" in plan
     assert {tuple(r) for r in df.collect()} == whole
+
+
+def test_nearest_in_parts_is_the_whole_search(monkeypatch):
+    import numpy as np
+
+    from foliant.operators import vectors
+
+    monkeypatch.setattr(vectors, "PART", 64)
+    rng = np.random.default_rng(3)
+    v = np.abs(rng.normal(size=(700, 20))) * (rng.random((700, 20)) < 0.4)
+    v /= np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-9)
+    v[100:180], v[300], v[5] = v[7], v[7] * (1 - 4e-7), 0  # copies, a likeness that rounds to theirs, a zero vector
+    ids, asked = rng.permutation(700).astype(np.int64), np.arange(40, dtype=np.int64)
+    score = v[:40] @ v.T
+    want = vectors.best_of(np.where(score > 0, np.round(score, 6), -np.inf), asked, ids, 6)
+    assert vectors._best(v[:40], v, 6, asked, ids).to_pylist() == want.to_pylist()
