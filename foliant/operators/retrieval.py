@@ -112,7 +112,6 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score
 def profile_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five documents most like each query document (ids divisible by 20) by content, style and rhetoric, itself left out."""
     docs = documents(spark, sf_dir)
-    asked = docs.where(F.col("doc_id") % QUERY_EVERY == 0)
-    queries = profile_vectors(asked).select(*[F.col(c).alias(c) for c in ("vec_id", "embedding")])
-    found = nearest(queries, profile_vectors(docs), 6, (asked, docs)).where("query_id <> vec_id").select("query_id", F.col("vec_id").alias("doc_id"), "score")
+    vectors = written(profile_vectors(docs), "profiles")  # made once, for queries and rows
+    found = nearest(vectors.where(F.col("vec_id") % QUERY_EVERY == 0).select(*[F.col(c).alias(c) for c in ("vec_id", "embedding")]), vectors, 6).where("query_id <> vec_id").select("query_id", F.col("vec_id").alias("doc_id"), "score")
     return top(found, "score", 5, "query_id")

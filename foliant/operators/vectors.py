@@ -17,6 +17,8 @@ from ..sources.tables import table
 QUERY_EVERY = 20
 #: Queries and rows of a block: a pair of blocks is a table of 512 x 8192 scores, 32 MB.
 QUERY_BLOCK, BLOCK = 512, 8192
+#: Queries and rows of a block of nearest(), whose scores are never one table: 512 x 4096 at a time. Larger blocks are copied to fewer others.
+NEAR_BLOCK, PART = 16_384, 4096
 #: The weights of content, style and rhetoric in a multi-vector search.
 WEIGHTS = (0.7, 0.2, 0.1)
 KINDS = {pa.int64(): "bigint", pa.float64(): "double", pa.string(): "string"}
@@ -43,14 +45,14 @@ def best_of(score: np.ndarray, asked: np.ndarray, ids: np.ndarray, k: int, ties_
     return pa.table([pa.array(np.concatenate([o[c] for o in out])) for c in range(3)], schema=FOUND)
 
 
-def in_blocks(queries: DataFrame, rows: DataFrame, best, of: tuple[DataFrame, DataFrame] | None = None, found: pa.Schema = FOUND) -> DataFrame:
+def in_blocks(queries: DataFrame, rows: DataFrame, best, of: tuple[DataFrame, DataFrame] | None = None, found: pa.Schema = FOUND, sizes: tuple[int, int] = (QUERY_BLOCK, BLOCK)) -> DataFrame:
     """best(block of queries, block of rows) for every pair of blocks; both have vec_id. Queries are a stated set, so rows are copied few times.
 
     of: the tables that queries and rows are made of, one vector a row at most; they are counted instead, without making the vectors. found is what best returns.
     """
     counted = of or (queries, rows)
-    n_v = max(1, -(-counted[1].count() // BLOCK))
-    n_q = max(1, -(-counted[0].count() // QUERY_BLOCK))
+    n_v = max(1, -(-counted[1].count() // sizes[1]))
+    n_q = max(1, -(-counted[0].count() // sizes[0]))
     block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     left = queries.withColumn("q", block(n_q)).withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))))
     right = rows.withColumn("v", block(n_v)).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
@@ -61,11 +63,63 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, of: tuple[DataFrame, Da
     """(query_id, vec_id, score, rank): the k rows of the largest dot product with each query, above zero, rounded to six places; of as in in_blocks."""
 
     def best(a: pa.Table, b: pa.Table) -> pa.Table:
-        score = _matrix(a) @ _matrix(b).T
-        return best_of(np.where(score > 0, np.round(score, 6), -np.inf), a["vec_id"].to_numpy(), b["vec_id"].to_numpy(), k)
+        q, v, asked, ids = _matrix(a), _matrix(b), a["vec_id"].to_numpy(), b["vec_id"].to_numpy()
+        parts = [_best(q[lo : lo + QUERY_BLOCK], v, k, asked[lo : lo + QUERY_BLOCK], ids) for lo in range(0, len(q), QUERY_BLOCK)]
+        return pa.concat_tables(parts)
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return in_blocks(queries, rows, best, of).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return in_blocks(queries, rows, best, of, sizes=(NEAR_BLOCK, NEAR_BLOCK)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _chosen(score: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.flatnonzero(score >= least[:, None])
+    return np.divmod(at, score.shape[1])
+
+
+def _best(q: np.ndarray, v: np.ndarray, k: int, asked: np.ndarray, ids: np.ndarray) -> pa.Table:
+    """The k best of every query, scores above zero rounded to six places, ties by id.
+
+    Products in single precision choose the rows that can be among them, with room for their error; these alone are multiplied in double precision.
+    """
+    q4, v4 = q.astype(np.float32), v.astype(np.float32)
+    size = np.sqrt((q * q).sum(1)) * np.sqrt(max((v * v).sum(1).max(), 0.0))
+    slack = (2e-6 + 2.0**-22 * q.shape[1] * size).astype(np.float32)  # of rounding to six places, and of sums in single precision
+    floor = np.full(len(q), -1.0, np.float32) * slack  # what is not above zero is never taken
+    best = np.full((len(q), k), -np.inf, np.float32)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for lo in range(0, len(v), PART):
+        score = q4 @ v4[lo : lo + PART].T
+        i, j = _chosen(score, np.maximum(best[:, 0] - slack, floor) if lo else np.maximum(_kth(score[:, :1024], k) - slack, floor))
+        if not len(i):
+            continue
+        found.append((i, j + lo))
+        # the k best of every query so far: of what was chosen alone
+        s = score[i, j]
+        order = np.lexsort((-s, i))
+        i, s = i[order], s[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        top = place < k
+        new = np.full((len(q), k), -np.inf, np.float32)
+        new[i[top], place[top]] = s[top]
+        best = np.partition(np.concatenate([best, new], 1), k, axis=1)[:, k:]
+        best.sort(1)
+    if not found:
+        return FOUND.empty_table()
+    i, j = (np.concatenate([f[c] for f in found]) for c in range(2))
+    exact = np.empty(len(i))
+    for lo in range(0, len(i), 65_536):
+        exact[lo : lo + 65_536] = np.einsum("ij,ij->i", q[i[lo : lo + 65_536]], v[j[lo : lo + 65_536]])
+    # scores above zero alone, as they are before rounding
+    i, j, exact = i[exact > 0], j[exact > 0], np.round(exact[exact > 0], 6)
+    order = np.lexsort((ids[j], -exact, i))
+    i, j, exact = i[order], j[order], exact[order]
+    top = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return pa.table([pa.array(asked[i[top]]), pa.array(ids[j[top]]), pa.array(exact[top])], schema=FOUND)
+
+
+def _kth(score: np.ndarray, k: int) -> np.ndarray:
+    """The k-th best of every row of a table of scores."""
+    return np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(score), -np.inf, np.float32)
 
 
 def search(vectors: DataFrame, k: int, least: float | None = None, other_label: bool = False, parts: tuple[tuple[float, int], ...] = ((1.0, 0),), ties_up: bool = True) -> DataFrame:
