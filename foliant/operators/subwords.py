@@ -42,8 +42,8 @@ RUNS = 30_000
 #: Tokens of a training row.
 ROW = 512
 LEVELS = (16, 64, 256, 1024, 4096, 16_384, 65_536)
-#: Word types that a task handles at a time.
-HELD = 200_000
+#: Symbols of word types that a task handles at a time, but for a batch that alone has more; each takes about 150 bytes while runs are told.
+HELD = 250_000
 #: Pre-tokens of documents that are encoded at a time.
 AT_ONCE = 200_000
 
@@ -127,13 +127,15 @@ def lists(flat: np.ndarray, size: np.ndarray) -> pa.ListArray:
 
 
 def held(batches: Iterator[pa.RecordBatch]) -> Iterator[Types]:
-    """The word types of a task, about HELD at a time."""
+    """The word types of a task, about HELD symbols at a time, however many it has."""
     kept: list[pa.RecordBatch] = []
+    size = 0
     for b in batches:
         kept.append(b)
-        if sum(x.num_rows for x in kept) >= HELD:
+        size += len(b.column("symbols").flatten())
+        if size >= HELD:
             yield types_of(kept)
-            kept = []
+            kept, size = [], 0
     if sum(x.num_rows for x in kept):
         yield types_of(kept)
 

@@ -97,3 +97,14 @@ def test_nearest_in_parts_is_the_whole_search(monkeypatch):
     score = v[:40] @ v.T
     want = vectors.best_of(np.where(score > 0, np.round(score, 6), -np.inf), asked, ids, 6)
     assert vectors._best(v[:40], v, 6, asked, ids).to_pylist() == want.to_pylist()
+
+
+def test_word_types_are_held_by_their_symbols(monkeypatch):
+    import pyarrow as pa
+
+    from foliant.operators import subwords
+
+    monkeypatch.setattr(subwords, "HELD", 100)
+    batch = pa.RecordBatch.from_arrays([pa.array([[1] * 20, [2] * 10], pa.list_(pa.int32())), pa.array([3, 4], pa.int64())], names=["symbols", "freq"])
+    found = [(len(t.symbols), len(t.sizes)) for t in subwords.held(iter([batch] * 5))]
+    assert found == [(120, 8), (30, 2)]
