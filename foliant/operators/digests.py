@@ -30,14 +30,15 @@ def _ordered(of: str, name: str) -> Column:
     return F.sha2(F.array_join(lines, "\n"), 256)
 
 
-def document_digests(records: DataFrame, key: str, ordinal: str, digest: str) -> DataFrame:
-    """(key, digest, n): every document of records(key, ordinal, digest), where digest stands for a record's content.
+def document_digests(records: DataFrame, key: str, ordinal: str, digest: str, *sums: str) -> DataFrame:
+    """(key, digest, n, sums...): every document of records(key, ordinal, digest), where digest stands for a record's content; sums are columns that are added up.
 
     Records of one place stand by their digests. A null digest is left out of its line, a null key gives no document.
     """
-    rows = records.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(ordinal).alias("ordinal"), F.coalesce(digest, F.lit("")).alias("digest"))
-    parts = rows.groupBy("key", F.floor(F.col("ordinal") / RANGE).alias("part")).agg(_ordered("ordinal", "digest").alias("digest"), F.count(F.lit(1)).alias("n"))
-    return parts.groupBy("key").agg(_ordered("part", "digest").alias("digest"), F.sum("n").alias("n")).select(F.col("key").alias(key), "digest", "n")
+    rows = records.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(ordinal).alias("ordinal"), F.coalesce(digest, F.lit("")).alias("digest"), *sums)
+    total = [F.sum(c).alias(c) for c in sums]
+    parts = rows.groupBy("key", F.floor(F.col("ordinal") / RANGE).alias("part")).agg(_ordered("ordinal", "digest").alias("digest"), F.count(F.lit(1)).alias("n"), *total)
+    return parts.groupBy("key").agg(_ordered("part", "digest").alias("digest"), F.sum("n").alias("n"), *total).select(F.col("key").alias(key), "digest", "n", *sums)
 
 
 def nodes(digests: DataFrame, key: str, levels: tuple[int, ...] = LEVELS) -> dict[int, DataFrame]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
-from ..sources.shared import fresh_path
+from ..sources.shared import discard, fresh_path
 from ..sources.store import DIGITS, Corpus, chunk_identity
 from ..sources.tables import SPANS_SQL, documents, spans, table
 from .digests import RANGE
@@ -52,8 +52,11 @@ def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus.put(span_chunks(low.withColumn("text", F.replace("text", F.lit("\n"), F.lit(" ")))))
     toxic = labels.where("toxic = 1").select(F.col("doc_id").cast("string").alias("document_id")).distinct()
     corpus.remove(toxic.join(corpus.documents(), "document_id", "left_semi"))
-    rows = []
-    for number in range(1, corpus.head() + 1):
+    rows, numbers = [], list(range(1, corpus.head() + 1))
+    seen = corpus.seen(numbers)
+    for number in numbers:
         entry = corpus.entry(number)
-        rows.append((number, entry["action"], *(entry["aggregate"][k] for k in ("documents", "chunks", "words")), entry["digest"], corpus.faults(number).count()))
+        rows.append((number, entry["action"], *(entry["aggregate"][k] for k in ("documents", "chunks", "words")), entry["digest"], corpus.faults(number, seen).count()))
+    for path in seen[2]:
+        discard(path)
     return spark.createDataFrame(rows, "generation int, action string, documents bigint, chunks bigint, words bigint, digest string, n_faults bigint")

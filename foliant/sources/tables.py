@@ -28,7 +28,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spans(docs: DataFrame) -> DataFrame:
     """(doc_id, span_ord, text, is_heading): each non-blank line of a document is a span; a line of at most eight words without a final mark is a heading."""
     line = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("span_ord", "line"))
-    text = F.trim(F.regexp_replace("line", r"\s+", " "))
+    # a single space stays as it is
+    text = F.trim(F.regexp_replace("line", r" \s+|[\t\n\x0B\f\r]\s*", " "))
     short = F.size(F.split("text", " ")) <= 8
     return line.select("doc_id", "span_ord", text.alias("text")).where("text <> ''").withColumn("is_heading", short & ~F.col("text").rlike(r"[.!?]$"))
 

@@ -108,3 +108,48 @@ def test_word_types_are_held_by_their_symbols(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array([[1] * 20, [2] * 10], pa.list_(pa.int32())), pa.array([3, 4], pa.int64())], names=["symbols", "freq"])
     found = [(len(t.symbols), len(t.sizes)) for t in subwords.held(iter([batch] * 5))]
     assert found == [(120, 8), (30, 2)]
+
+
+def test_a_change_writes_what_it_changes(spark, monkeypatch, tmp_path):
+    """A put writes its documents, a removal none; a bucket changed CHANGES times is written whole, and every generation stays readable."""
+    from foliant.sources import store
+
+    monkeypatch.setattr(store, "CHANGES", 2)
+    monkeypatch.setattr(store, "DIGITS", 1)
+    ids = [str(k) for k in range(60)]
+    same = next(d for d in ids[1:] if store.hashlib.sha256(d.encode()).hexdigest()[0] == store.hashlib.sha256(b"0").hexdigest()[0])  # of one bucket with 0
+
+    def of(told):
+        df = spark.createDataFrame([(d, k, "", f"{t} {d} {k}") for d, t in told for k in range(2)], "document_id string, ordinal int, section string, text string")
+        return df.withColumn("chunk_id", store.chunk_identity())
+
+    def size():
+        return spark.read.text(str(tmp_path / "data/*/chunks/bucket=*")).count()
+
+    corpus, now, was = store.Corpus(spark, str(tmp_path)), dict.fromkeys(ids, "a"), []
+    corpus.replace(of(now.items()))
+    held = size()
+    for step in ("put", "remove", "put"):
+        was.append(dict(now))
+        if step == "put":
+            now["0"] = f"b{len(was)}"
+            corpus.put(of([("0", now["0"])]))
+        else:
+            del now[same]
+            corpus.remove(spark.createDataFrame([(same,)], "document_id string"))
+        if len(was) < 3:
+            assert size() == held + 2
+    assert size() > held + 4 and not any("changes" in b for b in corpus.entry()["buckets"].values())
+    seen = corpus.seen([1, 2, 3, 4])
+    for number, want in enumerate([*was, now], 1):
+        assert corpus.faults(number, seen).count() == 0 and corpus.entry(number)["aggregate"]["documents"] == len(want)
+        assert {(r.document_id, r.text.split()[0]) for r in corpus._content(corpus.entry(number)["buckets"]).collect()} == set(want.items())
+
+
+def test_spans_of_odd_blanks(spark):
+    from foliant.sources import tables
+
+    lines = ["a b", " a  b ", "a\t b\x0b\x0cc", "\ra \r b\r", "\t", "  ", "a \x0b", "x\xa0 y", "", "a   b c\t\td"]
+    told = tables.spans(texts(spark, ["\n".join(lines)])).orderBy("span_ord").collect()
+    want = [(k, re.sub(r"[ \t\n\x0b\f\r]+", " ", t).strip(" ")) for k, t in enumerate(lines)]
+    assert [(r.span_ord, r.text) for r in told] == [w for w in want if w[1]]
