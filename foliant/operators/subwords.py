@@ -15,6 +15,7 @@ import heapq
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,12 +47,15 @@ LEVELS = (16, 64, 256, 1024, 4096, 16_384, 65_536)
 HELD = 250_000
 #: Pre-tokens of documents that are encoded at a time.
 AT_ONCE = 200_000
+#: Distinct pre-tokens whose ids a task keeps from one lot to the next.
+KEPT = 200_000
 
 
 def pretokens(text: Column) -> Column:
     """Citation markers, runs of letters, runs of digits and single marks, in lower case; a marker keeps its E."""
     found = F.regexp_extract_all(text, F.lit(PRETOKEN), F.lit(0))
-    return F.transform(found, lambda t: F.when(marked(t), F.upper(t)).otherwise(F.lower(t)))
+    # most texts have no marker, whose tokens need not be looked at one by one
+    return F.when(text.rlike(r"\[[eE][0-9]+\]"), F.transform(found, lambda t: F.when(marked(t), F.upper(t)).otherwise(F.lower(t)))).otherwise(F.transform(found, F.lower))
 
 
 def marked(token: Column) -> Column:
@@ -126,6 +130,11 @@ def lists(flat: np.ndarray, size: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(flat, pa.int32()))
 
 
+def joined(flat: pa.StringArray, size: np.ndarray) -> pa.StringArray:
+    """Strings put together, so many of them to each text."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), flat), "")
+
+
 def held(batches: Iterator[pa.RecordBatch]) -> Iterator[Types]:
     """The word types of a task, about HELD symbols at a time, however many it has."""
     kept: list[pa.RecordBatch] = []
@@ -404,6 +413,10 @@ class Encoder:
     def __init__(self, tokens: list[str], merges: list[tuple[str, str, int]]) -> None:
         self.ids = {t: k for k, t in enumerate(tokens)}
         self.size = len(tokens)
+        self.of = np.full(0x110000, UNKNOWN, np.int32)  # the id of every character
+        for t, k in self.ids.items():
+            if len(t) == 1:
+                self.of[ord(t)] = k
         rank: dict[int, tuple[int, int]] = {}
         for k, (a, b, _) in enumerate(merges):
             rank[self.ids[a] * self.size + self.ids[b]] = (k, self.ids[a + b])  # a pair that is learned twice counts by its last rank
@@ -411,10 +424,12 @@ class Encoder:
         self.ranks = np.array([rank[k][0] for k in self.keys.tolist()], np.int64)
         self.made = np.array([rank[k][1] for k in self.keys.tolist()], np.int64)
 
-    def encode(self, words: list[str]) -> list[list[int]]:
-        parts = [[*w, END] for w in words]
-        at = np.array([self.ids.get(s, UNKNOWN) for p in parts for s in p], np.int64)
-        word = np.repeat(np.arange(len(words)), [len(p) for p in parts])
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after the other, and how many each has."""
+        long = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        at = self.of[np.frombuffer("\0".join([*words, ""]).encode("utf-32-le"), "<u4")].astype(np.int64)
+        at[np.cumsum(long) - 1] = self.ids.get(END, UNKNOWN)
+        word = np.repeat(np.arange(len(words)), long)
         open_ = np.ones(len(words), bool)
         never = len(self.keys)
         while len(at) > 1 and never and open_.any():
@@ -434,19 +449,27 @@ class Encoder:
             at[:-1][take] = self.made[found][take]
             keep = np.concatenate([[True], ~take])
             at, word = at[keep], word[keep]
-        ends = np.searchsorted(word, np.arange(1, len(words)))
-        return [p.tolist() for p in np.split(at, ends)] if words else []
-
-    def encode_all(self, words: list[str]) -> list[list[int]]:
-        """encode() of many pre-tokens, a few at a time so that one long word does not hold up the others; markers in their fixed pieces."""
-        out: dict[str, list[int]] = {}
-        plain = sorted((w for w in words if not re.match(MARKER, w)), key=len)
-        for k in range(0, len(plain), 20_000):
-            out |= zip(plain[k : k + 20_000], self.encode(plain[k : k + 20_000]))
-        for w in words:
-            if w not in out:
-                out[w] = [self.ids[p] for p in ("[E", *w[2:-1], "]")]
-        return [out[w] for w in words]
+        return at.astype(np.int32), np.bincount(word, minlength=len(words))
+
+    def encode_all(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start, size): encode() of many pre-tokens, a few at a time so that one long word does not hold up the others, and where the ids of each lie; markers in their fixed pieces."""
+        start, size, upto = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), 0
+        marks = [k for k, w in enumerate(words) if w[:1] == "[" and re.match(MARKER, w)]
+        apart = set(marks)
+        plain = sorted((k for k in range(len(words)) if k not in apart), key=lambda k: len(words[k]))
+        out = []
+        for lo in range(0, len(plain), 20_000):
+            own = plain[lo : lo + 20_000]
+            ids, n = self.encode([words[k] for k in own])
+            start[own], size[own] = upto + np.cumsum(n) - n, n
+            upto += len(ids)
+            out.append(ids)
+        for k in marks:
+            ids = [self.ids[p] for p in ("[E", *words[k][2:-1], "]")]
+            start[k], size[k] = upto, len(ids)
+            upto += len(ids)
+            out.append(np.array(ids, np.int32))
+        return np.concatenate([np.zeros(0, np.int32), *out]), start, size
 
 
 def encoded(types: DataFrame, tokens: list[str], merges: list[tuple[str, str, int]]) -> DataFrame:
@@ -456,7 +479,8 @@ def encoded(types: DataFrame, tokens: list[str], merges: list[tuple[str, str, in
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(*model.value)
         for b in batches:
-            yield b.append_column("ids", pa.array(encoder.encode_all(b.column("word").to_pylist()), pa.list_(pa.int32())))
+            ids, start, size = encoder.encode_all(b.column("word").to_pylist())
+            yield b.append_column("ids", lists(ids[spread(start, size)], size))
 
     return types.mapInArrow(cut, StructType([*types.schema.fields, StructField("ids", ArrayType(IntegerType()))]))
 
@@ -473,27 +497,39 @@ def decoded(ids: DataFrame, tokens: DataFrame, key: str) -> DataFrame:
 def encoded_documents(docs: DataFrame, tokens: list[str], merges: list[tuple[str, str, int]]) -> DataFrame:
     """(doc_id, ids, text, intact): the ids of whole texts, what is read back from the ids alone, and whether that is the text's pre-tokens.
 
-    A task encodes the distinct pre-tokens of a few texts once, about AT_ONCE pre-tokens at a time. A marker is its beginning, its digits and its
-    end. Pre-tokens are joined by spaces, but for a marker, which has none behind it. A null text has no ids.
+    A task encodes a distinct pre-token once, of KEPT at most, and puts the ids of a few texts together, about AT_ONCE pre-tokens at a time. A marker
+    is its beginning, its digits and its end. Pre-tokens are joined by spaces, but for a marker, which has none behind it. A null text has no ids.
     """
     model = docs.sparkSession.sparkContext.broadcast((tokens, merges))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(*model.value)
-        table = ["" if k < SPECIAL else t.replace(END, " ") for k, t in enumerate(model.value[0])]
+        table = pa.array(["" if k < SPECIAL else t.replace(END, " ") for k, t in enumerate(model.value[0])], pa.string())
+        known: dict[str, int] = {}
+        held_ids, start, many = (np.zeros(0, t) for t in (np.int32, np.int64, np.int64))
         for b in batches:
             upto = np.concatenate([[0], np.cumsum(pc.list_value_length(b.column("words")).to_numpy())])
             lo = 0
             while lo < b.num_rows:
                 hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + AT_ONCE, "right")) - 1)
                 part = b.slice(lo, hi - lo)
-                texts = part.column("words").to_pylist()
-                types = list({w for t in texts for w in t})
-                ids = dict(zip(types, encoder.encode_all(types)))
-                rows = [[i for w in t for i in ids[w]] for t in texts]
-                back = ["".join([table[i] for i in r]).strip(" ") for r in rows]
-                said = ["".join([w if len(w) > 1 and w[0] == "[" else w + " " for w in t]).rstrip(" ") for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows, pa.list_(pa.int32())), pa.array(back, pa.string()), pa.array([x == y for x, y in zip(back, said)], pa.bool_())], names=["doc_id", "ids", "text", "intact"])
+                words = part.column("words").flatten().dictionary_encode()
+                types, which = words.dictionary.to_pylist(), words.indices.to_numpy()
+                new = [t for t in types if t not in known]
+                if len(known) + len(new) > KEPT:
+                    known, new = {}, types
+                    held_ids, start, many = held_ids[:0], start[:0], many[:0]
+                ids, begin, n = encoder.encode_all(new)
+                known |= zip(new, range(len(known), len(known) + len(new)))
+                held_ids, start, many = (np.concatenate(x) for x in ((held_ids, ids), (start, begin + len(held_ids)), (many, n)))
+                own = np.fromiter((known[t] for t in types), np.int64, len(types))[which]
+                ids = held_ids[spread(start[own], many[own])]
+                ends = upto[lo : hi + 1] - upto[lo]
+                size = np.diff(np.concatenate([[0], np.cumsum(many[own])])[ends])
+                back = pc.utf8_trim(joined(table.take(pa.array(ids)), size), " ")
+                spoken = pa.array([t if len(t) > 1 and t[0] == "[" else t + " " for t in types], pa.string())
+                said = pc.utf8_rtrim(joined(spoken.take(words.indices), np.diff(ends)), " ")
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists(ids, size), back, pc.equal(back, said)], names=["doc_id", "ids", "text", "intact"])
                 lo = hi
 
     words = docs.select("doc_id", F.coalesce(pretokens(F.col("text")), F.expr("cast(array() AS array<string>)")).alias("words"))
@@ -545,4 +581,4 @@ def bpe_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = F.concat(F.slice("ids", 1, ROW), F.array_repeat(F.lit(0), F.greatest(F.lit(ROW) - n, F.lit(0))))
     bucket = F.least(F.lit(ROW), F.greatest(F.lit(16), F.pow(F.lit(2), F.ceil(F.log2(F.greatest(n, F.lit(1))))))).cast("int")
     rows = encoded_documents(documents(spark, sf_dir), tokens, merges)
-    return rows.select("doc_id", n.alias("n_tokens"), F.size(F.filter("ids", lambda i: i == UNKNOWN)).alias("n_unknown"), F.md5(F.array_join(row, " ")).alias("row_digest"), (n > ROW).alias("cut"), bucket.alias("bucket"), "intact")
+    return rows.select("doc_id", n.alias("n_tokens"), (n - F.size(F.array_remove("ids", UNKNOWN))).alias("n_unknown"), F.md5(F.array_join(row, " ")).alias("row_digest"), (n > ROW).alias("cut"), bucket.alias("bucket"), "intact")

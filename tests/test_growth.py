@@ -153,3 +153,37 @@ def test_spans_of_odd_blanks(spark):
     told = tables.spans(texts(spark, ["\n".join(lines)])).orderBy("span_ord").collect()
     want = [(k, re.sub(r"[ \t\n\x0b\f\r]+", " ", t).strip(" ")) for k, t in enumerate(lines)]
     assert [(r.span_ord, r.text) for r in told] == [w for w in want if w[1]]
+
+
+def test_a_task_encodes_a_pretoken_once(spark, monkeypatch):
+    """Lots of one text each: a pre-token of an earlier lot is not encoded again, and the rows are those without anything kept."""
+    import pyarrow as pa
+
+    from foliant.operators import subwords
+
+    tokens = [*subwords.BASE, subwords.END, "a", "b", "é"]
+    merges = [("a", "b", 3), ("ab", subwords.END, 2)]
+    tokens += ["ab", "ab" + subwords.END]
+    docs = [["ab", "[E12]", "a"], [], ["ab", "é漢", "a", "a"], ["ab"] * 5, ["[", "ab"]]
+    asked, kept = [], subwords.Encoder.encode_all
+
+    class Docs:  # the frame and its session, for the function of a task alone
+        sparkSession = sparkContext = property(lambda self: self)
+        broadcast = staticmethod(lambda x: type("B", (), {"value": x}))
+        select = lambda self, *_: self
+        mapInArrow = lambda self, f, _: f
+
+    monkeypatch.setattr(subwords.Encoder, "encode_all", lambda self, words: (asked.extend(words), kept(self, words))[1])
+    monkeypatch.setattr(subwords, "AT_ONCE", 1)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(docs)), pa.int64()), pa.array(docs, pa.list_(pa.string()))], names=["doc_id", "words"])
+
+    def run():
+        return [r for b in subwords.encoded_documents(Docs(), tokens, merges)(iter([batch])) for r in b.to_pylist()]
+
+    first = run()
+    assert sorted(asked) == sorted({w for t in docs for w in t})
+    i = tokens.index
+    assert [r["ids"] for r in first] == [[i("ab</w>"), 5, 8, 9, 6, i("a"), i("</w>")], [], [i("ab</w>"), i("é"), 1, i("</w>"), *[i("a"), i("</w>")] * 2], [i("ab</w>")] * 5, [1, i("</w>"), i("ab</w>")]]
+    assert [(r["text"], r["intact"]) for r in first] == [("ab [E12]a", True), ("", True), ("ab é a a", False), ("ab ab ab ab ab", True), ("ab", False)]
+    monkeypatch.setattr(subwords, "KEPT", 0)
+    assert run() == first
