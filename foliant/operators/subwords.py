@@ -55,7 +55,7 @@ def pretokens(text: Column) -> Column:
     """Citation markers, runs of letters, runs of digits and single marks, in lower case; a marker keeps its E."""
     found = F.regexp_extract_all(text, F.lit(PRETOKEN), F.lit(0))
     # most texts have no marker, whose tokens need not be looked at one by one
-    return F.when(text.rlike(r"\[[eE][0-9]+\]"), F.transform(found, lambda t: F.when(marked(t), F.upper(t)).otherwise(F.lower(t)))).otherwise(F.transform(found, F.lower))
+    return F.when(F.rlike(text, F.lit(r"\[[eE][0-9]+\]")), F.transform(found, lambda t: F.when(marked(t), F.upper(t)).otherwise(F.lower(t)))).otherwise(F.transform(found, F.lower))
 
 
 def marked(token: Column) -> Column:
