@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -91,7 +92,7 @@ def _aggregate(buckets: dict[str, dict]) -> dict[str, int]:
 class Files:
     """Small files beside the data, by Hadoop's public file system interface: the one way to all stores that Spark reads, and to a create that fails if the file is there.
 
-    That create is exclusive on local disks and HDFS; on an object store it is as exclusive as its connector makes it.
+    On local disks a link takes the place of that create, which is exclusive on HDFS; on an object store it is as exclusive as its connector makes it.
     """
 
     def __init__(self, spark: SparkSession) -> None:
@@ -106,6 +107,19 @@ class Files:
         from py4j.protocol import Py4JJavaError
 
         fs, target = self._at(path)
+        if fs.getUri().getScheme() == "file":  # Hadoop looks there first and creates then; a link does both at once
+            fs.mkdirs(target.getParent())
+            place = fs.makeQualified(target).toUri().getPath()
+            draft = f"{place}.{uuid.uuid4().hex}"
+            with open(draft, "x", encoding="utf-8") as out:
+                out.write(text)
+            try:
+                os.link(draft, place)
+            except FileExistsError:
+                return False
+            finally:
+                os.remove(draft)
+            return True
         try:
             out = fs.create(target, False)
         except Py4JJavaError as e:

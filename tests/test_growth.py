@@ -187,3 +187,15 @@ def test_a_task_encodes_a_pretoken_once(spark, monkeypatch):
     assert [(r["text"], r["intact"]) for r in first] == [("ab [E12]a", True), ("", True), ("ab é a a", False), ("ab ab ab ab ab", True), ("ab", False)]
     monkeypatch.setattr(subwords, "KEPT", 0)
     assert run() == first
+
+
+def test_of_many_creators_one_wins(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from foliant.sources import store
+
+    files = store.Files(spark)
+    with ThreadPoolExecutor(8) as pool:
+        for k in range(40):
+            assert sum(pool.map(lambda n: files.create(str(tmp_path / f"log/{k}.json"), str(n)), range(8))) == 1
+    assert files.names(str(tmp_path / "log")) == sorted(f"{k}.json" for k in range(40))
