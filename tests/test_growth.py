@@ -199,3 +199,36 @@ def test_of_many_creators_one_wins(spark, tmp_path):
         for k in range(40):
             assert sum(pool.map(lambda n: files.create(str(tmp_path / f"log/{k}.json"), str(n)), range(8))) == 1
     assert files.names(str(tmp_path / "log")) == sorted(f"{k}.json" for k in range(40))
+
+
+def test_positions_are_shuffled_once_in_blocks(spark, monkeypatch):
+    """Frequent words dealt over buckets of their own, words without a number and lots of a few tokens give the same losses; no row is a token's."""
+    from test_operators import plain_losses
+
+    from foliant.operators import language, packed
+
+    docs = [(k, " ".join("abcdef"[(k * i * i + i) % 6] for i in range(k % 13))) for k in range(40)] + [(3, "Éa_b a"), (None, "a b"), (50, None), (60, "x 12 ٣ a")]
+    monkeypatch.setattr(language, "MOST", 6)
+    monkeypatch.setattr(language, "LEAST", 6)
+    monkeypatch.setattr(packed, "NUMBERED", 4)
+    monkeypatch.setattr(packed, "LOT", 4)
+    for digits, order, some in ((15, 1, docs), (15, 2, docs), (15, 3, docs), (1, 4, docs[:30])):
+        monkeypatch.setattr(packed, "DIGITS", digits)  # of one digit alone, so that words share a hash under most seeds
+        found = language.losses(spark.createDataFrame(some, "doc_id long, text string").repartition(3), order)
+        told, want = {r.doc_id: (r.loss, r.n_targets) for r in found.collect()}, plain_losses(some, order)
+        assert told.keys() == want.keys() and all(abs(told[d][0] - want[d][0]) < 2e-5 and told[d][1] == want[d][1] for d in want)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "FlatMapGroupsInArrow" in plan
+
+
+def test_tokens_of_all_texts_at_once():
+    import pyarrow as pa
+
+    from foliant.operators import packed
+
+    found = ["aé_b", None, "", "漢字 x", "zz", "𝒳y-😀1", "é", " ", "a\n٣²b"]
+    for told in (found, found[2:]):
+        t, sizes = packed.tokens(pa.array(["-", *told])[1:])
+        want = [re.findall(r"[^\W_]+", x or "") for x in told]
+        assert t.to_pylist() == sum(want, []) and sizes.tolist() == [len(w) for w in want]
+    assert packed.tokens(pa.array([None, ""], pa.string()))[0].to_pylist() == []
