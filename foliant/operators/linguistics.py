@@ -98,12 +98,16 @@ def lexical(docs: DataFrame) -> DataFrame:
     n, types = F.sum("c"), F.count(F.lit(1))
     sums = counts.groupBy("doc_id").agg(n.alias("n_tokens"), types.alias("n_types"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.sum((F.col("c") == 1).cast("bigint")).alias("hapax"), F.sum("chars").alias("chars"))
     own = docs.select("doc_id", F.regexp_count("text", F.lit(ACRONYM)).cast("bigint").alias("n_acronyms"), F.regexp_count("text", F.lit(TECHNICAL)).cast("bigint").alias("n_technical"))
+    return richness(own.join(sums, "doc_id", "left").withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0))).withColumn("n_types", F.coalesce("n_types", F.lit(0))), ["doc_id"])
+
+
+def richness(out: DataFrame, keys: list[str]) -> DataFrame:
+    """The lexical profile of what has been counted."""
     some = F.col("n_tokens") > 0
-    out = own.join(sums, "doc_id", "left").withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0))).withColumn("n_types", F.coalesce("n_types", F.lit(0)))
     ratio = lambda x: T.rounded(F.when(some, x).otherwise(F.lit(0.0)), 6)
     yule = 10000.0 * (F.col("squares") - F.col("n_tokens")) / (F.col("n_tokens") * F.col("n_tokens"))
     return out.select(
-        "doc_id", "n_tokens", "n_types", "n_acronyms", "n_technical",
+        *keys, "n_tokens", "n_types", "n_acronyms", "n_technical",
         ratio(F.col("n_types") / F.col("n_tokens")).alias("ttr"),
         ratio(F.col("n_types") / F.sqrt("n_tokens")).alias("root_ttr"),
         ratio(F.when(F.col("n_tokens") > 1, F.greatest(yule, F.lit(0.0))).otherwise(F.lit(0.0))).alias("yule_k"),
@@ -129,10 +133,10 @@ def lexical_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical(documents(spark, sf_dir))
 
 
-def syntactic(docs: DataFrame) -> DataFrame:
-    """Sentence lengths and densities of marks, row by row."""
+def syntactic(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Sentence lengths and densities of marks, row by row; keys are kept."""
     items = F.regexp_count(F.concat(F.lit("\n"), "text"), F.lit(LIST_ITEM.replace(r"(?:^|\n)", r"\n")))  # the line end put before is its ^
-    rows = docs.select("doc_id", sentence_lengths(F.col("text")).alias("l"), marks(F.col("text")).alias("text"), items.alias("items"))
+    rows = docs.select(*keys, sentence_lengths(F.col("text")).alias("l"), marks(F.col("text")).alias("marks"), items.alias("items"))
     total = F.aggregate("l", F.lit(0).cast("bigint"), lambda a, x: a + x)
     n = F.size("l").cast("bigint")
     rows = rows.withColumn("n", n).withColumn("words", total)
@@ -141,9 +145,9 @@ def syntactic(docs: DataFrame) -> DataFrame:
     spread = F.aggregate("l", F.lit(0.0), lambda a, x: a + (x - F.col("mean")) * (x - F.col("mean")))
     some = F.greatest("words", F.lit(1))
     density = lambda c: T.rounded(F.when(F.col("n") > 0, c / some).otherwise(F.lit(0.0)), 6)
-    text = F.col("text")
+    text = F.col("marks")
     return rows.select(
-        "doc_id", F.col("n").alias("n_sentences"), T.rounded(F.col("mean"), 6).alias("mean_sentence"),
+        *keys, F.col("n").alias("n_sentences"), T.rounded(F.col("mean"), 6).alias("mean_sentence"),
         T.rounded(F.when(F.col("n") > 0, F.sqrt(spread / F.col("n"))).otherwise(F.lit(0.0)), 6).alias("std_sentence"),
         F.coalesce(F.array_min("l"), F.lit(0)).alias("min_sentence"), F.coalesce(F.array_max("l"), F.lit(0)).alias("max_sentence"),
         density(T.count_of(text, ":")).alias("colons"), density(T.count_of(text, ";")).alias("semicolons"), density(T.count_of(text, ",")).alias("commas"),
@@ -190,9 +194,13 @@ def _first_best_sql(names: list[str], otherwise: str) -> str:
 def discourse(docs: DataFrame) -> DataFrame:
     """Connectives of each category, their density, and the category with most of them."""
     sp = docs.select("doc_id", F.size(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")).cast("bigint").alias("words"), spaced(F.col("text"), sum(CONNECTIVES.values(), [])).alias("sp"))
-    rows = sp.select("doc_id", "words", *[phrase_count(F.col("sp"), p).alias(c) for c, p in CONNECTIVES.items()])
+    return connected(sp.select("doc_id", "words", *[phrase_count(F.col("sp"), p).alias(c) for c, p in CONNECTIVES.items()]), ["doc_id"])
+
+
+def connected(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The discourse profile of what has been counted."""
     total = sum((F.col(c) for c in CONNECTIVES), F.lit(0).cast("bigint"))
-    return rows.select("doc_id", *CONNECTIVES, total.alias("n_connectives"), T.rounded(total / F.greatest("words", F.lit(1)), 6).alias("density"), _first_best(list(CONNECTIVES), "neutral_informative").alias("primary_function"))
+    return rows.select(*keys, *CONNECTIVES, total.alias("n_connectives"), T.rounded(total / F.greatest("words", F.lit(1)), 6).alias("density"), _first_best(list(CONNECTIVES), "neutral_informative").alias("primary_function"))
 
 
 DISCOURSE_SQL = rf"""
@@ -210,13 +218,18 @@ def discourse_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rhetorical(docs: DataFrame) -> DataFrame:
     """The share of each role's cues, the best role and its share; without a cue an explanation at one half."""
     rows = docs.select("doc_id", symbol_count(marks(F.col("text"))).alias("m"), spaced(F.col("text"), sum(ROLES.values(), [])).alias("sp")).select("doc_id", "m", *[phrase_count(F.col("sp"), p).cast("double").alias(r) for r, p in ROLES.items()])
+    return shares(rows, ["doc_id"])
+
+
+def shares(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rhetorical profile of what has been counted."""
     boost = F.when(F.col("m") > 3, 1.5 + F.col("m") * 0.1).otherwise(F.lit(0.0))
     rows = rows.withColumn("mathematical_formulation", F.col("mathematical_formulation") + boost)
     total = sum((F.col(r) for r in ROLES), F.lit(0.0))
     rows = rows.withColumn("total", total)
     best = F.greatest(*ROLES)
     return rows.select(
-        "doc_id", _first_best(list(ROLES), "explanation").alias("role"),
+        *keys, _first_best(list(ROLES), "explanation").alias("role"),
         T.rounded(F.when(F.col("total") > 0, best / F.col("total")).otherwise(F.lit(0.5)), 6).alias("confidence"),
         *[T.rounded(F.when(F.col("total") > 0, F.col(r) / F.col("total")).otherwise(F.lit(0.125)), 6).alias(r) for r in ROLES],
     )
@@ -251,11 +264,15 @@ def _in_units(vector: str) -> Column:
 
 def style_vectors(docs: DataFrame) -> DataFrame:
     """(doc_id, style): 32 clamped features, L2-normalised."""
-    rows = lexical(docs).join(syntactic(docs), "doc_id").join(discourse(docs), "doc_id")
-    v = rows.select("doc_id", F.array(*[F.expr(f"least(1D, cast({e} AS double))") for e in STYLE]).alias("v"))
-    v = v.select("doc_id", F.concat("v", F.array(*[(F.get("v", F.lit(a)) + F.get("v", F.lit(b))) / 2 for a, b in COMPOSITES])).alias("v"))
+    return styled(lexical(docs).join(syntactic(docs), "doc_id").join(discourse(docs), "doc_id"), ["doc_id"])
+
+
+def styled(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The style vectors of lexical, syntactic and discourse profiles."""
+    v = rows.select(*keys, F.array(*[F.expr(f"least(1D, cast({e} AS double))") for e in STYLE]).alias("v"))
+    v = v.select(*keys, F.concat("v", F.array(*[(F.get("v", F.lit(a)) + F.get("v", F.lit(b))) / 2 for a, b in COMPOSITES])).alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    return v.withColumn("norm", norm).select("doc_id", F.when(F.col("norm") > 1e-8, F.transform("v", lambda x: T.rounded(x / F.col("norm"), 5))).otherwise(F.col("v")).alias("style"))
+    return v.withColumn("norm", norm).select(*keys, F.when(F.col("norm") > 1e-8, F.transform("v", lambda x: T.rounded(x / F.col("norm"), 5))).otherwise(F.col("v")).alias("style"))
 
 
 STYLE_SQL = (
@@ -273,10 +290,15 @@ def style_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rhetorical_vectors(docs: DataFrame) -> DataFrame:
     """(doc_id, rhetoric): eight role shares, the confidence, four indicators and three zeros, L2-normalised."""
+    return directed(rhetorical(docs), ["doc_id"])
+
+
+def directed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rhetoric vectors of rhetorical profiles."""
     flags = [F.when(F.col("role") == r, F.lit(1.0)).otherwise(F.lit(0.0)) for r in ("definition", "comparison", "procedure", "mathematical_formulation")]
-    v = rhetorical(docs).select("doc_id", F.array(*map(F.col, ROLES), F.col("confidence"), *flags, F.lit(0.0), F.lit(0.0), F.lit(0.0)).alias("v"))
+    v = rows.select(*keys, F.array(*map(F.col, ROLES), F.col("confidence"), *flags, F.lit(0.0), F.lit(0.0), F.lit(0.0)).alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    return v.withColumn("norm", norm).select("doc_id", F.transform("v", lambda x: T.rounded(x / F.col("norm"), 5)).alias("rhetoric"))
+    return v.withColumn("norm", norm).select(*keys, F.transform("v", lambda x: T.rounded(x / F.col("norm"), 5)).alias("rhetoric"))
 
 
 RHETORIC_VECTOR_SQL = (

@@ -39,21 +39,38 @@ def _letters() -> np.ndarray:
     return np.array([chr(c).isalnum() for c in range(0x110000)])
 
 
-def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """The runs of letters and numbers of all texts, and how many each text has; found among the bytes of all texts at once."""
+def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts, four more after them, and where texts begin and end."""
     texts = texts.fill_null("").cast(pa.string())
     ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-    data = np.concatenate([np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]], np.zeros(4, np.uint8)])
-    ends -= ends[0]
-    letters = _letters()
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    return np.concatenate([data, np.zeros(4, np.uint8)]), ends - ends[0]
+
+
+def _among(data: np.ndarray, letters: np.ndarray, whole: bool) -> np.ndarray:
+    """Which bytes are of characters among letters, a table of code points; the first byte of each alone if not whole."""
     word = np.concatenate([letters[:128], np.zeros(128, bool)])[data]
     lead = np.flatnonzero(data >= 0xC0)
     a, b, c, d = (data[lead + k].astype(np.int32) for k in range(4))
     size = 2 + (a >= 0xE0) + (a >= 0xF0)
     b, c, d = b & 63, c & 63, d & 63
     found = letters[np.choose(size - 2, [(a & 31) << 6 | b, (a & 15) << 12 | b << 6 | c, (a & 7) << 18 | b << 12 | c << 6 | d])]
-    for k in range(4):
+    for k in range(4 if whole else 1):
         word[lead[found & (size > k)] + k] = True
+    return word
+
+
+def characters(texts: pa.Array, letters: np.ndarray) -> np.ndarray:
+    """How many characters of each text are among letters."""
+    data, ends = _bytes(texts)
+    return np.diff(np.searchsorted(np.flatnonzero(_among(data, letters, False)), ends))
+
+
+def tokens(texts: pa.Array, letters: np.ndarray | None = None) -> tuple[pa.Array, np.ndarray]:
+    """The runs of letters (those of _letters()) of all texts, and how many each text has; found among the bytes of all texts at once."""
+    data, ends = _bytes(texts)
+    word = _among(data, _letters() if letters is None else letters, True)
+    word[len(data) - 4 :] = False
     cut = np.zeros(len(data), bool)
     cut[ends] = True
     first, last = word.copy(), word.copy()

@@ -11,10 +11,11 @@ from ..functions import text as T
 from ..plans.registry import query
 from ..sources.shared import written
 from ..sources.tables import documents, table
+from . import profiles
 from .corpus import _windows_sql, windows
-from .linguistics import RHETORIC_VECTOR_SQL, STYLE_SQL, rhetorical_vectors, style_vectors
+from .linguistics import RHETORIC_VECTOR_SQL, STYLE_SQL
 from .terms import BM25_SQL, DENSE, HASHED_SQL, LEXICAL, RRF, WIDTH, bm25, dense_vectors, top
-from .vectors import QUERY_EVERY, WEIGHTS, nearest
+from .vectors import WEIGHTS, nearest
 
 #: Results of a question, and hits that the dense list holds.
 KEPT, DEPTH = 5, 25
@@ -89,19 +90,6 @@ def indexed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows(whole, 220, 40, 3).select("doc_id", "window", "start", "n_words", terms.alias("n_terms"), F.md5("text").alias("digest"))
 
 
-def profile_vectors(docs: DataFrame, weights: tuple[float, float, float] = WEIGHTS) -> DataFrame:
-    """(vec_id, embedding): content, style and rhetoric side by side, each times the root of its weight, so that one product adds up all three. What a document lacks is zero."""
-    parts = [dense_vectors(docs, "doc_id").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("content")), style_vectors(docs), rhetorical_vectors(docs)]
-    rows = docs.select("doc_id")
-    for part in parts:
-        rows = rows.join(part, "doc_id", "left")
-
-    def scaled(name: str, size: int, weight: float) -> Column:
-        return F.transform(F.coalesce(name, F.array_repeat(F.lit(0.0), size)), lambda x: x * weight**0.5)
-
-    return rows.select(F.col("doc_id").alias("vec_id"), F.concat(*map(scaled, ("content", "style", "rhetoric"), (WIDTH, 32, 16), weights)).alias("embedding"))
-
-
 @query(
     f"WITH {STYLE_SQL}, {RHETORIC_VECTOR_SQL}, " + HASHED_SQL.format(id="doc_id", table="documents", width=WIDTH) + f""",
 hm AS (SELECT id AS doc_id, map_from_entries(list((b, c / norm))) AS m FROM hv GROUP BY id),
@@ -111,7 +99,5 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score
 )
 def profile_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five documents most like each query document (ids divisible by 20) by content, style and rhetoric, itself left out."""
-    docs = documents(spark, sf_dir)
-    vectors = written(profile_vectors(docs), "profiles")  # made once, for queries and rows
-    found = nearest(vectors.where(F.col("vec_id") % QUERY_EVERY == 0).select(*[F.col(c).alias(c) for c in ("vec_id", "embedding")]), vectors, 6).where("query_id <> vec_id").select("query_id", F.col("vec_id").alias("doc_id"), "score")
-    return top(found, "score", 5, "query_id")
+    found = profiles.search(written(profiles.profiles(documents(spark, sf_dir)), "profiles"), 6)  # made once, for queries and rows
+    return top(found.where("query_id <> vec_id").select("query_id", F.col("vec_id").alias("doc_id"), "score"), "score", 5, "query_id")

@@ -232,3 +232,39 @@ def test_tokens_of_all_texts_at_once():
         want = [re.findall(r"[^\W_]+", x or "") for x in told]
         assert t.to_pylist() == sum(want, []) and sizes.tolist() == [len(w) for w in want]
     assert packed.tokens(pa.array([None, ""], pa.string()))[0].to_pylist() == []
+
+
+def test_profiles_are_made_in_the_row_of_a_text(spark):
+    """No shuffle makes the vectors of profile_search; they are those of the profiles that are registered by themselves."""
+    from foliant.operators import profiles, terms
+
+    odd = [*ODD, "But is a, is a than ÀÉ àé x1 AB12 co-op CamelCase. because such as", "für zum beispiel étape étape = ≤≥ – _a_ Für", "İstanbul ǅ 漢字 𝒳 x²", None]
+    docs = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    made = profiles.profiles(docs)
+    assert "Exchange hashpartitioning" not in made._jdf.queryExecution().executedPlan().toString()
+    told = {r.vec_id: r for r in made.collect()}
+    style, rhetoric = ({r[0]: [round(x * 100_000) for x in r[1]] for r in f(docs).collect()} for f in (linguistics.style_vectors, linguistics.rhetorical_vectors))
+    assert {d: r.style for d, r in told.items()} == style and {d: r.rhetoric for d, r in told.items()} == rhetoric
+    for r in terms.dense_vectors(docs, "doc_id").collect():
+        norm = sum(c * c for c in told[r.vec_id].content) ** 0.5
+        assert all(abs(c / norm - w) < 1e-12 for c, w in zip(told[r.vec_id].content, r.embedding))
+
+
+def test_search_in_packed_blocks_is_the_whole_search(spark, monkeypatch):
+    import numpy as np
+
+    from foliant.operators import profiles, vectors
+
+    rng = np.random.default_rng(5)
+    whole = rng.integers(0, 9, (300, 112)) * (rng.random((300, 112)) < 0.3)
+    whole[40:60] = whole[20]
+    whole[7] = 0
+    rows = spark.createDataFrame([(k - 30, r[:64].tolist(), r[64:96].tolist(), r[96:].tolist()) for k, r in enumerate(whole)], "vec_id long, content array<int>, style array<int>, rhetoric array<int>")
+    v, ids = profiles._vectors(whole), np.arange(300) - 30
+    score = v[ids % 20 == 0] @ v.T
+    want = vectors.best_of(np.where(score > 0, np.round(score, 6), -np.inf), ids[ids % 20 == 0], ids, 6).to_pylist()
+    monkeypatch.setattr(profiles, "ASKED", 4)
+    monkeypatch.setattr(profiles, "HELD", 400)
+    assert sorted(map(tuple, profiles.search(rows, 6).collect())) == sorted(tuple(r.values()) for r in want)
+    monkeypatch.setattr(profiles, "HELD", 50)
+    assert set(tuple(r.values()) for r in want) <= set(map(tuple, profiles.search(rows, 6).collect()))
