@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
-from ..sources.shared import written
+from ..sources.shared import released
 from ..sources.tables import documents
 from . import packed
 from .packed import Coded, coded
@@ -106,7 +106,7 @@ def _single(c: Coded, order: int, buckets: Buckets) -> DataFrame:
         words, n = _sums(rows, 1, order)
         return pa.table([pa.array(words[0].astype(np.int64)), pa.array(n)], names=["word", "c"])
 
-    return written(_counted(c, 1, order, buckets).groupBy("bucket").applyInArrow(of, "word bigint, c bigint"), "counts")
+    return released(_counted(c, 1, order, buckets).groupBy("bucket").applyInArrow(of, "word bigint, c bigint"), "counts")
 
 
 def _followers(c: Coded, order: int, buckets: Buckets) -> DataFrame:

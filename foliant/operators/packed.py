@@ -17,12 +17,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import written
+from ..sources.shared import released
 
 #: Word types that have numbers, 10 MB for every task; 0 stands before a text's first word. The others' hashes, of so many hex digits, are HASH or more.
 NUMBERED, START, HASH, DIGITS = 1 << 20, 0, 1 << 62, 15
 #: Tokens of a row of the coded table.
-LOT = 1 << 21
+LOT = 1 << 20
 #: What a null id counts as.
 NO_ID = -(2**63)
 #: A lot of texts: how many, their ids and sizes, and the words of all.
@@ -210,7 +210,7 @@ def types(docs: DataFrame) -> DataFrame:
 
 def coded(docs: DataFrame) -> Coded:
     """The texts of docs(doc_id, text) as numbers; those without a token are left out."""
-    found = written(types(docs), "tokens")
+    found = released(types(docs), "tokens")
     total, size = found.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     least = 0
     if size > NUMBERED:  # by how many types stand so often: few rows, and no task sorts all types
@@ -253,7 +253,7 @@ def coded(docs: DataFrame) -> Coded:
         if held:
             yield lot()
 
-    rows = written(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lower("text").alias("text")).mapInArrow(in_lots, LOTS_DDL), "coded")
+    rows = released(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lower("text").alias("text")).mapInArrow(in_lots, LOTS_DDL), "coded")
     texts = rows.agg(F.coalesce(F.sum("texts"), F.lit(0))).first()[0]
     return Coded(rows, total, np.concatenate([[texts], most["n"].to_numpy()]), rare)
 

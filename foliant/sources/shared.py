@@ -46,6 +46,17 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return stored(df, name)[0]
 
 
+def released(df: DataFrame, name: str = "table") -> DataFrame:
+    """The table of written(); the shuffle files of its making go when it is there, not when the driver collects its garbage."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return written(df, name)
+    finally:
+        conf.set(key, was)
+
+
 def discard(path: str) -> None:
     """Delete a table that no later result reads."""
     store, place = located(path)

@@ -268,3 +268,15 @@ def test_search_in_packed_blocks_is_the_whole_search(spark, monkeypatch):
     assert sorted(map(tuple, profiles.search(rows, 6).collect())) == sorted(tuple(r.values()) for r in want)
     monkeypatch.setattr(profiles, "HELD", 50)
     assert set(tuple(r.values()) for r in want) <= set(map(tuple, profiles.search(rows, 6).collect()))
+
+
+def test_shuffle_files_go_when_their_table_is_there(spark):
+    from foliant.sources import shared
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, "false")
+    held = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    before = held.shuffleStatuses().size()
+    found = shared.released(spark.range(1000).repartition(3).groupBy("id").count())
+    assert found.count() == 1000 and spark.conf.get(key, "false") == was
+    assert held.shuffleStatuses().size() <= before + 1  # the count's own
